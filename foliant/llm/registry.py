@@ -3,16 +3,19 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from foliant.llm import byte_bpe, mixing, quality_rules, token_counts, url_filters
+from foliant.llm import byte_bpe, license_scans, mixing, quality_classifier, quality_rules, token_counts, url_filters
 
 QUERIES = {
     "op1_quality_rules": quality_rules.query,
+    "op2_license_scans": license_scans.query,
     "op3_source_mixing": mixing.query,
     "op4_byte_bpe": byte_bpe.query,
     "op5_url_filters": url_filters.query,
+    "op9_quality_classifier": quality_classifier.query,
     "op10_token_counts": token_counts.query,
 }
 ORACLES = {
+    "op2_license_scans": license_scans.oracle(),
     "op3_source_mixing": mixing.oracle(),
     "op5_url_filters": url_filters.oracle(),
 }
