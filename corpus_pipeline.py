@@ -6,11 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from foliant.llm import byte_bpe, mixing, quality_rules
+from foliant.llm import byte_bpe, line_dedup, mixing, ngram_join, quality_rules
 from foliant.llm.scratch import Scratch
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
     ("quality_rules", quality_rules.stage),
+    ("line_dedup", line_dedup.stage),
+    ("ngram_jaccard_join", ngram_join.stage),
     ("source_mixing", mixing.stage),
     ("byte_bpe", byte_bpe.stage),
 ]

@@ -303,3 +303,19 @@ def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """op6: one row for each row of documents."""
     return ngram_join(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
+def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pipeline stage: of each group of near copies the document with the smallest doc_id stays.
+
+    Documents without words are no group. Of rows that repeat a doc_id and a text, which are
+    one document, all stay.
+    """
+    scratch = Scratch(spark, "join-stage")
+    keyed = docs.withColumn("_th", F.xxhash64("text"))
+    rows = scratch.save(jaccard_groups(docs.select(F.struct("doc_id", F.xxhash64("text").alias("th")).alias("key"), "text"), "key"), "groups")
+    place = F.struct(F.col("key.doc_id").isNull().alias("late"), "key.doc_id", "key.th")
+    first = rows.filter("n_shingles > 0").groupBy("root").agg(F.min(place).alias("first"))
+    gone = rows.filter("n_shingles > 0").join(first, "root").filter(~(F.col("key.doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("key.th") == F.col("first.th"))))
+    gone = gone.select(F.col("key.doc_id").alias("_id"), F.col("key.th").alias("_gone")).distinct()
+    return keyed.join(scratch.save(gone, "gone"), F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_th") == F.col("_gone")), "left_anti").select(*docs.columns)

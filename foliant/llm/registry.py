@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from foliant.llm import byte_bpe, license_scans, mixing, quality_classifier, quality_rules, token_counts, url_filters
+from foliant.llm import byte_bpe, license_scans, line_dedup, mixing, ngram_join, quality_classifier, quality_rules, token_counts, url_filters
 
 QUERIES = {
     "op1_quality_rules": quality_rules.query,
@@ -11,6 +11,8 @@ QUERIES = {
     "op3_source_mixing": mixing.query,
     "op4_byte_bpe": byte_bpe.query,
     "op5_url_filters": url_filters.query,
+    "op6_ngram_jaccard_join": ngram_join.query,
+    "op7_line_dedup": line_dedup.query,
     "op9_quality_classifier": quality_classifier.query,
     "op10_token_counts": token_counts.query,
 }
