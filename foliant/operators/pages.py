@@ -99,12 +99,12 @@ def resize(box: Column, width: Column, height: Column) -> Column:
 
 def page_range(spec: Column, n_pages: Column) -> Column:
     """Sorted distinct page numbers from 0 of a text such as 1-3,5: clamped, bad or reversed parts skipped."""
-    parts = F.transform(F.split(spec, ","), F.trim)
+    parts = F.transform(F.split(spec, ","), lambda p: F.trim(p))
     good = F.filter(parts, lambda p: p.rlike(r"^\d{1,9}(\s*-\s*\d{1,9})?$"))
 
     def pages(p: Column) -> Column:
-        first = F.greatest(F.regexp_extract(p, r"^(\d+)", 1).cast("int"), F.lit(1))
-        last = F.least(F.regexp_extract(p, r"(\d+)$", 1).cast("int"), n_pages)
+        ends = F.transform(F.split(p, "-"), lambda e: F.trim(e).cast("int"))
+        first, last = F.greatest(F.element_at(ends, 1), F.lit(1)), F.least(F.element_at(ends, -1), n_pages)
         return F.when(first <= last, F.sequence(first - 1, last - 1)).otherwise(F.array().cast("array<int>"))
 
     return F.coalesce(F.array_sort(F.array_distinct(F.flatten(F.transform(good, pages)))), F.array().cast("array<int>"))
