@@ -16,11 +16,12 @@ import hashlib
 from collections.abc import Iterator
 from functools import lru_cache
 
+import numpy as np
 import public_tokenizers
 import pyarrow as pa
 import tiktoken
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
 PART_CHARS = 1 << 15
@@ -88,26 +89,57 @@ def _ranks(name: str) -> str:
     return name if "/" in name else public_tokenizers.path(name)
 
 
+def _chunked(b: pa.RecordBatch, column: int, limit: int = 1 << 20) -> Iterator[pa.RecordBatch]:
+    """Slices of a batch that hold about a megabyte of one column, or one row: their results stay small."""
+    sizes = np.cumsum([0, *(len(v.as_buffer()) if v.is_valid else 0 for v in b.column(column).cast(pa.large_binary()))])
+    first = 0
+    while first < b.num_rows:
+        last = max(first + 1, int(np.searchsorted(sizes, sizes[first] + limit, side="right")) - 1)
+        yield b.slice(first, last - first)
+        first = last
+
+
 def encode(docs: DataFrame, ranks: str = RANKS, text_col: str = "text", ids_col: str = "ids") -> DataFrame:
-    """Adds the ids of every whole text."""
+    """Adds the ids of every whole text, their number and the SHA-256 of the ids as text."""
+    made = [ids_col, "n_tokens", "ids_sha256"]
+    rest = docs.drop(*[c for c in made if c != text_col])
+    at = rest.columns.index(text_col)
 
-    @F.pandas_udf("array<int>")
-    def ids(texts):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(_ranks(ranks))
-        return texts.map(lambda t: c.encode(t or ""))
-
-    return docs.withColumn(ids_col, ids(text_col))
+        for whole in batches:
+            for b in _chunked(whole, at):
+                ids, hashes = [], []
+                for t in b.column(at):
+                    parts, sha = [], hashlib.sha256()
+                    for part in c.parts(t.as_py() or ""):
+                        if part:
+                            sha.update(("," * bool(parts) + ",".join([c.numbers[i] for i in part])).encode())
+                            parts.append(np.array(part, dtype=np.int32))
+                    ids.append(np.concatenate(parts) if parts else np.zeros(0, dtype=np.int32))
+                    hashes.append(sha.hexdigest())
+                bounds = np.cumsum([0, *map(len, ids)]).astype(np.int32)
+                lists = pa.ListArray.from_arrays(pa.array(bounds), pa.array(np.concatenate(ids)))
+                yield pa.RecordBatch.from_arrays([*b.columns, lists, pa.array(np.diff(bounds).astype(np.int64)), pa.array(hashes, pa.string())], [*b.schema.names, *made])
+
+    added = T.StructType([T.StructField(ids_col, T.ArrayType(T.IntegerType())), T.StructField("n_tokens", T.LongType()), T.StructField("ids_sha256", T.StringType())])
+    return rest.mapInArrow(run, T.StructType([*rest.schema.fields, *added.fields]))
 
 
 def decode(df: DataFrame, ranks: str = RANKS, ids_col: str = "ids", bytes_col: str = "decoded") -> DataFrame:
     """Adds the raw bytes of the ids; null ids give null."""
+    rest = df.drop(bytes_col)
+    at = rest.columns.index(ids_col)
 
-    @F.pandas_udf("binary")
-    def raw(ids):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(_ranks(ranks))
-        return ids.map(lambda x: None if x is None else c.decode([int(i) for i in x]))
+        for whole in batches:
+            for first in range(0, whole.num_rows, 64):
+                b = whole.slice(first, 64)
+                raw = [None if not v.is_valid else c.decode(v.as_py()) for v in b.column(at)]
+                yield pa.RecordBatch.from_arrays([*b.columns, pa.array(raw, pa.binary())], [*b.schema.names, bytes_col])
 
-    return df.withColumn(bytes_col, raw(ids_col))
+    return rest.mapInArrow(run, T.StructType([*rest.schema.fields, T.StructField(bytes_col, T.BinaryType())]))
 
 
 def digests(docs: DataFrame, ranks: str = RANKS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -131,6 +163,4 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Last pipeline stage: the token ids of every document, their number and their digest."""
-    return encode(docs).select(
-        "doc_id", "lang", "source", F.size("ids").cast("bigint").alias("n_tokens"), "ids", F.sha2(F.array_join("ids", ","), 256).alias("ids_sha256")
-    )
+    return encode(docs).select("doc_id", "lang", "source", "n_tokens", "ids", "ids_sha256")
