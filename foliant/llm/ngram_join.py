@@ -274,6 +274,8 @@ def jaccard_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     ends = ends.filter("lo <> hi AND n1 > 0 AND p1 >= 0").select("key")
     shared = lists.join(ends.hint("shuffle_hash"), "key").groupBy("key", F.col("uid").alias("id")).agg(F.max("n").alias("n"), F.max("pos").alias("pos"))
     postings = scratch.save(shared, "postings")
+    rows = scratch.save(sets.select(id_col, "n_shingles", "uid"), "rows")
+    scratch.drop(sets)
 
     def compatible(left, right):
         n, m, i, j = left("n"), right("n"), left("pos"), right("pos")
@@ -286,7 +288,6 @@ def jaccard_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     whole = scratch.save(whole.join(postings.select(F.col("id").alias("uid")).distinct(), "uid", "left_semi").dropDuplicates(["uid"]), "whole")
     roots = link_groups(postings, ["n", "pos"], compatible, _verifier(whole), scratch)
     scratch.drop(postings, whole)
-    rows = sets.select(id_col, "n_shingles", "uid")
     if roots is None:
         return rows.withColumn("root", F.col("uid"))
     return rows.join(roots.withColumnRenamed("id", "uid"), "uid", "left").select(id_col, "n_shingles", "uid", F.coalesce("root", "uid").alias("root"))

@@ -34,7 +34,14 @@ class Scratch:
         """Write df now and return it read back, with a cut lineage."""
         self.n += 1
         path = f"{self.root}/{self.n}-{name}"
-        df.write.mode("overwrite").parquet(path)
+        conf, name = self.spark.conf, "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+        before = conf.get(name, None)
+        # What this job shuffled is of no use once its table is written.
+        conf.set(name, "true")
+        try:
+            df.write.mode("overwrite").parquet(path)
+        finally:
+            conf.unset(name) if before is None else conf.set(name, before)
         out = self.spark.read.schema(df.schema).parquet(path)
         out._foliant_path = path
         return out
