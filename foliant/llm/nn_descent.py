@@ -33,15 +33,15 @@ from pyspark.sql import functions as F
 
 from foliant.llm.scratch import Scratch
 
-K = 20
+K = 40
 TREES = 4
 BLOCK = 128
-ROUNDS = 3
+ROUNDS = 6
 #: New neighbours that one local join passes on for each node.
-PASS_ON = 5
-POOL = 96
-OPEN = 12
-HOPS = 4
+PASS_ON = 14
+POOL = 512
+OPEN = 64
+HOPS = 6
 SEED = 11
 _VEC = "node bigint, scale float, code binary"
 

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from foliant.llm import byte_bpe, license_scans, line_dedup, mixing, ngram_join, quality_classifier, quality_rules, token_counts, url_filters
+from foliant.llm import byte_bpe, license_scans, line_dedup, mixing, ngram_join, nn_descent, quality_classifier, quality_rules, token_counts, url_filters
 
 QUERIES = {
     "op1_quality_rules": quality_rules.query,
@@ -13,6 +13,7 @@ QUERIES = {
     "op5_url_filters": url_filters.query,
     "op6_ngram_jaccard_join": ngram_join.query,
     "op7_line_dedup": line_dedup.query,
+    "op8_nn_descent": nn_descent.query,
     "op9_quality_classifier": quality_classifier.query,
     "op10_token_counts": token_counts.query,
 }
