@@ -135,10 +135,11 @@ def merge_words(first: pd.DataFrame, second: pd.DataFrame, names: tuple[str, str
                 free[best], partner[i] = False, best
     paired = partner >= 0
     out = first.assign(source_engine=np.where(paired, "ROVER", names[0])).reset_index(drop=True)
-    at = np.flatnonzero(paired)
-    at = at[second.confidence.to_numpy()[partner[at]] > first.confidence.to_numpy()[at]]
-    columns = ["text", *box, "confidence"]
-    out.loc[at, columns] = second[columns].to_numpy()[partner[at]]
+    better = paired.copy()
+    better[paired] = second.confidence.to_numpy()[partner[paired]] > first.confidence.to_numpy()[paired]
+    for c in ("text", *box, "confidence"):
+        if len(second):
+            out[c] = np.where(better, second[c].to_numpy()[partner], out[c].to_numpy())
     return pd.concat([out, second[free].assign(source_engine=names[1])], ignore_index=True)
 
 
