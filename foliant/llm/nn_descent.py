@@ -191,57 +191,81 @@ def build_graph(vectors: DataFrame, scratch: Scratch, rounds: int = ROUNDS) -> D
 
 
 def _adjacency(graph: DataFrame, vectors: DataFrame) -> DataFrame:
-    """(node, near): the neighbours of each node, both ways, with their short vectors."""
+    """(node, us, scales, codes): the neighbours of each node, both ways, with their short vectors."""
     codes = vectors.select(F.col("node").alias("u"), "scale", "code")
     around = _around(graph, -1).join(codes, "u")
-    return around.groupBy(F.col("p").alias("node")).agg(F.collect_list(F.struct("u", "scale", "code")).alias("near"))
+    near = around.groupBy(F.col("p").alias("node")).agg(F.collect_list(F.struct("u", "scale", "code")).alias("near"))
+    return near.select("node", *[F.col(f"near.{c}").alias(f"{c}s") for c in ("u", "scale", "code")])
+
+
+def _lists(column: pa.Array) -> tuple[np.ndarray, pa.Array]:
+    """Bounds of the rows of a list column, null rows empty, and all its values."""
+    lengths = column.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+    return np.concatenate([[0], np.cumsum(lengths)]).astype(np.int64), column.flatten()
+
+
+class _Pools:
+    """Finished pools, as columns."""
+
+    def __init__(self) -> None:
+        self.rows: list[tuple[int, np.ndarray, np.ndarray, np.ndarray]] = []
+
+    def batch(self) -> pa.RecordBatch:
+        rows, self.rows = self.rows, []
+        bounds = pa.array(np.cumsum([0, *(len(r[1]) for r in rows)]).astype(np.int32))
+        flat = [np.concatenate([r[i] for r in rows]) if rows else np.zeros(0, dtype=t) for i, t in ((1, np.int64), (2, np.float32), (3, bool))]
+        return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), *(pa.ListArray.from_arrays(bounds, pa.array(f)) for f in flat)], ["q", "ids", "sims", "seen"])
 
 
 def _hop(pool_size: int, opened: int):
-    """Rows (q, pool, scale, code, near): one per query and opened node, in order of q; gives the new pools."""
+    """Rows (q, ids, sims, seen, scale, code, us, scales, codes), one per query and opened node and in
+    order of q: opens the first ``opened`` unseen of each pool and merges their neighbours into it."""
+
+    def finish(q: int, pool: tuple, vec: np.ndarray, near: list[tuple]) -> tuple:
+        ids, sims, seen = pool
+        seen = seen.copy()
+        seen[np.flatnonzero(~seen)[:opened]] = True
+        us, first = np.unique(np.concatenate([n[0] for n in near]), return_index=True)
+        scales, codes = np.concatenate([n[1] for n in near])[first], np.concatenate([n[2] for n in near])[first]
+        fresh = ~np.isin(us, ids) & (us != q)
+        if fresh.any():
+            new = (codes[fresh].astype(np.float32) @ vec) * scales[fresh]
+            ids, sims, seen = np.concatenate([ids, us[fresh]]), np.concatenate([sims, new.astype(np.float32)]), np.concatenate([seen, np.zeros(len(new), dtype=bool)])
+        best = np.lexsort((ids, -sims))[:pool_size]
+        return q, ids[best], sims[best], seen[best]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        q, pool, vec, near = None, None, None, {}
-
-        def done():
-            ids, sims, seen = pool
-            have = set(ids)
-            fresh = {u: c for u, c in near.items() if u not in have and u != q}
-            if fresh:
-                m = np.stack([np.frombuffer(c["code"], dtype=np.int8).astype(np.float32) * c["scale"] for c in fresh.values()])
-                ids, sims, seen = ids + list(fresh), sims + (m @ vec).tolist(), seen + [False] * len(fresh)
-            best = sorted(range(len(ids)), key=lambda i: (-sims[i], ids[i]))[:pool_size]
-            return [ids[i] for i in best], [sims[i] for i in best], [seen[i] for i in best]
-
-        out = []
+        done, now = _Pools(), None
         for b in batches:
-            for r in b.to_pylist():
-                if r["q"] != q:
-                    if q is not None:
-                        out.append((q, *done()))
-                    q, near = r["q"], {}
-                    ids, sims, seen = r["ids"] or [], r["sims"] or [], r["seen"] or []
-                    todo = [i for i in range(len(ids)) if not seen[i]][:opened]
-                    for i in todo:
-                        seen[i] = True
-                    pool = (ids, sims, seen)
-                    vec = np.frombuffer(r["code"], dtype=np.int8).astype(np.float32) * np.float32(r["scale"])
-                near.update((x["u"], x) for x in r["near"] or [])
-            if len(out) >= 500:
-                yield _pools(out)
-                out = []
-        if q is not None:
-            out.append((q, *done()))
-        yield _pools(out)
+            qs = b.column(0).to_numpy()
+            if not len(qs):
+                continue
+            state = [_lists(b.column(i)) for i in (1, 2, 3)]
+            bounds, us = _lists(b.column(6))
+            us = us.to_numpy(zero_copy_only=False)
+            scales = _lists(b.column(7))[1].to_numpy(zero_copy_only=False)
+            codes = _matrix(_lists(b.column(8))[1], "int8")
+            cuts = np.concatenate([[0], np.flatnonzero(np.diff(qs)) + 1, [len(qs)]])
+            for lo, hi in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+                q = int(qs[lo])
+                if now is None or now[0] != q:
+                    if now is not None:
+                        done.rows.append(finish(*now))
+                    pool = tuple(v.slice(at[lo], at[lo + 1] - at[lo]).to_numpy(zero_copy_only=False).astype(t) for (at, v), t in zip(state, (np.int64, np.float32, bool), strict=True))
+                    vec = np.frombuffer(b.column(5)[lo].as_buffer(), dtype=np.int8).astype(np.float32) * np.float32(b.column(4)[lo].as_py())
+                    now = (q, pool, vec, [])
+                part = slice(bounds[lo], bounds[hi])
+                # Copies, so that a query that continues in the next batch does not hold this one.
+                now[3].append((us[part].astype(np.int64), scales[part].astype(np.float32), codes[part].copy() if len(us) else np.zeros((0, len(now[2])), dtype=np.int8)))
+            if len(done.rows) >= 500:
+                yield done.batch()
+        if now is not None:
+            done.rows.append(finish(*now))
+        yield done.batch()
 
     return run
 
 
-def _pools(rows: list[tuple]) -> pa.RecordBatch:
-    kinds = [pa.int64(), pa.list_(pa.int64()), pa.list_(pa.float32()), pa.list_(pa.bool_())]
-    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], ["q", "ids", "sims", "seen"])
-
-
 def search(queries: DataFrame, vectors: DataFrame, graph: DataFrame, scratch: Scratch, hops: int = HOPS) -> DataFrame:
     """(q, node): the pool of every query node after all hops. Queries are nodes of the graph."""
     near = scratch.save(_adjacency(graph, vectors), "adjacency")
@@ -254,7 +278,7 @@ def search(queries: DataFrame, vectors: DataFrame, graph: DataFrame, scratch: Sc
         if turn:
             todo = F.slice(F.filter("ids", lambda x, i: ~F.get("seen", i)), 1, OPEN)
             state = pools.join(own, "q").withColumn("node", F.explode_outer(todo))
-        rows = state.join(near, "node", "left").select("q", "ids", "sims", "seen", "scale", "code", "near")
+        rows = state.join(near, "node", "left").select("q", "ids", "sims", "seen", "scale", "code", "us", "scales", "codes")
         rows = rows.repartition("q").sortWithinPartitions("q")
         pools = scratch.save(rows.mapInArrow(_hop(POOL, OPEN if turn else 0), "q bigint, ids array<bigint>, sims array<float>, seen array<boolean>"), "pools")
     return pools.select("q", F.explode("ids").alias("node"))
