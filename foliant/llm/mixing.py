@@ -101,15 +101,16 @@ def _plan(sized: DataFrame, source_col: str, weights: tuple[int, ...], max_epoch
     last = places.filter(F.col("upto") - F.col("words") / 2 <= F.col("left")).groupBy(F.col("source").alias("last_source")).agg(F.max("_place").alias("last_place"))
 
     plan = aims.withColumnRenamed("source", "aim_source").join(ends, _same(F.col("aim_source"), F.col("end_source")), "left").join(last, _same(F.col("aim_source"), F.col("last_source")), "left")
-    return scratch.save(plan.select("aim_source", "source_size", "target", "whole", F.col("end.bucket").alias("end_bucket"), "last_place"), "plan")
+    return scratch.save(plan.select("aim_source", F.struct("source_size", "target", "whole", F.col("end.bucket").alias("bucket"), F.col("last_place").alias("last")).alias("_aim")), "plan")
 
 
 def _taken(placed: DataFrame, plan: DataFrame, source_col: str, keep: list[str]) -> DataFrame:
-    out = placed.join(plan, _same(F.col(source_col), F.col("aim_source")), "left")
-    before = (F.col("_bucket") < F.col("end_bucket")) | ((F.col("_bucket") == F.col("end_bucket")) & (F.col("_place") <= F.col("last_place")))
+    out = placed.join(plan.withColumnRenamed("aim_source", "_aim_source"), _same(F.col(source_col), F.col("_aim_source")), "left")
+    before = (F.col("_bucket") < F.col("_aim.bucket")) | ((F.col("_bucket") == F.col("_aim.bucket")) & (F.col("_place") <= F.col("_aim.last")))
     # Without an end bucket the rest is the whole source or nothing.
-    times = F.when(F.col("_size") > 0, F.col("whole") + F.coalesce(before, F.lit(False)).cast("bigint")).otherwise(F.lit(0))
-    return out.select(*keep, "_size", F.col("source_size").alias("_source_size"), F.col("target").alias("_target"), times.cast("bigint").alias("_times"))
+    times = F.when(F.col("_size") > 0, F.col("_aim.whole") + F.coalesce(before, F.lit(False)).cast("bigint")).otherwise(F.lit(0))
+    keep = [c for c in keep if c not in ("_size", "_source_size", "_target", "_times")]
+    return out.select(*keep, "_size", F.col("_aim.source_size").alias("_source_size"), F.col("_aim.target").alias("_target"), times.cast("bigint").alias("_times"))
 
 
 def mix(
