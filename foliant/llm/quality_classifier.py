@@ -31,6 +31,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from foliant.llm import quality_rules, text as X
+from foliant.llm.scratch import small_batches
 
 BITS = 18
 SAMPLE = 6000
@@ -73,7 +74,7 @@ class OrdinalModel:
         return 1 / (1 + np.exp(-np.clip(score[:, None] - self.thresholds, -60, 60)))
 
 
-def fit(slots: np.ndarray, bounds: np.ndarray, dense: np.ndarray, grade: np.ndarray, rounds: int = 150, rate: float = 0.08, l1: float = 2e-4) -> OrdinalModel:
+def fit(slots: np.ndarray, bounds: np.ndarray, dense: np.ndarray, grade: np.ndarray, rounds: int = 150, rate: float = 0.08, l1: float = 1e-3) -> OrdinalModel:
     """Full-batch Adam on the cumulative-link likelihood, with an L1 step on the shared weights."""
     n = len(grade)
     size = 1 << BITS
@@ -164,6 +165,7 @@ def score(docs: DataFrame, model: OrdinalModel, keep: float = KEEP, id_col: str
                 cols = [b.column(0).slice(c.first, c.n), s, tails.sum(axis=1), *tails.T, tails[:, -1] >= keep]
                 yield pa.RecordBatch.from_arrays([x if isinstance(x, pa.Array) else pa.array(x) for x in cols], [id_col, "score", "expected_grade", "tail_1", "tail_2", "kept"])
 
+    small_batches(docs.sparkSession)
     kind = docs.schema[id_col].dataType.simpleString()
     return docs.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {kind}, score double, expected_grade double, tail_1 double, tail_2 double, kept boolean")
 
