@@ -22,8 +22,10 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from foliant.llm import text as X
+from foliant.llm.scratch import small_batches
 
 _SYMBOLS = np.array([chr(b) in "#*$%&|<>" for b in range(256)])
 _UPPER = np.array([65 <= b <= 90 for b in range(256)])
@@ -184,6 +186,7 @@ def _measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def measured(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, the five base counts and the vote pattern of every document; only these two columns are read."""
+    small_batches(docs.sparkSession)
     kind = docs.schema[id_col].dataType.simpleString()
     schema = f"`{id_col}` {kind}, " + ", ".join(f"{k} bigint" for k in COUNTS) + ", pattern bigint"
     return docs.select(id_col, text_col).mapInArrow(_measure, schema)
@@ -221,16 +224,19 @@ def judged(measured_docs: DataFrame, model: LabelModel, threshold: float = 0.5)
 def quality_rules(docs: DataFrame, text_col: str = "text", threshold: float = 0.5) -> DataFrame:
     """The documents with n_words, ..., posterior and kept added. Texts are read twice, and never shuffled."""
     model = fit_patterns(measured(docs.select(F.lit(0).alias("one"), text_col), "one", text_col))
-
-    @F.pandas_udf("struct<" + ", ".join(f"{k}: bigint" for k in COUNTS) + ", pattern: bigint>")
-    def counts(texts: pd.Series) -> pd.DataFrame:
-        c = _counts_table(pa.array(texts, type=pa.string(), from_pandas=True))
-        return pd.DataFrame({k: c[k] for k in COUNTS} | {"pattern": pattern_code(votes(c))})
-
-    added = {*COUNTS, "pattern", "base_failed", "posterior", "kept"}
-    rest = docs.drop(*[c for c in docs.columns if c in added])
-    wide = rest.withColumn("_counts", counts(text_col))
-    return judged(wide.select(*rest.columns, "_counts.*"), model, threshold)
+    added = [*COUNTS, "pattern"]
+    rest = docs.drop(*[c for c in docs.columns if c in {*added, "base_failed", "posterior", "kept"}])
+    at = rest.columns.index(text_col)
+
+    def widen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for c in X.chunks(b.column(at)):
+                counts = chunk_counts(c)
+                new = [pa.array(counts[k].astype(np.int64)) for k in COUNTS] + [pa.array(pattern_code(votes(counts)))]
+                yield pa.RecordBatch.from_arrays([*b.slice(c.first, c.n).columns, *new], [*b.schema.names, *added])
+
+    kinds = T.StructType([*rest.schema.fields, *(T.StructField(k, T.LongType()) for k in added)])
+    return judged(rest.mapInArrow(widen, kinds), model, threshold)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

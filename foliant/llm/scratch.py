@@ -14,6 +14,18 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+#: What a job shuffled is of no use once its table is written.
+_WHILE_SAVING = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true"}
+#: Bytes of a batch that goes to a Python worker.
+BATCH_BYTES = 16 << 20
+
+
+def small_batches(spark: SparkSession) -> SparkSession:
+    """Bounds batches to Python workers by bytes, as rows of whole texts may be long; holds for the session."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+    return spark
+
+
 def shared_dir(spark: SparkSession) -> str:
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
@@ -26,6 +38,7 @@ class Scratch:
     """A folder of intermediate Parquet tables; dropped one by one, or all at exit."""
 
     def __init__(self, spark: SparkSession, name: str) -> None:
+        small_batches(spark)
         self.spark, self.root = spark, f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
         self.n = 0
         atexit.register(self.clear)
@@ -34,14 +47,15 @@ class Scratch:
         """Write df now and return it read back, with a cut lineage."""
         self.n += 1
         path = f"{self.root}/{self.n}-{name}"
-        conf, name = self.spark.conf, "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-        before = conf.get(name, None)
-        # What this job shuffled is of no use once its table is written.
-        conf.set(name, "true")
+        conf = self.spark.conf
+        before = {k: conf.get(k, None) for k in _WHILE_SAVING}
+        for k, v in _WHILE_SAVING.items():
+            conf.set(k, v)
         try:
             df.write.mode("overwrite").parquet(path)
         finally:
-            conf.unset(name) if before is None else conf.set(name, before)
+            for k, v in before.items():
+                conf.unset(k) if v is None else conf.set(k, v)
         out = self.spark.read.schema(df.schema).parquet(path)
         out._foliant_path = path
         return out

@@ -1,6 +1,6 @@
 """Vectorised word and shingle hashing over Arrow string columns.
 
-Texts arrive as Arrow batches and are cut into chunks of about one megabyte, so the
+Texts arrive as Arrow batches and are cut into chunks of about half a megabyte, so the
 temporary arrays of a worker stay small whatever the batch holds (a single longer text
 is a chunk of its own). Words are hashed by a prefix sum of keyed polynomial terms modulo
 2**64, finished by a bijective mixer; equal words get equal hashes in every process.
@@ -15,7 +15,7 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 
-CHUNK_BYTES = 1 << 20
+CHUNK_BYTES = 1 << 19
 _BASE = 0x9E3779B97F4A7C15 | 1
 _MASK = (1 << 64) - 1
 
@@ -40,7 +40,7 @@ def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
     """base**i and base**-i modulo 2**64 for i < n, grown on demand."""
     have = len(_powers.get("up", ()))
     if have < n:
-        size = 1 << max(21, (n - 1).bit_length())
+        size = 1 << max(20, (n - 1).bit_length())
         inverse = pow(_BASE, -1, 1 << 64)
         for name, base in (("up", _BASE), ("down", inverse)):
             table = np.ones(1, dtype=np.uint64)
