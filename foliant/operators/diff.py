@@ -131,3 +131,18 @@ def pixel_difference(a: DataFrame, b: DataFrame, keys: list[str], tolerance: int
         far = far | (F.abs(F.col(f"l.{c}") - F.col(f"r.{c}")) > tolerance)
     alone = F.col("l.r").isNull() | F.col("r.r").isNull()
     return joined.groupBy(*keys).agg(F.count_if(alone | far).alias("n"))
+
+
+def compare_documents(pages_a: DataFrame, pages_b: DataFrame, key: str) -> DataFrame:
+    """(key, page_no, added, removed, moved, running) of two versions of documents, page by page.
+
+    Documents with equal digests of all their pages are left out before any page is read again;
+    pages that only one version has are not compared.
+    """
+    digest = lambda p: p.groupBy(key).agg(F.sha2(F.to_json(F.array_sort(F.collect_list(F.struct("page_no", F.sha2("text", 256).alias("t"))))), 256).alias("d"))
+    a, b = digest(pages_a), digest(pages_b).withColumnRenamed("d", "e")
+    differ = a.join(b, key).filter(F.col("d") != F.col("e")).select(key)
+    pairs = pages_a.select(key, "page_no", F.col("text").alias("text_a")).join(pages_b.select(key, "page_no", F.col("text").alias("text_b")), [key, "page_no"])
+    pairs = pairs.join(differ, key, "left_semi")
+    found = summary(edit_scripts(pairs, [key, "page_no"]), [key, "page_no"])
+    return cumulative(found, [key], "page_no")

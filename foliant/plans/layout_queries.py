@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from foliant.functions import geometry
-from foliant.operators import diff, documents, layout, pages
+from foliant.operators import diff, documents, layout, markup, ocr, pages, search
 from foliant.plans.page_queries import LINES
 from foliant.plans.registry import query, table
 
@@ -244,3 +244,51 @@ def pixel_diff(spark: SparkSession, d: str) -> DataFrame:
     image = lambda df: df.groupBy("user_id", "x", "y").agg(F.max("v").alias("r")).withColumns({"g": F.lit(0), "b": F.lit(0)})
     a, b = image(p.filter("x % 7 <> 0")), image(p.filter("x % 11 <> 0").withColumn("v", (F.col("v") + F.col("x")) % 256))
     return diff.pixel_difference(a, b, ["user_id"])
+
+
+@query("compare_documents")
+def compare_documents(spark: SparkSession, d: str) -> DataFrame:
+    p = pages.pages_of(table(spark, d, "documents"), 3).select("doc_id", "page_no", "text")
+    changed = F.when((F.col("doc_id") % 3 == 0) & (F.col("page_no") == 1), F.concat(F.lit("new words "), "text")).otherwise(F.col("text"))
+    return diff.compare_documents(p, p.withColumn("text", changed), "doc_id")
+
+
+@query("ocr_strategies", f"""{WORDS}, m AS (SELECT doc_id, page_no, avg(confidence) < 70 AS weak FROM words WHERE seq % 5 <> 4 GROUP BY 1, 2), f AS (SELECT * FROM words WHERE seq % 5 <> 4), s AS (SELECT * FROM words WHERE seq % 5 = 4)
+SELECT doc_id, page_no, count(*) AS n FROM (SELECT doc_id, page_no FROM f UNION ALL SELECT s.doc_id, s.page_no FROM s JOIN m ON s.doc_id = m.doc_id AND s.page_no = m.page_no WHERE weak) GROUP BY 1, 2""")
+def ocr_strategies(spark: SparkSession, d: str) -> DataFrame:
+    """The second engine reads other words, so a weak page has all words of both."""
+    w = words_of(spark, d)
+    first = w.filter("seq % 5 <> 4").withColumn("engine", F.lit("Tesseract"))
+    second = w.filter("seq % 5 = 4").withColumns({"engine": F.lit("RapidOCR"), "y": F.col("y") + 100_000})
+    out = ocr.combined(first, second, "ConfidenceWeighted", ("Tesseract", "RapidOCR"))
+    return out.groupBy("doc_id", "page_no").agg(F.count("*").alias("n"))
+
+
+@query("detected_regions", """SELECT event_id, CASE event_id % 3 WHEN 0 THEN 'Paragraph' WHEN 1 THEN 'Other' ELSE 'Paragraph' END AS type, greatest(0.5 * 100 - 80.0 / 2, 0) AS x, 100 - greatest(1.0 * 100 - 40.0 / 2, 0) AS h FROM events WHERE event_id % 4 <> 0""")
+def detected_regions(spark: SparkSession, d: str) -> DataFrame:
+    e = F.col("event_id")
+    high = F.when(e % 4 != 0, 2.0).otherwise(-2.0)
+    logits = F.transform(F.array(*map(F.lit, range(3))), lambda i: F.when(i == e % 3, high).otherwise(F.lit(-3.0)))
+    lit = lambda v: F.lit(float(v))
+    x = table(spark, d, "events").select("event_id", F.col("user_id").alias("doc_id"), F.lit(0).alias("page_no"), e.alias("seq"), logits.alias("logits"), lit(0.5).alias("cx"), lit(1.0).alias("cy"), lit(0.8).alias("w"), lit(0.4).alias("h"), lit(100).alias("page_w"), lit(100).alias("page_h"))
+    return ocr.regions(x).select(F.col("seq").alias("event_id"), "type", "x", "h")
+
+
+@query("match_boxes", f"""{WORDS} SELECT doc_id, page_no, min(x) AS x, min(y) AS y, max(x + w) - min(x) AS w, max(y + h) - min(y) AS h FROM words WHERE contains(text, 'tion') GROUP BY 1, 2""")
+def match_boxes(spark: SparkSession, d: str) -> DataFrame:
+    """One box around all words with a hit on a page."""
+    return search.union_box(words_of(spark, d).filter(F.contains("text", F.lit("tion"))), ["doc_id", "page_no"])
+
+
+@query("djot_markup")
+def djot_markup(spark: SparkSession, d: str) -> DataFrame:
+    small = F.col("doc_id") % 10 == 0
+    text = documents.to_djot(documents.from_layout(words_of(spark, d).filter(small), regions_of(spark, d).filter(small)))
+    return markup.converted(text).select("doc_id", F.sha2("xhtml", 256).alias("xhtml_sha256"), F.sha2("plain", 256).alias("plain_sha256"))
+
+
+@query("word_order", f"""{WORDS}, l AS (SELECT *, lag(y) OVER p AS y0, lag(h) OVER p AS h0 FROM words WINDOW p AS (PARTITION BY doc_id, page_no ORDER BY y, x, seq)),
+b AS (SELECT *, sum(CASE WHEN y - y0 > greatest(h, h0) * 0.5 THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id, page_no ORDER BY y, x, seq) AS line FROM l)
+SELECT doc_id, page_no, seq, CAST(row_number() OVER (PARTITION BY doc_id, page_no ORDER BY line, x, seq) - 1 AS INTEGER) AS word_order FROM b""")
+def word_order(spark: SparkSession, d: str) -> DataFrame:
+    return layout.word_order(words_of(spark, d), layout.PAGE).select("doc_id", "page_no", "seq", "word_order")
