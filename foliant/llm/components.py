@@ -52,8 +52,10 @@ def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
         if hook is not mapping:
             scratch.drop(hook)
         edges = rest
+    if mapping is None:
+        return edges.select(F.col("a").alias("id"), F.col("b").alias("root"))
     scratch.drop(edges)
-    return mapping if mapping is not None else edges.select(F.col("a").alias("id"), F.col("b").alias("root"))
+    return mapping
 
 
 def _compose(mapping: DataFrame | None, links: DataFrame, scratch: Scratch) -> DataFrame | None:
@@ -81,12 +83,15 @@ def link_groups(
     verify: Verify,
     scratch: Scratch,
     star_rounds: int = 2,
+    central: list[str] | None = None,
 ) -> DataFrame | None:
     """(id, root) of ids with links, or None if there are none.
 
     postings: (key, id, *attributes), each (key, id) once, keys with two ids or more.
     compatible(left, right): a filter on two rows' attributes that every link passes.
     verify(pairs (a, b)): the pairs that link.
+    central: columns by which the first leader of a key is chosen, least first; one that links with
+    many spares most tests.
     """
     mapping: DataFrame | None = None
     tested: list[DataFrame] = []
@@ -99,7 +104,7 @@ def link_groups(
 
     for turn in range(star_rounds):
         rows = rooted()
-        order = F.col("id") if turn == 0 else F.xxhash64(F.lit(turn), "id")
+        order = F.struct(*(central or []), "id") if turn == 0 else F.struct(F.xxhash64(F.lit(turn), "id"))
         leaders = rows.groupBy("key").agg(F.min_by(F.struct("id", "_root", *attributes), order).alias("lead"), F.min("_root").alias("_lo"), F.max("_root").alias("_hi"))
         leaders = leaders.filter("_lo <> _hi").select("key", "lead")
         near = rows.join(leaders, "key").filter(F.col("_root") != F.col("lead._root"))

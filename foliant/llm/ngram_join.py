@@ -47,6 +47,8 @@ THRESHOLD = 80
 #: Counters for document frequencies: 2**20, four megabytes.
 COUNT_BITS = 20
 SALTS = 32
+#: Shingles of candidates that one local index holds.
+BLOCK_SHINGLES = 200_000
 #: DivideSkip's weight of a heap step against a binary search.
 MU = 0.0085
 
@@ -221,10 +223,12 @@ def _whole_sets(docs: DataFrame, text_col: str, width: int, wanted) -> DataFrame
 
 def _search_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows in order (a, salt, lead first): candidates of each query are searched in blocks."""
-    query, owner, names, block = None, None, [], []
+    query, owner, names, block, held = None, None, [], [], 0
     out: list[tuple[int, int]] = []
 
     def flush() -> None:
+        nonlocal held
+        held = 0
         if block:
             out.extend((owner[0], names[i]) for i in search(query, block))
             names.clear()
@@ -239,7 +243,8 @@ def _search_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
             elif owner == (a, salt):
                 names.append(b)
                 block.append(tokens)
-                if len(block) == 256:
+                held += len(tokens)
+                if held > BLOCK_SHINGLES:
                     flush()
         flush_now = out[:]
         out.clear()
@@ -249,8 +254,20 @@ def _search_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
     yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.int64())], ["a", "b"])
 
 
-def _verifier(sets: DataFrame):
+def _among(sets: DataFrame, ids: DataFrame) -> DataFrame:
+    """Rows of sets whose uid may be among the ids: what a round does not need is not shuffled for it."""
+    wanted = sets.sparkSession.sparkContext.broadcast(id_filter(ids))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield b.filter(pa.array(wanted.value.test(b.column(0).to_numpy())))
+
+    return sets.mapInArrow(run, sets.schema)
+
+
+def _verifier(all_sets: DataFrame):
     def verify(pairs: DataFrame) -> DataFrame:
+        sets = _among(all_sets, pairs.select("a").union(pairs.select("b")))
         salted = pairs.withColumn("salt", F.pmod(F.xxhash64("b"), F.lit(SALTS)).cast("int"))
         cand = salted.join(sets.withColumnRenamed("uid", "b"), "b").select("a", "salt", "b", "shingles")
         lead = salted.select("a", "salt").distinct().join(sets.withColumnRenamed("uid", "a"), "a").select("a", "salt", F.lit(None).cast("bigint").alias("b"), "shingles")
@@ -260,8 +277,17 @@ def _verifier(sets: DataFrame):
     return verify
 
 
-def jaccard_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, threshold: int = THRESHOLD) -> DataFrame:
-    """id, n_shingles, uid (equal for equal sets) and root (equal for linked sets) of every row."""
+def _with_partners(postings: DataFrame, threshold: int) -> DataFrame:
+    """Postings whose list holds another of a size that can link: sizes within the ratio of the
+    threshold lie in the same or the next of classes that are a hundredth wider."""
+    size = F.floor(F.log("n") / F.log(F.lit(101 / threshold))).cast("int")
+    classed = postings.withColumn("_c", F.explode(F.array(size, size + 1)))
+    ends = classed.groupBy("key", "_c").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).filter("lo <> hi").select("key", "_c")
+    return classed.join(ends, ["key", "_c"], "left_semi").drop("_c").dropDuplicates(["key", "id"])
+
+
+def jaccard_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, threshold: int = THRESHOLD) -> tuple[DataFrame, DataFrame | None]:
+    """id, n_shingles and uid (equal for equal sets) of every row, and (id, root) of the uids with links to others."""
     spark = docs.sparkSession
     scratch = Scratch(spark, "jaccard")
     share = spark.sparkContext.broadcast
@@ -273,7 +299,7 @@ def jaccard_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     ends = lists.groupBy("key").agg(F.min("uid").alias("lo"), F.max("uid").alias("hi"), F.max("n").alias("n1"), F.max("pos").alias("p1"))
     ends = ends.filter("lo <> hi AND n1 > 0 AND p1 >= 0").select("key")
     shared = lists.join(ends.hint("shuffle_hash"), "key").groupBy("key", F.col("uid").alias("id")).agg(F.max("n").alias("n"), F.max("pos").alias("pos"))
-    postings = scratch.save(shared, "postings")
+    postings = scratch.save(_with_partners(scratch.save(shared, "shared"), threshold), "postings")
     rows = scratch.save(sets.select(id_col, "n_shingles", "uid"), "rows")
     scratch.drop(sets)
 
@@ -286,19 +312,26 @@ def jaccard_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     wanted = share(id_filter(postings.select("id").distinct()))
     whole = _whole_sets(docs, text_col, width, wanted)
     whole = scratch.save(whole.join(postings.select(F.col("id").alias("uid")).distinct(), "uid", "left_semi").dropDuplicates(["uid"]), "whole")
-    roots = link_groups(postings, ["n", "pos"], compatible, _verifier(whole), scratch)
+    roots = link_groups(postings, ["n", "pos"], compatible, _verifier(whole), scratch, central=["pos"])
     scratch.drop(postings, whole)
+    return rows, roots
+
+
+def _first_of_groups(rows: DataFrame, roots: DataFrame | None, place: F.Column) -> DataFrame:
+    """(uid, first): the least place of each set's group. Places are brought together by set and only then by group."""
+    sets = rows.filter("n_shingles > 0").groupBy("uid").agg(F.min(place).alias("first"))
     if roots is None:
-        return rows.withColumn("root", F.col("uid"))
-    return rows.join(roots.withColumnRenamed("id", "uid"), "uid", "left").select(id_col, "n_shingles", "uid", F.coalesce("root", "uid").alias("root"))
+        return sets
+    r = sets.join(roots.withColumnRenamed("id", "uid"), "uid", "left").withColumn("root", F.coalesce("root", "uid"))
+    return r.drop("first").join(r.groupBy("root").agg(F.min("first").alias("first")), "root").select("uid", "first")
 
 
 def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, threshold: int = THRESHOLD) -> DataFrame:
     """id, n_shingles and component_id of every row."""
-    rows = jaccard_groups(docs, id_col, text_col, width, threshold)
-    least = rows.filter("n_shingles > 0").groupBy(F.col("root").alias("_root")).agg(F.min(id_col).alias("_least"))
-    joined = rows.join(least, (F.col("root") == F.col("_root")) & (F.col("n_shingles") > 0), "left")
-    return joined.select(id_col, "n_shingles", F.when(F.col("n_shingles") > 0, F.col("_least")).otherwise(F.col(id_col)).alias("component_id"))
+    rows, roots = jaccard_groups(docs, id_col, text_col, width, threshold)
+    first = _first_of_groups(rows, roots, F.col(id_col))
+    joined = rows.join(first, "uid", "left")
+    return joined.select(id_col, "n_shingles", F.when(F.col("n_shingles") > 0, F.col("first")).otherwise(F.col(id_col)).alias("component_id"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -314,9 +347,9 @@ def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """
     scratch = Scratch(spark, "join-stage")
     keyed = docs.withColumn("_th", F.xxhash64("text"))
-    rows = scratch.save(jaccard_groups(docs.select(F.struct("doc_id", F.xxhash64("text").alias("th")).alias("key"), "text"), "key"), "groups")
+    rows, roots = jaccard_groups(docs.select(F.struct("doc_id", F.xxhash64("text").alias("th")).alias("key"), "text"), "key")
     place = F.struct(F.col("key.doc_id").isNull().alias("late"), "key.doc_id", "key.th")
-    first = rows.filter("n_shingles > 0").groupBy("root").agg(F.min(place).alias("first"))
-    gone = rows.filter("n_shingles > 0").join(first, "root").filter(~(F.col("key.doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("key.th") == F.col("first.th"))))
+    first = _first_of_groups(rows, roots, place)
+    gone = rows.filter("n_shingles > 0").join(first, "uid").filter(~(F.col("key.doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("key.th") == F.col("first.th"))))
     gone = gone.select(F.col("key.doc_id").alias("_id"), F.col("key.th").alias("_gone")).distinct()
     return keyed.join(scratch.save(gone, "gone"), F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_th") == F.col("_gone")), "left_anti").select(*docs.columns)
