@@ -103,7 +103,8 @@ def link_groups(
         return postings.join(m, "id", "left").withColumn("_root", F.coalesce("_r", "id")).drop("_r")
 
     for turn in range(star_rounds):
-        rows = rooted()
+        # Dealt by key once, for the leaders and for the rows that meet them.
+        rows = rooted().repartition("key")
         order = F.struct(*(central or []), "id") if turn == 0 else F.struct(F.xxhash64(F.lit(turn), "id"))
         leaders = rows.groupBy("key").agg(F.min_by(F.struct("id", "_root", *attributes), order).alias("lead"), F.min("_root").alias("_lo"), F.max("_root").alias("_hi"))
         leaders = leaders.filter("_lo <> _hi").select("key", "lead")
@@ -115,8 +116,11 @@ def link_groups(
         mapping = _compose(mapping, links, scratch)
         scratch.drop(links)
 
-    rows = rooted()
-    mixed = rows.groupBy("key").agg(F.min("_root").alias("_lo"), F.max("_root").alias("_hi")).filter("_lo <> _hi").select("key")
+    rows = rooted().repartition("key")
+    # All columns are named, so that one exchange serves both.
+    others = [F.max(c).alias(f"_m{i}") for i, c in enumerate(["id", *attributes])]
+    mixed = rows.groupBy("key").agg(F.min("_root").alias("_lo"), F.max("_root").alias("_hi"), *others)
+    mixed = mixed.filter(" AND ".join(["_lo <> _hi", *(f"_m{i} IS NOT NULL" for i in range(len(others)))])).select("key")
     mixed = scratch.save(rows.join(mixed, "key"), "mixed")
     left = mixed.select("key", F.struct("id", "_root", *attributes).alias("l"))
     right = mixed.select("key", F.struct("id", "_root", *attributes).alias("r"))

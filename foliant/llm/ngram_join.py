@@ -44,9 +44,8 @@ from foliant.llm.scratch import Scratch
 WIDTH = 5
 #: Jaccard threshold in hundredths.
 THRESHOLD = 80
-#: Counters for document frequencies: 2**20, four megabytes.
-COUNT_BITS = 20
-SALTS = 32
+#: Counters for frequencies: 2**21, eight megabytes.
+COUNT_BITS = 21
 #: Shingles of candidates that one local index holds.
 BLOCK_SHINGLES = 200_000
 #: DivideSkip's weight of a heap step against a binary search.
@@ -145,7 +144,7 @@ def document_frequencies(docs: DataFrame, text_col: str, width: int) -> np.ndarr
 
     parts = docs.select(text_col).mapInArrow(count, "part int, counts binary")
     out = np.zeros(1 << COUNT_BITS, dtype=np.int64)
-    # 64 rows of fixed size.
+    # 128 rows of fixed size.
     for r in _sum_parts(parts, piece).collect():
         out[r["part"] * piece : (r["part"] + 1) * piece] = np.frombuffer(r["counts"], dtype=np.int64)
     return out
@@ -221,69 +220,48 @@ def _whole_sets(docs: DataFrame, text_col: str, width: int, wanted) -> DataFrame
     return docs.select(text_col).mapInArrow(run, "uid bigint, shingles binary")
 
 
-def _search_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows in order (a, salt, lead first): candidates of each query are searched in blocks."""
-    query, owner, names, block, held = None, None, [], [], 0
-    out: list[tuple[int, int]] = []
-
-    def flush() -> None:
-        nonlocal held
-        held = 0
-        if block:
-            out.extend((owner[0], names[i]) for i in search(query, block))
-            names.clear()
-            block.clear()
-
-    for batch in batches:
-        for a, salt, b, raw in zip(*(batch.column(i).to_pylist() for i in range(3)), batch.column(3), strict=True):
-            tokens = np.frombuffer(raw.as_buffer(), dtype=np.uint64)
-            if b is None:
-                flush()
-                query, owner = tokens, (a, salt)
-            elif owner == (a, salt):
-                names.append(b)
-                block.append(tokens)
-                held += len(tokens)
-                if held > BLOCK_SHINGLES:
-                    flush()
-        flush_now = out[:]
-        out.clear()
-        if flush_now:
-            yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in flush_now], pa.int64()), pa.array([x[1] for x in flush_now], pa.int64())], ["a", "b"])
-    flush()
-    yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.int64())], ["a", "b"])
-
-
-def _among(sets: DataFrame, ids: DataFrame) -> DataFrame:
-    """Rows of sets whose uid may be among the ids: what a round does not need is not shuffled for it."""
-    wanted = sets.sparkSession.sparkContext.broadcast(id_filter(ids))
+def _search_groups(threshold: int):
+    """Rows (a, b, shingles of a, shingles of b): runs of one query are searched in blocks; linked pairs come out."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            yield b.filter(pa.array(wanted.value.test(b.column(0).to_numpy())))
+        query, owner, names, block, held = None, None, [], [], 0
+        for batch in batches:
+            out: list[tuple[int, int]] = []
+            for a, b, mine, other in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), batch.column(3), strict=True):
+                if block and (a != owner or held > BLOCK_SHINGLES):
+                    out += [(owner, names[i]) for i in search(query, block, threshold)]
+                    names, block, held = [], [], 0
+                if a != owner:
+                    owner, query = a, np.frombuffer(mine.as_buffer(), dtype=np.uint64).copy()
+                names.append(b)
+                block.append(np.frombuffer(other.as_buffer(), dtype=np.uint64).copy())
+                held += len(block[-1])
+            yield _pairs(out)
+        yield _pairs([(owner, names[i]) for i in search(query, block, threshold)] if block else [])
 
-    return sets.mapInArrow(run, sets.schema)
+    return run
 
 
-def _verifier(all_sets: DataFrame):
-    def verify(pairs: DataFrame) -> DataFrame:
-        sets = _among(all_sets, pairs.select("a").union(pairs.select("b")))
-        salted = pairs.withColumn("salt", F.pmod(F.xxhash64("b"), F.lit(SALTS)).cast("int"))
-        cand = salted.join(sets.withColumnRenamed("uid", "b"), "b").select("a", "salt", "b", "shingles")
-        lead = salted.select("a", "salt").distinct().join(sets.withColumnRenamed("uid", "a"), "a").select("a", "salt", F.lit(None).cast("bigint").alias("b"), "shingles")
-        rows = cand.unionByName(lead).repartition("a", "salt").sortWithinPartitions("a", "salt", F.col("b").asc_nulls_first())
-        return rows.mapInArrow(_search_groups, "a bigint, b bigint")
+def _pairs(rows: list[tuple[int, int]]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64())], ["a", "b"])
 
-    return verify
 
+def _verifier(docs: DataFrame, text_col: str, width: int, threshold: int, scratch: Scratch):
+    """Reads the texts once more for the sets that a round's pairs need, and searches them."""
+    held: list[DataFrame] = []
+
+    def verify(pairs: DataFrame) -> DataFrame:
+        scratch.drop(*held)
+        wanted = docs.sparkSession.sparkContext.broadcast(id_filter(pairs.select("a").union(pairs.select("b"))))
+        sets = scratch.save(_whole_sets(docs, text_col, width, wanted).dropDuplicates(["uid"]), "whole")
+        held[:] = [sets]
+        a = sets.select(F.col("uid").alias("a"), F.col("shingles").alias("sa"))
+        b = sets.select(F.col("uid").alias("b"), F.col("shingles").alias("sb"))
+        # Joined on the query last, its candidates arrive together; a hot query may be split.
+        wide = pairs.join(b, "b").join(a, "a").select("a", "b", "sa", "sb")
+        return wide.mapInArrow(_search_groups(threshold), "a bigint, b bigint")
 
-def _with_partners(postings: DataFrame, threshold: int) -> DataFrame:
-    """Postings whose list holds another of a size that can link: sizes within the ratio of the
-    threshold lie in the same or the next of classes that are a hundredth wider."""
-    size = F.floor(F.log("n") / F.log(F.lit(101 / threshold))).cast("int")
-    classed = postings.withColumn("_c", F.explode(F.array(size, size + 1)))
-    ends = classed.groupBy("key", "_c").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).filter("lo <> hi").select("key", "_c")
-    return classed.join(ends, ["key", "_c"], "left_semi").drop("_c").dropDuplicates(["key", "id"])
+    return verify
 
 
 def jaccard_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, threshold: int = THRESHOLD) -> tuple[DataFrame, DataFrame | None]:
@@ -291,15 +269,16 @@ def jaccard_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     spark = docs.sparkSession
     scratch = Scratch(spark, "jaccard")
     share = spark.sparkContext.broadcast
-    classes = share(frequency_class(document_frequencies(docs, text_col, width)))  # two megabytes
+    classes = share(frequency_class(document_frequencies(docs, text_col, width)))  # four megabytes
     sets = scratch.save(_sets(docs, id_col, text_col, width, threshold, classes), "sets")
 
-    # (key, uid, n, pos) of the short lists, dealt by key once; lists of one set are dropped.
+    # (key, uid, n, pos) of the short lists, dealt by key once.
     lists = sets.select("uid", F.col("n_shingles").cast("int").alias("n"), F.posexplode("prefix").alias("pos", "key")).repartition("key")
-    ends = lists.groupBy("key").agg(F.min("uid").alias("lo"), F.max("uid").alias("hi"), F.max("n").alias("n1"), F.max("pos").alias("p1"))
-    ends = ends.filter("lo <> hi AND n1 > 0 AND p1 >= 0").select("key")
+    ends = lists.groupBy("key").agg(*[f(c).alias(a) for f, c, a in ((F.min, "uid", "lo"), (F.max, "uid", "hi"), (F.min, "n", "n0"), (F.max, "n", "n1"), (F.max, "pos", "p1"))], F.count("*").alias("size"))
+    # Lists of one set, and of two of sizes that cannot link, are of no use.
+    ends = ends.filter("lo <> hi AND p1 >= 0").filter((F.col("size") > 2) | (100 * F.col("n0") >= threshold * F.col("n1"))).select("key")
     shared = lists.join(ends.hint("shuffle_hash"), "key").groupBy("key", F.col("uid").alias("id")).agg(F.max("n").alias("n"), F.max("pos").alias("pos"))
-    postings = scratch.save(_with_partners(scratch.save(shared, "shared"), threshold), "postings")
+    postings = scratch.save(shared, "postings")
     rows = scratch.save(sets.select(id_col, "n_shingles", "uid"), "rows")
     scratch.drop(sets)
 
@@ -309,11 +288,9 @@ def jaccard_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         hundred, t = F.lit(100).cast("bigint"), F.lit(threshold).cast("bigint")
         return (hundred * n >= t * m) & (hundred * m >= t * n) & (F.least(n - i, m - j) >= need)
 
-    wanted = share(id_filter(postings.select("id").distinct()))
-    whole = _whole_sets(docs, text_col, width, wanted)
-    whole = scratch.save(whole.join(postings.select(F.col("id").alias("uid")).distinct(), "uid", "left_semi").dropDuplicates(["uid"]), "whole")
-    roots = link_groups(postings, ["n", "pos"], compatible, _verifier(whole), scratch, central=["pos"])
-    scratch.drop(postings, whole)
+    verify = _verifier(docs, text_col, width, threshold, scratch)
+    roots = link_groups(postings, ["n", "pos"], compatible, verify, scratch, star_rounds=1, central=["pos"])
+    scratch.drop(postings)
     return rows, roots
 
 
