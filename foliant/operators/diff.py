@@ -65,7 +65,7 @@ def _walk_back(a: list[str], b: list[str], rounds: list[dict[int, int]]) -> list
     return out[::-1]
 
 
-def edit_scripts(pairs: DataFrame, keys: list[str], left: str = "text_a", right: str = "text_b", by_line: bool = False, limit: int | None = 4000) -> DataFrame:
+def edit_scripts(pairs: DataFrame, keys: list[str], left: str = "text_a", right: str = "text_b", by_line: bool = False, limit: int | None = 300) -> DataFrame:
     """(keys, pos, op, token, a, b): the script of every pair, one row a step.
 
     Pairs with equal texts are not compared. A pair that needs more than ``limit`` edits

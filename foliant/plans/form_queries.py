@@ -36,25 +36,25 @@ def form_export_fdf(spark: SparkSession, d: str) -> DataFrame:
     return forms.to_fdf(_values(spark, d), ["event_id"])
 
 
-@query("form_import_csv", _EVENT_FIELDS.replace("FROM events", "FROM events WHERE event_id % 5 = 0").replace("unnest([json_extract_string(props, '$.k'), ", "unnest([coalesce(json_extract_string(props, '$.k'), ''), "))
+@query("form_import_csv", _EVENT_FIELDS.replace("unnest([json_extract_string(props, '$.k'), ", "unnest([coalesce(json_extract_string(props, '$.k'), ''), "))
 def form_import_csv(spark: SparkSession, d: str) -> DataFrame:
     """A round trip: the export read again."""
-    csv = forms.to_csv(_values(spark, d).filter("event_id % 5 = 0"), ["event_id"])
+    csv = forms.to_csv(_values(spark, d), ["event_id"])
     return forms.fields(csv.withColumn("m", forms.from_csv(F.col("csv"))), ["event_id"], "m")
 
 
-@query("form_import_fdf", _EVENT_FIELDS.replace("FROM events", "FROM events WHERE event_id % 5 = 1").replace("unnest([json_extract_string(props, '$.k'), ", "unnest([coalesce(json_extract_string(props, '$.k'), ''), "))
+@query("form_import_fdf", _EVENT_FIELDS.replace("unnest([json_extract_string(props, '$.k'), ", "unnest([coalesce(json_extract_string(props, '$.k'), ''), "))
 def form_import_fdf(spark: SparkSession, d: str) -> DataFrame:
-    fdf = forms.to_fdf(_values(spark, d).filter("event_id % 5 = 1"), ["event_id"])
+    fdf = forms.to_fdf(_values(spark, d), ["event_id"])
     return forms.fields(fdf.withColumn("m", forms.from_fdf(F.col("fdf"))), ["event_id"], "m")
 
 
 @query("form_fill", f"""WITH v AS ({_EVENT_FIELDS}),
-f AS (SELECT event_id, unnest(['k', 'type', 'note', 'other']) AS name, unnest(['text', CASE WHEN user_id % 3 = 0 THEN 'radio' ELSE 'text' END, 'checkbox', 'text']) AS kind, 'old' AS value FROM events WHERE event_id % 2 = 0)
+f AS (SELECT event_id, unnest(['k', 'type', 'note', 'other']) AS name, unnest(['text', CASE WHEN user_id % 3 = 0 THEN 'radio' ELSE 'text' END, 'checkbox', 'text']) AS kind, 'old' AS value FROM events)
 SELECT f.event_id, f.name, kind, CASE WHEN v.name IS NULL OR kind = 'radio' THEN f.value WHEN kind = 'checkbox' THEN CASE WHEN lower(v.value) IN ('true', '1', 'yes', 'on') THEN 'true' ELSE 'false' END ELSE v.value END AS value,
        v.name IS NOT NULL AS read_only FROM f LEFT JOIN v ON f.event_id = v.event_id AND f.name = v.name""")
 def form_fill(spark: SparkSession, d: str) -> DataFrame:
-    e = table(spark, d, "events").filter("event_id % 2 = 0")
+    e = table(spark, d, "events")
     kinds = {"k": F.lit("text"), "type": F.when(F.col("user_id") % 3 == 0, "radio").otherwise("text"), "note": F.lit("checkbox"), "other": F.lit("text")}
     rows = F.array(*[F.struct(F.lit(n).alias("name"), k.alias("kind"), F.lit("old").alias("value")) for n, k in kinds.items()])
     form = e.select("event_id", F.explode(rows).alias("f")).select("event_id", "f.*")
@@ -62,10 +62,10 @@ def form_fill(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("form_flatten", """SELECT doc_id, page_no, x, y, text FROM (
-SELECT event_id AS doc_id, 0 AS page_no, 1.0::DOUBLE AS x, 2.0::DOUBLE AS y, 'label' AS text FROM events WHERE event_id % 3 = 0
-UNION ALL SELECT event_id, 0, value, 3.0::DOUBLE, event_type FROM events WHERE event_id % 3 = 0 AND event_type <> 'error')""")
+SELECT event_id AS doc_id, 0 AS page_no, 1.0::DOUBLE AS x, 2.0::DOUBLE AS y, 'label' AS text FROM events
+UNION ALL SELECT event_id, 0, value, 3.0::DOUBLE, event_type FROM events WHERE event_type <> 'error')""")
 def form_flatten(spark: SparkSession, d: str) -> DataFrame:
-    e = table(spark, d, "events").filter("event_id % 3 = 0").select(F.col("event_id").alias("doc_id"), F.lit(0).alias("page_no"), F.col("value").alias("x"), F.lit(3.0).alias("y"), "event_type")
+    e = table(spark, d, "events").select(F.col("event_id").alias("doc_id"), F.lit(0).alias("page_no"), F.col("value").alias("x"), F.lit(3.0).alias("y"), "event_type")
     form = e.select("doc_id", "page_no", "x", "y", F.when(F.col("event_type") != "error", F.col("event_type")).otherwise("").alias("value"))
     texts = e.select("doc_id", "page_no", F.lit(1.0).alias("x"), F.lit(2.0).alias("y"), F.lit("label").alias("text"))
     return forms.flatten(form, texts)

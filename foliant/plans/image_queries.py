@@ -138,41 +138,38 @@ def image_placements(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "events").select("event_id", p["w"].alias("w"), p["h"].alias("h"), b["x"].alias("x"))
 
 
-_SMALL = "doc_id % 4 = 0"
-
-
-@query("export_text", f"""{WORDS}, g AS (SELECT *, y - lag(y) OVER (PARTITION BY doc_id, page_no ORDER BY seq) AS dy FROM words WHERE {_SMALL}),
+@query("export_text", f"""{WORDS}, g AS (SELECT *, y - lag(y) OVER (PARTITION BY doc_id, page_no ORDER BY seq) AS dy FROM words),
 p AS (SELECT doc_id, page_no, string_agg(CASE WHEN dy IS NULL THEN '' WHEN abs(dy) > 12 * 0.8 THEN chr(10) ELSE ' ' END || text, '' ORDER BY seq) || chr(10) || chr(10) AS t FROM g GROUP BY 1, 2)
 SELECT doc_id, sha256(string_agg(t, '' ORDER BY page_no)) AS text_sha256 FROM p GROUP BY doc_id""")
 def export_text(spark: SparkSession, d: str) -> DataFrame:
-    e = words_of(spark, d).filter(_SMALL).withColumn("font_size", F.lit(12.0))
+    e = words_of(spark, d).withColumn("font_size", F.lit(12.0))
     return documents.to_text(e, ["doc_id"]).select("doc_id", F.sha2("text", 256).alias("text_sha256"))
 
 
-@query("export_csv", f"""{WORDS}, r AS (SELECT doc_id, page_no, y, string_agg('"' || replace(text, '"', '""') || '"', ',' ORDER BY x, seq) AS l FROM words WHERE {_SMALL} GROUP BY 1, 2, 3)
+@query("export_csv", f"""{WORDS}, r AS (SELECT doc_id, page_no, y, string_agg('"' || replace(text, '"', '""') || '"', ',' ORDER BY x, seq) AS l FROM words GROUP BY 1, 2, 3)
 SELECT doc_id, sha256(string_agg(l, chr(10) ORDER BY page_no, y) || chr(10)) AS csv_sha256 FROM r GROUP BY doc_id""")
 def export_csv(spark: SparkSession, d: str) -> DataFrame:
-    e = words_of(spark, d).filter(_SMALL).withColumn("font_size", F.lit(12.0))
+    e = words_of(spark, d).withColumn("font_size", F.lit(12.0))
     return documents.to_csv(e, ["doc_id"]).select("doc_id", F.sha2("csv", 256).alias("csv_sha256"))
 
 
-@query("export_html", f"""{WORDS}, h AS (SELECT doc_id, page_no, seq, '<div style="position:absolute;left:' || CAST(x AS BIGINT) || 'pt;top:' || CAST(792 - y - 12 AS BIGINT) || 'pt;font-size:12pt">' || replace(replace(replace(replace(text, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;') || '</div>' AS e FROM words WHERE {_SMALL}),
+@query("export_html", f"""{WORDS}, h AS (SELECT doc_id, page_no, seq, '<div style="position:absolute;left:' || CAST(x AS BIGINT) || 'pt;top:' || CAST(792 - y - 12 AS BIGINT) || 'pt;font-size:12pt">' || replace(replace(replace(replace(text, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;') || '</div>' AS e FROM words),
 p AS (SELECT doc_id, page_no, '<div class="page">' || chr(10) || string_agg(e, chr(10) ORDER BY seq) || chr(10) || '</div>' || chr(10) AS t FROM h GROUP BY 1, 2)
 SELECT doc_id, sha256('<!DOCTYPE html>' || chr(10) || '<html><body>' || chr(10) || string_agg(t, '' ORDER BY page_no) || '</body></html>' || chr(10)) AS html_sha256 FROM p GROUP BY doc_id""")
 def export_html(spark: SparkSession, d: str) -> DataFrame:
-    e = words_of(spark, d).filter(_SMALL).withColumn("font_size", F.lit(12.0))
+    e = words_of(spark, d).withColumn("font_size", F.lit(12.0))
     return documents.to_html(e, ["doc_id"]).select("doc_id", F.sha2("html", 256).alias("html_sha256"))
 
 
-@query("slide_boxes", f"""{WORDS} SELECT doc_id, seq, CAST(x * 12700 AS BIGINT) AS x, greatest(CAST(trunc((500 - y - 12) * 12700) AS BIGINT), 0) AS y, greatest(CAST(w * 12700 AS BIGINT), 1) AS w, 1200 AS size FROM words WHERE {_SMALL} AND line_no_ok""".replace(" AND line_no_ok", ""))
+@query("slide_boxes", f"""{WORDS} SELECT doc_id, seq, CAST(x * 12700 AS BIGINT) AS x, greatest(CAST(trunc((500 - y - 12) * 12700) AS BIGINT), 0) AS y, greatest(CAST(w * 12700 AS BIGINT), 1) AS w, 1200 AS size FROM words""")
 def slide_boxes(spark: SparkSession, d: str) -> DataFrame:
-    e = words_of(spark, d).filter(_SMALL).withColumn("font_size", F.lit(12.0))
+    e = words_of(spark, d).withColumn("font_size", F.lit(12.0))
     return documents.slide_boxes(e, 500.0).select("doc_id", "seq", "x", "y", "w", "size")
 
 
-@query("element_order", f"""{WORDS}, f AS (SELECT doc_id, page_no, seq, x, 400 - y AS y FROM words WHERE {_SMALL}), l AS (SELECT *, lag(y) OVER (PARTITION BY doc_id, page_no ORDER BY y DESC, x, seq) AS y0 FROM f),
+@query("element_order", f"""{WORDS}, f AS (SELECT doc_id, page_no, seq, x, 400 - y AS y FROM words), l AS (SELECT *, lag(y) OVER (PARTITION BY doc_id, page_no ORDER BY y DESC, x, seq) AS y0 FROM f),
 b AS (SELECT *, sum(CASE WHEN y0 - y >= 6 THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id, page_no ORDER BY y DESC, x, seq) AS line FROM l)
 SELECT doc_id, page_no, seq, CAST(row_number() OVER (PARTITION BY doc_id, page_no ORDER BY line, x, seq) - 1 AS INTEGER) AS place FROM b""")
 def element_order(spark: SparkSession, d: str) -> DataFrame:
-    e = words_of(spark, d).filter(_SMALL).withColumn("y", 400 - F.col("y")).withColumn("font_size", F.lit(12.0))
+    e = words_of(spark, d).withColumn("y", 400 - F.col("y")).withColumn("font_size", F.lit(12.0))
     return documents.sort_elements(e, ["doc_id", "page_no"]).select("doc_id", "page_no", "seq", "place")

@@ -247,10 +247,10 @@ def document_metadata(spark: SparkSession, d: str) -> DataFrame:
     return records.metadata(t, ["doc_id"]).select("doc_id", "title", "keywords")
 
 
-@query("character_cells", "SELECT doc_id, length(text) AS n, (length(text) - 1) * 6.0::DOUBLE AS last_x FROM documents WHERE length(text) BETWEEN 1 AND 3000")
+@query("character_cells", "SELECT doc_id, length(text) AS n, CASE WHEN length(text) > 0 THEN (length(text) - 1) * 6.0::DOUBLE END AS last_x FROM documents WHERE text IS NOT NULL")
 def character_cells(spark: SparkSession, d: str) -> DataFrame:
-    t = table(spark, d, "documents").filter("length(text) BETWEEN 1 AND 3000").select("doc_id", records.characters(F.col("text")).alias("c"))
-    return t.select("doc_id", F.size("c").cast("bigint").alias("n"), F.element_at("c", -1)["x"].alias("last_x"))
+    t = table(spark, d, "documents").filter("text IS NOT NULL").select("doc_id", records.characters(F.col("text")).alias("c"))
+    return t.select("doc_id", F.size("c").cast("bigint").alias("n"), F.try_element_at("c", F.lit(-1))["x"].alias("last_x"))
 
 
 @query("embedded_files", """WITH RECURSIVE t AS (SELECT conv_id, turn, role AS name FROM conversations WHERE turn = 0 UNION ALL SELECT c.conv_id, c.turn, c.role FROM conversations c JOIN t ON c.conv_id = t.conv_id AND c.turn = t.turn + 1)
