@@ -1,11 +1,12 @@
 """Line dedup: of every group of equal or nearly equal lines one occurrence stays.
 
 Lines are normalised (words of ASCII letters, digits and everything beyond ASCII, lower-cased,
-joined by single spaces). Equal normalised lines are one node. A 64-bit SimHash over the
-words of a line, leaving out the shortest ones where others are left, is cut into four
-blocks; lines that agree in two of the four are candidates, which holds for any two within
-two bits of each other and for many further apart, if they differ in ``MOST_BITS`` at most.
-Two blocks are 32 bits, so that unrelated lines seldom meet whatever the corpus. Candidates
+joined by single spaces). Equal normalised lines are one node. Lines meet by MinHash over
+their words: ``TABLES`` keys of ``ROWS`` minima each, short words being picked less often, as
+they tell lines apart less; lines of one equal key are candidates if their lengths let them
+pass. Of two lines that share a part s of their words, 1 - (1 - s ** ROWS) ** TABLES meet:
+nearly all where one word in ten was changed, nine tenths where two in ten were. Edits inside
+most of the words may pass the threshold and yet leave too few words to meet. Candidates
 are verified by edit similarity, 1 - distance / length of the longer, over the normalised
 characters. Connected groups keep their first occurrence, by doc_id and line number; the
 other lines are removed and the text is put together again.
@@ -22,7 +23,6 @@ copies; an empty table gives an empty result; extra columns pass through ``line_
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -36,12 +36,14 @@ from foliant.llm.scratch import Scratch
 MIN_WORDS = 5
 #: Edit similarity in hundredths.
 SIMILARITY = 80
-#: Bit ranges of the blocks, how many must agree, and how many bits may differ in all.
-BLOCKS = [(0, 16), (16, 32), (32, 48), (48, 64)]
-AGREE = 2
-MOST_BITS = 14
-#: Words of at most so many bytes count only in lines that have no others.
+#: Keys of a line, two to a column, and minima of words in a key.
+TABLES = 10
+ROWS = 4
+#: Words of at most so many bytes are picked less often, by so many powers of two.
 SHORT_WORD = 3
+SHORT_SHIFT = 4
+_MINIMA = X.mix(np.arange(1, TABLES * ROWS + 1, dtype=np.uint64)) | np.uint64(1)
+_KEYS = [f"k{i}" for i in range(TABLES // 2)]
 
 
 def _lanes() -> np.ndarray:
@@ -54,7 +56,10 @@ _LANES = _lanes()
 
 
 def simhashes(h: np.ndarray, bounds: np.ndarray) -> np.ndarray:
-    """Signs of the bitwise sums of h[bounds[i]:bounds[i+1]], as 64-bit numbers; an even split gives 0."""
+    """Signs of the bitwise sums of h[bounds[i]:bounds[i+1]], as 64-bit numbers; an even split gives 0.
+
+    Not on the query's path, as two of its tables meet too few near copies.
+    """
     n = len(bounds) - 1
     out = np.zeros(n, dtype=np.uint64)
     if len(h) == 0:
@@ -112,23 +117,36 @@ def _line_hashes(wh: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     return X.mix(X.sums(mixed, bounds) + counts.astype(np.uint64)).view(np.int64)
 
 
+def min_keys(h: np.ndarray, short: np.ndarray, bounds: np.ndarray) -> list[np.ndarray]:
+    """Columns of two 32-bit keys each for h[bounds[i]:bounds[i+1]], none of which is empty."""
+    if len(bounds) < 2:
+        return [np.zeros(0, dtype=np.int64) for _ in _KEYS]
+    shift = np.where(short, np.uint64(0), np.uint64(SHORT_SHIFT))
+    keys = []
+    for table in _MINIMA.reshape(TABLES, ROWS):
+        key = np.zeros(len(bounds) - 1, dtype=np.uint64)
+        for m in table:
+            key = X.mix(key ^ np.minimum.reduceat((h * m) >> shift, bounds[:-1]))
+        keys.append(key >> np.uint64(32))
+    return [((keys[2 * i] << np.uint64(32)) | keys[2 * i + 1]).view(np.int64) for i in range(len(_KEYS))]
+
+
 def _occurrences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Lines long enough to be removed: id, hash of the text, line number, hash and SimHash of the line."""
+    """Lines long enough to be removed: id, hash of the text, line number, hash, length in characters and keys of the line."""
     for b in batches:
         for c in X.chunks(b.column(2)):
             w, wh, owner, number, bounds = _lines(c)
-            take = np.diff(bounds) >= MIN_WORDS
-            line = np.repeat(np.arange(len(owner)), np.diff(bounds))
+            counts = np.diff(bounds)
+            take = counts >= MIN_WORDS
             lh = _line_hashes(wh, bounds)
-            weighty = (w.end - w.start > SHORT_WORD) & take[line]
-            lacking = np.bincount(line[weighty], minlength=len(owner)) == 0
-            weighty |= take[line] & lacking[line]
-            sizes = np.bincount(line[weighty], minlength=len(owner))
-            sim = simhashes(wh[weighty], np.concatenate([[0], np.cumsum(sizes)])).view(np.int64)
+            firsts = np.concatenate([[0], np.cumsum((c.data & 0xC0) != 0x80)])
+            chars = X.sums(firsts[w.end] - firsts[w.start], bounds) + counts - 1
+            inside = np.repeat(take, counts)
+            keys = min_keys(wh[inside], (w.end - w.start <= SHORT_WORD)[inside], np.concatenate([[0], np.cumsum(counts[take])]))
             rows = pa.array(owner[take] + c.first)
             yield pa.RecordBatch.from_arrays(
-                [b.column(0).take(rows), b.column(1).take(rows), pa.array(number[take].astype(np.int32)), pa.array(lh[take]), pa.array(sim[take])],
-                ["id", "th", "line", "lh", "sim"],
+                [b.column(0).take(rows), b.column(1).take(rows), pa.array(number[take].astype(np.int32)), pa.array(lh[take]), pa.array(chars[take].astype(np.int32)), *map(pa.array, keys)],
+                ["id", "th", "line", "lh", "chars", *_KEYS],
             )
 
 
@@ -219,16 +237,11 @@ def _verified(similarity: int):
     return run
 
 
-def _keys(sim: Column) -> Column:
-    """One key for each pair of blocks: its number in the upper bits and the blocks' bits below."""
-    block = [F.shiftrightunsigned(sim, lo).bitwiseAND(F.lit((1 << (hi - lo)) - 1)) for lo, hi in BLOCKS]
-    keys = []
-    for i, pair in enumerate(combinations(range(len(BLOCKS)), AGREE)):
-        key = F.lit(i).cast("bigint")
-        for k in pair:
-            key = F.shiftleft(key, BLOCKS[k][1] - BLOCKS[k][0]).bitwiseOR(block[k])
-        keys.append(key)
-    return F.array(*keys)
+def _keys() -> Column:
+    """The keys of a line, each with its number in the upper bits."""
+    low = F.lit((1 << 32) - 1)
+    halves = [half for k in _KEYS for half in (F.shiftrightunsigned(k, 32), F.col(k).bitwiseAND(low))]
+    return F.array(*[half.bitwiseOR(F.lit(i << 32)) for i, half in enumerate(halves)])
 
 
 def _similar(texts: DataFrame, similarity: int):
@@ -247,12 +260,12 @@ def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     scratch = Scratch(spark, "lines")
     kind = docs.schema[id_col].dataType.simpleString()
     source = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("th"), text_col)
-    occ = scratch.save(source.mapInArrow(_occurrences, f"id {kind}, th bigint, line int, lh bigint, sim bigint"), "occurrences")
+    occ = scratch.save(source.mapInArrow(_occurrences, f"id {kind}, th bigint, line int, lh bigint, chars int, {', '.join(f'{k} bigint' for k in _KEYS)}"), "occurrences")
 
     place = F.struct(F.col("id").isNull().alias("late"), "id", "th", "line")
-    lines = scratch.save(occ.groupBy("lh").agg(F.min(place).alias("first"), F.max("sim").alias("sim"), F.count("*").alias("n")), "lines")
-    posted = lines.select(F.col("lh").alias("id"), "sim", F.explode(_keys(F.col("sim"))).alias("key")).repartition("key")
-    ends = posted.groupBy("key").agg(F.min("id").alias("lo"), F.max("id").alias("hi"), F.max("sim").alias("s1")).filter("lo <> hi AND s1 IS NOT NULL").select("key")
+    lines = scratch.save(occ.groupBy("lh").agg(F.min(place).alias("first"), *[F.max(c).alias(c) for c in ("chars", *_KEYS)], F.count("*").alias("n")), "lines")
+    posted = lines.select(F.col("lh").alias("id"), "chars", F.explode(_keys()).alias("key")).repartition("key")
+    ends = posted.groupBy("key").agg(F.min("id").alias("lo"), F.max("id").alias("hi"), F.max("chars").alias("longest")).filter("lo <> hi AND longest IS NOT NULL").select("key")
     postings = scratch.save(posted.join(ends.hint("shuffle_hash"), "key"), "postings")
 
     asked = postings.select(F.col("id").alias("lh")).distinct()
@@ -260,7 +273,9 @@ def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     wanted = spark.sparkContext.broadcast(id_filter(first.mapInArrow(_line_keys, "key bigint")))
     texts = docs.select(F.xxhash64(text_col).alias("th"), text_col).mapInArrow(_normalised(wanted), "lh bigint, norm string")
     texts = scratch.save(texts.join(asked, "lh", "left_semi").dropDuplicates(["lh"]), "texts")
-    roots = link_groups(postings, ["sim"], lambda left, right: F.bit_count(left("sim").bitwiseXOR(right("sim"))) <= MOST_BITS, _similar(texts, similarity), scratch)
+    # No two lines whose lengths differ by more can be similar enough.
+    fit = lambda left, right: 100 * F.abs(left("chars") - right("chars")) <= (100 - similarity) * F.greatest(left("chars"), right("chars"))
+    roots = link_groups(postings, ["chars"], fit, _similar(texts, similarity), scratch)
     scratch.drop(postings, texts)
 
     # Lines of one text that occurs more than once, and lines of groups; the first occurrence of each group stays.

@@ -170,6 +170,32 @@ def test_line_dedup_on_tables(spark):
     assert kept
 
 
+def _line_pairs(kept, seed):
+    """Lines with a copy each, at least ``kept`` of whose edit similarity is left after words were replaced, added or dropped."""
+    rnd = random.Random(seed)
+    word = lambda: "".join(rnd.choice("abcdefghijklmnop") for _ in range(rnd.randrange(1, 10)))
+    out = []
+    while len(out) < 200:
+        n = rnd.choice([6, 10, 15, 20, 30])
+        a = [word() for _ in range(n)]
+        b = list(a)
+        for _ in range(rnd.randrange(1, max(n // 8, 1) + 1)):
+            at = rnd.randrange(len(b))
+            b[at : at + 1] = rnd.choice([[word()], [], [b[at], word()]])
+        a, b = " ".join(a), " ".join(b)
+        if a != b and len(b.split()) >= line_dedup.MIN_WORDS and 100 * distance(a, b) <= (100 - kept) * max(len(a), len(b)):
+            out.append((a, b))
+    return out
+
+
+def test_line_dedup_finds_near_copies(spark):
+    """Against the edit similarity of all pairs: nearly all copies with changed words are found, and nothing else goes."""
+    pairs = _line_pairs(80, 4)
+    rows = {r.doc_id: r._removed for r in line_dedup.line_dedup(docs(spark, [x for p in pairs for x in p])).collect()}
+    assert all(rows[i] == [] for i in range(0, 400, 2))
+    assert sum(rows[i] == [0] for i in range(1, 400, 2)) >= 190
+
+
 # neighbours
 
 
