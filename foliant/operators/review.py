@@ -55,16 +55,23 @@ def replies(comments: DataFrame) -> DataFrame:
     return comments.select("id").distinct().join(kids, "id", "left").withColumn("replies", F.coalesce("replies", F.array().cast("array<string>")))
 
 
-def thread_depths(comments: DataFrame, limit: int = 64) -> DataFrame:
-    """(id, root, depth) by level-wise joins, to a depth limit against cycles."""
-    level = comments.filter("parent_id IS NULL").select("id", F.col("id").alias("root"), F.lit(0).alias("depth"))
-    out = level
-    for depth in range(1, limit):
-        level = comments.join(level.select(F.col("id").alias("parent_id"), "root"), "parent_id").select("id", "root", F.lit(depth).alias("depth"))
-        if level.isEmpty():
-            break
-        out = out.union(level)
-    return out
+def thread_depths(comments: DataFrame) -> DataFrame:
+    """(id, root, depth) of every comment under a root, however deep: each round doubles the depth that is resolved.
+
+    ``up`` leads from an id to its ancestor ``reach`` levels above. A cycle of unique ids never meets a
+    root, so that no round finds anything of it.
+    """
+    out = comments.filter("parent_id IS NULL").select("id", F.col("id").alias("root"), F.lit(0).alias("depth"))
+    up = comments.filter("parent_id IS NOT NULL").select("id", F.col("parent_id").alias("above")).localCheckpoint()
+    reach = 1
+    while True:
+        known = out.select(F.col("id").alias("above"), "root", "depth")
+        found = up.join(known, "above").select("id", "root", (F.col("depth") + reach).alias("depth")).localCheckpoint()
+        if found.isEmpty():
+            return out
+        out = out.union(found)
+        up = up.join(up.select(F.col("id").alias("above"), F.col("above").alias("next")), "above").select("id", F.col("next").alias("above")).localCheckpoint()
+        reach *= 2
 
 
 def to_json(annotations: DataFrame) -> Column:

@@ -62,6 +62,12 @@ def test_batch_goes_on(spark):
     assert rows == {"good": (True, None), "bad": (False, "RuntimeError: no"), "good2": (True, None)}
 
 
+def test_thread_depths_have_no_cap(spark):
+    rows = [(f"c{i}", f"c{i - 1}" if i else None) for i in range(150)] + [("r", None), ("s", "r"), ("x", "y"), ("y", "x"), ("z", "x"), ("lost", "gone")]
+    got = {r.id: (r.root, r.depth) for r in review.thread_depths(spark.createDataFrame(rows, "id string, parent_id string")).collect()}
+    assert got == {f"c{i}": ("c0", i) for i in range(150)} | {"r": ("r", 0), "s": ("r", 1)}
+
+
 def test_page_content(spark, tmp_path):
     stream = b"BT /F1 12 Tf 1 0 0 1 72 700 Tm (Hello \\(World\\)) Tj 0 -14 Td [(Ke) -20 (rn) -250 (ed)] TJ ET"
     import zlib
