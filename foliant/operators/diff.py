@@ -5,54 +5,82 @@ Scripts come from an Arrow-batched function, one pair at a time; everything afte
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 _STEP = pa.struct([("op", pa.string()), ("token", pa.string()), ("a", pa.int32()), ("b", pa.int32())])
+#: One round of so many is kept.
+_STRIDE = 128
+
+
+def _round(a: np.ndarray, b: np.ndarray, before: np.ndarray | None, d: int) -> np.ndarray:
+    """The furthest places in a after d edits on diagonals -d, -d + 2 .. d; a and b end with marks that equal nothing."""
+    n, m = len(a) - 1, len(b) - 1
+    if before is None:
+        x = np.zeros(1, dtype=np.int32)
+    else:
+        x = np.empty(d + 1, dtype=np.int32)
+        x[0], x[d] = before[0], before[-1] + 1
+        x[1:d] = np.where(before[:-1] < before[1:], before[1:], before[:-1] + 1)
+    y = x - np.arange(-d, d + 1, 2, dtype=np.int32)
+    at = np.arange(d + 1)
+    while len(at):
+        at = at[a[np.minimum(x[at], n)] == b[np.minimum(y[at], m)]]
+        x[at] += 1
+        y[at] += 1
+    return x
 
 
 def edit_script(a: list[str], b: list[str], limit: int | None = None) -> list[tuple[str, str, int | None, int | None]] | None:
     """A shortest script of (op, token, place in a, place in b), op being keep, delete or insert.
 
-    The furthest points of each round are kept for the diagonals it touched only. Of two ways
-    to a diagonal the one that reaches further is taken, a deletion on ties. None if more
-    than ``limit`` edits are needed.
+    Of two ways to a diagonal the one that reaches further is taken, a deletion on ties. None if
+    more than ``limit`` edits are needed. Of the furthest places one round in ``_STRIDE`` is kept,
+    and the rounds between two are made again on the way back, so that long scripts stay small.
     """
     n, m = len(a), len(b)
-    rounds: list[dict[int, int]] = []
-    reach = {1: 0}
+    number: dict[str, int] = {}
+    x = np.array([number.setdefault(t, len(number)) for t in a] + [-1], dtype=np.int32)
+    y = np.array([number.setdefault(t, len(number)) for t in b] + [-2], dtype=np.int32)
+    kept: list[np.ndarray] = []
+    now = None
     for d in range(n + m + 1):
         if limit is not None and d > limit:
             return None
-        now: dict[int, int] = {}
-        for k in range(-d, d + 1, 2):
-            down = k == -d or (k != d and reach[k - 1] < reach[k + 1])
-            x = reach[k + 1] if down else reach[k - 1] + 1
-            while x < n and x - k < m and a[x] == b[x - k]:
-                x += 1
-            now[k] = x
-            if x >= n and x - k >= m:
-                rounds.append(now)
-                return _walk_back(a, b, rounds)
-        rounds.append(now)
-        reach = {**reach, **now}
-    return []
-
-
-def _walk_back(a: list[str], b: list[str], rounds: list[dict[int, int]]) -> list[tuple[str, str, int | None, int | None]]:
+        now = _round(x, y, now, d)
+        if d % _STRIDE == 0:
+            kept.append(now)
+        # The diagonal of both ends.
+        if abs(n - m) <= d and (d + n - m) % 2 == 0 and now[(d + n - m) // 2] >= n:
+            break
+
+    def rounds(last: int) -> list[np.ndarray]:
+        first = last // _STRIDE * _STRIDE
+        out = [kept[first // _STRIDE]]
+        for r in range(first + 1, last + 1):
+            out.append(_round(x, y, out[-1], r))
+        return out
+
+    return _walk_back(a, b, d, rounds)
+
+
+def _walk_back(a: list[str], b: list[str], edits: int, rounds: Callable[[int], list[np.ndarray]]) -> list[tuple[str, str, int | None, int | None]]:
     out: list[tuple[str, str, int | None, int | None]] = []
     x, y = len(a), len(b)
-    for d in range(len(rounds) - 1, -1, -1):
+    ready: list[np.ndarray] = []
+    for d in range(edits, -1, -1):
         k = x - y
         if d == 0:
             px, py = 0, 0
         else:
-            before = rounds[d - 1]
-            inserted = k == -d or (k != d and before[k - 1] < before[k + 1])
-            px = before[k + 1] if inserted else before[k - 1]
+            ready = ready or rounds(d - 1)
+            before, i = ready.pop(), (k + d) // 2
+            inserted = k == -d or (k != d and before[i - 1] < before[i])
+            px = int(before[i] if inserted else before[i - 1])
             py = px - (k + 1 if inserted else k - 1)
         # Kept tokens after the edit, from the end.
         stop_x, stop_y = (px, py) if d == 0 else (px, py + 1) if inserted else (px + 1, py)
@@ -65,20 +93,17 @@ def _walk_back(a: list[str], b: list[str], rounds: list[dict[int, int]]) -> list
     return out[::-1]
 
 
-def edit_scripts(pairs: DataFrame, keys: list[str], left: str = "text_a", right: str = "text_b", by_line: bool = False, limit: int | None = 300) -> DataFrame:
+def edit_scripts(pairs: DataFrame, keys: list[str], left: str = "text_a", right: str = "text_b", by_line: bool = False) -> DataFrame:
     """(keys, pos, op, token, a, b): the script of every pair, one row a step.
 
-    Pairs with equal texts are not compared. A pair that needs more than ``limit`` edits
-    of words is compared by lines, which is exact at that grain, so that memory stays bounded.
+    Pairs with equal texts are not compared. Tokens are words, whatever the size of a pair, or lines with ``by_line``.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
                 ta, tb = (batch.column(len(keys) + c)[i].as_py() or "" for c in (0, 1))
-                script = None if by_line else edit_script(ta.split(), tb.split(), limit)
-                if script is None:
-                    script = edit_script(ta.split("\n"), tb.split("\n"))
+                script = edit_script(ta.split("\n"), tb.split("\n")) if by_line else edit_script(ta.split(), tb.split())
                 rows = [{"op": o, "token": t, "a": p, "b": q} for o, t, p, q in script]
                 yield pa.RecordBatch.from_arrays([*(batch.column(c).slice(i, 1) for c in range(len(keys))), pa.array([rows], pa.list_(_STEP))], [*keys, "script"])
 

@@ -96,3 +96,12 @@ def test_moves(spark):
     assert diff.residual(script, ["pair"]).count() == 0
     s = diff.summary(script, ["pair"]).collect()
     assert [(r.pair, r.added, r.removed, r.moved) for r in s] == [(1, 0, 0, 1)]
+
+
+def test_long_scripts_are_of_words_too(spark):
+    a = [f"a{i}" for i in range(450)]
+    b = [w + "x" if i % 2 else w for i, w in enumerate(a)]
+    pairs = spark.createDataFrame([(1, " ".join(a), " ".join(b))], "pair long, text_a string, text_b string")
+    rows = sorted(diff.edit_scripts(pairs, ["pair"]).collect(), key=lambda r: r.pos)
+    assert [r.token for r in rows if r.op != "insert"] == a and [r.token for r in rows if r.op != "delete"] == b
+    assert diff.summary(diff.edit_scripts(pairs, ["pair"]), ["pair"]).first().added == 225
