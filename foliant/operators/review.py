@@ -61,16 +61,18 @@ def thread_depths(comments: DataFrame) -> DataFrame:
     ``up`` leads from an id to its ancestor ``reach`` levels above. A cycle of unique ids never meets a
     root, so that no round finds anything of it.
     """
+    shared = comments.sparkSession.sparkContext.getCheckpointDir() is not None
+    kept = lambda df: df.checkpoint() if shared else df.localCheckpoint()
     out = comments.filter("parent_id IS NULL").select("id", F.col("id").alias("root"), F.lit(0).alias("depth"))
-    up = comments.filter("parent_id IS NOT NULL").select("id", F.col("parent_id").alias("above")).localCheckpoint()
+    up = kept(comments.filter("parent_id IS NOT NULL").select("id", F.col("parent_id").alias("above")))
     reach = 1
     while True:
         known = out.select(F.col("id").alias("above"), "root", "depth")
-        found = up.join(known, "above").select("id", "root", (F.col("depth") + reach).alias("depth")).localCheckpoint()
+        found = kept(up.join(known, "above").select("id", "root", (F.col("depth") + reach).alias("depth")))
         if found.isEmpty():
             return out
         out = out.union(found)
-        up = up.join(up.select(F.col("id").alias("above"), F.col("above").alias("next")), "above").select("id", F.col("next").alias("above")).localCheckpoint()
+        up = kept(up.join(up.select(F.col("id").alias("above"), F.col("above").alias("next")), "above").select("id", F.col("next").alias("above")))
         reach *= 2
 
 
