@@ -14,9 +14,10 @@ the paths, all as joins; no links or labels reach the driver.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -26,6 +27,54 @@ from foliant.llm.scratch import Scratch
 Verify = Callable[[DataFrame], DataFrame]
 
 
+#: A key is hot if more than one in so many rows has it, so that there are never more hot keys than this.
+HOT_SHARE = 1000
+#: Rows of one key that one task pairs with the others.
+BLOCK_ROWS = 1000
+
+
+def join_counted(rows: DataFrame, counted: DataFrame, key: str) -> DataFrame:
+    """rows joined with counted (key once, _n: how many rows have it, ...), without any task that gathers a hot key.
+
+    The at most ``HOT_SHARE`` hot keys are broadcast to where their rows lie; the others are shuffled.
+    """
+    total, most = counted.agg(F.sum("_n"), F.max("_n")).first()
+    if total is None or most * HOT_SHARE <= total:
+        return rows.join(counted, key)
+    hot = F.col("_n") * HOT_SHARE > total
+    few = F.broadcast(counted.filter(hot))
+    near = rows.join(few, key)
+    return near.unionByName(rows.join(few.select(key), key, "left_anti").join(counted.filter(~hot), key))
+
+
+def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows sorted by their first column: those that have it in common with a neighbour, and the two ends."""
+    held, wanted = None, True
+    for b in batches:
+        if not b.num_rows:
+            continue
+        rows = b if held is None else pa.Table.from_batches([held, b]).combine_chunks().to_batches()[0]
+        key = rows.column(0).to_numpy()
+        keep = np.zeros(len(key), dtype=bool)
+        keep[1:] = key[1:] == key[:-1]
+        keep[:-1] |= keep[1:]
+        keep[0] |= wanted
+        wanted = bool(keep[-1])
+        yield rows.slice(0, len(key) - 1).filter(pa.array(keep[:-1]))
+        held = rows.slice(len(key) - 1)
+    if held is not None:
+        yield held
+
+
+def shared_keys(postings: DataFrame) -> DataFrame:
+    """Of postings (key bigint, ...) those whose key occurs more than once, and at most two others a partition.
+
+    Rows are dealt by ranges of all their columns and sorted, so a hot key is split, and one shuffle does.
+    """
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in postings.schema.fields)
+    return postings.repartitionByRange(*postings.columns[:2]).sortWithinPartitions("key").mapInArrow(_runs, kinds)
+
+
 def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
     """(id, root) of every id in edges (a, b): root is the least id of its component."""
     edges = scratch.save(edges.filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "edges")
@@ -103,28 +152,26 @@ def link_groups(
         return postings.join(m, "id", "left").withColumn("_root", F.coalesce("_r", "id")).drop("_r")
 
     for turn in range(star_rounds):
-        # Dealt by key once, for the leaders and for the rows that meet them.
-        rows = rooted().repartition("key")
+        rows = rooted()
         order = F.struct(*(central or []), "id") if turn == 0 else F.struct(F.xxhash64(F.lit(turn), "id"))
-        leaders = rows.groupBy("key").agg(F.min_by(F.struct("id", "_root", *attributes), order).alias("lead"), F.min("_root").alias("_lo"), F.max("_root").alias("_hi"))
-        leaders = leaders.filter("_lo <> _hi").select("key", "lead")
-        near = rows.join(leaders, "key").filter(F.col("_root") != F.col("lead._root"))
+        leaders = rows.groupBy("key").agg(F.min_by(F.struct("id", "_root", *attributes), order).alias("lead"), F.min("_root").alias("_lo"), F.max("_root").alias("_hi"), F.count("*").alias("_n"))
+        leaders = scratch.save(leaders.filter("_lo <> _hi").select("key", "lead", "_n"), "leaders")
+        near = join_counted(rows, leaders, "key").filter(F.col("_root") != F.col("lead._root"))
         near = near.filter(compatible(lambda c: F.col(f"lead.{c}"), F.col)).select(F.col("lead.id").alias("a"), F.col("id").alias("b")).distinct()
         pairs = scratch.save(near, "pairs")
         links = scratch.save(verify(pairs), "links")
         tested.append(pairs)
         mapping = _compose(mapping, links, scratch)
-        scratch.drop(links)
-
-    rows = rooted().repartition("key")
-    # All columns are named, so that one exchange serves both.
-    others = [F.max(c).alias(f"_m{i}") for i, c in enumerate(["id", *attributes])]
-    mixed = rows.groupBy("key").agg(F.min("_root").alias("_lo"), F.max("_root").alias("_hi"), *others)
-    mixed = mixed.filter(" AND ".join(["_lo <> _hi", *(f"_m{i} IS NOT NULL" for i in range(len(others)))])).select("key")
-    mixed = scratch.save(rows.join(mixed, "key"), "mixed")
-    left = mixed.select("key", F.struct("id", "_root", *attributes).alias("l"))
-    right = mixed.select("key", F.struct("id", "_root", *attributes).alias("r"))
-    wide = left.join(right, (left["key"] == right["key"]) & (F.col("l.id") < F.col("r.id")) & (F.col("l._root") != F.col("r._root")) & compatible(lambda c: F.col(f"l.{c}"), lambda c: F.col(f"r.{c}")))
+        scratch.drop(links, leaders)
+
+    rows = rooted()
+    mixed = rows.groupBy("key").agg(F.min("_root").alias("_lo"), F.max("_root").alias("_hi"), F.count("*").alias("_n")).filter("_lo <> _hi").select("key", "_n")
+    mixed = scratch.save(join_counted(rows, scratch.save(mixed, "mixed-keys"), "key"), "mixed")
+    # The rows of a key are dealt into blocks, and every block meets all rows, so that no task pairs a whole large key.
+    blocks = F.ceil(F.col("_n") / BLOCK_ROWS).cast("int")
+    left = mixed.select("key", F.pmod(F.xxhash64("id"), blocks).cast("int").alias("block"), F.struct("id", "_root", *attributes).alias("l"))
+    right = mixed.select("key", F.explode(F.sequence(F.lit(0), blocks - 1)).alias("block"), F.struct("id", "_root", *attributes).alias("r"))
+    wide = left.join(right, ["key", "block"]).filter((F.col("l.id") < F.col("r.id")) & (F.col("l._root") != F.col("r._root")) & compatible(lambda c: F.col(f"l.{c}"), lambda c: F.col(f"r.{c}")))
     pairs = wide.select(F.col("l.id").alias("a"), F.col("r.id").alias("b")).distinct()
     for t in tested:
         pairs = pairs.join(t.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti")
@@ -161,8 +208,6 @@ class IdFilter:
 
 def id_filter(ids: DataFrame) -> IdFilter:
     """The filter of a one-column frame of longs. Each task fills one of fixed size; they are joined slot by slot."""
-    import pyarrow as pa
-
     chunk = 1 << 14
 
     def fill(batches):

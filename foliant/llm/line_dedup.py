@@ -23,6 +23,7 @@ copies; an empty table gives an empty result; extra columns pass through ``line_
 from __future__ import annotations
 
 from collections.abc import Iterator
+from difflib import SequenceMatcher
 
 import numpy as np
 import pyarrow as pa
@@ -30,19 +31,24 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from foliant.llm import text as X
-from foliant.llm.components import id_filter, link_groups
+from foliant.llm.components import id_filter, join_counted, link_groups, shared_keys
 from foliant.llm.scratch import Scratch
+from foliant.operators.diff import edit_script
 
 MIN_WORDS = 5
 #: Edit similarity in hundredths.
 SIMILARITY = 80
-#: Keys of a line, two to a column, and minima of words in a key.
-TABLES = 10
-ROWS = 4
+#: Keys of a line, two to a column. Key i hashes four of the ``2 * TABLES`` minima of the line's
+#: words; every minimum serves two keys, and no two keys have more than one in common.
+TABLES = 12
+_MEMBERS = [(i, (i - 1) % TABLES, TABLES + i, TABLES + (i - 3) % TABLES) for i in range(TABLES)]
 #: Words of at most so many bytes are picked less often, by so many powers of two.
 SHORT_WORD = 3
 SHORT_SHIFT = 4
-_MINIMA = X.mix(np.arange(1, TABLES * ROWS + 1, dtype=np.uint64)) | np.uint64(1)
+#: Lines of more words are aligned by a script of at most so many edits of words.
+MANY_WORDS = 200
+WORD_EDITS = 100
+_MINIMA = (X.mix(np.arange(1, 2 * TABLES + 1, dtype=np.uint64)) >> np.uint64(32)).astype(np.uint32) | np.uint32(1)
 _KEYS = [f"k{i}" for i in range(TABLES // 2)]
 
 
@@ -117,22 +123,36 @@ def _line_hashes(wh: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     return X.mix(X.sums(mixed, bounds) + counts.astype(np.uint64)).view(np.int64)
 
 
-def min_keys(h: np.ndarray, short: np.ndarray, bounds: np.ndarray) -> list[np.ndarray]:
-    """Columns of two 32-bit keys each for h[bounds[i]:bounds[i+1]], none of which is empty."""
+def minima(h: np.ndarray, short: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    """Row j: the least of the j-th numbers of the words h[bounds[i]:bounds[i+1]], none of which is empty."""
+    out = np.zeros((len(_MINIMA), len(bounds) - 1), dtype=np.uint32)
     if len(bounds) < 2:
-        return [np.zeros(0, dtype=np.int64) for _ in _KEYS]
-    shift = np.where(short, np.uint64(0), np.uint64(SHORT_SHIFT))
+        return out
+    folded = (h >> np.uint64(32)).astype(np.uint32)
+    shift = np.where(short, np.uint32(0), np.uint32(SHORT_SHIFT))
+    for j, m in enumerate(_MINIMA):
+        # The upper bits of a product depend on all lower ones, the lower do not.
+        turned = folded * m
+        turned ^= turned >> np.uint32(15)
+        turned *= np.uint32(0x2C1B3C6D)
+        turned >>= shift
+        out[j] = np.minimum.reduceat(turned, bounds[:-1])
+    return out
+
+
+def min_keys(least: np.ndarray) -> list[np.ndarray]:
+    """Columns of two 32-bit keys each from the minima of lines."""
     keys = []
-    for table in _MINIMA.reshape(TABLES, ROWS):
-        key = np.zeros(len(bounds) - 1, dtype=np.uint64)
-        for m in table:
-            key = X.mix(key ^ np.minimum.reduceat((h * m) >> shift, bounds[:-1]))
+    for members in _MEMBERS:
+        key = np.zeros(least.shape[1], dtype=np.uint64)
+        for j in members:
+            key = X.mix(key ^ least[j])
         keys.append(key >> np.uint64(32))
     return [((keys[2 * i] << np.uint64(32)) | keys[2 * i + 1]).view(np.int64) for i in range(len(_KEYS))]
 
 
 def _occurrences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Lines long enough to be removed: id, hash of the text, line number, hash, length in characters and keys of the line."""
+    """Lines long enough to be removed: id, hash of the text, line number, hash, place, length in characters and keys of the line."""
     for b in batches:
         for c in X.chunks(b.column(2)):
             w, wh, owner, number, bounds = _lines(c)
@@ -142,11 +162,13 @@ def _occurrences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             firsts = np.concatenate([[0], np.cumsum((c.data & 0xC0) != 0x80)])
             chars = X.sums(firsts[w.end] - firsts[w.start], bounds) + counts - 1
             inside = np.repeat(take, counts)
-            keys = min_keys(wh[inside], (w.end - w.start <= SHORT_WORD)[inside], np.concatenate([[0], np.cumsum(counts[take])]))
+            keys = min_keys(minima(wh[inside], (w.end - w.start <= SHORT_WORD)[inside], np.concatenate([[0], np.cumsum(counts[take])])))
             rows = pa.array(owner[take] + c.first)
+            th = b.column(1).take(rows)
+            at = _line_key(th.to_numpy(), number[take])
             yield pa.RecordBatch.from_arrays(
-                [b.column(0).take(rows), b.column(1).take(rows), pa.array(number[take].astype(np.int32)), pa.array(lh[take]), pa.array(chars[take].astype(np.int32)), *map(pa.array, keys)],
-                ["id", "th", "line", "lh", "chars", *_KEYS],
+                [b.column(0).take(rows), th, pa.array(number[take].astype(np.int32)), pa.array(lh[take]), pa.array(at), pa.array(chars[take].astype(np.int32)), *map(pa.array, keys)],
+                ["id", "th", "line", "lh", "at", "chars", *_KEYS],
             )
 
 
@@ -155,12 +177,6 @@ def _line_key(th: np.ndarray, line: np.ndarray) -> np.ndarray:
     return X.mix(th.view(np.uint64) ^ X.mix(line.astype(np.uint64) + np.uint64(3))).view(np.int64)
 
 
-def _line_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        keys = _line_key(b.column(0).to_numpy(), b.column(1).to_numpy())
-        yield pa.RecordBatch.from_arrays([pa.array(keys)], ["key"])
-
-
 _NORMAL = bytes((b + 32 if 65 <= b <= 90 else b) if X.ALNUM[b] else 32 for b in range(256))
 
 
@@ -225,13 +241,35 @@ def edit_distance(a: str, b: str, most: int) -> int:
     return score
 
 
+def within(a: str, b: str, most: int) -> bool:
+    """Whether the edit distance is at most ``most``. Exact: an alignment of whole words, where it is near enough, proves it sooner."""
+    if abs(len(a) - len(b)) > most:
+        return False
+    x, y = a.split(" "), b.split(" ")
+    if len(x) == len(y) and sum(max(len(v), len(w)) for v, w in zip(x, y, strict=True) if v != w) <= most:
+        return True
+    cost, i, k = 0, 0, 0
+    for i2, k2, n in _common_runs(x, y):
+        # Words with the blank that follows each.
+        cost += max(sum(map(len, x[i:i2])) + i2 - i, sum(map(len, y[k:k2])) + k2 - k)
+        i, k = i2 + n, k2 + n
+    return cost <= most or edit_distance(a, b, most) <= most
+
+
+def _common_runs(x: list[str], y: list[str]) -> list[tuple[int, int, int]]:
+    """(place in x, place in y, length) of runs of common words, in order, the empty run at the ends last."""
+    if len(x) <= MANY_WORDS:
+        return SequenceMatcher(None, x, y, autojunk=False).get_matching_blocks()
+    script = edit_script(x, y, WORD_EDITS)
+    return [*((i, k, 1) for op, _, i, k in script or [] if op == "keep"), (len(x), len(y), 0)]
+
+
 def _verified(similarity: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             ok = []
             for x, y in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True):
-                most = max(len(x), len(y)) * (100 - similarity) // 100
-                ok.append(edit_distance(x, y, most) <= most)
+                ok.append(within(x, y, max(len(x), len(y)) * (100 - similarity) // 100))
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], ["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
     return run
@@ -260,36 +298,42 @@ def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     scratch = Scratch(spark, "lines")
     kind = docs.schema[id_col].dataType.simpleString()
     source = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("th"), text_col)
-    occ = scratch.save(source.mapInArrow(_occurrences, f"id {kind}, th bigint, line int, lh bigint, chars int, {', '.join(f'{k} bigint' for k in _KEYS)}"), "occurrences")
+    occ = scratch.save(source.mapInArrow(_occurrences, f"id {kind}, th bigint, line int, lh bigint, at bigint, chars int, {', '.join(f'{k} bigint' for k in _KEYS)}"), "occurrences")
 
-    place = F.struct(F.col("id").isNull().alias("late"), "id", "th", "line")
-    lines = scratch.save(occ.groupBy("lh").agg(F.min(place).alias("first"), *[F.max(c).alias(c) for c in ("chars", *_KEYS)], F.count("*").alias("n")), "lines")
-    posted = lines.select(F.col("lh").alias("id"), "chars", F.explode(_keys()).alias("key")).repartition("key")
-    ends = posted.groupBy("key").agg(F.min("id").alias("lo"), F.max("id").alias("hi"), F.max("chars").alias("longest")).filter("lo <> hi AND longest IS NOT NULL").select("key")
-    postings = scratch.save(posted.join(ends.hint("shuffle_hash"), "key"), "postings")
+    lines = scratch.save(occ.groupBy("lh").agg(*[F.max(c).alias(c) for c in ("at", "chars", *_KEYS)], F.count("*").alias("_n")), "lines")
+    posted = lines.select(F.explode(_keys()).alias("key"), F.col("lh").alias("id"), "chars")
+    postings = scratch.save(shared_keys(posted), "postings")
 
     asked = postings.select(F.col("id").alias("lh")).distinct()
-    first = lines.join(asked, "lh", "left_semi").select("first.th", "first.line")
-    wanted = spark.sparkContext.broadcast(id_filter(first.mapInArrow(_line_keys, "key bigint")))
+    wanted = spark.sparkContext.broadcast(id_filter(lines.join(asked, "lh", "left_semi").select("at")))
     texts = docs.select(F.xxhash64(text_col).alias("th"), text_col).mapInArrow(_normalised(wanted), "lh bigint, norm string")
     texts = scratch.save(texts.join(asked, "lh", "left_semi").dropDuplicates(["lh"]), "texts")
     # No two lines whose lengths differ by more can be similar enough.
     fit = lambda left, right: 100 * F.abs(left("chars") - right("chars")) <= (100 - similarity) * F.greatest(left("chars"), right("chars"))
-    roots = link_groups(postings, ["chars"], fit, _similar(texts, similarity), scratch)
+    roots = link_groups(postings, ["chars"], fit, _similar(texts, similarity), scratch, star_rounds=1)
     scratch.drop(postings, texts)
 
     # Lines of one text that occurs more than once, and lines of groups; the first occurrence of each group stays.
-    group = lines.filter("n > 1").select("lh", "first", F.col("lh").alias("root"))
+    group = lines.select("lh", "_n", F.col("lh").alias("root"))
     if roots is not None:
-        r = lines.select("lh", "first").join(roots.select(F.col("id").alias("lh"), "root"), "lh")
-        group = group.join(r, "lh", "left_anti").unionByName(r)
+        group = group.join(roots.select(F.col("id").alias("lh"), F.col("root").alias("_r")), "lh", "left").filter("_n > 1 OR _r IS NOT NULL")
+        group = group.select("lh", "_n", F.coalesce("_r", "root").alias("root"))
+    else:
+        group = group.filter("_n > 1")
     group = scratch.save(group, "groups")
-    kept = group.groupBy("root").agg(F.min("first").alias("kept"))
-    fate = scratch.save(group.join(kept, "root").select("lh", "kept"), "fate")
-    rest = occ.select("id", "th", "line", "lh").join(fate, "lh")
+    members = scratch.save(join_counted(occ.select("id", "th", "line", "lh"), group, "lh"), "members")
+    place = F.struct(F.col("id").isNull().alias("late"), "id", "th", "line")
+    # By line first, so that a group's places come from its lines, not from their occurrences.
+    first = members.groupBy("lh").agg(F.min(place).alias("first"), F.any_value("root").alias("root"), F.any_value("_n").alias("_n"))
+    first = scratch.save(first, "first")
+    kept = scratch.save(first.groupBy("root").agg(F.min("first").alias("kept"), F.count("*").alias("_n")), "kept")
+    fate = scratch.save(join_counted(first.select("lh", "root", F.col("_n").alias("n")), kept, "root").select("lh", "kept", F.col("n").alias("_n")), "fate")
+    rest = join_counted(members.select("id", "th", "line", "lh"), fate, "lh")
     rest = rest.filter(~(F.col("id").eqNullSafe(F.col("kept.id")) & (F.col("th") == F.col("kept.th")) & (F.col("line") == F.col("kept.line"))))
     out = rest.groupBy("id", "th").agg(F.array_sort(F.collect_set("line")).alias("removed"))
-    return scratch.save(out, "removed")
+    out = scratch.save(out, "removed")
+    scratch.drop(occ, lines, group, members, first, kept, fate)
+    return out
 
 
 def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: int = SIMILARITY) -> DataFrame:
@@ -298,11 +342,12 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     gone = removed_lines(docs, id_col, text_col, similarity).select(F.col("id").alias("_id"), F.col("th").alias("_th"), F.col("removed").alias("_gone"))
     d = docs.withColumn("_h", F.xxhash64(text_col))
     d = d.join(gone, F.col(id_col).eqNullSafe(F.col("_id")) & (F.col("_h") == F.col("_th")), "left")
-    lines = F.split(F.col(text_col), "\n")
-    kept = F.array_join(F.filter(lines, lambda x, i: ~F.array_contains("_gone", i)), "\n")
+    d = d.withColumn("_lines", F.split(F.col(text_col), "\n"))
+    stay = F.array_except(F.sequence(F.lit(0), F.size("_lines") - 1), "_gone")
+    kept = F.array_join(F.transform(stay, lambda i: F.get("_lines", i)), "\n")
     text = F.when(F.col("_gone").isNull(), F.col(text_col)).otherwise(kept)
     removed = F.coalesce("_gone", F.array().cast("array<int>"))
-    return d.select(*[text.alias(c) if c == text_col else F.col(c) for c in docs.columns], F.coalesce(F.size(lines), F.lit(0)).alias("_n_lines"), removed.alias("_removed"))
+    return d.select(*[text.alias(c) if c == text_col else F.col(c) for c in docs.columns], F.coalesce(F.size("_lines"), F.lit(0)).alias("_n_lines"), removed.alias("_removed"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
