@@ -2,7 +2,7 @@
 
 ``link_groups`` takes postings (key, id, ...): rows that may link stand under a common key.
 It does not test all pairs of a key at once. First each row is tested against one leader
-of its key (two rounds, with different leaders); links contract rows into components. Rows of
+of its key, in rounds with different leaders; links contract rows into components. Rows of
 one component need no further test, so what remains are keys that still hold two or more
 components; for these, all pairs across components are tested. No link between different
 components is left out, so the components are those of all links, while a group of copies
@@ -29,6 +29,8 @@ Verify = Callable[[DataFrame], DataFrame]
 
 #: A key is hot if more than one in so many rows has it, so that there are never more hot keys than this.
 HOT_SHARE = 1000
+#: Pairs for each row that are tested without looking for another leader first.
+OPEN_PAIRS = 1
 #: Rows of one key that one task pairs with the others.
 BLOCK_ROWS = 1000
 
@@ -131,7 +133,7 @@ def link_groups(
     compatible: Callable[[Callable[[str], Column], Callable[[str], Column]], Column],
     verify: Verify,
     scratch: Scratch,
-    star_rounds: int = 2,
+    star_rounds: int = 6,
     central: list[str] | None = None,
 ) -> DataFrame | None:
     """(id, root) of ids with links, or None if there are none.
@@ -139,6 +141,7 @@ def link_groups(
     postings: (key, id, *attributes), each (key, id) once, keys with two ids or more.
     compatible(left, right): a filter on two rows' attributes that every link passes.
     verify(pairs (a, b)): the pairs that link.
+    star_rounds: tests against leaders end after so many rounds, or once few pairs are left, or none linked.
     central: columns by which the first leader of a key is chosen, least first; one that links with
     many spares most tests.
     """
@@ -153,6 +156,12 @@ def link_groups(
 
     for turn in range(star_rounds):
         rows = rooted()
+        if turn:
+            # Pairs across components, key by key: their number is known without making them.
+            parts = rows.groupBy("key", "_root").agg(F.count("*").alias("c")).groupBy("key").agg((F.sum("c") ** 2 - F.sum(F.col("c") ** 2)).alias("open"), F.sum("c").alias("c"))
+            left = parts.agg(F.sum(F.col("open") / 2), F.sum("c")).first()
+            if not left[1] or left[0] <= OPEN_PAIRS * left[1]:
+                break
         order = F.struct(*(central or []), "id") if turn == 0 else F.struct(F.xxhash64(F.lit(turn), "id"))
         leaders = rows.groupBy("key").agg(F.min_by(F.struct("id", "_root", *attributes), order).alias("lead"), F.min("_root").alias("_lo"), F.max("_root").alias("_hi"), F.count("*").alias("_n"))
         leaders = scratch.save(leaders.filter("_lo <> _hi").select("key", "lead", "_n"), "leaders")
@@ -161,8 +170,11 @@ def link_groups(
         pairs = scratch.save(near, "pairs")
         links = scratch.save(verify(pairs), "links")
         tested.append(pairs)
+        linked = not links.isEmpty()
         mapping = _compose(mapping, links, scratch)
         scratch.drop(links, leaders)
+        if not linked:
+            break
 
     rows = rooted()
     mixed = rows.groupBy("key").agg(F.min("_root").alias("_lo"), F.max("_root").alias("_hi"), F.count("*").alias("_n")).filter("_lo <> _hi").select("key", "_n")

@@ -23,13 +23,13 @@ copies; an empty table gives an empty result; extra columns pass through ``line_
 from __future__ import annotations
 
 from collections.abc import Iterator
-from difflib import SequenceMatcher
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from foliant.llm import edits
 from foliant.llm import text as X
 from foliant.llm.components import id_filter, join_counted, link_groups, shared_keys
 from foliant.llm.scratch import Scratch
@@ -38,17 +38,17 @@ from foliant.operators.diff import edit_script
 MIN_WORDS = 5
 #: Edit similarity in hundredths.
 SIMILARITY = 80
-#: Keys of a line, two to a column. Key i hashes four of the ``2 * TABLES`` minima of the line's
-#: words; every minimum serves two keys, and no two keys have more than one in common.
+#: Keys of a line, two to a column. Key i hashes five of the 30 minima of the line's words; every
+#: minimum serves two keys, and no two keys have more than one in common.
 TABLES = 12
-_MEMBERS = [(i, (i - 1) % TABLES, TABLES + i, TABLES + (i - 3) % TABLES) for i in range(TABLES)]
+_MEMBERS = [(i, (i - 1) % TABLES, TABLES + i, TABLES + (i - 3) % TABLES, 2 * TABLES + i % (TABLES // 2)) for i in range(TABLES)]
 #: Words of at most so many bytes are picked less often, by so many powers of two.
 SHORT_WORD = 3
 SHORT_SHIFT = 4
-#: Lines of more words are aligned by a script of at most so many edits of words.
-MANY_WORDS = 200
-WORD_EDITS = 100
-_MINIMA = (X.mix(np.arange(1, 2 * TABLES + 1, dtype=np.uint64)) >> np.uint64(32)).astype(np.uint32) | np.uint32(1)
+#: Lines of more characters are compared one by one, after a script of at most so many edits of words.
+LONG_LINE = 1000
+WORD_EDITS = 24
+_MINIMA = (X.mix(np.arange(1, 5 * TABLES // 2 + 1, dtype=np.uint64)) >> np.uint64(32)).astype(np.uint32) | np.uint32(1)
 _KEYS = [f"k{i}" for i in range(TABLES // 2)]
 
 
@@ -241,35 +241,56 @@ def edit_distance(a: str, b: str, most: int) -> int:
     return score
 
 
-def within(a: str, b: str, most: int) -> bool:
-    """Whether the edit distance is at most ``most``. Exact: an alignment of whole words, where it is near enough, proves it sooner."""
-    if abs(len(a) - len(b)) > most:
-        return False
+#: Steps (words of one line, words of the other) after which two lines may agree again, the nearest first.
+_STEPS = sorted(((i, k) for i in range(5) for k in range(5) if i + k), key=lambda s: (max(s), sum(s)))
+
+
+def _word_by_word(a: str, b: str, most: int) -> bool:
+    """Whether a greedy alignment of words is near enough; if not, the distance may still be."""
+    x, y = a.split(" "), b.split(" ")
+    i, k, cost, n, m = 0, 0, 0, len(x), len(y)
+    while i < n and k < m:
+        if x[i] == y[k]:
+            i, k = i + 1, k + 1
+            continue
+        di, dk = next(((di, dk) for di, dk in _STEPS if i + di < n and k + dk < m and x[i + di] == y[k + dk]), (1, 1))
+        # Words with the blank that follows each.
+        cost += max(sum(map(len, x[i : i + di])) + di, sum(map(len, y[k : k + dk])) + dk)
+        if cost > most:
+            return False
+        i, k = i + di, k + dk
+    return cost + max(sum(map(len, x[i:])) + n - i, sum(map(len, y[k:])) + m - k) <= most
+
+
+def _by_script(a: str, b: str, most: int) -> bool:
+    """Exact: a short script of whole words, where it is near enough, proves it sooner than the distance."""
     x, y = a.split(" "), b.split(" ")
-    if len(x) == len(y) and sum(max(len(v), len(w)) for v, w in zip(x, y, strict=True) if v != w) <= most:
-        return True
+    script = edit_script(x, y, WORD_EDITS)
     cost, i, k = 0, 0, 0
-    for i2, k2, n in _common_runs(x, y):
+    for i2, k2 in [*((i, k) for op, _, i, k in script or [] if op == "keep"), (len(x), len(y))]:
         # Words with the blank that follows each.
         cost += max(sum(map(len, x[i:i2])) + i2 - i, sum(map(len, y[k:k2])) + k2 - k)
-        i, k = i2 + n, k2 + n
+        i, k = i2 + 1, k2 + 1
     return cost <= most or edit_distance(a, b, most) <= most
 
 
-def _common_runs(x: list[str], y: list[str]) -> list[tuple[int, int, int]]:
-    """(place in x, place in y, length) of runs of common words, in order, the empty run at the ends last."""
-    if len(x) <= MANY_WORDS:
-        return SequenceMatcher(None, x, y, autojunk=False).get_matching_blocks()
-    script = edit_script(x, y, WORD_EDITS)
-    return [*((i, k, 1) for op, _, i, k in script or [] if op == "keep"), (len(x), len(y), 0)]
+def near(a: list[str], b: list[str], similarity: int) -> np.ndarray:
+    """Which pairs of lines have the edit similarity, in hundredths: exact for all lengths."""
+    most = np.array([max(len(x), len(y)) * (100 - similarity) // 100 for x, y in zip(a, b, strict=True)], dtype=np.int64)
+    out = np.array([abs(len(x) - len(y)) <= m and _word_by_word(x, y, m) for x, y, m in zip(a, b, most.tolist(), strict=True)], dtype=bool)
+    rest = np.flatnonzero(~out)
+    long = np.array([max(len(a[i]), len(b[i])) > LONG_LINE for i in rest], dtype=bool)
+    short = rest[~long]
+    out[short] = edits.within([a[i] for i in short], [b[i] for i in short], most[short])
+    for i in rest[long]:
+        out[i] = abs(len(a[i]) - len(b[i])) <= most[i] and _by_script(a[i], b[i], int(most[i]))
+    return out
 
 
 def _verified(similarity: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            ok = []
-            for x, y in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True):
-                ok.append(within(x, y, max(len(x), len(y)) * (100 - similarity) // 100))
+            ok = near(b.column(2).to_pylist(), b.column(3).to_pylist(), similarity)
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], ["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
     return run
@@ -310,7 +331,7 @@ def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     texts = scratch.save(texts.join(asked, "lh", "left_semi").dropDuplicates(["lh"]), "texts")
     # No two lines whose lengths differ by more can be similar enough.
     fit = lambda left, right: 100 * F.abs(left("chars") - right("chars")) <= (100 - similarity) * F.greatest(left("chars"), right("chars"))
-    roots = link_groups(postings, ["chars"], fit, _similar(texts, similarity), scratch, star_rounds=1)
+    roots = link_groups(postings, ["chars"], fit, _similar(texts, similarity), scratch)
     scratch.drop(postings, texts)
 
     # Lines of one text that occurs more than once, and lines of groups; the first occurrence of each group stays.
