@@ -28,13 +28,30 @@ NAMED = {
 }
 
 _EDGE = "(?:(?<=[A-Za-z0-9_])(?![A-Za-z0-9_])|(?<![A-Za-z0-9_])(?=[A-Za-z0-9_]))"
+#: What a text with a match of the named pattern surely holds: looked for first, as most texts have no match.
+_HINTS = {
+    "email": "@", "phone-us": "[0-9]{3}", "phone-intl": r"\+[0-9]", "ssn": "[0-9]{2}", "credit-card": "[0-9]{4}", "ipv4": r"[0-9]\.[0-9]", "ipv6": "[0-9A-Fa-f]:[0-9A-Fa-f]",
+    "iban": "[A-Z]{2}[0-9]{2}", "uk-postcode": "[A-Z][0-9]", "us-zip": "[0-9]{5}", "date-iso": "[0-9]-[0-9]{2}-[0-9]", "date-us": "[0-9]/[0-9]",
+}
+_HINT_OF = {pattern: _HINTS[name] for name, pattern in NAMED.items()}
+#: A boundary next to what only a letter or digit can match needs one look-around.
+_WORD_CHAR = r"(?:\\d|\[[A-Za-z0-9\\-]+\])"
+_STARTS_IN_WORD = re.compile(r"^\\b(?=(?:\(\?:)?" + _WORD_CHAR + ")")
+_ENDS_IN_WORD = re.compile("(?<=[]d})?])" + r"\\b$")
 
 
 def java_pattern(pattern: str) -> str:
     """The pattern with ASCII word boundaries for Spark's regular expressions."""
+    if pattern in _HINT_OF:
+        # Every named pattern that ends in a boundary ends in a letter or digit.
+        pattern = _ENDS_IN_WORD.sub("(?![A-Za-z0-9_])", _STARTS_IN_WORD.sub("(?<![A-Za-z0-9_])", pattern))
     return pattern.replace(r"\b", _EDGE)
 
 
+def _hinted(text: Column, pattern: str, found: Column, none: Column) -> Column:
+    return F.when(text.rlike(_HINT_OF[pattern]), found).otherwise(none) if pattern in _HINT_OF else found
+
+
 def named_pattern(name: str) -> str:
     if name not in NAMED:
         raise ValueError(f"no pattern is named {name!r}; there are {', '.join(NAMED)}")
@@ -59,23 +76,31 @@ def available_patterns(spark: SparkSession) -> DataFrame:
 def matches(text: Column, pattern: str) -> Column:
     """All non-overlapping matches that are not empty, in order; null text gives none."""
     found = F.regexp_extract_all(text, F.lit(java_pattern(pattern)), 0)
-    return F.coalesce(F.filter(found, lambda m: m != ""), F.array().cast("array<string>"))
+    none = F.array().cast("array<string>")
+    return _hinted(text, pattern, F.coalesce(F.filter(found, lambda m: m != ""), none), none)
 
 
 def count(text: Column, pattern: str) -> Column:
-    return F.coalesce(F.regexp_count(text, F.lit(java_pattern(pattern))), F.lit(0)).cast("bigint")
+    none = F.lit(0).cast("bigint")
+    return _hinted(text, pattern, F.coalesce(F.regexp_count(text, F.lit(java_pattern(pattern))).cast("bigint"), none), none)
 
 
 def redact(text: Column, pattern: str, mark: str) -> Column:
-    return F.regexp_replace(text, java_pattern(pattern), mark)
+    return _hinted(text, pattern, F.regexp_replace(text, java_pattern(pattern), mark), text)
 
 
 def match_spans(text: Column, pattern: str) -> Column:
     """array<struct<start, stop, match>> of all matches, start from 0, in characters."""
     found = matches(text, pattern)
-    # Splitting at the matches gives the gaps; starts are running sums of gaps and matches.
+    # Splitting at the matches gives the gaps; each start follows from the stop before it.
     gaps = F.split(text, java_pattern(pattern), -1)
-    lengths = F.transform(found, lambda m, i: F.length(F.get(gaps, i)) + F.length(m))
-    stops = F.transform(F.sequence(F.lit(1), F.size(found)), lambda n: F.aggregate(F.slice(lengths, 1, n), F.lit(0), lambda a, x: a + x))
-    spans = F.transform(found, lambda m, i: F.struct((F.get(stops, i) - F.length(m)).alias("start"), F.get(stops, i).alias("stop"), m.alias("match")))
-    return F.when(F.size(found) > 0, spans).otherwise(F.array().cast("array<struct<start:int,stop:int,match:string>>"))
+    rows = F.zip_with(found, F.slice(gaps, 1, F.size(found)), lambda m, g: F.struct(m.alias("match"), F.length(g).alias("gap")))
+    empty = F.array().cast("array<struct<start:int,stop:int,match:string>>")
+
+    def add(done: Column, row: Column) -> Column:
+        start = done["at"] + row["gap"]
+        stop = start + F.length(row["match"])
+        return F.struct(stop.alias("at"), F.concat(done["spans"], F.array(F.struct(start.alias("start"), stop.alias("stop"), row["match"].alias("match")))).alias("spans"))
+
+    spans = F.aggregate(rows, F.struct(F.lit(0).alias("at"), empty.alias("spans")), add, lambda done: done["spans"])
+    return F.when(F.size(found) > 0, spans).otherwise(empty)

@@ -1,8 +1,7 @@
 """Recognised words and layout regions: spatial joins, voting, bands, reading order, document trees.
 
-Greedy one-to-one matching depends on the order of rows, so ``rover_merge`` and
-``ensemble_merge`` work page by page in Arrow batches, each page a bounded group; all else is
-native. Reading order compares by bands that chain neighbours no more than the tolerance
+Greedy one-to-one matching depends on the order of rows, so ``rover_merge`` works page by
+page in Arrow batches, each page a bounded group; nearly all else is native. Reading order compares by bands that chain neighbours no more than the tolerance
 apart, a total order with the id as the last key.
 """
 
@@ -106,14 +105,6 @@ def best_candidates(primary: DataFrame, secondary: DataFrame) -> DataFrame:
     return c.withColumn("_r", rank).filter("_r = 1").drop("_r")
 
 
-def _iou(a, b) -> float:
-    w = min(a.x + a.w, b.x + b.w) - max(a.x, b.x)
-    h = min(a.y + a.h, b.y + b.h) - max(a.y, b.y)
-    if w <= 0 or h <= 0:
-        return 0.0
-    return w * h / (a.w * a.h + b.w * b.h - w * h)
-
-
 def _ious(a: np.ndarray, boxes: np.ndarray) -> np.ndarray:
     """Overlaps of one box (x, y, w, h) with many."""
     size = np.minimum(a[:2] + a[2:], boxes[:, :2] + boxes[:, 2:]) - np.maximum(a[:2], boxes[:, :2])
@@ -155,33 +146,21 @@ def rover_merge(words: DataFrame, first: str, second: str, least: float = 0.5) -
     return words.groupBy(*PAGE).applyInPandas(page, _WORD)
 
 
-def merge_regions(detectors: list[list], least: float = 0.5, unpaired: float = 0.3) -> list[list]:
-    """Groups of regions: each of the first detector with all free others that overlap it by more than ``least``;
-    of the rest, those sure enough stand alone."""
-    if len(detectors) == 1:
-        return [[r] for r in detectors[0]]
-    rest = [r for d in detectors[1:] for r in d]
-    groups = []
-    for anchor in detectors[0]:
-        taken = [r for r in rest if _iou(anchor, r) > least]
-        rest = [r for r in rest if _iou(anchor, r) <= least]
-        groups.append([anchor, *taken])
-    return groups + [[r] for r in rest if r.confidence >= unpaired]
-
-
 def ensemble_groups(regions: DataFrame, least: float = 0.5, unpaired: float = 0.3) -> DataFrame:
-    """Adds group_id to regions (doc_id, page_no, detector, seq, type, x, y, w, h, confidence); others are dropped."""
+    """Adds group_id to regions (doc_id, page_no, detector, seq, type, x, y, w, h, confidence); others are dropped.
 
-    def page(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["detector", "seq"])
-        rows = [list(g.itertuples(index=False)) for _, g in pdf.groupby("detector")]
-        if pdf.detector.iloc[0] != 0:
-            rows.insert(0, [])
-        out = [(*r, i) for i, g in enumerate(merge_regions(rows, least, unpaired)) for r in g]
-        return pd.DataFrame(out, columns=[*pdf.columns, "group_id"])
-
-    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in regions.schema.fields)
-    return regions.groupBy(*PAGE).applyInPandas(page, kinds + ", group_id int")
+    Each region of detector 0 heads a group, in order of seq; a region of another detector joins the first
+    head that it overlaps by more than ``least``; of the rest, those sure enough stand alone, after the heads.
+    """
+    rows = regions.withColumn("_id", F.struct("detector", "seq"))
+    heads = rows.filter("detector = 0").withColumn("_head", F.row_number().over(Window.partitionBy(*PAGE).orderBy("seq")) - 1)
+    first = overlapping(heads, rows.filter("detector <> 0"), "_head", "_id", least).groupBy(*PAGE, "_id").agg(F.min("_head").alias("_head"))
+    kind = F.when(F.col("detector") == 0, 0).when(F.col("_head").isNotNull(), 1).when(F.col("confidence") >= unpaired, 2)
+    placed = rows.join(first, [*PAGE, "_id"], "left").withColumn("_kind", kind).filter("_kind IS NOT NULL")
+    n_heads = F.count_if(F.col("_kind") == 0).over(Window.partitionBy(*PAGE))
+    nth = F.row_number().over(Window.partitionBy(*PAGE, "_kind").orderBy("detector", "seq")) - 1
+    group = F.when(F.col("_kind") == 0, nth).when(F.col("_kind") == 1, F.col("_head")).otherwise(n_heads + nth)
+    return placed.select(*regions.columns, group.cast("int").alias("group_id"))
 
 
 def vote(groups: DataFrame) -> DataFrame:

@@ -25,20 +25,15 @@ def audit(before: DataFrame, key: str, text: str, names: list[str], mark: str =
 
     Patterns are applied in order, so each is counted on the text that the earlier ones leave.
     """
-    after = F.col(text)
-    counts = []
-    for name in names:
+    out = before.select(key, F.col(text).alias("_t0"))
+    # Column by column: each text is needed twice, so that no replacement is written out, or done, again.
+    for i, name in enumerate(names):
         p = patterns.named_pattern(name)
-        counts.append(F.struct(F.lit(name).alias("pattern"), patterns.count(after, p).alias("n")))
-        after = patterns.redact(after, p, mark)
-    hit = F.filter(F.array(*counts), lambda c: c["n"] > 0)
-    out = before.select(
-        key,
-        F.array_join(F.transform(hit, lambda c: F.concat(c["pattern"], F.lit(":"), c["n"].cast("string"))), ",").alias("operations"),
-        F.sha2(F.col(text), 256).alias("before_sha256"),
-        F.sha2(after, 256).alias("after_sha256"),
+        out = out.withColumns({f"_n{i}": patterns.count(F.col(f"_t{i}"), p), f"_t{i + 1}": patterns.redact(F.col(f"_t{i}"), p, mark)})
+    counts = [F.when(F.col(f"_n{i}") > 0, F.concat(F.lit(f"{name}:"), F.col(f"_n{i}").cast("string"))) for i, name in enumerate(names)]
+    return out.filter(F.greatest(F.lit(0).cast("bigint"), *[f"_n{i}" for i in range(len(names))]) > 0).select(
+        key, F.concat_ws(",", *counts).alias("operations"), F.sha2("_t0", 256).alias("before_sha256"), F.sha2(f"_t{len(names)}", 256).alias("after_sha256")
     )
-    return out.filter("operations <> ''")
 
 
 def closed_overlap(a: str, b: str) -> Column:
@@ -99,9 +94,9 @@ def redact_pages(texts: DataFrame, images: DataFrame, annotations: DataFrame, re
 
 
 def marks_by_page(marks: DataFrame) -> DataFrame:
-    """Redaction marks as one row a page, in page order, rectangles in order of their id."""
+    """Redaction marks as one row a page, rectangles in order of their id."""
     only = marks.filter("mode = 'Redact'")
-    return only.groupBy("doc_id", "page_no").agg(F.transform(F.array_sort(F.collect_list(F.struct("id", "x", "y", "w", "h"))), lambda s: s["id"]).alias("ids"), F.count("*").alias("n")).orderBy("doc_id", "page_no")
+    return only.groupBy("doc_id", "page_no").agg(F.transform(F.array_sort(F.collect_list(F.struct("id", "x", "y", "w", "h"))), lambda s: s["id"]).alias("ids"), F.count("*").alias("n"))
 
 
 def unsigned_only(pages: DataFrame, signed_docs: DataFrame) -> DataFrame:

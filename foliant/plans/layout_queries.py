@@ -125,9 +125,28 @@ def type_vote(spark: SparkSession, d: str) -> DataFrame:
     return layout.vote(g).select("doc_id", "page_no", "group_id", "type", F.round("confidence", 6).alias("confidence"), "x", "h")
 
 
-@query("layout_ensemble")
+_KINDS = "['" + "', '".join(layout.REGION_TYPES) + "']"
+_DETECTED = f"""{REGIONS}, seen AS (SELECT doc_id, page_no, t AS detector, region_id AS seq, CAST((doc_id + region_id * (t + 1)) % 11 AS INTEGER) AS ordinal, CAST((doc_id * 3 + region_id * 7 + t * 11) % 10 AS INTEGER) AS tenths,
+x + t * 9 AS x, y + t * 5 AS y, w, h FROM regions, (VALUES (0), (1), (2)) v(t) WHERE (doc_id + region_id + t) % 4 <> 0),
+heads AS (SELECT *, row_number() OVER (PARTITION BY doc_id, page_no ORDER BY seq) - 1 AS head FROM seen WHERE detector = 0),
+meets AS (SELECT s.doc_id, s.page_no, s.detector, s.seq, a.head, greatest(0, least(a.x + a.w, s.x + s.w) - greatest(a.x, s.x)) * greatest(0, least(a.y + a.h, s.y + s.h) - greatest(a.y, s.y)) AS i, a.w * a.h + s.w * s.h AS areas
+FROM seen s JOIN heads a ON a.doc_id = s.doc_id AND a.page_no = s.page_no WHERE s.detector > 0),
+firsts AS (SELECT doc_id, page_no, detector, seq, min(head) AS head FROM meets WHERE i / (areas - i) > 0.5 GROUP BY 1, 2, 3, 4),
+kinds AS (SELECT s.*, f.head, CASE WHEN s.detector = 0 THEN 0 WHEN f.head IS NOT NULL THEN 1 WHEN s.tenths >= 3 THEN 2 END AS kind
+FROM seen s LEFT JOIN firsts f ON s.doc_id = f.doc_id AND s.page_no = f.page_no AND s.detector = f.detector AND s.seq = f.seq),
+g AS (SELECT *, CASE kind WHEN 1 THEN head ELSE row_number() OVER (PARTITION BY doc_id, page_no, kind ORDER BY detector, seq) - 1 + CASE kind WHEN 2 THEN count(*) FILTER (kind = 0) OVER (PARTITION BY doc_id, page_no) ELSE 0 END END AS group_id
+FROM kinds WHERE kind IS NOT NULL),
+v AS (SELECT doc_id, page_no, group_id, ordinal, sum(tenths) AS c, count(*) AS n, min(x) AS x, min(y) AS y, max(x + w) AS x1, max(y + h) AS y1 FROM g GROUP BY 1, 2, 3, 4),
+e AS (SELECT doc_id, page_no, group_id, {_KINDS}[arg_max(ordinal, c * 100 - ordinal) + 1] AS type, round(sum(c) / 10.0 / sum(n), 6) AS confidence, min(x) AS x, min(y) AS y, max(x1) - min(x) AS w, max(y1) - min(y) AS h FROM v GROUP BY 1, 2, 3),
+mid AS (SELECT *, y + h * 0.5 AS cy, x + w * 0.5 AS cx FROM e), l AS (SELECT *, lag(cy) OVER (PARTITION BY doc_id, page_no ORDER BY cy, group_id) AS c0 FROM mid),
+band AS (SELECT *, sum(CASE WHEN cy - c0 > 20 THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id, page_no ORDER BY cy, group_id) AS b FROM l)"""
+
+
+@query("layout_ensemble", f"""{_DETECTED} SELECT doc_id, page_no, CAST(group_id AS INTEGER) AS group_id, type, confidence, x, y, w, h,
+CAST(row_number() OVER (PARTITION BY doc_id, page_no ORDER BY b, cx, group_id) - 1 AS INTEGER) AS reading_order FROM band""")
 def layout_ensemble(spark: SparkSession, d: str) -> DataFrame:
-    return layout.reading_order(layout.vote(layout.ensemble_groups(_detected(spark, d))), "group_id")
+    voted = layout.vote(layout.ensemble_groups(_detected(spark, d))).withColumn("confidence", F.round("confidence", 6))
+    return layout.reading_order(voted, "group_id")
 
 
 def _two_engines(spark: SparkSession, d: str) -> DataFrame:
