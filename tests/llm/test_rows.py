@@ -278,3 +278,25 @@ def test_token_count_rows(spark):
     for i, text in enumerate(ODD):
         assert (rows[i].n_bytes, rows[i].n_tokens) == (len((text or "").encode()), len(t.encode(text or "", add_special_tokens=False)))
     assert token_counts.prefix_counts(docs(spark, [])).count() == 0
+
+
+def test_counts_at_every_prefix(spark):
+    """The stored counts are those of the library for every prefix, and answer budgets."""
+    t = Tokenizer.from_file(P.path(token_counts.VOCABULARY))
+    rnd = random.Random(5)
+    texts = ["we're  they'll 'reveal 'll!'re  \n \n x", "a <|endoftext|><|endof", "   ", "x <|endoftext|>  y", None, "it''s '''re"]
+    texts += ["".join(rnd.choice(["the", "ing", " ", "  ", "\n", "é", "!", "9", "'s", "'re", "'", "\t", "　", "漢", "<|endoftext|>"]) for _ in range(50)) for _ in range(10)]
+    table = token_counts.every_prefix(docs(spark, texts)).withColumn("within", token_counts.longest_prefix(F.col("counts"), 9))
+    for r in table.collect():
+        text = texts[r.doc_id] or ""
+        want = [len(t.encode(text[:k], add_special_tokens=False)) for k in range(len(text) + 1)]
+        assert r.counts == want
+        assert r.within == max(k for k, n in enumerate(want) if n <= 9)
+    assert token_counts.every_prefix(docs(spark, [])).count() == 0
+
+
+def test_token_counts_of_long_and_repeated_texts(spark):
+    t = Tokenizer.from_file(P.path(token_counts.VOCABULARY))
+    texts = ["x" * 9000, "漢" * 9000, "word " * 9000, "same text", "same text"]
+    got = {r.doc_id: r.n_tokens for r in token_counts.prefix_counts(docs(spark, texts)).collect()}
+    assert got == {i: len(t.encode(x, add_special_tokens=False)) for i, x in enumerate(texts)}
