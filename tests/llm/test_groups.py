@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from foliant.llm import components, line_dedup, ngram_join, nn_descent, quality_rules
+from foliant.llm import components, edits, line_dedup, ngram_join, nn_descent, quality_rules
 from foliant.llm.scratch import Scratch
 from tests.llm.helpers import DOCS, ODD, SF, Sets, distance, docs, low, shingles
 
@@ -260,3 +260,56 @@ def test_stages_take_odd_rows(spark):
         assert out.count() <= 3 * d.count(), name
         if name != "byte_bpe":
             assert out.columns == d.columns
+
+
+# added checks
+
+
+@pytest.mark.parametrize("letters", ["ab", "abcdefghijkl ", "abcdäß漢 "])
+def test_batched_distance(letters):
+    """Whole batches against the scalar distance, for all bounds and lengths."""
+    rnd = random.Random(len(letters))
+    a, b, most = [], [], []
+    for _ in range(400):
+        x = [rnd.choice(letters) for _ in range(rnd.randrange(160))]
+        y = list(x)
+        for _ in range(rnd.randrange(1 + len(x) // 3)):
+            at = rnd.randrange(len(y) + 1)
+            y[at : at + rnd.randrange(2)] = [rnd.choice(letters)] * rnd.randrange(2)
+        a.append("".join(x))
+        b.append("".join(y))
+        most.append(rnd.randrange(60))
+    got = edits.within(a, b, np.array(most))
+    assert got.tolist() == [line_dedup.edit_distance(x, y, k) <= k for x, y, k in zip(a, b, most, strict=True)]
+    lines = [(" ".join(x.split()), " ".join(y.split())) for x, y in zip(a, b, strict=True)]
+    near = line_dedup.near([x for x, _ in lines], [y for _, y in lines], 80)
+    assert near.tolist() == [line_dedup.edit_distance(x, y, k) <= k for x, y in lines for k in [max(len(x), len(y)) * 20 // 100]]
+
+
+def test_line_dedup_recall_on_tables(spark):
+    """Of all pairs of lines on the table with the edit similarity that share three words, at least nine tenths are linked."""
+    sf = "/root/testdata/sf0.001"
+    texts = {r.doc_id: r.text for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    gone = {r.doc_id: set(r.removed_lines) for r in line_dedup.query(spark, sf).collect()}
+    first = {}
+    for i in sorted(texts):
+        for k, x in enumerate(texts[i].split("\n")):
+            if len(_norm(x).split()) >= line_dedup.MIN_WORDS:
+                first.setdefault(_norm(x), (i, k))
+    lines = sorted(first, key=len)
+    words = [set(x.split()) for x in lines]
+    pairs = [(a, b) for b in range(len(lines)) for a in range(b) if len(words[a] & words[b]) >= 3 and 100 * len(lines[a]) >= 80 * len(lines[b])]
+    near = line_dedup.near([lines[a] for a, _ in pairs], [lines[b] for _, b in pairs], 80)
+    linked = [first[lines[a]][1] in gone[first[lines[a]][0]] or first[lines[b]][1] in gone[first[lines[b]][0]] for (a, b), yes in zip(pairs, near, strict=True) if yes]
+    assert len(linked) > 20 and sum(linked) >= 0.9 * len(linked)
+
+
+def test_hot_keys_and_shared_keys(spark):
+    """A key of a third of all rows meets its partners by broadcast; borders of ranges lose no shared key."""
+    rows = spark.range(3000).select(F.when(F.col("id") % 3 == 0, 7).otherwise(F.col("id") * 10).alias("key"), "id")
+    counted = rows.groupBy("key").agg(F.count("*").alias("_n"), F.min("id").alias("least"))
+    got = components.join_counted(rows, counted, "key")
+    assert got.count() == 3000 and got.filter("least <> id").count() == 999
+    kept = components.shared_keys(rows).filter("key = 7").count()
+    assert kept == 1000
+    assert components.shared_keys(rows.limit(0)).count() == 0
