@@ -19,7 +19,7 @@ Defined cases: a null id, and a vector that is null, empty, zero, or holds a nul
 non-finite component, takes no part; repeated rows (same id and vector) are one; a query never
 meets its own id; with fewer candidates than k all are found where the graph is connected,
 which blocks of more than k nodes ensure; an empty table gives an empty result; vectors of
-another length than the first hyperplanes' raise; extra columns are not read.
+unlike lengths raise before any is compared; extra columns are not read.
 """
 
 from __future__ import annotations
@@ -289,6 +289,9 @@ def nearest(df: DataFrame, is_query: F.Column, k: int, id_col: str = "vec_id", v
     scratch = Scratch(df.sparkSession, "nearest")
     rows = df.filter(F.col(id_col).isNotNull() & valid(F.col(vec_col))).select(F.col(id_col).cast("bigint").alias("id"), F.col(vec_col).alias("vec"), is_query.alias("asks"))
     rows = scratch.save(rows.withColumn("node", F.xxhash64("vec")), "rows")
+    shortest, longest = rows.agg(F.min(F.size("vec")), F.max(F.size("vec"))).first()
+    if shortest != longest:
+        raise ValueError(f"vectors have from {shortest} to {longest} components")
     # The k + 1 smallest ids of every node are all that an answer can hold of it.
     once = rows.groupBy("node", "id").agg(F.any_value("vec").alias("vec"))
     rank = F.row_number().over(Window.partitionBy("node").orderBy("id"))

@@ -1,8 +1,8 @@
 """Tables written between the steps of an operator.
 
 They go to the shared folder that the session names in ``spark.checkpoint.dir``, so that
-a lost executor costs only the tasks it ran. Only where a session names none, as in
-tests, a folder of its own is set.
+a lost executor costs only the tasks it ran. Only a local session that names none, as in
+tests, gets a folder of its own; on a cluster a missing setting is an error.
 """
 
 from __future__ import annotations
@@ -29,6 +29,8 @@ def small_batches(spark: SparkSession) -> SparkSession:
 def shared_dir(spark: SparkSession) -> str:
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         found = f"file://{tempfile.gettempdir()}/foliant-checkpoints"
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")

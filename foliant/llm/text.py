@@ -33,21 +33,27 @@ def _byte_keys() -> np.ndarray:
     return mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0xD1B54A32D192ED03))
 
 
-_powers: dict[str, np.ndarray] = {}
+#: Entries of the tables of powers that a worker keeps; a longer text makes its own and gives them back.
+KEPT_POWERS = 1 << 20
 
 
-def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """base**i and base**-i modulo 2**64 for i < n, grown on demand."""
-    have = len(_powers.get("up", ()))
-    if have < n:
-        size = 1 << max(20, (n - 1).bit_length())
-        inverse = pow(_BASE, -1, 1 << 64)
-        for name, base in (("up", _BASE), ("down", inverse)):
-            table = np.ones(1, dtype=np.uint64)
-            while len(table) < size:
-                table = np.concatenate([table, table * np.uint64(pow(base, len(table), 1 << 64))])
-            _powers[name] = table
-    return _powers["up"], _powers["down"]
+def _power_table(base: int, n: int) -> np.ndarray:
+    table = np.ones(1, dtype=np.uint64)
+    while len(table) < n:
+        table = np.concatenate([table, table[: n - len(table)] * np.uint64(pow(base, len(table), 1 << 64))])
+    return table
+
+
+@lru_cache(maxsize=1)
+def _kept_powers() -> tuple[np.ndarray, np.ndarray]:
+    return _power_table(_BASE, KEPT_POWERS), _power_table(pow(_BASE, -1, 1 << 64), KEPT_POWERS)
+
+
+def _powers(n: int, inverse: bool) -> np.ndarray:
+    """base**i, or base**-i, modulo 2**64 for i < n at least."""
+    if n <= KEPT_POWERS:
+        return _kept_powers()[inverse]
+    return _power_table(pow(_BASE, -1, 1 << 64) if inverse else _BASE, n)
 
 
 def _class_table(spaces: bytes) -> np.ndarray:
@@ -135,14 +141,14 @@ def spans(inside: np.ndarray, offsets: np.ndarray) -> Words:
 
 def prefix_hashes(data: np.ndarray) -> np.ndarray:
     """p, with ``p[j] - p[i]`` a hash of bytes i..j once divided by base**i."""
-    up, _ = _power_tables(len(data) + 1)
+    up = _powers(len(data) + 1, False)
     p = np.zeros(len(data) + 1, dtype=np.uint64)
     np.cumsum(_byte_keys()[data] * up[: len(data)], out=p[1:])
     return p
 
 
 def span_hashes(p: np.ndarray, start: np.ndarray, end: np.ndarray, salt: int = 0) -> np.ndarray:
-    _, down = _power_tables(len(p))
+    down = _powers(len(p), True)
     raw = (p[end] - p[start]) * down[start]
     return mix(raw + (end - start).astype(np.uint64) * np.uint64(0xA24BAED4963EE407) + np.uint64(salt & _MASK))
 

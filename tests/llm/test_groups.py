@@ -313,3 +313,9 @@ def test_hot_keys_and_shared_keys(spark):
     kept = components.shared_keys(rows).filter("key = 7").count()
     assert kept == 1000
     assert components.shared_keys(rows.limit(0)).count() == 0
+
+
+def test_vectors_of_unlike_lengths_are_refused(spark):
+    df = spark.createDataFrame([(0, [1.0, 0.0, 2.0]), (1, [1.0, 0.0, 2.0, 1.0, 1.0])], "vec_id long, embedding array<float>")
+    with pytest.raises(ValueError):
+        nn_descent.nearest(df, F.col("vec_id") % 2 == 0, 3)
