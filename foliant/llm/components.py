@@ -31,6 +31,8 @@ Verify = Callable[[DataFrame], DataFrame]
 HOT_SHARE = 1000
 #: Pairs for each row that are tested without looking for another leader first.
 OPEN_PAIRS = 1
+#: Another leader is tried while one in so many tests links.
+FRUITFUL = 10
 #: Rows of one key that one task pairs with the others.
 BLOCK_ROWS = 1000
 
@@ -135,13 +137,15 @@ def link_groups(
     scratch: Scratch,
     star_rounds: int = 6,
     central: list[str] | None = None,
+    few_keys: bool = False,
 ) -> DataFrame | None:
     """(id, root) of ids with links, or None if there are none.
 
     postings: (key, id, *attributes), each (key, id) once, keys with two ids or more.
     compatible(left, right): a filter on two rows' attributes that every link passes.
     verify(pairs (a, b)): the pairs that link.
-    star_rounds: tests against leaders end after so many rounds, or once few pairs are left, or none linked.
+    star_rounds: tests against leaders end after so many rounds, or once few pairs are left, or few linked.
+    few_keys: rows stand under a few keys each, so that a pair can be made under its first common key alone.
     central: columns by which the first leader of a key is chosen, least first; one that links with
     many spares most tests.
     """
@@ -170,10 +174,10 @@ def link_groups(
         pairs = scratch.save(near, "pairs")
         links = scratch.save(verify(pairs), "links")
         tested.append(pairs)
-        linked = not links.isEmpty()
+        fruitful = links.count() * FRUITFUL >= pairs.count()
         mapping = _compose(mapping, links, scratch)
         scratch.drop(links, leaders)
-        if not linked:
+        if not fruitful:
             break
 
     rows = rooted()
@@ -181,10 +185,19 @@ def link_groups(
     mixed = scratch.save(join_counted(rows, scratch.save(mixed, "mixed-keys"), "key"), "mixed")
     # The rows of a key are dealt into blocks, and every block meets all rows, so that no task pairs a whole large key.
     blocks = F.ceil(F.col("_n") / BLOCK_ROWS).cast("int")
-    left = mixed.select("key", F.pmod(F.xxhash64("id"), blocks).cast("int").alias("block"), F.struct("id", "_root", *attributes).alias("l"))
-    right = mixed.select("key", F.explode(F.sequence(F.lit(0), blocks - 1)).alias("block"), F.struct("id", "_root", *attributes).alias("r"))
-    wide = left.join(right, ["key", "block"]).filter((F.col("l.id") < F.col("r.id")) & (F.col("l._root") != F.col("r._root")) & compatible(lambda c: F.col(f"l.{c}"), lambda c: F.col(f"r.{c}")))
-    pairs = wide.select(F.col("l.id").alias("a"), F.col("r.id").alias("b")).distinct()
+    columns = ["id", "_root", *attributes]
+    if few_keys:
+        every = mixed.groupBy("id").agg(F.collect_set("key").alias("_keys"))
+        mixed = scratch.save(mixed.join(every, "id"), "keyed")
+        columns.append("_keys")
+    left = mixed.select("key", F.pmod(F.xxhash64("id"), blocks).cast("int").alias("block"), F.struct(*columns).alias("l"))
+    right = mixed.select("key", F.explode(F.sequence(F.lit(0), blocks - 1)).alias("block"), F.struct(*columns).alias("r"))
+    meet = (F.col("l.id") < F.col("r.id")) & (F.col("l._root") != F.col("r._root")) & compatible(lambda c: F.col(f"l.{c}"), lambda c: F.col(f"r.{c}"))
+    if few_keys:
+        meet = meet & (F.array_min(F.array_intersect("l._keys", "r._keys")) == left["key"])
+    wide = left.join(right, (left["key"] == right["key"]) & (left["block"] == right["block"]) & meet)
+    pairs = wide.select(F.col("l.id").alias("a"), F.col("r.id").alias("b"))
+    pairs = pairs if few_keys else pairs.distinct()
     for t in tested:
         pairs = pairs.join(t.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti")
     pairs = scratch.save(pairs, "pairs")

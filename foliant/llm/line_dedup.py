@@ -331,7 +331,7 @@ def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     texts = scratch.save(texts.join(asked, "lh", "left_semi").dropDuplicates(["lh"]), "texts")
     # No two lines whose lengths differ by more can be similar enough.
     fit = lambda left, right: 100 * F.abs(left("chars") - right("chars")) <= (100 - similarity) * F.greatest(left("chars"), right("chars"))
-    roots = link_groups(postings, ["chars"], fit, _similar(texts, similarity), scratch)
+    roots = link_groups(postings, ["chars"], fit, _similar(texts, similarity), scratch, star_rounds=3, few_keys=True)
     scratch.drop(postings, texts)
 
     # Lines of one text that occurs more than once, and lines of groups; the first occurrence of each group stays.
