@@ -32,7 +32,7 @@ HOT_SHARE = 1000
 #: Pairs for each row that are tested without looking for another leader first.
 OPEN_PAIRS = 1
 #: Another leader is tried while one in so many tests links.
-FRUITFUL = 10
+FRUITFUL = 50
 #: Rows of one key that one task pairs with the others.
 BLOCK_ROWS = 1000
 
