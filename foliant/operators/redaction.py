@@ -99,6 +99,11 @@ def marks_by_page(marks: DataFrame) -> DataFrame:
     return only.groupBy("doc_id", "page_no").agg(F.transform(F.array_sort(F.collect_list(F.struct("id", "x", "y", "w", "h"))), lambda s: s["id"]).alias("ids"), F.count("*").alias("n"))
 
 
+def drop_marks(annotations: DataFrame) -> DataFrame:
+    """What stays once the marks are applied; annotations without a mode stay."""
+    return annotations.filter(~F.col("mode").eqNullSafe(F.lit("Redact")))
+
+
 def unsigned_only(pages: DataFrame, signed_docs: DataFrame) -> DataFrame:
     """Documents with any signature are refused."""
     return pages.join(signed_docs.select("doc_id").distinct(), "doc_id", "left_anti")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime
+import tempfile
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -55,24 +56,33 @@ def replies(comments: DataFrame) -> DataFrame:
     return comments.select("id").distinct().join(kids, "id", "left").withColumn("replies", F.coalesce("replies", F.array().cast("array<string>")))
 
 
+def _cut(df: DataFrame) -> DataFrame:
+    """df written to the shared checkpoint folder; only a local session that names none gets its own."""
+    spark, context = df.sparkSession, df.sparkSession.sparkContext
+    if context.getCheckpointDir() is None:
+        found = spark.conf.get("spark.checkpoint.dir", None)
+        if not found and not context.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        context.setCheckpointDir(found or f"file://{tempfile.gettempdir()}/foliant-checkpoints")
+    return df.checkpoint()
+
+
 def thread_depths(comments: DataFrame) -> DataFrame:
     """(id, root, depth) of every comment under a root, however deep: each round doubles the depth that is resolved.
 
     ``up`` leads from an id to its ancestor ``reach`` levels above. A cycle of unique ids never meets a
     root, so that no round finds anything of it.
     """
-    shared = comments.sparkSession.sparkContext.getCheckpointDir() is not None
-    kept = lambda df: df.checkpoint() if shared else df.localCheckpoint()
     out = comments.filter("parent_id IS NULL").select("id", F.col("id").alias("root"), F.lit(0).alias("depth"))
-    up = kept(comments.filter("parent_id IS NOT NULL").select("id", F.col("parent_id").alias("above")))
+    up = _cut(comments.filter("parent_id IS NOT NULL").select("id", F.col("parent_id").alias("above")))
     reach = 1
     while True:
         known = out.select(F.col("id").alias("above"), "root", "depth")
-        found = kept(up.join(known, "above").select("id", "root", (F.col("depth") + reach).alias("depth")))
+        found = _cut(up.join(known, "above").select("id", "root", (F.col("depth") + reach).alias("depth")))
         if found.isEmpty():
             return out
         out = out.union(found)
-        up = kept(up.join(up.select(F.col("id").alias("above"), F.col("above").alias("next")), "above").select("id", F.col("next").alias("above")))
+        up = _cut(up.join(up.select(F.col("id").alias("above"), F.col("above").alias("next")), "above").select("id", F.col("next").alias("above")))
         reach *= 2
 
 
@@ -125,5 +135,10 @@ def recent(df: DataFrame, key: str, ts: str, cap: int = 20) -> DataFrame:
     return df.groupBy(key).agg(F.max(ts).alias("last_used")).orderBy(F.col("last_used").desc(), key).limit(cap)
 
 
+def remove_recent(recents: DataFrame, key: str, value: object) -> DataFrame:
+    """All occurrences of one key go; rows without a key stay."""
+    return recents.filter(~F.col(key).eqNullSafe(F.lit(value)))
+
+
 def prune(recents: DataFrame, existing: DataFrame, key: str) -> DataFrame:
     return recents.join(existing.select(key).distinct(), key, "left_semi")

@@ -119,6 +119,14 @@ def redact_page_points(spark: SparkSession, d: str) -> DataFrame:
     return redaction.touched(words_of(spark, d), _rects(spark, d), redaction.point_inside("e", "r")).agg(F.count("*").alias("n_touched"))
 
 
+@query("unapplied_annotations", "SELECT event_id AS id, event_type AS kind FROM events WHERE event_type IS DISTINCT FROM 'click'")
+def unapplied_annotations(spark: SparkSession, d: str) -> DataFrame:
+    """What stays after marks were applied; clicks stand in for marks."""
+    mode = F.when(F.col("event_type") == "click", "Redact").otherwise("Note")
+    e = table(spark, d, "events").select(F.col("event_id").alias("id"), F.col("event_type").alias("kind"), mode.alias("mode"))
+    return redaction.drop_marks(e).select("id", "kind")
+
+
 @query("redaction_marks", """SELECT user_id AS doc_id, CAST(event_id % 4 AS INTEGER) AS page_no, string_agg(CAST(event_id AS VARCHAR), ' ' ORDER BY event_id) AS ids, count(*) AS n FROM events WHERE event_type = 'click' AND user_id % 3 <> 0 GROUP BY 1, 2""")
 def redaction_marks(spark: SparkSession, d: str) -> DataFrame:
     """Marks by page; documents with a signature are refused."""

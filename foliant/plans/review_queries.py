@@ -134,6 +134,19 @@ def prune_recents(spark: SparkSession, d: str) -> DataFrame:
     return review.prune(recents, existing, "user_id")
 
 
+@query("remove_recent", "SELECT event_id, user_id FROM events WHERE user_id IS DISTINCT FROM 7")
+def remove_recent(spark: SparkSession, d: str) -> DataFrame:
+    return review.remove_recent(table(spark, d, "events").select("event_id", "user_id"), "user_id", 7)
+
+
+@query("annotation_package_import", "SELECT event_id AS id, event_type AS mode FROM events WHERE event_id % 2 = 0 UNION ALL SELECT event_id, event_type FROM events WHERE event_id % 6 = 0")
+def annotation_package_import(spark: SparkSession, d: str) -> DataFrame:
+    """Packages of odd ids are over the limit and refused; ids that are there already come twice."""
+    e = table(spark, d, "events").select(F.col("event_id").alias("id"), F.col("event_type").alias("mode"))
+    n_bytes = F.when(F.col("id") % 2 == 0, 100).otherwise(review.PACKAGE_LIMIT + 1)
+    return review.import_package(e.filter("id % 2 = 0"), e.filter("id % 3 = 0"), n_bytes)
+
+
 @query("annotation_hit_test", """WITH a AS (SELECT c_custkey AS idx, c_nationkey AS page, c_custkey % 97 * 5.0::DOUBLE AS x, c_custkey % 89 * 5.0::DOUBLE AS y FROM customer),
 p AS (SELECT s_suppkey AS point_id, s_nationkey AS page, s_suppkey % 83 * 6.0::DOUBLE AS px, s_suppkey % 79 * 6.0::DOUBLE AS py FROM supplier)
 SELECT p.page, point_id, max(idx) AS idx FROM p JOIN a ON p.page = a.page AND ((px BETWEEN x AND x + 40 AND py BETWEEN y AND y + 30) OR sqrt((x - px) * (x - px) + (y - py) * (y - py)) < 10) GROUP BY p.page, point_id""")

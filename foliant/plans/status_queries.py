@@ -273,3 +273,12 @@ def word_attribute_strings(spark: SparkSession, d: str) -> DataFrame:
     a = strings.word_attributes(F.col("user_id") % 9, *one, F.lit("F"), F.lit(92))
     e = table(spark, d, "events").select("event_id", strings.provenance(a, F.concat(F.lit("f"), F.col("user_id").cast("string"), F.lit(".pdf"))).alias("joined"))
     return e.select("event_id", "joined", strings.provenance_parts(F.col("joined")).alias("p")).select("event_id", "joined", "p.*")
+
+
+@query("header_versions", "SELECT doc_id, CASE WHEN doc_id % 3 <> 0 THEN '1.' || (doc_id % 8) ELSE '1.7' END AS version FROM documents")
+def header_versions(spark: SparkSession, d: str) -> DataFrame:
+    """Two texts of three get a header in front; the others have none."""
+    body = F.coalesce("text", F.lit(""))
+    headed = F.concat(F.lit("%PDF-1."), F.col("doc_id") % 8, F.lit("\n"), body)
+    content = F.encode(F.when(F.col("doc_id") % 3 != 0, headed).otherwise(body), "UTF-8")
+    return table(spark, d, "documents").select("doc_id", status.header_version(content).alias("version"))
