@@ -11,11 +11,12 @@ drowned in a long text; shares of symbols, capitals, repeated words and the like
 dense features. Weights have an L1 penalty, which leaves random words at zero.
 
 The model is fitted on the driver on a bounded sample of labelled documents: at most
-``SAMPLE`` of them, those first by a hash of their id, read as hashes and not as texts.
-Everything else runs over all documents.
+``SAMPLE`` of them, those first by a hash of their id, read whole as hashes (a megabyte of
+them at most, as there are 2**18) and not as texts. Everything else runs over all documents.
 
 Defined cases: a null or empty text has no features and gets the score of its zeros; ties
-and repeated rows get equal scores; labels for absent documents, and null labels, are left
+and repeated rows get equal scores, and of several texts of a sampled id the one of the least
+hash is fitted; a very long text is one chunk, held whole with its words; labels for absent documents, and null labels, are left
 out; without labels all weights are zero; an empty table gives an empty result; extra columns
 are not read.
 """
@@ -35,8 +36,6 @@ from foliant.llm.scratch import small_batches
 
 BITS = 18
 SAMPLE = 6000
-#: Distinct features kept of one sampled document, so that the sample's size is bounded.
-SAMPLE_FEATURES = 4096
 GRADES = 3
 PREFIXES = (3, 4, 5)
 #: Least probability of the top grade: on held-out labels 99.8 % of good documents reach it and 0.2 % of toxic ones.
@@ -126,18 +125,20 @@ def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for c in X.chunks(b.column(0)):
             slots, owner, dense = chunk_features(c)
             bounds = np.searchsorted(owner, np.arange(c.n + 1))
-            rows = [slots[a:z][:: max(1, -(-(z - a) // SAMPLE_FEATURES))].astype(np.int32) for a, z in zip(bounds, bounds[1:], strict=False)]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([r.tobytes() for r in rows], pa.binary()), pa.array(list(dense), pa.list_(pa.float64())), b.column(1).slice(c.first, c.n)], ["slots", "dense", "grade"]
-            )
+            rows = [slots[a:z].astype(np.int32).tobytes() for a, z in zip(bounds, bounds[1:], strict=False)]
+            kept = [b.column(i).slice(c.first, c.n) for i in (1, 2, 3)]
+            yield pa.RecordBatch.from_arrays([*kept, pa.array(rows, pa.binary()), pa.array(list(dense), pa.list_(pa.float64()))], ["doc_id", "th", "grade", "slots", "dense"])
 
 
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> OrdinalModel:
     graded = labels.select("doc_id", grade_of(F.col("quality"), F.col("toxic")).alias("grade")).filter("grade IS NOT NULL AND doc_id IS NOT NULL")
     chosen = graded.groupBy("doc_id").agg(F.min("grade").alias("grade")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
     # At most ``sample`` narrow rows: a bounded side, sent to all tasks that read texts.
-    pairs = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("text", "grade")
-    rows = pairs.mapInArrow(_extract, "slots binary, dense array<double>, grade int").limit(2 * sample).toArrow()
+    pairs = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("text", "doc_id", F.xxhash64("text").alias("th"), "grade")
+    kind = pairs.schema["doc_id"].dataType.simpleString()
+    read = pairs.mapInArrow(_extract, f"doc_id {kind}, th bigint, grade int, slots binary, dense array<double>")
+    # Of the texts of one id, the one of the least hash.
+    rows = read.groupBy("doc_id").agg(F.min_by(F.struct("slots", "dense", "grade"), "th").alias("one")).select("one.*").toArrow()
     slots = [np.frombuffer(x, dtype=np.int32) for x in rows["slots"].to_pylist()]
     bounds = np.concatenate([[0], np.cumsum([len(x) for x in slots], dtype=np.int64)]).astype(np.int64)
     dense = np.array(rows["dense"].to_pylist(), dtype=float).reshape(len(slots), len(_DENSE))

@@ -2,17 +2,20 @@
 
 import hashlib
 import random
+import re
 from collections import Counter
 
 import numpy as np
 import public_tokenizers as P
+import pyarrow as pa
 import pytest
 import tiktoken
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from foliant.llm import byte_bpe, license_scans, mixing, quality_classifier, quality_rules, registry, token_counts, url_filters
-from tests.llm.helpers import DOCS, ODD, SF, WORD, docs
+from foliant.llm import text as X
+from tests.llm.helpers import DOCS, ODD, SF, WORD, docs, low
 from tests.parity import compare, connect
 
 
@@ -255,6 +258,35 @@ def test_classifier_odd_rows(spark):
     assert quality_classifier.score(docs(spark, []), model).count() == 0
 
 
+def test_classifier_brute_force_repeats_and_long_texts(spark):
+    words = ["".join(chr(97 + (i * k) % 26) for k in (1, 3, 7, 11, 17)) + str(i) for i in range(9000)]
+    texts = ["Good words, GOOD words!", "", None, "é é é naïve 12ab", " ".join(words)]
+    d = docs(spark, texts)
+    some = spark.createDataFrame([(0, 1, 0), (1, 0, 0), (3, 0, 1), (4, 1, 0)], "doc_id long, quality int, toxic int")
+    model = quality_classifier.train(d, some)
+    # Repeated rows of an id count once in the sample, in whatever order they come.
+    assert np.array_equal(model.weights, quality_classifier.train(d.union(d).repartition(5), some).weights)
+
+    def slot(raw, salt):
+        p = X.prefix_hashes(np.frombuffer(raw, dtype=np.uint8))
+        return int(X.span_hashes(p, np.array([0]), np.array([len(raw)]), salt)[0] >> np.uint64(64 - quality_classifier.BITS))
+
+    got = {}
+    for r in quality_classifier.score(d.union(d), model).collect():
+        assert got.setdefault(r.doc_id, r) == r
+    for i, t in enumerate(texts):
+        raw = re.findall(rb"[0-9a-z\x80-\xff]+", low(t).encode())
+        slots = {slot(w, 1) for w in raw} | {slot(w[:k], 100 + k) for w in raw for k in (3, 4, 5) if len(w) > k}
+        (c,) = X.chunks(pa.array([t], pa.string()))
+        _, _, dense = quality_classifier.chunk_features(c)
+        want = sum(float(np.float32(model.weights[s])) for s in slots) + float(dense[0] @ model.dense)
+        assert got[i].score == pytest.approx(want, abs=1e-6)
+        assert got[i].kept == (got[i].tail_2 >= quality_classifier.KEEP)
+    (rows,) = quality_classifier._extract(iter([pa.RecordBatch.from_pydict({"text": texts[4:], "doc_id": [4], "th": [0], "grade": [2]})]))
+    # The sample holds every feature of a long text.
+    assert set(np.frombuffer(rows.column(3)[0].as_py(), dtype=np.int32).tolist()) == slots
+
+
 # token counts
 
 
