@@ -38,7 +38,7 @@ BITS = 18
 SAMPLE = 6000
 GRADES = 3
 PREFIXES = (3, 4, 5)
-#: Least probability of the top grade: on held-out labels 99.8 % of good documents reach it and 0.2 % of toxic ones.
+#: Least probability of the top grade: on held-out labels 99.9 % of good documents reach it and no toxic one of 539.
 KEEP = 0.3
 _DENSE = ["n_symbols/n_words", "n_marked_words/n_words", "n_bang_words/n_words", "n_upper/n_letters", "n_repeat_words/n_words", "n_dup_lines/n_lines"]
 _EDGE = np.array([not (chr(b).isalnum() or b >= 128) for b in range(256)])
