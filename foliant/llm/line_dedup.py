@@ -46,7 +46,7 @@ _MEMBERS = [(i, (i - 1) % TABLES, TABLES + i, TABLES + (i - 3) % TABLES, 2 * TAB
 SHORT_WORD = 3
 SHORT_SHIFT = 4
 #: Lines of more characters are compared one by one, after a script of at most so many edits of words.
-LONG_LINE = 1000
+LONG_LINE = 3000
 WORD_EDITS = 24
 _MINIMA = (X.mix(np.arange(1, 5 * TABLES // 2 + 1, dtype=np.uint64)) >> np.uint64(32)).astype(np.uint32) | np.uint32(1)
 _KEYS = [f"k{i}" for i in range(TABLES // 2)]
@@ -233,11 +233,14 @@ def edit_distance(a: str, b: str, most: int) -> int:
             score += 1
         elif minus & top:
             score -= 1
-        # Each column left can take at most one off.
-        if score - (len(b) - 1 - j) > most:
-            return most + 1
         plus, minus = (plus << 1) | 1, minus << 1
         up, down = (minus | ~(x | plus)) & full, plus & x & full
+        # Values along the diagonal that ends in the last cell never fall.
+        row = j + 1 + len(a) - len(b)
+        if j % 64 == 63 and row > 0:
+            above = (1 << row) - 1
+            if j + 1 + (up & above).bit_count() - (down & above).bit_count() > most:
+                return most + 1
     return score
 
 
