@@ -92,3 +92,15 @@ def to_emu(points: Column) -> Column:
 def down_to_32(n: Column) -> Column:
     """The multiple of 32 below, 32 at least."""
     return F.greatest(F.lit(32), (n - n % 32))
+
+
+def glyph_advance(glyphs: Column, widths: Column, size: Column, scale: Column, letter: Column, word: Column, blank: Column) -> Column:
+    """How far an array of glyphs moves the pen: widths (a map, thousandths) of known glyphs, letter spacing each, word spacing for blanks."""
+    wide = lambda g: F.coalesce(F.try_element_at(widths, g) * size * scale / 1000, F.lit(0.0))
+    return F.aggregate(glyphs, F.lit(0.0), lambda total, g: total + wide(g) + letter * scale + F.when(g == blank, word * scale).otherwise(0.0))
+
+
+def pen_gap(advance: Column, size: Column, scale: Column) -> Column:
+    """The number that moves the pen as far without a glyph; null where nothing need or can be moved."""
+    unit = size * scale
+    return F.when((F.abs(advance) > 1e-10) & (F.abs(unit) > 1e-5), -advance * 1000 / unit)

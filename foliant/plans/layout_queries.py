@@ -310,3 +310,13 @@ b AS (SELECT *, sum(CASE WHEN y - y0 > greatest(h, h0) * 0.5 THEN 1 ELSE 0 END)
 SELECT doc_id, page_no, seq, CAST(row_number() OVER (PARTITION BY doc_id, page_no ORDER BY line, x, seq) - 1 AS INTEGER) AS word_order FROM b""")
 def word_order(spark: SparkSession, d: str) -> DataFrame:
     return layout.word_order(words_of(spark, d), layout.PAGE).select("doc_id", "page_no", "seq", "word_order")
+
+
+@query("glyph_gaps", """WITH t AS (SELECT doc_id, length(text) AS n, length(text) - length(replace(text, 'a', '')) AS a, length(text) - length(replace(text, 'e', '')) AS e, length(text) - length(replace(text, ' ', '')) AS b FROM documents WHERE text IS NOT NULL),
+u AS (SELECT doc_id, 2.0::DOUBLE * a + 1.5::DOUBLE * e + 1.0::DOUBLE * b + 0.125::DOUBLE * n + 0.25::DOUBLE * b AS advance FROM t) SELECT doc_id, advance, CASE WHEN advance > 0 THEN -advance * 250 END AS gap FROM u""")
+def glyph_gaps(spark: SparkSession, d: str) -> DataFrame:
+    widths = F.create_map(*[F.lit(x) for x in ("a", 500.0, "e", 375.0, " ", 250.0)])
+    size, scale = F.lit(8.0), F.lit(0.5)
+    advance = geometry.glyph_advance(F.split("text", ""), widths, size, scale, F.lit(0.25), F.lit(0.5), F.lit(" "))
+    t = table(spark, d, "documents").filter("text IS NOT NULL").select("doc_id", F.when(F.col("text") == "", 0.0).otherwise(advance).alias("advance"))
+    return t.withColumn("gap", geometry.pen_gap(F.col("advance"), size, scale))

@@ -282,3 +282,10 @@ def header_versions(spark: SparkSession, d: str) -> DataFrame:
     headed = F.concat(F.lit("%PDF-1."), F.col("doc_id") % 8, F.lit("\n"), body)
     content = F.encode(F.when(F.col("doc_id") % 3 != 0, headed).otherwise(body), "UTF-8")
     return table(spark, d, "documents").select("doc_id", status.header_version(content).alias("version"))
+
+
+@query("layer_names", "SELECT conv_id AS doc_id, CAST(turn AS INTEGER) AS place, role AS name FROM conversations WHERE turn < 5 AND turn <> 1")
+def layer_names(spark: SparkSession, d: str) -> DataFrame:
+    c = table(spark, d, "conversations").select(F.col("conv_id").alias("doc_id"), F.col("turn").cast("int").alias("object"), F.when(F.col("turn") != 1, F.col("role")).alias("name"))
+    catalogs = c.groupBy("doc_id").agg(F.sequence(F.lit(0), F.max("object")).alias("groups"))
+    return records.layers(catalogs, c.filter("object <> 5"))

@@ -12,6 +12,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 #: Defaults of missing keys, and the width of a letter as a share of the font size.
 DEFAULT_SCORE = 0.8
@@ -201,3 +202,14 @@ def embedded_files(nodes: DataFrame, depth: int = 64) -> DataFrame:
 def metadata(df: DataFrame, keys: list[str]) -> DataFrame:
     """Six fields; keywords (an array) are joined by comma and blank."""
     return df.select(*keys, "title", "author", "subject", F.array_join("keywords", ", ").alias("keywords"), "creator", "producer")
+
+
+def layers(catalogs: DataFrame, objects: DataFrame) -> DataFrame:
+    """(doc_id, place, name) of layers: catalogs (doc_id, groups: array of objects) in order, objects (doc_id, object, name).
+
+    A group without a name is passed over; a reference to no object ends the document's list.
+    """
+    listed = catalogs.select("doc_id", F.posexplode("groups").alias("place", "object"))
+    found = listed.join(objects.withColumn("_there", F.lit(1)), ["doc_id", "object"], "left")
+    lost = F.max(F.col("_there").isNull()).over(Window.partitionBy("doc_id").orderBy("place"))
+    return found.withColumn("_lost", lost).filter("NOT _lost AND name IS NOT NULL").select("doc_id", "place", "name")
