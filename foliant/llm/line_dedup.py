@@ -111,7 +111,7 @@ def _lines(c: X.Chunk):
     low = X.lower_ascii(c.data)
     start, _, owner, number = _line_spans(low, c.offsets)
     w = X.words(X.Chunk(c.first, low, c.offsets), X.ALNUM)
-    wh = X.span_hashes(X.prefix_hashes(low), w.start, w.end)
+    wh = X.hasher(low)(w.start, w.end)
     return w, wh, owner, number, np.append(np.searchsorted(w.start, start), len(w.start))
 
 
@@ -159,7 +159,8 @@ def _occurrences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             counts = np.diff(bounds)
             take = counts >= MIN_WORDS
             lh = _line_hashes(wh, bounds)
-            firsts = np.concatenate([[0], np.cumsum((c.data & 0xC0) != 0x80)])
+            firsts = np.zeros(len(c.data) + 1, dtype=np.int32)
+            np.cumsum((c.data & 0xC0) != 0x80, dtype=np.int32, out=firsts[1:])
             chars = X.sums(firsts[w.end] - firsts[w.start], bounds) + counts - 1
             inside = np.repeat(take, counts)
             keys = min_keys(minima(wh[inside], (w.end - w.start <= SHORT_WORD)[inside], np.concatenate([[0], np.cumsum(counts[take])])))
@@ -193,7 +194,7 @@ def _normalised(wanted):
                 offsets = np.concatenate([[0], np.cumsum([len(x) for x in picked], dtype=np.int64)]).astype(np.int64)
                 low = X.lower_ascii(np.frombuffer(b"".join(picked), dtype=np.uint8))
                 w = X.words(X.Chunk(0, low, offsets), X.ALNUM)
-                lh = _line_hashes(X.span_hashes(X.prefix_hashes(low), w.start, w.end), w.bounds)
+                lh = _line_hashes(X.hasher(low)(w.start, w.end), w.bounds)
                 texts = [b" ".join(x.translate(_NORMAL).split()) for x in picked]
                 yield pa.RecordBatch.from_arrays([pa.array(lh), pa.array(texts, pa.binary()).cast(pa.string())], ["lh", "norm"])
 

@@ -121,7 +121,7 @@ def search(query: np.ndarray, candidates: list[np.ndarray], threshold: int = THR
 def _shingles(c: X.Chunk, width: int) -> tuple[np.ndarray, np.ndarray]:
     low = X.lower_ascii(c.data)
     w = X.words(X.Chunk(c.first, low, c.offsets))
-    wh = X.span_hashes(X.prefix_hashes(low), w.start, w.end)
+    wh = X.hasher(low)(w.start, w.end)
     return X.shingle_hashes(wh, w.bounds, width)
 
 

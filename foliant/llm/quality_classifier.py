@@ -48,11 +48,11 @@ def chunk_features(c: X.Chunk) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Hashed features and their texts, distinct per text, and the dense features."""
     low = X.lower_ascii(c.data)
     w = X.words(X.Chunk(c.first, low, c.offsets), X.ALNUM)
-    p = X.prefix_hashes(low)
-    hashes, owners = [X.span_hashes(p, w.start, w.end, 1)], [w.text]
+    hash_spans = X.hasher(low)
+    hashes, owners = [hash_spans(w.start, w.end, 1)], [w.text]
     for k in PREFIXES:
         long = np.flatnonzero(w.end - w.start > k)
-        hashes.append(X.span_hashes(p, w.start[long], w.start[long] + k, 100 + k))
+        hashes.append(hash_spans(w.start[long], w.start[long] + k, 100 + k))
         owners.append(w.text[long])
     slots = np.concatenate(hashes) >> np.uint64(64 - BITS)
     owner = np.concatenate(owners).astype(np.int64)

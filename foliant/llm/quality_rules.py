@@ -41,25 +41,25 @@ def chunk_counts(c: X.Chunk) -> dict[str, np.ndarray]:
     """The counts of every text of a chunk."""
     word_byte = X.BLANK[c.data]
     w = X.spans(word_byte, c.offsets)
-    p = X.prefix_hashes(c.data)
+    hashes = X.hasher(c.data)
     out = {"n_words": w.counts}
-    out["word_chars"] = X.sums((word_byte & ((c.data & 0xC0) != 0x80)).astype(np.int64), c.offsets)
+    out["word_chars"] = X.counts(word_byte & ((c.data & 0xC0) != 0x80), c.offsets)
     symbol = _SYMBOLS[c.data]
-    out["n_symbols"] = X.sums(symbol.astype(np.int64), c.offsets)
+    out["n_symbols"] = X.counts(symbol, c.offsets)
 
     lines = X.spans(c.data != 10, c.offsets)
-    seen = np.zeros(len(c.data) + 1, dtype=np.int64)
-    np.cumsum(word_byte, out=seen[1:])
-    wordy = seen[lines.end] > seen[lines.start]
+    # No word crosses the end of a line.
+    wordy = np.zeros(len(lines.start), dtype=bool)
+    wordy[np.searchsorted(lines.start, w.start, side="right") - 1] = True
     owner = lines.text[wordy]
-    h = X.span_hashes(p, lines.start[wordy], lines.end[wordy])
+    h = hashes(lines.start[wordy], lines.end[wordy])
     _, once = X.distinct(h, owner)
     out["n_lines"] = np.bincount(owner, minlength=c.n)
     out["n_dup_lines"] = out["n_lines"] - np.bincount(once, minlength=c.n)
 
     covered = np.zeros(len(w.start), dtype=bool)
     if len(w.start) >= 3:
-        wh = X.span_hashes(p, w.start, w.end)
+        wh = hashes(w.start, w.end)
         at = np.flatnonzero(w.text[:-2] == w.text[2:])
         base = np.uint64(0x9E3779B97F4A7C15)
         tri = X.mix((wh[at] * base + wh[at + 1]) * base + wh[at + 2])
@@ -74,10 +74,10 @@ def chunk_counts(c: X.Chunk) -> dict[str, np.ndarray]:
             covered[hit + j] = True
     out["n_repeat_words"] = X.sums(covered.astype(np.int64), w.bounds)
 
-    out["n_upper"] = X.sums(_UPPER[c.data].astype(np.int64), c.offsets)
-    out["n_letters"] = X.sums(_LETTER[c.data].astype(np.int64), c.offsets)
-    n_sym = np.zeros(len(c.data) + 1, dtype=np.int64)
-    np.cumsum(symbol, out=n_sym[1:])
+    out["n_upper"] = X.counts(_UPPER[c.data], c.offsets)
+    out["n_letters"] = X.counts(_LETTER[c.data], c.offsets)
+    n_sym = np.zeros(len(c.data) + 1, dtype=np.int32)
+    np.cumsum(symbol, dtype=np.int32, out=n_sym[1:])
     out["n_marked_words"] = X.sums((n_sym[w.end] > n_sym[w.start]).astype(np.int64), w.bounds)
     out["n_bang_words"] = X.sums((c.data[w.end - 1] == ord("!")).astype(np.int64), w.bounds)
     return out

@@ -8,9 +8,9 @@ is a chunk of its own). Words are hashed by a prefix sum of keyed polynomial ter
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
-from functools import lru_cache
+from functools import lru_cache, partial
 
 import numpy as np
 import pyarrow as pa
@@ -153,6 +153,37 @@ def span_hashes(p: np.ndarray, start: np.ndarray, end: np.ndarray, salt: int = 0
     return mix(raw + (end - start).astype(np.uint64) * np.uint64(0xA24BAED4963EE407) + np.uint64(salt & _MASK))
 
 
+def _long_span_hash(data: np.ndarray, salt: int) -> np.ndarray:
+    """As span_hashes of the whole of data, window by window."""
+    raw, up, size = 0, _kept_powers()[0], KEPT_POWERS - 1
+    for at in range(0, len(data), size):
+        part = data[at : at + size]
+        raw += int((_byte_keys()[part] * up[: len(part)]).sum(dtype=np.uint64)) * pow(_BASE, at, 1 << 64)
+    return mix(np.array([(raw + len(data) * 0xA24BAED4963EE407 + salt) & _MASK], dtype=np.uint64))
+
+
+def hasher(data: np.ndarray) -> Callable[..., np.ndarray]:
+    """A function of (start, end, salt=0), both ascending: hashes of these spans; tables of powers never outgrow a window."""
+    if len(data) < KEPT_POWERS:
+        return partial(span_hashes, prefix_hashes(data))
+
+    def run(start: np.ndarray, end: np.ndarray, salt: int = 0) -> np.ndarray:
+        out = np.empty(len(start), dtype=np.uint64)
+        i = 0
+        while i < len(start):
+            lo = int(start[i])
+            j = int(np.searchsorted(end, lo + KEPT_POWERS - 1, side="right"))
+            if j <= i:
+                out[i : i + 1] = _long_span_hash(data[lo : int(end[i])], salt & _MASK)
+                i += 1
+                continue
+            out[i:j] = span_hashes(prefix_hashes(data[lo : int(end[j - 1])]), start[i:j] - lo, end[i:j] - lo, salt)
+            i = j
+        return out
+
+    return run
+
+
 def shingle_hashes(word_hash: np.ndarray, bounds: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of all runs of ``width`` words, and the text of each.
 
@@ -212,6 +243,13 @@ def sums(values: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     return total[bounds[1:]] - total[bounds[:-1]]
 
 
+def counts(marks: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    """How many of marks[bounds[i]:bounds[i+1]] are set."""
+    if len(bounds) == 2:
+        return np.array([np.count_nonzero(marks[bounds[0] : bounds[1]])], dtype=np.int64)
+    return sums(marks.astype(np.int64), bounds)
+
+
 def lists(values: np.ndarray, bounds: np.ndarray) -> pa.Array:
     """Rows of an array<bigint> column from flat values."""
     return pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(values.view(np.int64) if values.dtype == np.uint64 else values))

@@ -332,3 +332,17 @@ def test_token_counts_of_long_and_repeated_texts(spark):
     texts = ["x" * 9000, "漢" * 9000, "word " * 9000, "same text", "same text"]
     got = {r.doc_id: r.n_tokens for r in token_counts.prefix_counts(docs(spark, texts)).collect()}
     assert got == {i: len(t.encode(x, add_special_tokens=False)) for i, x in enumerate(texts)}
+
+
+def test_hashes_by_windows(monkeypatch):
+    rng = np.random.default_rng(8)
+    data = rng.integers(0, 256, 5000).astype(np.uint8)
+    cuts = np.unique(rng.integers(0, 5000, 300))
+    long = np.array([0, 64, 200, 1500, 4900])
+    for bounds in (cuts, long, np.array([0, 5000])):
+        start, end = bounds[:-1], bounds[1:]
+        want = X.span_hashes(X.prefix_hashes(data), start, end, 5)
+        monkeypatch.setattr(X, "KEPT_POWERS", 64)
+        assert (X.hasher(data)(start, end, 5) == want).all()
+        monkeypatch.undo()
+    assert len(X.hasher(data)(cuts[:0], cuts[:0])) == 0
