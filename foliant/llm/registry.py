@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from foliant.llm import byte_bpe, license_scans, line_dedup, mixing, ngram_join, nn_descent, quality_classifier, quality_rules, token_counts, url_filters
+from foliant.llm import byte_bpe, license_scans, line_dedup, mixing, ngram_join, nn_descent, quality_classifier, quality_rules, token_counts, url_filters, whitening
 
 QUERIES = {
     "op1_quality_rules": quality_rules.query,
@@ -16,6 +16,7 @@ QUERIES = {
     "op8_nn_descent": nn_descent.query,
     "op9_quality_classifier": quality_classifier.query,
     "op10_token_counts": token_counts.query,
+    "op11_embedding_whitening": whitening.query,
 }
 ORACLES = {
     "op2_license_scans": license_scans.oracle(),
