@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from foliant.llm import byte_bpe, license_scans, line_dedup, mixing, ngram_join, nn_descent, quality_classifier, quality_rules, token_counts, url_filters, whitening
+from foliant.llm import byte_bpe, license_scans, line_dedup, mixing, ngram_join, nn_descent, phrases, quality_classifier, quality_rules, token_counts, url_filters, whitening
 
 QUERIES = {
     "op1_quality_rules": quality_rules.query,
@@ -17,11 +17,13 @@ QUERIES = {
     "op9_quality_classifier": quality_classifier.query,
     "op10_token_counts": token_counts.query,
     "op11_embedding_whitening": whitening.query,
+    "op12_phrase_collocations": phrases.query,
 }
 ORACLES = {
     "op2_license_scans": license_scans.oracle(),
     "op3_source_mixing": mixing.oracle(),
     "op5_url_filters": url_filters.oracle(),
+    "op12_phrase_collocations": phrases.oracle(),
 }
 if corpus_pipeline.ORACLE_SQL:
     ORACLES["pipeline"] = corpus_pipeline.ORACLE_SQL
