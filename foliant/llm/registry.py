@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from foliant.llm import byte_bpe, license_scans, line_dedup, mixing, ngram_join, nn_descent, phrases, quality_classifier, quality_rules, token_counts, url_filters, whitening
+from foliant.llm import byte_bpe, license_scans, line_dedup, mixing, ngram_join, nn_descent, packing, phrases, quality_classifier, quality_rules, token_counts, url_filters, whitening
 
 QUERIES = {
     "op1_quality_rules": quality_rules.query,
@@ -18,6 +18,7 @@ QUERIES = {
     "op10_token_counts": token_counts.query,
     "op11_embedding_whitening": whitening.query,
     "op12_phrase_collocations": phrases.query,
+    "op13_best_fit_packing": packing.query,
 }
 ORACLES = {
     "op2_license_scans": license_scans.oracle(),

@@ -40,7 +40,7 @@ LONG_PIECE = 4096
 KEPT_PIECES = 400_000
 
 
-def _byte_letters() -> dict[int, str]:
+def byte_letters() -> dict[int, str]:
     """The printable character that byte-level vocabularies write for each byte."""
     plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
     out = {b: chr(b) for b in plain}
@@ -56,7 +56,7 @@ class PrefixCounter:
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
         self.cut = cut
-        self.letters = _byte_letters()
+        self.letters = byte_letters()
         self.ends = ahocorasick.Automaton()
         for token in self.tokenizer.get_vocab(with_added_tokens=False):
             self.ends.add_word(token, token)
