@@ -39,7 +39,9 @@ LEAST = 10
 COVERED = 50
 TOP = 2000
 UNKNOWN = "und"
-SHARD_BYTES = 8 << 20
+SHARD_BYTES = 4 << 20
+#: Rows of a batch that goes back to Spark.
+OUT_ROWS = 1 << 16
 #: Of so many positions one is filled by a word whose set is a packed bitmap.
 DENSE = 32
 #: Parts in which the rows of a language are ranked before they are ranked together.
@@ -173,8 +175,10 @@ def _listed_phrases(shard: Shard, dense: np.ndarray, h: np.ndarray, sieves: list
     return np.stack([code, *reversed(ids)], axis=1), n
 
 
-def _rows(lang: str, phrases: pa.Array, counts: np.ndarray) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array([lang] * len(phrases), pa.string()), phrases.cast(pa.string()), pa.array(counts, pa.int64())], ["lang", "phrase", "f"])
+def _rows(lang: str, phrases: pa.Array, counts: np.ndarray) -> Iterator[pa.RecordBatch]:
+    for at in range(0, len(phrases), OUT_ROWS):
+        part, n = phrases.slice(at, OUT_ROWS), counts[at : at + OUT_ROWS]
+        yield pa.RecordBatch.from_arrays([pa.array([lang] * len(part), pa.string()), part, pa.array(n, pa.int64())], ["lang", "phrase", "f"])
 
 
 _COUNTS = "lang string, phrase string, f bigint"
@@ -196,7 +200,7 @@ def counts(docs: DataFrame, length: int, sieves: list, shard_bytes: int = SHARD_
                     if not shard.n:
                         continue
                     if length == 1:
-                        yield _rows(lang, pa.concat_arrays([shard.words, pa.array([None], pa.string())]), np.append(shard.counts, shard.n))
+                        yield from _rows(lang, pa.concat_arrays([shard.words, pa.array([None], pa.string())]), np.append(shard.counts, shard.n))
                         continue
                     h = _in_language(_all_hashes(shard.words), lang)
                     shard.keep(known[0].test(h))
@@ -205,7 +209,7 @@ def counts(docs: DataFrame, length: int, sieves: list, shard_bytes: int = SHARD_
                     listed, n = _listed_phrases(shard, dense, h, known, length)
                     ids = np.concatenate([np.array([p for p, _ in found], dtype=np.int64).reshape(-1, length), listed])
                     parts = [shard.words.take(pa.array(ids[:, i])) for i in range(length)]
-                    yield _rows(lang, pc.binary_join_element_wise(*parts, " "), np.concatenate([np.array([c for _, c in found], dtype=np.int64), n]))
+                    yield from _rows(lang, pc.binary_join_element_wise(*parts, " "), np.concatenate([np.array([c for _, c in found], dtype=np.int64), n]))
 
     return docs.mapInArrow(run, _COUNTS).groupBy("lang", "phrase").agg(F.sum("f").alias("f"))
 
