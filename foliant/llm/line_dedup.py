@@ -17,7 +17,9 @@ removed. A group of copies costs as many tests as it has lines (see ``components
 Defined cases: a null text stays null and has no lines; an empty text has one empty line,
 which stays; rows with the same doc_id and text are one document and are cut alike; null
 doc_ids come last in the order of occurrences; lines equal but for case and punctuation are
-copies; an empty table gives an empty result; extra columns pass through ``line_dedup``.
+copies; a very long text costs as many rows as it has lines, and a very long line a comparison that grows
+with the square of its length where no short script of words settles it; an empty table gives an
+empty result; extra columns of any name pass through ``line_dedup``, but ``_n_lines`` and ``_removed``.
 """
 
 from __future__ import annotations
@@ -31,6 +33,7 @@ from pyspark.sql import functions as F
 
 from foliant.llm import edits
 from foliant.llm import text as X
+from foliant.llm.columns import Apart
 from foliant.llm.components import id_filter, join_counted, link_groups, shared_keys
 from foliant.llm.scratch import Scratch
 from foliant.operators.diff import edit_script
@@ -363,7 +366,13 @@ def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
 def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: int = SIMILARITY) -> DataFrame:
     """docs with the text cut, and _n_lines and _removed (line numbers from 0) added."""
-    docs = docs.drop("_n_lines", "_removed")
+    own = Apart(docs)
+    out, lines, removed, text = _cut(own.df, own[id_col], own[text_col], similarity)
+    return own.back(out, {text_col: text, "_n_lines": lines, "_removed": removed})
+
+
+def _cut(docs: DataFrame, id_col: str, text_col: str, similarity: int) -> tuple[DataFrame, Column, Column, Column]:
+    """docs with columns of its own, and from them the number of lines, those removed and the text that stays."""
     gone = removed_lines(docs, id_col, text_col, similarity).select(F.col("id").alias("_id"), F.col("th").alias("_th"), F.col("removed").alias("_gone"))
     d = docs.withColumn("_h", F.xxhash64(text_col))
     d = d.join(gone, F.col(id_col).eqNullSafe(F.col("_id")) & (F.col("_h") == F.col("_th")), "left")
@@ -372,7 +381,7 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     kept = F.array_join(F.transform(stay, lambda i: F.get("_lines", i)), "\n")
     text = F.when(F.col("_gone").isNull(), F.col(text_col)).otherwise(kept)
     removed = F.coalesce("_gone", F.array().cast("array<int>"))
-    return d.select(*[text.alias(c) if c == text_col else F.col(c) for c in docs.columns], F.coalesce(F.size("_lines"), F.lit(0)).alias("_n_lines"), removed.alias("_removed"))
+    return d, F.coalesce(F.size("_lines"), F.lit(0)), removed, text
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -383,5 +392,7 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: texts without repeated lines; n_chars follows the text; a document that loses all its words goes."""
-    cut = line_dedup(docs).withColumn("n_chars", F.length("text").cast("bigint"))
-    return cut.filter((F.size("_removed") == 0) | F.col("text").rlike(r"[^\x20\x09-\x0D]")).select(*docs.columns)
+    own = Apart(docs)
+    out, _, removed, text = _cut(own.df, own["doc_id"], own["text"], SIMILARITY)
+    stay = out.filter((F.size(removed) == 0) | text.rlike(r"[^\x20\x09-\x0D]"))
+    return own.back(stay, {"text": text} | ({"n_chars": F.length(text).cast("bigint")} if "n_chars" in docs.columns else {}))

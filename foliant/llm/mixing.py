@@ -23,6 +23,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from foliant.llm.columns import Apart
 from foliant.llm.scratch import Scratch
 
 WEIGHTS = (5, 2, 1)
@@ -109,7 +110,6 @@ def _taken(placed: DataFrame, plan: DataFrame, source_col: str, keep: list[str])
     before = (F.col("_bucket") < F.col("_aim.bucket")) | ((F.col("_bucket") == F.col("_aim.bucket")) & (F.col("_place") <= F.col("_aim.last")))
     # Without an end bucket the rest is the whole source or nothing.
     times = F.when(F.col("_size") > 0, F.col("_aim.whole") + F.coalesce(before, F.lit(False)).cast("bigint")).otherwise(F.lit(0))
-    keep = [c for c in keep if c not in ("_size", "_source_size", "_target", "_times")]
     return out.select(*keep, "_size", F.col("_aim.source_size").alias("_source_size"), F.col("_aim.target").alias("_target"), times.cast("bigint").alias("_times"))
 
 
@@ -118,10 +118,11 @@ def mix(
     weights: tuple[int, ...] = WEIGHTS, max_epochs: int = MAX_EPOCHS, seed: int = SEED,
 ) -> DataFrame:
     """docs with _size, _source_size, _target and _times: how often the mix takes each document."""
-    scratch = Scratch(docs.sparkSession, "mix")
-    sized = scratch.save(_placed(docs, id_col, text_col, source_col, seed).select(source_col, "_size", "_place", "_bucket"), "sizes")
-    plan = _plan(sized, source_col, weights, max_epochs, scratch)
-    return _taken(_placed(docs, id_col, text_col, source_col, seed), plan, source_col, docs.columns)
+    scratch, own = Scratch(docs.sparkSession, "mix"), Apart(docs)
+    placed, source = _placed(own.df, own[id_col], own[text_col], own[source_col], seed), own[source_col]
+    sized = scratch.save(placed.select(source, "_size", "_place", "_bucket"), "sizes")
+    plan = _plan(sized, source, weights, max_epochs, scratch)
+    return own.back(_taken(placed, plan, source, own.df.columns), {c: F.col(c) for c in ("_size", "_source_size", "_target", "_times")})
 
 
 def mix_sizes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
@@ -139,8 +140,9 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: every document as often as the mix takes it."""
-    mixed = mix(docs).withColumn("_i", F.explode(F.array_repeat(F.lit(0), F.col("_times").cast("int"))))
-    return mixed.select(*docs.columns)
+    own = Apart(docs)
+    mixed = mix(own.df, own["doc_id"], own["text"], own["source"])
+    return own.back(mixed.withColumn("_i", F.explode(F.array_repeat(F.lit(0), F.col("_times").cast("int")))))
 
 
 def oracle() -> str:

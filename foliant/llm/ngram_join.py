@@ -38,6 +38,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from foliant.llm import text as X
+from foliant.llm.columns import Apart
 from foliant.llm.components import id_filter, link_groups
 from foliant.llm.scratch import Scratch
 
@@ -323,10 +324,11 @@ def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     one document, all stay.
     """
     scratch = Scratch(spark, "join-stage")
-    keyed = docs.withColumn("_th", F.xxhash64("text"))
+    own = Apart(docs)
+    keyed = own.df.withColumn("_th", F.xxhash64(own["text"]))
     rows, roots = jaccard_groups(docs.select(F.struct("doc_id", F.xxhash64("text").alias("th")).alias("key"), "text"), "key")
     place = F.struct(F.col("key.doc_id").isNull().alias("late"), "key.doc_id", "key.th")
     first = _first_of_groups(rows, roots, place)
     gone = rows.filter("n_shingles > 0").join(first, "uid").filter(~(F.col("key.doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("key.th") == F.col("first.th"))))
     gone = gone.select(F.col("key.doc_id").alias("_id"), F.col("key.th").alias("_gone")).distinct()
-    return keyed.join(scratch.save(gone, "gone"), F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_th") == F.col("_gone")), "left_anti").select(*docs.columns)
+    return own.back(keyed.join(scratch.save(gone, "gone"), F.col(own["doc_id"]).eqNullSafe(F.col("_id")) & (F.col("_th") == F.col("_gone")), "left_anti"))

@@ -25,6 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from foliant.llm import text as X
+from foliant.llm.columns import Apart
 from foliant.llm.scratch import small_batches
 
 _SYMBOLS = np.array([chr(b) in "#*$%&|<>" for b in range(256)])
@@ -225,8 +226,10 @@ def quality_rules(docs: DataFrame, text_col: str = "text", threshold: float = 0.
     """The documents with n_words, ..., posterior and kept added. Texts are read twice, and never shuffled."""
     model = fit_patterns(measured(docs.select(F.lit(0).alias("one"), text_col), "one", text_col))
     added = [*COUNTS, "pattern"]
-    rest = docs.drop(*[c for c in docs.columns if c in {*added, "base_failed", "posterior", "kept"}])
-    at = rest.columns.index(text_col)
+    made = [*COUNTS, "base_failed", "posterior", "kept"]
+    own = Apart(docs.drop(*[c for c in docs.columns if c in made]))
+    rest = own.df
+    at = own.names.index(text_col)
 
     def widen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -236,7 +239,7 @@ def quality_rules(docs: DataFrame, text_col: str = "text", threshold: float = 0.
                 yield pa.RecordBatch.from_arrays([*b.slice(c.first, c.n).columns, *new], [*b.schema.names, *added])
 
     kinds = T.StructType([*rest.schema.fields, *(T.StructField(k, T.LongType()) for k in added)])
-    return judged(rest.mapInArrow(widen, kinds), model, threshold)
+    return own.back(judged(rest.mapInArrow(widen, kinds), model, threshold), {c: F.col(c) for c in made})
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -248,5 +251,5 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: documents that the rules reject go."""
-    judged_docs = quality_rules(docs)
-    return judged_docs.filter("kept").select(*docs.columns)
+    own = Apart(docs)
+    return own.back(quality_rules(own.df, own["text"]).filter("kept"))

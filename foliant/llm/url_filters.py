@@ -20,6 +20,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from foliant.llm.columns import Apart
+
 #: (rule, verdict): the host up to the first slash, the path from there.
 RULES = [
     ("com/", "allow"),
@@ -98,19 +100,14 @@ def rule_match(host: Column, path: Column, rules: list[tuple[str, str]] = RULES)
 def url_filter(df: DataFrame, url_col: str = "url", rules: list[tuple[str, str]] = RULES) -> DataFrame:
     """Adds host, path, rule, verdict, n_strict, n_soft and soft_weight. One narrow pass."""
     made = ["host", "path", "rule", "verdict", "n_strict", "n_soft", "soft_weight"]
-    rest = [c for c in df.columns if c not in made or c == url_col]
-    hosts = F.translate(_part(F.col(url_col), 1), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-    parts = df.select(*rest, hosts.alias("_host"), _part(F.col(url_col), 2).alias("_path"), vocabulary_counts(F.col(url_col)).alias("_terms"))
+    own = Apart(df.select(*[c for c in df.columns if c not in made or c == url_col]))
+    url = F.col(own[url_col])
+    hosts = F.translate(_part(url, 1), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    parts = own.df.select("*", hosts.alias("_host"), _part(url, 2).alias("_path"), vocabulary_counts(url).alias("_terms"))
     ruled = parts.withColumn("_rule", rule_match(F.col("_host"), F.col("_path"), rules))
     by_terms = F.when((F.col("_terms.n_strict") > 0) | ((F.col("_terms.n_soft") >= SOFT_DISTINCT) & (F.col("_terms.soft_weight") >= SOFT_LIMIT)), "block").otherwise("allow")
-    return ruled.select(
-        *rest,
-        F.col("_host").alias("host"),
-        F.col("_path").alias("path"),
-        F.col("_rule.rule").alias("rule"),
-        F.coalesce(F.col("_rule.verdict"), by_terms).alias("verdict"),
-        "_terms.*",
-    )
+    found = [F.col("_host"), F.col("_path"), F.col("_rule.rule"), F.coalesce(F.col("_rule.verdict"), by_terms), *[F.col(f"_terms.{c}") for c in made[4:]]]
+    return own.back(ruled, dict(zip(made, found, strict=True)))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

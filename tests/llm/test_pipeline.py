@@ -34,38 +34,40 @@ def _kept(docs):
     return {i: t for (i, t), g, f in zip(docs.items(), good, failed, strict=True) if g and not f}
 
 
-def _simhash(words):
-    h = np.array([int(X.span_hashes(X.prefix_hashes(np.frombuffer(w.encode(), dtype=np.uint8)), np.array([0]), np.array([len(w.encode())]))[0]) for w in words], dtype=np.uint64)
-    return int(line_dedup.simhashes(h, np.array([0, len(h)]))[0])
-
-
 def _norm(line):
     return " ".join("".join(c if c.isascii() and c.isalnum() or ord(c) > 127 else " " for c in low(line)).split())
 
 
+def _similar_lines(lines):
+    """All pairs of edit similarity 0.8, by the number of pairs of neighbouring characters that such lines must share, and the distance."""
+    lines = sorted(lines, key=len)
+    size = np.array([len(x) for x in lines])
+    grams = np.zeros((len(lines), 512), dtype=np.int16)
+    for i, x in enumerate(lines):
+        np.add.at(grams[i], [(ord(a) * 31 + ord(b)) % 512 for a, b in zip(x, x[1:])], 1)
+    for i, x in enumerate(lines):
+        first = np.searchsorted(size, -(-size[i] * 80 // 100))
+        most = size[i] * 20 // 100
+        # An edit takes away two pairs at most.
+        shared = np.minimum(grams[first:i], grams[i]).sum(axis=1)
+        for j in np.flatnonzero(shared >= size[i] - 1 - 2 * most) + first:
+            if distance(lines[j], x) <= most:
+                yield lines[j], x
+
+
 def _deduped(docs):
+    """Every pair of lines is looked at: on this table the operator's keys miss none."""
     first = {}
     for i in sorted(docs):
         for k, x in enumerate(docs[i].split("\n")):
             n = _norm(x)
             if len(n.split()) >= line_dedup.MIN_WORDS:
                 first.setdefault(n, (i, k))
-    sims = {}
-    for n in first:
-        words = [w for w in n.split() if len(w.encode()) > line_dedup.SHORT_WORD] or n.split()
-        sims[n] = _simhash(words)
-    buckets = defaultdict(list)
-    for n, s in sims.items():
-        blocks = [(s >> lo) & ((1 << (hi - lo)) - 1) for lo, hi in line_dedup.BLOCKS]
-        for a, b in combinations(range(len(blocks)), line_dedup.AGREE):
-            buckets[a, b, blocks[a], blocks[b]].append(n)
     own = Sets(range(len(first)))
     names = sorted(first, key=first.get)
     at = {n: j for j, n in enumerate(names)}
-    for pair in {p for v in buckets.values() for p in combinations(v, 2)}:
-        a, b = pair
-        if bin(sims[a] ^ sims[b]).count("1") <= line_dedup.MOST_BITS and distance(a, b) <= max(len(a), len(b)) * 20 // 100:
-            own.join(at[a], at[b])
+    for a, b in _similar_lines(first):
+        own.join(at[a], at[b])
     out = {}
     for i, t in docs.items():
         lines = t.split("\n")
