@@ -12,6 +12,9 @@ A phrase of m words is as rare as its parts, so shards extend only what may be f
 everywhere: before each length, the phrases of the length before that reach the least count go
 into a sieve of bounded size. What it lets through wrongly is removed by the summed counts.
 
+Words travel as 64-bit hashes of language and word, so counts are exact up to collisions of these;
+phrases are spelled out at the end, only those that are first in their language.
+
 Defined cases: a null text counts as empty, a null language as ``und``; a text without words adds
 nothing; a very long text is cut into shards where pieces end, so only a single piece is ever whole;
 repeated rows, null ids and copies count each; ties are broken by score, count and phrase in that
@@ -65,7 +68,7 @@ def _all_hashes(words: pa.Array) -> np.ndarray:
 
 
 def _in_language(h: np.ndarray, lang: str) -> np.ndarray:
-    return X.mix(h + _hashes(pa.array([lang]))[0])
+    return X.mix(h + X.mix(_hashes(pa.array([lang])) ^ np.uint64(0xD1B54A32D192ED03))[0])
 
 
 def _longer(h: np.ndarray, word: np.ndarray) -> np.ndarray:
@@ -175,63 +178,95 @@ def _listed_phrases(shard: Shard, dense: np.ndarray, h: np.ndarray, sieves: list
     return np.stack([code, *reversed(ids)], axis=1), n
 
 
-def _rows(lang: str, phrases: pa.Array, counts: np.ndarray) -> Iterator[pa.RecordBatch]:
-    for at in range(0, len(phrases), OUT_ROWS):
-        part, n = phrases.slice(at, OUT_ROWS), counts[at : at + OUT_ROWS]
-        yield pa.RecordBatch.from_arrays([pa.array([lang] * len(part), pa.string()), part, pa.array(n, pa.int64())], ["lang", "phrase", "f"])
+def _phrases_of(shard: Shard, h: np.ndarray, sieves: list[Sieve], length: int, dense_share: int) -> tuple[np.ndarray, np.ndarray]:
+    """Phrases of so many words that may be frequent: word ids, a row a phrase, and counts."""
+    dense = np.flatnonzero(sieves[0].test(h) & (shard.counts * dense_share > len(shard.owner)))
+    packed = list(_packed_phrases(shard, dense, h, sieves, length))
+    listed, n = _listed_phrases(shard, dense, h, sieves, length)
+    ids = np.concatenate([np.array([p for p, _ in packed], dtype=np.int64).reshape(-1, length), listed])
+    return ids, np.concatenate([np.array([c for _, c in packed], dtype=np.int64), n])
 
 
-_COUNTS = "lang string, phrase string, f bigint"
+def _shards_of(batches: Iterator[pa.RecordBatch], shard_bytes: int) -> Iterator[tuple[str, Shard, np.ndarray]]:
+    """Each shard with words, its language and the hashes of its words."""
+    for b in batches:
+        texts, langs = b.column(1), b.column(0).fill_null(UNKNOWN)
+        for lang in pc.unique(langs).to_pylist():
+            for data, offsets in _shards(texts.filter(pc.equal(langs, lang)), shard_bytes):
+                shard = Shard(data, offsets)
+                if shard.n:
+                    yield lang, shard, _in_language(_all_hashes(shard.words), lang)
 
 
-def counts(docs: DataFrame, length: int, sieves: list, shard_bytes: int = SHARD_BYTES, dense_share: int = DENSE) -> DataFrame:
-    """lang, phrase and count f of phrases of so many words that pass the sieves (broadcast, one for each shorter length).
+def _out(columns: dict[str, pa.Array]) -> Iterator[pa.RecordBatch]:
+    t = pa.table(columns)
+    yield from t.to_batches(max_chunksize=OUT_ROWS)
+
+
+def _longs(m: int) -> list[str]:
+    return [f"h{i}" for i in range(m)]
+
+
+def words(docs: DataFrame, shard_bytes: int = SHARD_BYTES) -> DataFrame:
+    """lang, h0, f: how often each word stands, by its hash; a row whose h0 is null has the number of all."""
 
-    Of words, all are counted, and a row whose phrase is null has the number of all.
-    """
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for lang, shard, h in _shards_of(batches, shard_bytes):
+            ids = pa.concat_arrays([pa.array(h.view(np.int64)), pa.array([None], pa.int64())])
+            yield from _out({"lang": pa.array([lang] * len(ids), pa.string()), "h0": ids, "f": pa.array(np.append(shard.counts, shard.n), pa.int64())})
+
+    return docs.mapInArrow(run, "lang string, h0 bigint, f bigint").groupBy("lang", "h0").agg(F.sum("f").alias("f"))
+
+
+def counts(docs: DataFrame, length: int, sieves: list, shard_bytes: int = SHARD_BYTES, dense_share: int = DENSE) -> DataFrame:
+    """h0, ..., f: counts of phrases of so many words that pass the sieves (broadcast, one for each shorter length)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = [s.value for s in sieves]
-        for b in batches:
-            texts, langs = b.column(1), b.column(0).fill_null(UNKNOWN)
-            for lang in pc.unique(langs).to_pylist():
-                for data, offsets in _shards(texts.filter(pc.equal(langs, lang)), shard_bytes):
-                    shard = Shard(data, offsets)
-                    if not shard.n:
-                        continue
-                    if length == 1:
-                        yield from _rows(lang, pa.concat_arrays([shard.words, pa.array([None], pa.string())]), np.append(shard.counts, shard.n))
-                        continue
-                    h = _in_language(_all_hashes(shard.words), lang)
-                    shard.keep(known[0].test(h))
-                    dense = np.flatnonzero(known[0].test(h) & (shard.counts * dense_share > len(shard.owner)))
-                    found = list(_packed_phrases(shard, dense, h, known, length))
-                    listed, n = _listed_phrases(shard, dense, h, known, length)
-                    ids = np.concatenate([np.array([p for p, _ in found], dtype=np.int64).reshape(-1, length), listed])
-                    parts = [shard.words.take(pa.array(ids[:, i])) for i in range(length)]
-                    yield from _rows(lang, pc.binary_join_element_wise(*parts, " "), np.concatenate([np.array([c for _, c in found], dtype=np.int64), n]))
-
-    return docs.mapInArrow(run, _COUNTS).groupBy("lang", "phrase").agg(F.sum("f").alias("f"))
-
-
-def _ids(phrases: DataFrame, length: int) -> DataFrame:
-    """The hash of every (lang, phrase), as shards know it."""
+        for _, shard, h in _shards_of(batches, shard_bytes):
+            shard.keep(known[0].test(h))
+            ids, n = _phrases_of(shard, h, known, length, dense_share)
+            longs = h.view(np.int64)
+            yield from _out({c: pa.array(longs[ids[:, i]]) for i, c in enumerate(_longs(length))} | {"f": pa.array(n, pa.int64())})
+
+    kinds = ", ".join(f"{c} bigint" for c in _longs(length))
+    return docs.mapInArrow(run, f"{kinds}, f bigint").groupBy(*_longs(length)).agg(F.sum("f").alias("f"))
+
+
+def names(docs: DataFrame, longest: int, sieves: list, shard_bytes: int = SHARD_BYTES, dense_share: int = DENSE) -> DataFrame:
+    """w, phrase: the words of phrases of two words or more that pass all sieves, the last of which is of wanted phrases."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for lang in pc.unique(b.column(0)).to_pylist():
-                texts = b.column(1).filter(pc.equal(b.column(0), lang))
-                words = _in_language(_all_hashes(pc.list_flatten(pc.split_pattern(texts, " "))), lang).reshape(-1, length)
-                h = words[:, 0]
-                for i in range(1, length):
-                    h = _longer(h, words[:, i])
-                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64))], ["id"])
+        *known, wanted = [s.value for s in sieves]
+        for _, shard, h in _shards_of(batches, shard_bytes):
+            shard.keep(known[0].test(h))
+            for m in range(2, longest + 1):
+                ids, _ = _phrases_of(shard, h, known, m, dense_share)
+                key = h[ids[:, 0]]
+                for i in range(1, m):
+                    key = _longer(key, h[ids[:, i]])
+                ids = ids[wanted.test(key)]
+                flat = pa.array(h[ids].ravel().view(np.int64))
+                phrase = pc.binary_join_element_wise(*[shard.words.take(pa.array(ids[:, i])) for i in range(m)], " ")
+                yield from _out({"w": pa.ListArray.from_arrays(pa.array(np.arange(len(ids) + 1, dtype=np.int32) * m), flat), "phrase": phrase})
 
-    return phrases.select("lang", "phrase").mapInArrow(run, "id bigint")
+    return docs.mapInArrow(run, "w array<bigint>, phrase string").groupBy("w").agg(F.min("phrase").alias("phrase"))
 
 
-def _joined(words: Column, first: Column, n: Column) -> Column:
-    return F.array_join(F.slice(words, first, n), " ")
+def _ids(phrases: DataFrame) -> DataFrame:
+    """The hash of every w, as shards know it."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            w = b.column(0)
+            flat, at = w.flatten().to_numpy(zero_copy_only=False).view(np.uint64), np.concatenate([[0], np.cumsum(pc.list_value_length(w).to_numpy())]).astype(np.int64)
+            sizes, h = np.diff(at), flat[at[:-1]] if len(w) else np.zeros(0, dtype=np.uint64)
+            for i in range(1, int(sizes.max()) if len(w) else 0):
+                more = sizes > i
+                h[more] = _longer(h[more], flat[at[:-1][more] + i])
+            yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64))], ["id"])
+
+    return phrases.select("w").mapInArrow(run, "id bigint")
 
 
 def _exact(c: Column) -> Column:
@@ -240,24 +275,31 @@ def _exact(c: Column) -> Column:
 
 
 def _scored(candidates: DataFrame, frequent: DataFrame) -> DataFrame:
-    """lang, phrase, a, l, r, score: of each candidate the cut that scores least."""
-    words = F.split("phrase", " ")
-    cuts = candidates.select("lang", "phrase", F.col("f").alias("a"), words.alias("w"), F.explode(F.sequence(F.lit(1), F.size(words) - 1)).alias("k"))
-    left, right = _joined(F.col("w"), F.lit(1), F.col("k")), _joined(F.col("w"), F.col("k") + 1, F.size("w") - F.col("k"))
-    halves = F.explode(F.array(F.struct(F.lit(True).alias("left"), left.alias("part")), F.struct(F.lit(False).alias("left"), right.alias("part"))))
-    parts = cuts.select("lang", "phrase", "a", "k", halves.alias("half")).select("lang", "phrase", "a", "k", "half.left", "half.part")
-    known = frequent.select("lang", F.col("phrase").alias("part"), "f")
-    cut = parts.join(known, ["lang", "part"]).groupBy("lang", "phrase", "a", "k").agg(F.max(F.when(F.col("left"), F.col("f"))).alias("l"), F.max(F.when(~F.col("left"), F.col("f"))).alias("r"))
+    """w, a, l, r, score, lang: of each candidate (w, f) the cut that scores least; frequent (w, f, lang of single words)."""
+    w = F.col("w")
+    cuts = candidates.select("w", F.col("f").alias("a"), F.explode(F.sequence(F.lit(1), F.size(w) - 1)).alias("k"))
+    halves = F.explode(F.array(F.struct(F.lit(True).alias("left"), F.slice(w, F.lit(1), F.col("k")).alias("part")), F.struct(F.lit(False).alias("left"), F.slice(w, F.col("k") + 1, F.size(w) - F.col("k")).alias("part"))))
+    parts = cuts.select("w", "a", "k", halves.alias("half")).select("w", "a", "k", "half.left", "half.part")
+    known = frequent.select(w.alias("part"), "f", "lang")
+    cut = parts.join(known, "part").groupBy("w", "a", "k").agg(F.max(F.when(F.col("left"), F.col("f"))).alias("l"), F.max(F.when(~F.col("left"), F.col("f"))).alias("r"), F.max("lang").alias("lang"))
     cut = cut.withColumn("top", F.lit(1_000_000).cast("decimal(7,0)") * _exact(F.col("a")) * _exact(F.col("a"))).withColumn("under", _exact(F.col("l")) * _exact(F.col("r")))
     cut = cut.withColumn("score", F.expr("top div under"))
-    return cut.groupBy("lang", "phrase", "a").agg(F.min(F.struct("score", "k", "l", "r")).alias("best")).select("lang", "phrase", "a", "best.l", "best.r", "best.score")
+    best = cut.groupBy("w", "a").agg(F.min(F.struct("score", "k", "l", "r")).alias("best"), F.max("lang").alias("lang"))
+    return best.select("w", "a", "best.l", "best.r", "best.score", "lang")
 
 
 def _covered(candidates: DataFrame) -> DataFrame:
-    """lang, phrase, most: the largest count of a longer candidate around a phrase of two words or more."""
-    words = F.split("phrase", " ")
-    inner = F.flatten(F.transform(F.sequence(F.lit(2), F.size(words) - 1), lambda n: F.transform(F.sequence(F.lit(1), F.size(words) - n + 1), lambda i: _joined(words, i, n))))
-    return candidates.filter(F.size(words) > 2).select("lang", F.col("f"), F.explode(inner).alias("phrase")).groupBy("lang", "phrase").agg(F.max("f").alias("most"))
+    """w, most: the largest count of a longer candidate around a phrase of two words or more."""
+    w = F.col("w")
+    inner = F.flatten(F.transform(F.sequence(F.lit(2), F.size(w) - 1), lambda n: F.transform(F.sequence(F.lit(1), F.size(w) - n + 1), lambda i: F.slice(w, i, n))))
+    return candidates.filter(F.size(w) > 2).select("f", F.explode(inner).alias("w")).groupBy("w").agg(F.max("f").alias("most"))
+
+
+def _firsts(scored: DataFrame, top: int, order: list[Column], number: Column) -> DataFrame:
+    """Rows of each language whose number in the order is at most ``top``: in parts first, so that no task sorts all of a language."""
+    parts = Window.partitionBy("lang", F.pmod(F.xxhash64("w"), F.lit(RANK_PARTS))).orderBy(*order)
+    some = scored.withColumn("rank", number.over(parts)).filter(F.col("rank") <= top)
+    return some.withColumn("rank", number.over(Window.partitionBy("lang").orderBy(*order))).filter(F.col("rank") <= top)
 
 
 def phrases(
@@ -267,26 +309,24 @@ def phrases(
     """lang, rank, phrase, a, l, r, n, score: the first ``top`` phrases of two to ``longest`` words of each language."""
     spark, scratch = docs.sparkSession, Scratch(docs.sparkSession, "phrases")
     docs = docs.select(F.coalesce(lang_col, F.lit(UNKNOWN)).alias("lang"), F.coalesce(text_col, F.lit("")).alias("text"))
-    found, sieves = [], []
-    for m in range(1, longest + 1):
-        if m > 1:
-            sieves.append(spark.sparkContext.broadcast(sieve(_ids(found[-1].filter("phrase IS NOT NULL"), m - 1))))
-        level = counts(docs, m, sieves, shard_bytes, dense_share)
-        found.append(scratch.save(level.filter(F.col("phrase").isNull() | (F.col("f") >= least)), f"frequent-{m}"))
-    for s in sieves:
+    all_words = scratch.save(words(docs, shard_bytes).filter(F.col("h0").isNull() | (F.col("f") >= least)), "words")
+    totals = all_words.filter("h0 IS NULL").select("lang", F.col("f").alias("n"))
+    frequent = all_words.filter("h0 IS NOT NULL").select(F.array("h0").alias("w"), "f", "lang")
+    candidates, level, sieves = None, frequent, []
+    for m in range(2, longest + 1):
+        sieves.append(spark.sparkContext.broadcast(sieve(_ids(level))))
+        level = counts(docs, m, sieves, shard_bytes, dense_share).filter(F.col("f") >= least)
+        level = scratch.save(level.select(F.array(*_longs(m)).alias("w"), "f", F.lit(None).cast("string").alias("lang")), f"frequent-{m}")
+        candidates = level if candidates is None else candidates.unionByName(level)
+    kept = candidates.join(_covered(candidates), "w", "left").filter(F.coalesce(F.col("most"), F.lit(0)) * 100 < F.col("f") * covered).select("w", "f")
+    order = [F.desc("score"), F.desc("a")]
+    # Of equals at the end all stay until their words are known.
+    first = scratch.save(_firsts(_scored(kept, frequent.unionByName(candidates)), top, order, F.rank()), "first")
+    wanted = spark.sparkContext.broadcast(sieve(_ids(first)))
+    named = scratch.save(names(docs, longest, [*sieves, wanted], shard_bytes, dense_share), "names")
+    for s in [*sieves, wanted]:
         s.unpersist()
-    totals = found[0].filter("phrase IS NULL").select("lang", F.col("f").alias("n"))
-    candidates = found[1]
-    for more in found[2:]:
-        candidates = candidates.unionByName(more)
-    frequent = candidates.unionByName(found[0].filter("phrase IS NOT NULL"))
-    kept = candidates.join(_covered(candidates), ["lang", "phrase"], "left").filter(F.coalesce(F.col("most"), F.lit(0)) * 100 < F.col("f") * covered).select("lang", "phrase", "f")
-    best = _scored(kept, frequent)
-    # Ranked in parts first, so that no task sorts all phrases of a language.
-    order = [F.desc("score"), F.desc("a"), F.asc("phrase")]
-    part = F.pmod(F.xxhash64("phrase"), F.lit(RANK_PARTS))
-    best = best.withColumn("part", part).withColumn("rank", F.row_number().over(Window.partitionBy("lang", "part").orderBy(*order))).filter(F.col("rank") <= top)
-    best = best.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(*order))).filter(F.col("rank") <= top)
+    best = _firsts(first.join(named, "w"), top, [*order, F.asc("phrase")], F.row_number())
     return best.join(totals, "lang").select("lang", F.col("rank").cast("bigint").alias("rank"), "phrase", "a", "l", "r", "n", "score")
 
 

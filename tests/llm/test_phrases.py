@@ -54,6 +54,8 @@ def test_random_texts_by_brute_force(spark, longest, share, size):
         words = r.choices(vocabulary, weights, k=r.randrange(0, 80))
         docs.append((r.choice(["en", "de", None, ""]), "".join(w + r.choice([" ", " ", " ", "\t ", ". ", ",", "\n", "\r\n", " "]) for w in words)))
     docs += [("en", None), ("de", ""), (None, " .,; \n"), ("en", "the of " * 5000), ("en", "same line here again")] + [("fr", "one two one two one two")] * 6
+    # A word that is named as a language, in a language that is named as a word.
+    docs += [("es", "en of en of")] * 9 + [("en", "es of es of es of")] * 7
     df = spark.createDataFrame([(i, t, lang, "p", 1) for i, (lang, t) in enumerate(docs)], KIND).repartition(5)
     got = phrases.phrases(df, longest=longest, top=50, shard_bytes=size, dense_share=share)
     assert _rows(got) == _brute(docs, longest, 10, 50, 50)
@@ -61,8 +63,9 @@ def test_random_texts_by_brute_force(spark, longest, share, size):
 
 def test_products_beyond_64_bits(spark):
     n = 6_000_000_000
-    c = spark.createDataFrame([("en", "a b", n)], "lang string, phrase string, f long")
-    f = c.unionByName(spark.createDataFrame([("en", "a", n + 1), ("en", "b", 10**13)], c.schema))
+    kind = "w array<long>, f long, lang string"
+    c = spark.createDataFrame([([1, 2], n, None)], kind)
+    f = c.unionByName(spark.createDataFrame([([1], n + 1, "en"), ([2], 10**13, "en")], kind))
     assert phrases._scored(c, f).first()["score"] == 10**6 * n * n // ((n + 1) * 10**13)
 
 
