@@ -7,6 +7,7 @@
 from __future__ import annotations
 
 import re
+from functools import partial
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -86,7 +87,21 @@ def count(text: Column, pattern: str) -> Column:
 
 
 def redact(text: Column, pattern: str, mark: str) -> Column:
-    return _hinted(text, pattern, F.regexp_replace(text, java_pattern(pattern), mark), text)
+    """The text with the mark in place of each match. The text is bound once, so that calls can be nested at the cost of a sum."""
+    return F.get(F.transform(F.array(text), lambda t: _hinted(t, pattern, F.regexp_replace(t, java_pattern(pattern), mark), t)), F.lit(0))
+
+
+def redact_counted(text: Column, names: list[str], mark: str) -> Column:
+    """struct<t, n>: the text after all named patterns in turn, and how often each was replaced in what the earlier ones left."""
+    state = F.struct(text.alias("t"), F.array().cast("array<bigint>").alias("n"))
+    for name in names:
+        state = F.get(F.transform(F.array(state), partial(_redact_step, named_pattern(name), mark)), F.lit(0))
+    return state
+
+
+def _redact_step(pattern: str, mark: str, s: Column) -> Column:
+    left = _hinted(s["t"], pattern, F.regexp_replace(s["t"], java_pattern(pattern), mark), s["t"])
+    return F.struct(left.alias("t"), F.concat(s["n"], F.array(count(s["t"], pattern))).alias("n"))
 
 
 def match_spans(text: Column, pattern: str) -> Column:

@@ -25,15 +25,12 @@ def audit(before: DataFrame, key: str, text: str, names: list[str], mark: str =
 
     Patterns are applied in order, so each is counted on the text that the earlier ones leave.
     """
-    out = before.select(key, F.col(text).alias("_t0"))
-    # Column by column: each text is needed twice, so that no replacement is written out, or done, again.
-    for i, name in enumerate(names):
-        p = patterns.named_pattern(name)
-        out = out.withColumns({f"_n{i}": patterns.count(F.col(f"_t{i}"), p), f"_t{i + 1}": patterns.redact(F.col(f"_t{i}"), p, mark)})
-    counts = [F.when(F.col(f"_n{i}") > 0, F.concat(F.lit(f"{name}:"), F.col(f"_n{i}").cast("string"))) for i, name in enumerate(names)]
-    return out.filter(F.greatest(F.lit(0).cast("bigint"), *[f"_n{i}" for i in range(len(names))]) > 0).select(
-        key, F.concat_ws(",", *counts).alias("operations"), F.sha2("_t0", 256).alias("before_sha256"), F.sha2(f"_t{len(names)}", 256).alias("after_sha256")
-    )
+    done = patterns.redact_counted(F.col(text), names, mark)
+    # Rows without a match go as the state is unpacked: a filter would be pushed down and do all replacements again.
+    changed = F.explode(F.filter(F.array(done), lambda s: F.exists(s["n"], lambda n: n > 0)))
+    counts = [F.when(F.col("_s.n")[i] > 0, F.concat(F.lit(f"{name}:"), F.col("_s.n")[i].cast("string"))) for i, name in enumerate(names)]
+    rows = before.select(key, F.col(text).alias("_before"), changed.alias("_s"))
+    return rows.select(key, F.concat_ws(",", *counts).alias("operations"), F.sha2("_before", 256).alias("before_sha256"), F.sha2("_s.t", 256).alias("after_sha256"))
 
 
 def closed_overlap(a: str, b: str) -> Column:

@@ -10,7 +10,6 @@ from foliant.operators import dedup, redaction, search
 from foliant.plans.registry import query, table
 
 _NAMES = list(patterns.NAMED)
-_USED = ["email", "phone-us", "credit-card", "ipv4", "date-iso"]
 _MARK = "[X]"
 
 
@@ -53,20 +52,20 @@ def pattern_spans(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _redacted_sql(column: str) -> str:
-    for n in _USED:
+    for n in _NAMES:
         column = f"regexp_replace({column}, '{patterns.NAMED[n]}', '{_MARK}', 'g')"
     return column
 
 
 @query("pattern_redact_text", f"SELECT doc_id, sha256({_redacted_sql('text')}) AS redacted_sha256, length({_redacted_sql('text')}) AS redacted_chars FROM documents")
 def pattern_redact_text(spark: SparkSession, d: str) -> DataFrame:
-    out = redaction.redact_patterns(table(spark, d, "documents").select("doc_id", "text"), "text", _USED, _MARK)
+    out = redaction.redact_patterns(table(spark, d, "documents").select("doc_id", "text"), "text", _NAMES, _MARK)
     return out.select("doc_id", F.sha2("text", 256).alias("redacted_sha256"), F.length("text").cast("bigint").alias("redacted_chars"))
 
 
 def _audit_sql() -> str:
     column, counts = "text", []
-    for n in _USED:
+    for n in _NAMES:
         counts.append(f"CASE WHEN len(regexp_extract_all({column}, '{patterns.NAMED[n]}')) > 0 THEN '{n}:' || len(regexp_extract_all({column}, '{patterns.NAMED[n]}')) END")
         column = f"regexp_replace({column}, '{patterns.NAMED[n]}', '{_MARK}', 'g')"
     return f"SELECT * FROM (SELECT doc_id, concat_ws(',', {', '.join(counts)}) AS operations, sha256(text) AS before_sha256, sha256({column}) AS after_sha256 FROM documents) WHERE operations <> ''"
@@ -74,7 +73,7 @@ def _audit_sql() -> str:
 
 @query("redaction_audit", _audit_sql())
 def redaction_audit(spark: SparkSession, d: str) -> DataFrame:
-    return redaction.audit(table(spark, d, "documents").select("doc_id", "text"), "doc_id", "text", _USED, _MARK)
+    return redaction.audit(table(spark, d, "documents").select("doc_id", "text"), "doc_id", "text", _NAMES, _MARK)
 
 
 @query("redact_literal", "SELECT doc_id, sha256(replace(text, 'the', '[X]')) AS text_sha256 FROM documents WHERE contains(text, 'the')")

@@ -94,3 +94,20 @@ def test_strings(spark):
     assert row.x == "&lt;a href=&#39;x&#39;&gt;&amp;&quot;"
     assert row.c == '"say ""hi""",""'
     assert (row.long, row.short, row.f, row.b, row.s) == ("1234567", "000042", "Helvetica", "1.5 KB", "report.final")
+
+
+def test_plans_of_many_patterns_grow_by_a_constant(spark):
+    from foliant.functions import patterns
+    from foliant.operators import redaction
+
+    df = spark.range(1).selectExpr("id", "'call 555-123-4567 or a@b.co' AS text")
+    names = list(patterns.NAMED)
+
+    def plan(out):
+        return out._jdf.queryExecution().optimizedPlan().toString().count("regexp_replace")
+
+    for k in (3, 12):
+        assert plan(redaction.redact_patterns(df, "text", names[:k])) == k
+        assert plan(redaction.audit(df, "id", "text", names[:k])) == k
+    row = redaction.audit(df, "id", "text", names, "[X]").collect()[0]
+    assert row["operations"] == "email:1,phone-us:1"
