@@ -33,6 +33,8 @@ HOT_SHARE = 1000
 OPEN_PAIRS = 1
 #: Another leader is tried while one in so many tests links.
 FRUITFUL = 50
+#: Rounds of leaders that may link fewer, in a row, before the rest is tested.
+PATIENCE = 1
 #: Rows of one key that one task pairs with the others.
 BLOCK_ROWS = 1000
 
@@ -138,6 +140,7 @@ def link_groups(
     star_rounds: int = 6,
     central: list[str] | None = None,
     few_keys: bool = False,
+    open_pairs: float = OPEN_PAIRS,
 ) -> DataFrame | None:
     """(id, root) of ids with links, or None if there are none.
 
@@ -145,6 +148,7 @@ def link_groups(
     compatible(left, right): a filter on two rows' attributes that every link passes.
     verify(pairs (a, b)): the pairs that link.
     star_rounds: tests against leaders end after so many rounds, or once few pairs are left, or few linked.
+    open_pairs: of each row of postings, so many pairs across components are tested without looking for another leader first.
     few_keys: rows stand under a few keys each, so that a pair can be made under its first common key alone.
     central: columns by which the first leader of a key is chosen, least first; one that links with
     many spares most tests.
@@ -158,13 +162,21 @@ def link_groups(
         m = mapping.select("id", F.col("root").alias("_r"))
         return postings.join(m, "id", "left").withColumn("_root", F.coalesce("_r", "id")).drop("_r")
 
+    total, idle, opened = None, 0, None
     for turn in range(star_rounds):
         rows = rooted()
         if turn:
+            # Keys within one component are done for good; the others alone are looked at again.
+            total = postings.count() if total is None else total
+            mixed = rows.groupBy("key").agg(F.min("_root").alias("_lo"), F.max("_root").alias("_hi"), F.count("*").alias("_n")).filter("_lo <> _hi").select("key", "_n")
+            mixed = scratch.save(mixed, "open-keys")
+            postings = scratch.save(join_counted(rows, mixed, "key").drop("_n", "_root"), "open")
+            scratch.drop(mixed, opened)
+            opened, rows = postings, rooted()
             # Pairs across components, key by key: their number is known without making them.
-            parts = rows.groupBy("key", "_root").agg(F.count("*").alias("c")).groupBy("key").agg((F.sum("c") ** 2 - F.sum(F.col("c") ** 2)).alias("open"), F.sum("c").alias("c"))
-            left = parts.agg(F.sum(F.col("open") / 2), F.sum("c")).first()
-            if not left[1] or left[0] <= OPEN_PAIRS * left[1]:
+            parts = rows.groupBy("key", "_root").agg(F.count("*").alias("c")).groupBy("key").agg((F.sum("c") ** 2 - F.sum(F.col("c") ** 2)).alias("open"))
+            left = parts.agg(F.sum(F.col("open") / 2)).first()[0]
+            if not left or left <= open_pairs * total:
                 break
         order = F.struct(*(central or []), "id") if turn == 0 else F.struct(F.xxhash64(F.lit(turn), "id"))
         leaders = rows.groupBy("key").agg(F.min_by(F.struct("id", "_root", *attributes), order).alias("lead"), F.min("_root").alias("_lo"), F.max("_root").alias("_hi"), F.count("*").alias("_n"))
@@ -174,10 +186,10 @@ def link_groups(
         pairs = scratch.save(near, "pairs")
         links = scratch.save(verify(pairs), "links")
         tested.append(pairs)
-        fruitful = links.count() * FRUITFUL >= pairs.count()
+        idle = 0 if links.count() * FRUITFUL >= pairs.count() else idle + 1
         mapping = _compose(mapping, links, scratch)
         scratch.drop(links, leaders)
-        if not fruitful:
+        if idle > PATIENCE:
             break
 
     rows = rooted()
@@ -202,7 +214,7 @@ def link_groups(
         pairs = pairs.join(t.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti")
     pairs = scratch.save(pairs, "pairs")
     mapping = _compose(mapping, scratch.save(verify(pairs), "links"), scratch)
-    scratch.drop(mixed, pairs, *tested)
+    scratch.drop(mixed, pairs, opened, *tested)
     return mapping
 
 

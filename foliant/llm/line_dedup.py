@@ -51,6 +51,9 @@ SHORT_SHIFT = 4
 #: Lines of more characters are compared one by one, after a script of at most so many edits of words.
 LONG_LINE = 3000
 WORD_EDITS = 24
+#: Leaders of a key that its lines are tested against at most, and the share of pairs, by postings, that ends the search for leaders.
+STAR_ROUNDS = 10
+OPEN_PAIRS = 0.01
 _MINIMA = (X.mix(np.arange(1, 5 * TABLES // 2 + 1, dtype=np.uint64)) >> np.uint64(32)).astype(np.uint32) | np.uint32(1)
 _KEYS = [f"k{i}" for i in range(TABLES // 2)]
 
@@ -338,7 +341,7 @@ def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     texts = scratch.save(texts.join(asked, "lh", "left_semi").dropDuplicates(["lh"]), "texts")
     # No two lines whose lengths differ by more can be similar enough.
     fit = lambda left, right: 100 * F.abs(left("chars") - right("chars")) <= (100 - similarity) * F.greatest(left("chars"), right("chars"))
-    roots = link_groups(postings, ["chars"], fit, _similar(texts, similarity), scratch, star_rounds=3, few_keys=True)
+    roots = link_groups(postings, ["chars"], fit, _similar(texts, similarity), scratch, star_rounds=STAR_ROUNDS, few_keys=True, open_pairs=OPEN_PAIRS)
     scratch.drop(postings, texts)
 
     # Lines of one text that occurs more than once, and lines of groups; the first occurrence of each group stays.
