@@ -42,7 +42,7 @@ LEAST = 10
 COVERED = 50
 TOP = 2000
 UNKNOWN = "und"
-SHARD_BYTES = 4 << 20
+SHARD_BYTES = 1 << 20
 #: Rows of a batch that goes back to Spark.
 OUT_ROWS = 1 << 16
 #: Of so many positions one is filled by a word whose set is a packed bitmap.
