@@ -126,14 +126,14 @@ def clamp_range(first: Column, last: Column, n_pages: Column) -> tuple[Column, C
     return F.when(first <= 0, 1).otherwise(first), F.when((last <= 0) | (last > n_pages), n_pages).otherwise(last)
 
 
-def bates(pages: DataFrame, order: list[str], prefix: str, suffix: str, digits: int, start: int = 1, partition: list[str] | None = None) -> DataFrame:
+def bates(pages: DataFrame, order: list[str], prefix: str | Column, suffix: str | Column, digits: int | Column, start: int = 1, partition: list[str] | None = None) -> DataFrame:
     """A running number on every page; numbers longer than ``digits`` keep all digits.
 
     Numbers run through ``partition`` (one document or production set), so that no single
     task orders everything.
     """
     n = F.row_number().over(Window.partitionBy(*(partition or ["doc_id"])).orderBy(*order)) - 1 + start
-    return pages.withColumn("label", F.concat(F.lit(prefix), padded_number(n, digits), F.lit(suffix)))
+    return pages.withColumn("label", F.concat(F.lit(prefix), padded_number(n, F.lit(digits)), F.lit(suffix)))
 
 
 def header_footer(pages: DataFrame, template: str) -> DataFrame:

@@ -107,6 +107,14 @@ def is_newer(remote: Column, local: Column) -> Column:
     return pad(a) > pad(b)
 
 
+def compress_preset(name: Column) -> Column:
+    """struct<dpi, quality, strip_metadata> of a preset, null for a name that is none."""
+    out = F.lit(None).cast("struct<dpi:int,quality:int,strip_metadata:boolean>")
+    for n, dpi, quality, strip in COMPRESS_PRESETS:
+        out = F.when(name == n, F.struct(F.lit(dpi).alias("dpi"), F.lit(quality).alias("quality"), F.lit(strip).alias("strip_metadata"))).otherwise(out)
+    return out
+
+
 def provenance_verdict(origin: Column, signed: Column, path: Column) -> Column:
     """error: a full rewrite of a signed document; warn: of an unsigned one born as PDF; else allow."""
     rewrite = path == "DjotThenSave"

@@ -79,11 +79,16 @@ def crop_resize_pages(spark: SparkSession, d: str) -> DataFrame:
     return docs.select("doc_id", cropped["x"].alias("x"), cropped["w"].alias("crop_w"), resized["w"].alias("new_w"))
 
 
-@query("page_range_parse", """SELECT spec, n, array_to_string(list_sort(list_distinct(p)), ' ') AS pages FROM (VALUES
-('1-3,5,7-9', 10, [0, 1, 2, 4, 6, 7, 8]), ('2', 5, [1]), ('', 5, []), ('1-100', 5, [0, 1, 2, 3, 4]), ('5-2,1', 5, [0]), ('x,3-,2', 5, [1]), ('2,2,1-2', 5, [0, 1])) t(spec, n, p)""")
+@query("page_range_parse", """
+WITH o AS (SELECT o_orderkey, o_orderkey % 9 AS a, o_custkey % 14 AS b, o_custkey % 12 + 1 AS c, 4 + o_orderkey % 7 AS n FROM orders),
+p AS (SELECT o_orderkey, list_concat(generate_series(greatest(a, 1) - 1, least(b, n) - 1), CASE WHEN c <= n THEN [c - 1] ELSE [] END) AS p FROM o)
+SELECT o_orderkey, array_to_string(list_sort(list_distinct(p)), ' ') AS pages FROM p""")
 def page_range_parse(spark: SparkSession, d: str) -> DataFrame:
-    rows = [("1-3,5,7-9", 10), ("2", 5), ("", 5), ("1-100", 5), ("5-2,1", 5), ("x,3-,2", 5), ("2,2,1-2", 5)]
-    return spark.createDataFrame(rows, "spec string, n int").withColumn("pages", F.array_join(pages.page_range(F.col("spec"), F.col("n")).cast("array<string>"), " "))
+    """Specifications such as "3-7,2" with bad parts between, of documents of 4 to 10 pages."""
+    a, b, c = F.col("o_orderkey") % 9, F.col("o_custkey") % 14, F.col("o_custkey") % 12 + 1
+    spec = F.concat(a.cast("string"), F.lit(" - "), b.cast("string"), F.lit(", x,3-,"), c.cast("string"), F.lit(","), c.cast("string"))
+    found = pages.page_range(spec, (4 + F.col("o_orderkey") % 7).cast("int"))
+    return table(spark, d, "orders").select("o_orderkey", F.array_join(found.cast("array<string>"), " ").alias("pages"))
 
 
 @query("page_range_clamp", """SELECT o_orderkey, CASE WHEN a <= 0 THEN 1 ELSE a END AS first, CASE WHEN b <= 0 OR b > n THEN n ELSE b END AS last
@@ -100,9 +105,18 @@ def bates_labels(spark: SparkSession, d: str) -> DataFrame:
     return pages.bates(_pages(spark, d), ["page_no"], "PROD", "-C", 6, start=99999).select("doc_id", "page_no", "label")
 
 
-@query("bates_presets", "SELECT * FROM (VALUES " + ", ".join(f"({i}, '{n}', '{p}', '{s}', {k}, '{at}')" for i, (n, p, s, k, at) in enumerate(pages.BATES_PRESETS)) + ") t(position, name, prefix, suffix, digits, place)")
+_BATES = ", ".join(f"({i}, '{n}', '{p}', '{s}', {k}, '{at}')" for i, (n, p, s, k, at) in enumerate(pages.BATES_PRESETS))
+
+
+@query("bates_presets", f"""WITH {PAGES}, n AS (SELECT doc_id, page_no, CAST(9998 + row_number() OVER (PARTITION BY doc_id ORDER BY page_no) AS VARCHAR) AS s FROM pages)
+SELECT doc_id, page_no, name, prefix || lpad(s, CAST(greatest(length(s), digits) AS INTEGER), '0') || suffix AS label, place
+FROM n JOIN (VALUES {_BATES}) t(position, name, prefix, suffix, digits, place) ON position = doc_id % {len(pages.BATES_PRESETS)}""")
 def bates_presets(spark: SparkSession, d: str) -> DataFrame:
-    return spark.createDataFrame([(i, *p) for i, p in enumerate(pages.BATES_PRESETS)], "position int, name string, prefix string, suffix string, digits int, place string")
+    """The pages of every document numbered by one of the presets."""
+    kind = "struct<name: string, prefix: string, suffix: string, digits: int, place: string>"
+    preset = F.get(F.array(*[F.struct(*map(F.lit, p)).cast(kind) for p in pages.BATES_PRESETS]), (F.col("doc_id") % len(pages.BATES_PRESETS)).cast("int"))
+    out = pages.bates(_pages(spark, d).withColumn("preset", preset), ["page_no"], F.col("preset.prefix"), F.col("preset.suffix"), F.col("preset.digits"), start=9999)
+    return out.select("doc_id", "page_no", "preset.name", "label", "preset.place")
 
 
 @query("header_footer", f"WITH {PAGES} SELECT doc_id, page_no, 'Page ' || (page_no + 1) || ' of ' || count(*) OVER (PARTITION BY doc_id) AS footer FROM pages")

@@ -93,10 +93,15 @@ def dimension_guards(spark: SparkSession, d: str) -> DataFrame:
     return o.select("o_orderkey", status.within_limits(w, h, "ocr").alias("ocr"), status.within_limits(w, h, "render").alias("render"))
 
 
-@query("newer_versions", """SELECT a, b, newer FROM (VALUES ('1.2.3', '0.2.0', true), ('1.2', '1.2.0', false), ('1.10', '1.9', true), ('1.x', '1.0', false), ('2', '1.9.9', true), ('1.0', '1.0.1', false), ('', '0', false)) t(a, b, newer)""")
+@query("newer_versions", """
+WITH v AS (SELECT p_partkey, p_size % 4 AS a1, p_partkey % 13 AS a2, p_size % 3 AS b1, p_partkey % 11 AS b2, CASE p_partkey % 5 WHEN 4 THEN 1 ELSE 0 END AS b3 FROM part)
+SELECT p_partkey, a1 > b1 OR (a1 = b1 AND (a2 > b2 OR (a2 = b2 AND 0 > b3))) AS newer FROM v""")
 def newer_versions(spark: SparkSession, d: str) -> DataFrame:
-    rows = [("1.2.3", "0.2.0"), ("1.2", "1.2.0"), ("1.10", "1.9"), ("1.x", "1.0"), ("2", "1.9.9"), ("1.0", "1.0.1"), ("", "0")]
-    return spark.createDataFrame(rows, "a string, b string").withColumn("newer", status.is_newer(F.col("a"), F.col("b")))
+    """Versions of two parts against those of two or three, of which some have no number."""
+    k, s = F.col("p_partkey"), F.col("p_size")
+    dotted = lambda *parts: F.concat_ws(".", *[p.cast("string") for p in parts])
+    tail = F.get(F.array(F.lit(""), F.lit(".0"), F.lit(".x"), F.lit("."), F.lit(".1")), (k % 5).cast("int"))
+    return table(spark, d, "part").select("p_partkey", status.is_newer(dotted(s % 4, k % 13), F.concat(dotted(s % 3, k % 11), tail)).alias("newer"))
 
 
 @query("provenance_guard", """SELECT event_id, CASE WHEN p = 'DjotThenSave' AND s THEN 'error' WHEN p = 'DjotThenSave' AND o = 'BornPDF' THEN 'warn' ELSE 'allow' END AS verdict FROM
@@ -180,9 +185,18 @@ def cache_hit_rate(spark: SparkSession, d: str) -> DataFrame:
     return status.hit_rate(table(spark, d, "events"), ["user_id"], F.col("event_type") == "view")
 
 
-@query("compress_presets", "SELECT * FROM (VALUES " + ", ".join(f"('{n}', {dpi}, {q}, {str(s).lower()})" for n, dpi, q, s in status.COMPRESS_PRESETS) + ") t(name, dpi, quality, strip_metadata)")
+_COMPRESS = ", ".join(f"('{n}', {dpi}, {q}, {str(s).lower()})" for n, dpi, q, s in status.COMPRESS_PRESETS)
+
+
+@query("compress_presets", f"""
+SELECT p_partkey, name, dpi, quality, strip_metadata, greatest(CAST(trunc(w * least(1.0::DOUBLE, dpi::DOUBLE / 300)) AS INTEGER), 1) AS w
+FROM (SELECT p_partkey, p_partkey % 3000 AS w, ['Screen', 'Ebook', 'Printer', 'None'][p_partkey % 4 + 1] AS name FROM part) JOIN (VALUES {_COMPRESS}) t(name, dpi, quality, strip_metadata) USING (name)""")
 def compress_presets(spark: SparkSession, d: str) -> DataFrame:
-    return spark.createDataFrame(status.COMPRESS_PRESETS, "name string, dpi int, quality int, strip_metadata boolean")
+    """Images of 300 dots an inch under a preset by name; an unknown name has none."""
+    name = F.get(F.array(*map(F.lit, ["Screen", "Ebook", "Printer", "None"])), (F.col("p_partkey") % 4).cast("int"))
+    p = table(spark, d, "part").withColumn("name", name).withColumn("p", status.compress_preset(F.col("name"))).filter("p IS NOT NULL")
+    w = F.greatest((F.col("p_partkey") % 3000 * F.least(F.lit(1.0), F.col("p.dpi") / 300)).cast("int"), F.lit(1))
+    return p.select("p_partkey", "name", "p.dpi", "p.quality", "p.strip_metadata", w.alias("w"))
 
 
 @query("sanitized_objects", """SELECT event_id, kind, CASE WHEN event_id % 3 = 0 THEN 'GoTo' END AS action, CASE kind WHEN 'trailer' THEN 'Keep' WHEN 'catalog' THEN 'Info Keep V' WHEN 'page' THEN 'Info Keep V' WHEN 'annotation' THEN 'Info Keep V' WHEN 'field' THEN 'Info Keep' ELSE 'Info Keep V' END AS names

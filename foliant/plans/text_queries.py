@@ -27,9 +27,17 @@ def pattern_match_counts(spark: SparkSession, d: str) -> DataFrame:
     return hits.groupBy("lang", F.col("m.pattern").alias("pattern")).agg(F.count("*").alias("n_docs"), F.sum("m.n").alias("n_matches"))
 
 
-@query("pattern_catalog", "SELECT * FROM (VALUES " + ", ".join(f"({i}, '{n}', '{p}')" for i, (n, p) in enumerate(patterns.NAMED.items())) + ") t(position, name, pattern)")
+_CATALOG = ", ".join(f"({i}, '{n}', '{p}')" for i, (n, p) in enumerate(patterns.NAMED.items()))
+
+
+@query("pattern_catalog", f"""
+SELECT position, name, t.pattern, coalesce(n_docs, 0) AS n_docs FROM (VALUES {_CATALOG}) t(position, name, pattern)
+LEFT JOIN (SELECT pattern AS name, count(*) AS n_docs FROM ({_counts("documents")}) WHERE n > 0 GROUP BY 1) USING (name)""")
 def pattern_catalog(spark: SparkSession, d: str) -> DataFrame:
-    return patterns.available_patterns(spark)
+    """The catalogue of patterns, and how many documents have a match of each."""
+    has = F.array(*[F.when(patterns.count(F.col("text"), p) > 0, n) for n, p in patterns.NAMED.items()])
+    found = table(spark, d, "documents").select(F.explode(F.array_compact(has)).alias("name")).groupBy("name").agg(F.count("*").alias("n_docs"))
+    return patterns.available_patterns(spark).join(found, "name", "left").select("position", "name", "pattern", F.coalesce("n_docs", F.lit(0)).alias("n_docs"))
 
 
 @query("pattern_matches", f"""
