@@ -42,7 +42,9 @@ LEAST = 10
 COVERED = 50
 TOP = 2000
 UNKNOWN = "und"
-SHARD_BYTES = 1 << 20
+SHARD_BYTES = 2 << 20
+#: Bytes of texts of a batch that goes to a Python worker here.
+BATCH_BYTES = 4 << 20
 #: Rows of a batch that goes back to Spark.
 OUT_ROWS = 1 << 16
 #: Of so many positions one is filled by a word whose set is a packed bitmap.
@@ -190,12 +192,16 @@ def _phrases_of(shard: Shard, h: np.ndarray, sieves: list[Sieve], length: int, d
 def _shards_of(batches: Iterator[pa.RecordBatch], shard_bytes: int) -> Iterator[tuple[str, Shard, np.ndarray]]:
     """Each shard with words, its language and the hashes of its words."""
     for b in batches:
-        texts, langs = b.column(1), b.column(0).fill_null(UNKNOWN)
-        for lang in pc.unique(langs).to_pylist():
-            for data, offsets in _shards(texts.filter(pc.equal(langs, lang)), shard_bytes):
-                shard = Shard(data, offsets)
-                if shard.n:
-                    yield lang, shard, _in_language(_all_hashes(shard.words), lang)
+        # A few rows at a time, so that what is made of them is small and given back.
+        for c in X.chunks(b.column(1), shard_bytes):
+            rows = b.slice(c.first, c.n)
+            langs = rows.column(0)
+            for lang in pc.unique(langs).to_pylist():
+                for data, offsets in _shards(rows.column(1).filter(pc.equal(langs, lang)), shard_bytes):
+                    shard = Shard(data, offsets)
+                    if shard.n:
+                        yield lang, shard, _in_language(_all_hashes(shard.words), lang)
+        pa.default_memory_pool().release_unused()
 
 
 def _out(columns: dict[str, pa.Array]) -> Iterator[pa.RecordBatch]:
@@ -308,6 +314,21 @@ def phrases(
 ) -> DataFrame:
     """lang, rank, phrase, a, l, r, n, score: the first ``top`` phrases of two to ``longest`` words of each language."""
     spark, scratch = docs.sparkSession, Scratch(docs.sparkSession, "phrases")
+    size = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(size)
+    spark.conf.set(size, str(BATCH_BYTES))
+    try:
+        best, totals = _best(docs, scratch, lang_col, text_col, longest, least, covered, top, shard_bytes, dense_share)
+    finally:
+        spark.conf.set(size, before)
+    return best.join(totals, "lang").select("lang", F.col("rank").cast("bigint").alias("rank"), "phrase", "a", "l", "r", "n", "score")
+
+
+def _best(
+    docs: DataFrame, scratch: Scratch, lang_col: str, text_col: str, longest: int, least: int, covered: int, top: int, shard_bytes: int, dense_share: int
+) -> tuple[DataFrame, DataFrame]:
+    """The first phrases of each language, and how many words it has; all passes over the texts are done."""
+    spark = docs.sparkSession
     docs = docs.select(F.coalesce(lang_col, F.lit(UNKNOWN)).alias("lang"), F.coalesce(text_col, F.lit("")).alias("text"))
     all_words = scratch.save(words(docs, shard_bytes).filter(F.col("h0").isNull() | (F.col("f") >= least)), "words")
     totals = all_words.filter("h0 IS NULL").select("lang", F.col("f").alias("n"))
@@ -326,8 +347,7 @@ def phrases(
     named = scratch.save(names(docs, longest, [*sieves, wanted], shard_bytes, dense_share), "names")
     for s in [*sieves, wanted]:
         s.unpersist()
-    best = _firsts(first.join(named, "w"), top, [*order, F.asc("phrase")], F.row_number())
-    return best.join(totals, "lang").select("lang", F.col("rank").cast("bigint").alias("rank"), "phrase", "a", "l", "r", "n", "score")
+    return _firsts(first.join(named, "w"), top, [*order, F.asc("phrase")], F.row_number()), totals
 
 
 def oracle() -> str:
