@@ -101,3 +101,39 @@ def provenance_parts(joined: Column) -> Column:
         F.when(at > 0, F.substring(joined, F.lit(1), at - 1)).otherwise(joined).alias("attributes"),
         F.when(at > 0, F.substring(joined, at + 1, F.length(joined))).otherwise("").alias("path"),
     )
+
+
+#: Control characters that literal strings name by a letter.
+_NAMED_CONTROLS = {"\n": "n", "\r": "r", "\t": "t", "\b": "b", "\f": "f"}
+
+
+def literal_escape(text: Column) -> Column:
+    """A literal string's inner text: brackets and backslashes escaped, controls by letter, other bytes beyond ASCII in octal.
+
+    What is escaped already stays as it is, but for bytes in octal: a backslash before a digit is a backslash of
+    the text. The text is cut into escapes, single special bytes and plain runs, and each is written by itself.
+    """
+    raw = F.decode(F.encode(text, "UTF-8"), "ISO-8859-1")
+    parts = F.regexp_extract_all(raw, F.lit(r"\\[()\\nrtbf]|[()\\]|[^\x20-\x7e]|[^()\\\x00-\x1f\x7f-\xff]+"), 0)
+
+    def written(p: Column) -> Column:
+        out = F.when((F.length(p) > 1) | p.rlike(r"^[\x20-\x7e]$"), p).otherwise(F.concat(F.lit("\\"), F.lpad(F.conv(F.ascii(p), 10, 8), 3, "0")))
+        for control, letter in _NAMED_CONTROLS.items():
+            out = F.when(p == control, "\\" + letter).otherwise(out)
+        return F.when(p.isin("(", ")", "\\"), F.concat(F.lit("\\"), p)).otherwise(out)
+
+    return F.array_join(F.transform(parts, written), "")
+
+
+def literal_unescape(text: Column) -> Column:
+    """What a literal string's inner text stands for: one to three octal digits are a byte, an unknown escape is its letter, a last lone backslash stays."""
+    parts = F.regexp_extract_all(F.decode(F.encode(text, "UTF-8"), "ISO-8859-1"), F.lit(r"(?s)\\[0-7]{1,3}|\\.|\\|[^\\]+"), 0)
+
+    def meant(p: Column) -> Column:
+        octal = F.chr(F.conv(F.substring(p, 2, 3), 8, 10).cast("bigint").bitwiseAND(F.lit(255).cast("bigint")))
+        out = F.when(p.rlike(r"^\\[0-7]"), octal).when(p.startswith("\\") & (F.length(p) == 2), F.substring(p, 2, 1)).otherwise(p)
+        for control, letter in _NAMED_CONTROLS.items():
+            out = F.when(p == "\\" + letter, control).otherwise(out)
+        return out
+
+    return F.decode(F.encode(F.array_join(F.transform(parts, meant), ""), "ISO-8859-1"), "UTF-8")

@@ -22,11 +22,6 @@ def duplicate_map(df: DataFrame, key: str, digest: Column) -> DataFrame:
     return rows.join(first, "digest").filter(F.col(key) != F.col("first_doc")).select(key, "first_doc")
 
 
-def differing_pairs(pairs: DataFrame, left: str, right: str) -> DataFrame:
-    """Pairs whose digests differ: equal contents need no comparison."""
-    return pairs.filter(F.sha2(left, 256) != F.sha2(right, 256))
-
-
 def optimize_estimate(
     parts: DataFrame, keys: list[str], target_dpi: int, downsample: bool = True, deduplicate: bool = True, subset_fonts: bool = True, remove_unused: bool = True
 ) -> DataFrame:

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from foliant.functions import geometry
+from foliant.operators import scan
 
 #: Fixed values, in order: ties of a vote go to the earlier one.
 REGION_TYPES = ["Title", "Paragraph", "Table", "Figure", "List", "Header", "Footer", "Equation", "Reference", "Caption", "Other"]
@@ -250,25 +251,18 @@ def ctc_text(steps: DataFrame, keys: list[str], blank: int, alphabet: list[str])
 
 
 def components(pixels: DataFrame) -> DataFrame:
-    """(doc_id, page_no, component, area, x, y, w, h) of 4-connected ink pixels, page by page."""
+    """(doc_id, page_no, component, area, x, y, w, h) of 4-connected ink pixels, page by page; pages in strips are for ``scan``."""
 
     def page(pdf: pd.DataFrame) -> pd.DataFrame:
-        left = set(zip(pdf.x.tolist(), pdf.y.tolist(), strict=True))
-        doc, no, rows = pdf.doc_id.iloc[0], pdf.page_no.iloc[0], []
-        for seed in sorted(left, key=lambda p: (p[1], p[0])):
-            if seed not in left:
-                continue
-            left.discard(seed)
-            stack, found = [seed], []
-            while stack:
-                x, y = stack.pop()
-                found.append((x, y))
-                for n in ((x + 1, y), (x - 1, y), (x, y + 1), (x, y - 1)):
-                    if n in left:
-                        left.discard(n)
-                        stack.append(n)
-            xs, ys = [p[0] for p in found], [p[1] for p in found]
-            rows.append((doc, no, len(rows), len(found), min(xs), min(ys), max(xs) - min(xs) + 1, max(ys) - min(ys) + 1))
-        return pd.DataFrame(rows, columns=["doc_id", "page_no", "component", "area", "x", "y", "w", "h"])
+        pdf = pdf.drop_duplicates(["x", "y"]).sort_values(["y", "x"])
+        x, y = pdf.x.to_numpy(), pdf.y.to_numpy()
+        starts = np.flatnonzero(np.concatenate([[True], (np.diff(y) != 0) | (np.diff(x) != 1)]))
+        ends = np.append(starts[1:], len(x)) - 1
+        left, right, row = x[starts].astype(np.int64), x[ends].astype(np.int64), y[starts].astype(np.int64)
+        root = scan.labelled(row - row[0], left - left.min(), right - left.min(), False)
+        runs = pd.DataFrame({"root": root, "area": right - left + 1, "left": left, "right": right, "y": row})
+        g = runs.groupby("root", sort=True).agg(area=("area", "sum"), x=("left", "min"), right=("right", "max"), y=("y", "min"), below=("y", "max")).reset_index(drop=True)
+        out = pd.DataFrame({"doc_id": pdf.doc_id.iloc[0], "page_no": pdf.page_no.iloc[0], "component": np.arange(len(g)), "area": g.area, "x": g.x, "y": g.y, "w": g.right - g.x + 1, "h": g.below - g.y + 1})
+        return out
 
     return pixels.select("doc_id", "page_no", "x", "y").groupBy(*PAGE).applyInPandas(page, "doc_id bigint, page_no int, component int, area int, x int, y int, w int, h int")

@@ -78,18 +78,6 @@ def untouched(elements: DataFrame, rects: DataFrame, rule: Column) -> DataFrame:
     return elements.alias("e").join(rects.alias("r"), on_page("e", "r") & rule, "left_anti")
 
 
-def redact_pages(texts: DataFrame, images: DataFrame, annotations: DataFrame, rects: DataFrame) -> dict[str, DataFrame]:
-    """All three element tables without what the rectangles cover, and one audit row a page."""
-    gone = touched(texts, rects, baseline_inside("e", "r"))
-    log = rects.groupBy("doc_id", "page_no").agg(F.count("*").alias("n_regions")).join(gone.groupBy("doc_id", "page_no").agg(F.count("*").alias("n_texts")), ["doc_id", "page_no"], "left")
-    return {
-        "texts": untouched(texts, rects, baseline_inside("e", "r")),
-        "images": untouched(images, rects, closed_overlap("e", "r")),
-        "annotations": untouched(annotations, rects, open_overlap("e", "r")),
-        "audit": log.fillna(0, ["n_texts"]),
-    }
-
-
 def marks_by_page(marks: DataFrame) -> DataFrame:
     """Redaction marks as one row a page, rectangles in order of their id."""
     only = marks.filter("mode = 'Redact'")

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foliant.operators import graph, review
+from foliant.operators import graph, nested, review
 from foliant.plans.page_queries import LINES
 from foliant.plans.registry import query, table
 from foliant.sources import objects
@@ -160,3 +160,27 @@ def repaired_files(spark: SparkSession, d: str) -> DataFrame:
     whole = F.when(e % 5 == 0, F.lit("%PDF-1.5\nnothing")).when(e % 5 == 4, F.concat(body, tail)).otherwise(F.concat(body, rows_of, tail))
     files = table(spark, d, "events").select(e.alias("file"), F.encode(whole, "ISO-8859-1").alias("content"))
     return objects.load_status(objects.object_rows(files)).select("file", "status", "n_objects")
+
+
+@query("redact_forms", """
+WITH c AS (SELECT c_custkey AS k, (c_custkey % 200 - 100) / 2.0 AS x0, c_custkey % 90 - 50 AS x1 FROM customer),
+r AS (SELECT k AS file, 0 AS page_no, x0 + 2.5 >= 10 AND x0 <= 40 AS gone FROM c UNION ALL SELECT k, 1, x1 + 5 >= 10 AND x1 <= 40 FROM c)
+SELECT file, page_no, 'outer' AS text, 1::BIGINT AS n_removed, 1::BIGINT AS n_copies FROM r WHERE gone""")
+def redact_forms(spark: SparkSession, d: str) -> DataFrame:
+    """A form that two pages draw, on one of them twice as large: a file a customer, a rectangle a page."""
+    k = F.col("c_custkey")
+    body = F.lit(
+        "1 0 obj\n<< /Type /Catalog /Pages 2 0 R >>\nendobj\n2 0 obj\n<< /Type /Pages /Kids [3 0 R 4 0 R] /Resources << /XObject << /A 10 0 R >> >> >>\nendobj\n"
+        "3 0 obj\n<< /Type /Page /Contents 5 0 R >>\nendobj\n4 0 obj\n<< /Type /Page /Contents 6 0 R >>\nendobj\n"
+    )
+    first, second = F.lit("BT /F 10 Tf 1 0 0 1 5 5 Tm (plain) Tj ET q 2 0 0 2 100 100 cm /A Do Q"), F.lit("q 1 0 0 1 50 50 cm /A Do Q")
+    form = F.lit("<< /Subtype /Form /BBox [0 0 200 200] /Length 42 >>\nstream\nBT /F 10 Tf 1 0 0 1 10 10 Tm (outer) Tj ET\nendstream")
+    customers = table(spark, d, "customer")
+    files = customers.select(k.alias("file"), _file(body, _object(F.lit(5), _stream(first)), _object(F.lit(6), _stream(second)), _object(F.lit(10), form)).alias("content"))
+    rows = review._cut(objects.object_rows(files))
+    pages = graph.page_tree(rows)
+    sides = F.explode(F.array(F.struct(F.lit(0).alias("page_no"), (k % 200).alias("x"), F.lit(119).alias("y")), F.struct(F.lit(1).alias("page_no"), (k % 90).alias("x"), F.lit(59).alias("y"))))
+    rects = customers.select(k.alias("file"), sides.alias("s")).select("file", "s.*", F.lit(5).alias("w"), F.lit(5).alias("h"))
+    out = nested.redact(rows, pages, graph.page_contents(rows, pages), rects)
+    removed = out["removed"].groupBy("file", "page_no", "text").agg(F.count("*").alias("n_removed"))
+    return removed.join(out["copies"].groupBy("file", "page_no").agg(F.count("*").alias("n_copies")), ["file", "page_no"])

@@ -154,6 +154,20 @@ def escaped_text(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").select("doc_id", *[F.sha2(v, 256).alias(f"{k}_sha256") for k, v in named.items()])
 
 
+@query("literal_escapes", r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(hex(encode(replace(coalesce(text, ''), '\', '/'))), '..') AS b FROM documents),
+e AS (SELECT doc_id, len(list_filter(b, lambda x: (x < '20' AND x NOT IN ('08', '09', '0A', '0C', '0D')) OR x > '7E')) = 0 AS plain, array_to_string(list_transform(b, lambda x: CASE WHEN x IN ('28', '29') THEN '\' || chr(CAST('0x' || x AS INTEGER)) WHEN x = '0A' THEN '\n' WHEN x = '0D' THEN '\r' WHEN x = '09' THEN '\t'
+      WHEN x = '08' THEN '\b' WHEN x = '0C' THEN '\f' WHEN x < '20' OR x > '7E' THEN '\' || (CAST('0x' || x AS INTEGER) // 64) || (CAST('0x' || x AS INTEGER) // 8 % 8) || (CAST('0x' || x AS INTEGER) % 8)
+      ELSE chr(CAST('0x' || x AS INTEGER)) END), '') AS t FROM d)
+SELECT doc_id, sha256(t) AS escaped_sha256, length(t) AS n_chars, plain AS again_the_same, true AS back_again FROM e""")
+def literal_escapes(spark: SparkSession, d: str) -> DataFrame:
+    """Texts as literal strings, without backslashes of their own; whether a second escape changes nothing, as where no byte is in octal, and the first can be undone."""
+    docs = table(spark, d, "documents").select("doc_id", F.replace(F.coalesce("text", F.lit("")), F.lit("\\"), F.lit("/")).alias("text"))
+    e = docs.withColumn("e", strings.literal_escape(F.col("text")))
+    same = (strings.literal_escape(F.col("e")) == F.col("e")).alias("again_the_same")
+    return e.select("doc_id", F.sha2("e", 256).alias("escaped_sha256"), F.length("e").cast("bigint").alias("n_chars"), same, (strings.literal_unescape(F.col("e")) == F.col("text")).alias("back_again"))
+
+
 @query("exact_duplicates", """
 SELECT sha256(text) AS text_sha256, min(doc_id) AS first_doc, count(*) AS n FROM documents GROUP BY 1 HAVING count(*) > 1""")
 def exact_duplicates(spark: SparkSession, d: str) -> DataFrame:

@@ -181,12 +181,6 @@ def page_sections(elements: DataFrame) -> DataFrame:
     return rows.select("path", "page_no", F.lit("Paragraph").alias("kind"), F.array_join(F.transform("_e", lambda e: e["text"]), " ").alias("text"))
 
 
-def repaired(rows: DataFrame, ok: Column, repair: Column, text: str) -> DataFrame:
-    """Rows that can be read as they are, repaired where repair gives a text, else with status error."""
-    status = F.when(ok, "ok").when(repair.isNotNull(), "repaired").otherwise("error")
-    return rows.withColumns({"status": status, text: F.when(ok, F.col(text)).otherwise(repair)})
-
-
 def embedded_files(nodes: DataFrame, depth: int = 64) -> DataFrame:
     """(doc_id, name) of the leaves of name trees (doc_id, node, parent, name), to a depth limit."""
     level = nodes.filter("parent IS NULL").select("doc_id", "node", "name")

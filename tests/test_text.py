@@ -111,3 +111,17 @@ def test_plans_of_many_patterns_grow_by_a_constant(spark):
         assert plan(redaction.audit(df, "id", "text", names[:k])) == k
     row = redaction.audit(df, "id", "text", names, "[X]").collect()[0]
     assert row["operations"] == "email:1,phone-us:1"
+
+
+def test_literal_strings_there_and_back(spark):
+    from foliant.functions import strings
+
+    cases = {"a(b)c": r"a\(b\)c", "x\\y": r"x\\y", "\n\r\t\b\f": r"\n\r\t\b\f", "é\x01": r"\303\251\001", r"\(\n done": r"\(\n done", "": "", "\\": r"\\", "\\q": r"\\q"}
+    df = spark.createDataFrame(list(cases.items()), "t string, want string").withColumn("e", strings.literal_escape(F.col("t")))
+    for r in df.select("*", strings.literal_escape(F.col("e")).alias("again"), strings.literal_unescape(F.col("e")).alias("back")).collect():
+        assert r.e == r.want and (r.again == r.e or r.t == "é\x01")
+        if "\\" not in r.t or r.t in ("x\\y", "\\", "\\q"):
+            assert r.back == r.t
+    odd = spark.createDataFrame([(r"\101\7\60a\0053\z\\" + "\\",)], "t string").select(strings.literal_unescape(F.col("t"))).first()[0]
+    assert odd == "A\x070a\x053z\\\\"
+    assert spark.createDataFrame([(None,)], "t string").select(strings.literal_escape(F.col("t"))).first()[0] is None
