@@ -133,3 +133,67 @@ def sort_elements(elements: DataFrame, keys: list[str]) -> DataFrame:
     step = F.coalesce((F.lag("y").over(w) - F.col("y") >= F.least("font_size", F.lag("font_size").over(w)) * 0.5).cast("int"), F.lit(0))
     lines = elements.withColumn("_s", step).withColumn("_line", F.sum("_s").over(w.rowsBetween(Window.unboundedPreceding, 0)))
     return lines.withColumn("place", F.row_number().over(Window.partitionBy(*keys).orderBy("_line", "x", "seq")) - 1).drop("_s", "_line")
+
+
+#: Tags of a preview with their styles.
+PREVIEW_OPEN = "<html><body style='font-family:Manrope,sans-serif;font-size:13px;background:#f4f1ea;color:#1a1a1a;padding:16px;'>"
+PREVIEW_TITLE = "<h2 style='font-size:14px;font-weight:700;margin:12px 0 4px;color:#666;border-top:1px solid #ccc;padding-top:8px;'>"
+PREVIEW_BLOCKS = {
+    "Heading": ("<h1 style='font-size:18px;font-weight:600;margin:8px 0 4px;color:#1a1a1a;'>", "</h1>"),
+    "Paragraph": ("<p style='margin:4px 0;color:#1a1a1a;'>", "</p>"),
+    "Figure": ("<p style='margin:4px 0;color:#555;font-style:italic;'><span style='background:#dbeafe;padding:1px 4px;border-radius:2px;'>Figure: </span> ", "</p>"),
+    "List": ("<ul style='margin:4px 0 4px 20px;color:#1a1a1a;'>", "</ul>"),
+    "Table": ("<table style='border-collapse:collapse;margin:6px 0;width:100%;'>", "</table>"),
+    "CodeBlock": ("<pre style='background:#f5f5f5;padding:6px;font-family:monospace;font-size:11px;margin:4px 0;overflow:auto;'>", "</pre>"),
+    "ListItem": ("", ""),
+}
+PREVIEW_INLINES = {"Strong": ("<b>", "</b>"), "Emph": ("<i>", "</i>"), "Code": ("<code style='font-family:monospace;background:#e0e0e0;padding:1px 3px;'>", "</code>")}
+PREVIEW_HEAD = "border:1px solid #999;padding:3px 6px;background:#e8e8e8;font-weight:600;"
+PREVIEW_CELL = "border:1px solid #ccc;padding:3px 6px;"
+
+
+def inlines_html(inlines: Column) -> Column:
+    """HTML of array<struct<kind, texts>>: texts escaped one by one, in the tags of their kind; plain text has none."""
+
+    def one(i: Column) -> Column:
+        text = F.array_join(F.transform(i["texts"], strings.html_escape), "")
+        out = text
+        for kind, (begin, end) in PREVIEW_INLINES.items():
+            out = F.when(i["kind"] == kind, F.concat(F.lit(begin), text, F.lit(end))).otherwise(out)
+        return out
+
+    return F.coalesce(F.array_join(F.transform(inlines, one), ""), F.lit(""))
+
+
+def _by_kind(kind: Column, place: int) -> Column:
+    out = F.lit("")
+    for k, tags in PREVIEW_BLOCKS.items():
+        out = F.when(kind == k, tags[place]).otherwise(out)
+    return out
+
+
+def _in_order(rows: DataFrame, keys: list[str], order: str, text: str) -> DataFrame:
+    g = rows.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(order, text))).alias("_s"))
+    return g.select(*keys, F.array_join(F.transform("_s", lambda s: s[text]), "").alias(text))
+
+
+def to_preview(nodes: DataFrame, sections: DataFrame) -> DataFrame:
+    """(doc_id, html) of nodes (NODE with ``inlines`` in place of text) and sections (doc_id, page_no, title), from the cells up.
+
+    A section without a title has no heading, one without nodes nothing else; the first row of a table is its head.
+    """
+    at = [*PAGE, "block", "kind"]
+    first = F.min("row_no").over(Window.partitionBy(*PAGE, "block")) == F.col("row_no")
+    inner = inlines_html(F.col("inlines"))
+    tag, style = F.when(F.col("_first"), "th").otherwise("td"), F.when(F.col("_first"), PREVIEW_HEAD).otherwise(PREVIEW_CELL)
+    cell = F.concat(F.lit("<"), tag, F.lit(" style='"), style, F.lit("'>"), inner, F.lit("</"), tag, F.lit(">"))
+    cells = nodes.withColumn("_first", first).withColumn("_t", F.when(F.col("kind") == "Table", cell).otherwise(inner))
+    rows = _in_order(cells, [*at, "row_no"], "cell_no", "_t")
+    line = F.when(F.col("kind") == "Table", F.concat(F.lit("<tr>"), "_t", F.lit("</tr>"))).when(F.col("kind") == "List", F.concat(F.lit("<li>"), "_t", F.lit("</li>")))
+    rows = rows.withColumn("_t", line.when(F.col("kind") == "CodeBlock", F.concat("_t", F.lit("\n"))).otherwise(F.col("_t")))
+    blocks = _in_order(rows, at, "row_no", "_t")
+    blocks = blocks.withColumn("_t", F.concat(_by_kind(F.col("kind"), 0), "_t", _by_kind(F.col("kind"), 1)))
+    pages = sections.select(*PAGE, "title").join(_in_order(blocks, PAGE, "block", "_t"), PAGE, "left")
+    title = F.when(F.coalesce("title", F.lit("")) != "", F.concat(F.lit(PREVIEW_TITLE), strings.html_escape(F.col("title")), F.lit("</h2>"))).otherwise("")
+    docs = _in_order(pages.withColumn("_t", F.concat(title, F.coalesce("_t", F.lit("")))), ["doc_id"], "page_no", "_t")
+    return docs.select("doc_id", F.concat(F.lit(PREVIEW_OPEN), "_t", F.lit("</body></html>")).alias("html"))

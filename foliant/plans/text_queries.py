@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from foliant.functions import patterns, strings
-from foliant.operators import dedup, redaction, search
+from foliant.operators import dedup, documents, redaction, search
 from foliant.plans.registry import query, table
 
 _NAMES = list(patterns.NAMED)
@@ -168,6 +168,40 @@ def literal_escapes(spark: SparkSession, d: str) -> DataFrame:
     return e.select("doc_id", F.sha2("e", 256).alias("escaped_sha256"), F.length("e").cast("bigint").alias("n_chars"), same, (strings.literal_unescape(F.col("e")) == F.col("text")).alias("back_again"))
 
 
+_TAGS = {k: [t.replace("'", "''") for t in v] for k, v in documents.PREVIEW_BLOCKS.items()}
+_ESC = lambda c: f"replace(replace(replace(replace({c}, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), chr(34), '&quot;')"
+_CELL = lambda tag, style, c: f"'<{tag} style=''{style}''>' || {c} || '</{tag}>'"
+
+
+@query("preview_html", f"""
+WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS t, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS n FROM documents WHERE text IS NOT NULL),
+b AS (SELECT doc_id, n, n // 20 AS p, CASE n % 6
+  WHEN 0 THEN '{_TAGS["Heading"][0]}' || {_ESC("t")} || '{_TAGS["Heading"][1]}'
+  WHEN 1 THEN '{_TAGS["Paragraph"][0]}' || '<b>' || {_ESC("t")} || '</b>' || ' &amp; ' || '<i>x&lt;y</i>' || '{_TAGS["Paragraph"][1]}'
+  WHEN 2 THEN '{_TAGS["Figure"][0]}' || {_ESC("t")} || '{_TAGS["Figure"][1]}'
+  WHEN 3 THEN '{_TAGS["List"][0]}' || array_to_string(list_transform(string_split(t, ' '), lambda w: '<li>' || {_ESC("w")} || '</li>'), '') || '{_TAGS["List"][1]}'
+  WHEN 4 THEN '{_TAGS["Table"][0]}' || '<tr>' || {_CELL("th", documents.PREVIEW_HEAD, "n")} || {_CELL("th", documents.PREVIEW_HEAD, _ESC("t"))} || '</tr><tr>' || {_CELL("td", documents.PREVIEW_CELL, _ESC("t"))} || '</tr>' || '{_TAGS["Table"][1]}'
+  ELSE '{_TAGS["CodeBlock"][0]}' || {_ESC("t")} || chr(10) || '{_TAGS["CodeBlock"][1]}' END AS h FROM l),
+s AS (SELECT doc_id, p, CASE WHEN p % 2 = 1 THEN '{documents.PREVIEW_TITLE.replace("'", "''")}' || 'Page &quot;' || p || '&quot;</h2>' ELSE '' END || string_agg(h, '' ORDER BY n) AS h FROM b GROUP BY doc_id, p)
+SELECT doc_id, sha256('{documents.PREVIEW_OPEN.replace("'", "''")}' || string_agg(h, '' ORDER BY p) || '</body></html>') AS html_sha256 FROM s GROUP BY doc_id""")
+def preview_html(spark: SparkSession, d: str) -> DataFrame:
+    """Every line a block of one of six kinds, pages of 20 lines, every other page with a title."""
+    lines = table(spark, d, "documents").filter("text IS NOT NULL").select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("n", "t"))
+    inline = lambda kind, *texts: F.struct(F.lit(kind).alias("kind"), F.array(*texts).alias("texts"))
+    plain = lambda c: F.array(inline("Text", c))
+    node = lambda row, cell, inlines: F.struct(row.alias("row_no"), cell.alias("cell_no"), inlines.alias("inlines"))
+    zero, k, t = F.lit(0), F.col("n") % 6, F.col("t")
+    marked = F.array(inline("Strong", t), inline("Text", F.lit(" & ")), inline("Emph", F.lit("x<"), F.lit("y")))
+    items = F.transform(F.split(t, " ", -1), lambda w, i: node(i, zero, plain(w)))
+    table_cells = F.array(node(zero, zero, plain(F.col("n").cast("string"))), node(zero, F.lit(1), plain(t)), node(F.lit(1), zero, plain(t)))
+    made = F.when(k == 1, F.array(node(zero, zero, marked))).when(k == 3, items).when(k == 4, table_cells).otherwise(F.array(node(zero, zero, plain(t))))
+    kind = F.get(F.array(*map(F.lit, ["Heading", "Paragraph", "Figure", "List", "Table", "CodeBlock"])), k)
+    page = F.floor(F.col("n") / 20).cast("int")
+    nodes = lines.select("doc_id", page.alias("page_no"), F.col("n").alias("block"), kind.alias("kind"), F.explode(made).alias("x")).select("doc_id", "page_no", "block", "kind", "x.*")
+    sections = lines.select("doc_id", page.alias("page_no")).distinct().withColumn("title", F.when(F.col("page_no") % 2 == 1, F.concat(F.lit('Page "'), F.col("page_no").cast("string"), F.lit('"'))))
+    return documents.to_preview(nodes, sections).select("doc_id", F.sha2("html", 256).alias("html_sha256"))
+
+
 @query("exact_duplicates", """
 SELECT sha256(text) AS text_sha256, min(doc_id) AS first_doc, count(*) AS n FROM documents GROUP BY 1 HAVING count(*) > 1""")
 def exact_duplicates(spark: SparkSession, d: str) -> DataFrame:

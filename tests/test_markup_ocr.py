@@ -54,3 +54,22 @@ def test_text_boxes(spark):
     b = ocr.text_boxes(spark.createDataFrame(px, "doc_id long, page_no int, x int, y int, score double"), F.lit(100), F.lit(100)).collect()
     assert [(r.x, r.y, r.w, r.h, r.area) for r in b] == [(7, 2, 16, 16, 100)]
     assert layout.first_band([0, 3, 40, 5], [10, 10, 10, 10]) == [0, 0, 1, 0]
+
+
+def test_preview_of_a_tree(spark):
+    from foliant.operators import documents
+
+    kind = "doc_id int, page_no int, block int, row_no int, cell_no int, kind string, inlines array<struct<kind: string, texts: array<string>>>"
+    rows = [
+        (1, 0, 0, 0, 0, "Heading", [("Text", ["a&b"])]), (1, 0, 1, 0, 0, "List", [("Code", ["x", "<y>"]), ("Text", ["!"])]), (1, 0, 1, 1, 0, "List", []),
+        (1, 2, 0, 0, 0, "Table", [("Strong", ["h"])]), (1, 2, 0, 1, 0, "Table", None), (1, 2, 0, 1, 1, "Table", [("Emph", ["c"])]), (1, 2, 1, 0, 0, "ListItem", [("Text", ["loose"])]),
+    ]
+    sections = spark.createDataFrame([(1, 0, None), (1, 1, 'T "1"'), (1, 2, ""), (2, 0, None)], "doc_id int, page_no int, title string")
+    got = {r.doc_id: r.html for r in documents.to_preview(spark.createDataFrame(rows, kind), sections).collect()}
+    assert got[2] == documents.PREVIEW_OPEN + "</body></html>"
+    code, head, cell = documents.PREVIEW_INLINES["Code"][0], documents.PREVIEW_HEAD, documents.PREVIEW_CELL
+    want = [
+        documents.PREVIEW_BLOCKS["Heading"][0], "a&amp;b</h1>", documents.PREVIEW_BLOCKS["List"][0], f"<li>{code}x&lt;y&gt;</code>!</li><li></li></ul>", documents.PREVIEW_TITLE, "T &quot;1&quot;</h2>",
+        documents.PREVIEW_BLOCKS["Table"][0], f"<tr><th style='{head}'><b>h</b></th></tr><tr><td style='{cell}'></td><td style='{cell}'><i>c</i></td></tr></table>loose",
+    ]
+    assert got[1] == documents.PREVIEW_OPEN + "".join(want) + "</body></html>"
