@@ -156,3 +156,79 @@ def warp(image: np.ndarray, transform: np.ndarray, width: int, height: int) -> n
     f = image.astype(float)
     v = f[y0, x0] * (1 - fx) * (1 - fy) + f[y0, x1] * fx * (1 - fy) + f[y1, x0] * (1 - fx) * fy + f[y1, x1] * fx * fy
     return v.reshape(height, width)
+
+
+def _big(b: bytes) -> int:
+    return int.from_bytes(b, "big")
+
+
+def _little(b: bytes) -> int:
+    return int.from_bytes(b, "little")
+
+
+def _jpeg_size(head: bytes) -> tuple[int, int] | None:
+    """Segments are passed over by their lengths up to the frame header."""
+    at = 2
+    while at + 9 <= len(head) and head[at] == 0xFF:
+        marker = head[at + 1]
+        if marker == 0xFF or 0xD0 <= marker <= 0xD8 or marker == 0x01:
+            at += 1 if marker == 0xFF else 2
+        elif 0xC0 <= marker <= 0xCF and marker not in (0xC4, 0xC8, 0xCC):
+            return _big(head[at + 7 : at + 9]), _big(head[at + 5 : at + 7])
+        else:
+            at += 2 + _big(head[at + 2 : at + 4])
+    return None
+
+
+def _tiff_size(head: bytes) -> tuple[int, int] | None:
+    number = _little if head[:2] == b"II" else _big
+    at, found = number(head[4:8]), {}
+    for i in range(number(head[at : at + 2])):
+        entry = head[at + 2 + 12 * i : at + 14 + 12 * i]
+        if len(entry) == 12 and (tag := number(entry[:2])) in (256, 257):
+            found[tag] = number(entry[8 : 10 if number(entry[2:4]) == 3 else 12])
+    return (found[256], found[257]) if len(found) == 2 else None
+
+
+def image_head_size(head: bytes | None) -> tuple[int, int] | None:
+    """Width and height in pixels from the first bytes of an image file, not decoded; null where they do not say."""
+    head, size = head or b"", None
+    if head[:8] == b"\x89PNG\r\n\x1a\n" and len(head) >= 24:
+        size = _big(head[16:20]), _big(head[20:24])
+    elif head[:6] in (b"GIF87a", b"GIF89a") and len(head) >= 10:
+        size = _little(head[6:8]), _little(head[8:10])
+    elif head[:2] == b"BM" and len(head) >= 26:
+        # Rows may stand from the top, with a height below zero.
+        size = _little(head[18:22]), abs(int.from_bytes(head[22:26], "little", signed=True))
+    elif head[:2] == b"\xff\xd8":
+        size = _jpeg_size(head)
+    elif head[:4] in (b"II*\0", b"MM\0*"):
+        size = _tiff_size(head)
+    return size if size and min(size) > 0 else None
+
+
+def head_sizes(head: Column) -> Column:
+    """struct<w, h> of the first bytes of an image file."""
+
+    @F.pandas_udf("w int, h int")
+    def sizes(heads: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([image_head_size(h) or (None, None) for h in heads], columns=["w", "h"], dtype="Int32")
+
+    return sizes(head)
+
+
+def pages_of_images(members: DataFrame, files: DataFrame, page_w: float = 595.0, page_h: float = 842.0, fit: bool = True, dpi: float = 300.0) -> tuple[DataFrame, DataFrame]:
+    """Pages (list_id, page_no, path, x, y, w, h) of lists of images (list_id, place, path), and the lists that are refused (list_id, n_bad).
+
+    files: path and head (the first bytes). A list is refused as a whole if one member is missing or of a format that is
+    not known. With ``fit`` an image is scaled to the page and centred, else it has its size at ``dpi`` in the lower left corner.
+    """
+    known = files.withColumn("s", head_sizes(F.col("head"))).select("path", "s.w", "s.h")
+    placed = members.join(known, "path", "left")
+    bad = placed.filter("w IS NULL OR h IS NULL").groupBy("list_id").agg(F.count("*").alias("n_bad"))
+    whole = placed.join(bad.select("list_id"), "list_id", "left_anti")
+    number = (F.row_number().over(Window.partitionBy("list_id").orderBy("place")) - 1).cast("int")
+    scale = F.least(F.lit(page_w) / F.col("w"), F.lit(page_h) / F.col("h")) if fit else F.lit(72.0 / dpi)
+    w, h = F.col("w") * scale, F.col("h") * scale
+    x, y = ((F.lit(page_w) - w) / 2, (F.lit(page_h) - h) / 2) if fit else (F.lit(0.0), F.lit(0.0))
+    return whole.select("list_id", number.alias("page_no"), "path", x.alias("x"), y.alias("y"), w.alias("w"), h.alias("h")), bad

@@ -113,6 +113,28 @@ def clean_scan(spark: SparkSession, d: str) -> DataFrame:
     return ink(scan.cleaned(strips)).join(found, "doc_id").join(ink(strips).withColumnRenamed("ink", "ink_before"), "doc_id")
 
 
+@query("image_pages", """
+WITH p AS (SELECT p_partkey AS k, p_partkey // 6 AS list_id, 1 + p_partkey % 900 AS w, 1 + p_size * 17 AS h, p_partkey % 101 = 0 OR p_partkey % 103 = 0 AS bad FROM part),
+g AS (SELECT *, max(bad) OVER (PARTITION BY list_id) AS refused, least(595.0::DOUBLE / w, 842.0::DOUBLE / h) AS s FROM p)
+SELECT list_id, CAST(row_number() OVER (PARTITION BY list_id ORDER BY k) - 1 AS INTEGER) AS page_no, 'image' || k AS path, (595.0::DOUBLE - w * s) / 2 AS x, (842.0::DOUBLE - h * s) / 2 AS y, w * s AS w, h * s AS h FROM g WHERE NOT refused""")
+def image_pages(spark: SparkSession, d: str) -> DataFrame:
+    """Six images a list, of five formats by their first bytes; some are missing, some of no format, and take their list along."""
+    k, p = F.col("p_partkey"), table(spark, d, "part")
+    w, h = 1 + k % 900, 1 + F.col("p_size") * 17
+    big = lambda n, size: F.lpad(F.hex(n.cast("bigint")), 2 * size, "0")
+    little = lambda n, size: F.concat(*[F.substring(big(n, size), 2 * i + 1, 2) for i in range(size - 1, -1, -1)])
+    text = lambda *parts: F.concat(*[F.lit(x) if isinstance(x, str) else x for x in parts])
+    png = text("89504E470D0A1A0A0000000D49484452", big(w, 4), big(h, 4))
+    gif = text("474946383961", little(w, 2), little(h, 2))
+    bmp = text("424D", "00" * 12, "36000000", little(w, 4), little(h, 4))
+    jpeg = text("FFD8FFE00006AABBCCDD", "FFC0001108", big(h, 2), big(w, 2), "03")
+    tiff = text("49492A0008000000", "0200", "0001030001000000", little(w, 2), "0000", "0101040001000000", little(h, 4))
+    head = F.unhex(F.get(F.array(png, gif, bmp, jpeg, tiff), (k % 5).cast("int")))
+    files = p.filter(k % 101 != 0).select(F.concat(F.lit("image"), k.cast("string")).alias("path"), F.when(k % 103 == 0, F.encode(F.lit("no image"), "UTF-8")).otherwise(head).alias("head"))
+    members = p.select(F.floor(k / 6).alias("list_id"), k.alias("place"), F.concat(F.lit("image"), k.cast("string")).alias("path"))
+    return images.pages_of_images(members, files)[0]
+
+
 _RECTS = "rects AS (SELECT DISTINCT doc_id, page_no, 100.0::DOUBLE AS x, CAST(doc_id % 9 * 20 AS DOUBLE) AS y, 160.0::DOUBLE AS w, 30.0::DOUBLE AS h FROM lines)"
 
 

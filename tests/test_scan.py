@@ -80,3 +80,21 @@ def test_coloured_marks_over_strip_borders(spark):
         assert np.array_equal(image, whole)
     assert (whole[5:35, 9:12] == 255).all() and (whole[8:30, 20] == 255).all() and (whole[0, 3] == 10).all()
     assert scan.coloured(np.array([[[10, 10, 10], [255, 255, 255], [128, 128, 130], [0, 120, 0], [180, 170, 150]]], dtype=np.uint8)).tolist() == [[False, False, False, True, True]]
+
+
+def test_images_become_pages_or_their_list_is_refused(spark):
+    from foliant.operators import images
+
+    png = b"\x89PNG\r\n\x1a\n\0\0\0\rIHDR" + (200).to_bytes(4, "big") + (100).to_bytes(4, "big")
+    jpeg = b"\xff\xd8\xff\xff\xe0\0\x04ab\xff\xdb\0\x03x\xff\xc2\0\x11\x08" + (30).to_bytes(2, "big") + (40).to_bytes(2, "big") + b"\3"
+    tiff = b"MM\0*\0\0\0\x08\0\2" + b"\1\0\0\4\0\0\0\1" + (7).to_bytes(4, "big") + b"\1\1\0\3\0\0\0\1" + (9).to_bytes(2, "big") + b"\0\0"
+    heads = {"a.png": png, "b.jpg": jpeg, "c.tif": tiff, "cut.png": png[:20], "zero": png[:16] + bytes(8), "null": None, "odd": b"odd"}
+    assert [images.image_head_size(h) for h in heads.values()] == [(200, 100), (40, 30), (7, 9), None, None, None, None]
+    files = spark.createDataFrame(list(heads.items()), "path string, head binary")
+    members = spark.createDataFrame([(1, 5, "b.jpg"), (1, 2, "a.png"), (2, 0, "a.png"), (2, 1, "odd"), (3, 0, "lost"), (4, 0, "b.jpg")], "list_id int, place int, path string")
+    pages, refused = images.pages_of_images(members, files, 400.0, 300.0)
+    got = sorted(map(tuple, pages.collect()))
+    assert got == [(1, 0, "a.png", 0.0, 50.0, 400.0, 200.0), (1, 1, "b.jpg", 0.0, 0.0, 400.0, 300.0), (4, 0, "b.jpg", 0.0, 0.0, 400.0, 300.0)]
+    assert sorted(map(tuple, refused.collect())) == [(2, 1), (3, 1)]
+    natural = images.pages_of_images(members, files, fit=False, dpi=144.0)[0].filter("list_id = 4").first()
+    assert (natural.x, natural.y, natural.w, natural.h) == (0.0, 0.0, 20.0, 15.0)
