@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from foliant.functions import patterns
+from foliant.operators import trees
 
 
 def _quoted(text: str) -> str:
@@ -69,24 +70,12 @@ def union_box(chars: DataFrame, keys: list[str]) -> DataFrame:
 
 def keep_ancestors(nodes: DataFrame, needle: str) -> DataFrame:
     """Tree rows (id, parent_id, title) whose title, or that of a row below, holds the needle, whatever the case."""
-    hits = nodes.filter(contains(F.col("title"), needle))
-    keep = hits.select("id", "parent_id")
-    edge = keep
-    while not edge.isEmpty():
-        up = edge.select(F.col("parent_id").alias("id")).filter("id IS NOT NULL").distinct()
-        edge = nodes.select("id", "parent_id").join(up, "id", "left_semi").join(keep.select("id"), "id", "left_anti")
-        keep = keep.union(edge)
-    return nodes.join(keep.select("id").distinct(), "id", "left_semi")
+    return nodes.join(trees.with_ancestors(nodes, nodes.filter(contains(F.col("title"), needle))), "id", "left_semi")
 
 
 def depth_first_path(nodes: DataFrame) -> DataFrame:
     """(id, path): the ordinals from the root, so that ordering by path is depth first."""
-    level = nodes.filter("parent_id IS NULL").select("id", F.array("ordinal").alias("path"))
-    out = level
-    while not level.isEmpty():
-        level = nodes.join(level.select(F.col("id").alias("parent_id"), "path"), "parent_id").select("id", F.concat("path", F.array("ordinal")).alias("path"))
-        out = out.union(level)
-    return out
+    return trees.paths(nodes, F.col("ordinal"))
 
 
 def visits(df: DataFrame, key: str, order: str, value: str, cap: int = 100) -> DataFrame:

@@ -14,6 +14,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from foliant.operators import review
+
 #: Defaults of missing keys, and the width of a letter as a share of the font size.
 DEFAULT_SCORE = 0.8
 PRESET_DEFAULTS = {"name": "", "dpi": 150, "linearized": False, "compressed": True, "pdfA": False, "pdfALevel": "", "batesNumber": False, "batesPrefix": ""}
@@ -183,14 +185,9 @@ def page_sections(elements: DataFrame) -> DataFrame:
 
 def embedded_files(nodes: DataFrame, depth: int = 64) -> DataFrame:
     """(doc_id, name) of the leaves of name trees (doc_id, node, parent, name), to a depth limit."""
-    level = nodes.filter("parent IS NULL").select("doc_id", "node", "name")
-    out = level
-    for _ in range(depth):
-        level = nodes.join(level.select("doc_id", F.col("node").alias("parent")), ["doc_id", "parent"]).select("doc_id", "node", "name")
-        if level.isEmpty():
-            break
-        out = out.union(level)
-    return out.filter("name IS NOT NULL").select("doc_id", "name")
+    up = F.when(F.col("parent").isNotNull(), F.struct("doc_id", F.col("parent").alias("node")))
+    reached = review.thread_depths(nodes.select(F.struct("doc_id", "node").alias("id"), up.alias("parent_id"))).filter(F.col("depth") <= depth)
+    return nodes.join(reached.select("id.doc_id", "id.node"), ["doc_id", "node"]).filter("name IS NOT NULL").select("doc_id", "name")
 
 
 def metadata(df: DataFrame, keys: list[str]) -> DataFrame:
