@@ -12,6 +12,8 @@ from functools import partial
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from foliant.functions import arrays
+
 #: The names in their order, and the pattern of each.
 NAMED = {
     "email": r"\b[A-Za-z0-9._%+\-]+@[A-Za-z0-9.\-]+\.[A-Za-z]{2,}\b",
@@ -112,10 +114,9 @@ def match_spans(text: Column, pattern: str) -> Column:
     rows = F.zip_with(found, F.slice(gaps, 1, F.size(found)), lambda m, g: F.struct(m.alias("match"), F.length(g).alias("gap")))
     empty = F.array().cast("array<struct<start:int,stop:int,match:string>>")
 
-    def add(done: Column, row: Column) -> Column:
-        start = done["at"] + row["gap"]
-        stop = start + F.length(row["match"])
-        return F.struct(stop.alias("at"), F.concat(done["spans"], F.array(F.struct(start.alias("start"), stop.alias("stop"), row["match"].alias("match")))).alias("spans"))
+    def placed(rows: Column) -> Column:
+        before = arrays.sums_before(F.transform(rows, lambda r: r["gap"] + F.length(r["match"])))
+        start = lambda r, b: b + r["gap"]
+        return F.zip_with(rows, before, lambda r, b: F.struct(start(r, b).alias("start"), (start(r, b) + F.length(r["match"])).alias("stop"), r["match"].alias("match")))
 
-    spans = F.aggregate(rows, F.struct(F.lit(0).alias("at"), empty.alias("spans")), add, lambda done: done["spans"])
-    return F.when(F.size(found) > 0, spans).otherwise(empty)
+    return F.when(F.size(found) > 0, arrays.bound(rows, placed)).otherwise(empty)

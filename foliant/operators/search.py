@@ -7,7 +7,7 @@ import re
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from foliant.functions import patterns
+from foliant.functions import arrays, patterns
 from foliant.operators import trees
 
 
@@ -43,10 +43,13 @@ def first_hit(df: DataFrame, text: str, needle: str, order: list[str], **options
 def positions(text: Column, needle: str) -> Column:
     """Start positions of a fixed string, from 0, without overlap."""
     gaps = F.split(text, _quoted(needle), -1)
-    n = F.size(gaps) - 1
-    width = F.lit(len(needle))
-    at = F.transform(F.sequence(F.lit(1), n), lambda k: F.aggregate(F.slice(gaps, 1, k), F.lit(0), lambda a, g: a + F.length(g)) + (k - 1) * width)
-    return F.when(n > 0, at).otherwise(F.array().cast("array<int>"))
+    none = F.array().cast("array<int>")
+
+    def placed(lengths: Column) -> Column:
+        return F.zip_with(arrays.sums_before(F.transform(lengths, lambda g: g + len(needle))), lengths, lambda before, g: before + g)
+
+    lengths = F.transform(F.slice(gaps, F.lit(1), F.size(gaps) - 1), F.length)
+    return F.coalesce(arrays.bound(lengths, placed), none)
 
 
 def replace_all(df: DataFrame, text: str, needle: str, by: str) -> DataFrame:

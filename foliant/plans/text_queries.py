@@ -50,13 +50,14 @@ def pattern_matches(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("pattern_spans", f"""
-WITH m AS (SELECT doc_id, text, regexp_extract_all(text, '{patterns.NAMED["ipv4"]}') AS f FROM documents WHERE regexp_matches(text, '{patterns.NAMED["ipv4"]}'))
-SELECT doc_id, f[1] AS match, CAST(strpos(text, f[1]) - 1 AS INTEGER) AS start FROM m""")
+WITH m AS (SELECT doc_id, regexp_extract_all(text, '{patterns.NAMED["ipv4"]}') AS f, regexp_split_to_array(text, '{patterns.NAMED["ipv4"]}') AS g FROM documents WHERE regexp_matches(text, '{patterns.NAMED["ipv4"]}')),
+e AS (SELECT doc_id, f, g, unnest(generate_series(1, len(f))) AS k FROM m)
+SELECT doc_id, CAST(k - 1 AS INTEGER) AS seq, f[k] AS match, CAST(list_sum(list_transform(g[1:k], lambda x: length(x))) + coalesce(list_sum(list_transform(f[1:k - 1], lambda x: length(x))), 0) AS INTEGER) AS start FROM e""")
 def pattern_spans(spark: SparkSession, d: str) -> DataFrame:
-    """The first match of each document with its place."""
+    """Every match of each document with its place."""
     docs = table(spark, d, "documents")
-    spans = docs.select("doc_id", patterns.match_spans(F.col("text"), patterns.named_pattern("ipv4")).alias("s")).filter(F.size("s") > 0)
-    return spans.select("doc_id", F.col("s")[0]["match"].alias("match"), F.col("s")[0]["start"].alias("start"))
+    spans = docs.select("doc_id", F.posexplode(patterns.match_spans(F.col("text"), patterns.named_pattern("ipv4"))).alias("seq", "s"))
+    return spans.select("doc_id", "seq", "s.match", "s.start")
 
 
 def _redacted_sql(column: str) -> str:
@@ -112,10 +113,8 @@ WITH l AS (SELECT doc_id, string_split(text, 'and') AS g FROM documents WHERE co
 SELECT doc_id, len(g) - 1 AS n, CAST(length(g[1]) AS INTEGER) AS first_at,
        CAST(list_sum(list_transform(g[1:len(g) - 1], lambda x: length(x))) + 3 * (len(g) - 2) AS INTEGER) AS last_at FROM l""")
 def search_positions(spark: SparkSession, d: str) -> DataFrame:
-    docs = table(spark, d, "documents").filter(F.contains("text", F.lit("and")))
-    gaps = F.split("text", "and", -1)
-    lengths = F.aggregate(F.slice(gaps, 1, F.size(gaps) - 1), F.lit(0), lambda a, g: a + F.length(g))
-    return docs.select("doc_id", (F.size(gaps) - 1).cast("bigint").alias("n"), F.length(gaps[0]).alias("first_at"), (lengths + 3 * (F.size(gaps) - 2)).alias("last_at"))
+    docs = table(spark, d, "documents").filter(F.contains("text", F.lit("and"))).select("doc_id", search.positions(F.col("text"), "and").alias("p"))
+    return docs.select("doc_id", F.size("p").cast("bigint").alias("n"), F.get("p", F.lit(0)).alias("first_at"), F.element_at("p", -1).alias("last_at"))
 
 
 @query("find_replace", "SELECT doc_id, CAST((length(text) - length(replace(text, 'ing', ''))) / 3 AS BIGINT) AS n_replaced, sha256(replace(text, 'ing', 'en')) AS text_sha256 FROM documents")

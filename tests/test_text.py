@@ -125,3 +125,18 @@ def test_literal_strings_there_and_back(spark):
     odd = spark.createDataFrame([(r"\101\7\60a\0053\z\\" + "\\",)], "t string").select(strings.literal_unescape(F.col("t"))).first()[0]
     assert odd == "A\x070a\x053z\\\\"
     assert spark.createDataFrame([(None,)], "t string").select(strings.literal_escape(F.col("t"))).first()[0] is None
+
+
+def test_many_hits_in_one_text(spark):
+    import time
+
+    from foliant.functions import patterns
+    from foliant.operators import search
+
+    n = 100_000
+    df = spark.createDataFrame([("ab 1.2.3.4, " * n,), ("",), (None,), ("1.2.3.4",)], "text string")
+    began = time.time()
+    rows = df.select(patterns.match_spans(F.col("text"), patterns.NAMED["ipv4"]).alias("s"), search.positions(F.col("text"), "1.2").alias("p")).select(
+        F.transform("s", lambda x: x["start"]).alias("s"), "p").collect()
+    assert rows[0].s == rows[0].p == [12 * i + 3 for i in range(n)] and [list(r.s or []) for r in rows[1:]] == [[], [], [0]] and [list(r.p) for r in rows[1:]] == [[], [], [0]]
+    assert time.time() - began < 60
