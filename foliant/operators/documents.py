@@ -45,6 +45,28 @@ def from_layout(words: DataFrame, regions: DataFrame) -> DataFrame:
     return flat.select(*NODE).unionByName(items.select(*NODE)).unionByName(tables.select(*NODE)).unionByName(empty.select(*NODE))
 
 
+#: Fixed value: the origin that blocks of read pages name.
+READ_TAG = "BornOCR"
+
+
+def block_provenance(regions: DataFrame, path: Column) -> DataFrame:
+    """(doc_id, page_no, block, region_id, kind, tag, x0, y0, x1, y1, source_file) of the block of every region, in reading order.
+
+    source_file holds the attribute of headers, footers, equations, references and captions before the path, and the path alone for others.
+    """
+    kind = layout.block_kind(F.col("type"))
+    ordered = layout.reading_order(regions, "region_id").withColumn("_k", kind)
+    edges = [F.col("x").alias("x0"), F.col("y").alias("y0"), (F.col("x") + F.col("w")).alias("x1"), (F.col("y") + F.col("h")).alias("y1")]
+    source = strings.provenance(F.col("_k.attribute"), path)
+    return ordered.select(*PAGE, F.col("reading_order").alias("block"), "region_id", F.col("_k.block").alias("kind"), F.lit(READ_TAG).alias("tag"), *edges, source.alias("source_file"))
+
+
+def part_boxes(words: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, x0, y0, x1, y1): the box around the words of each item, row or cell."""
+    right, lower = F.max(F.col("x") + F.col("w")), F.max(F.col("y") + F.col("h"))
+    return words.groupBy(*keys).agg(F.min("x").alias("x0"), F.min("y").alias("y0"), right.alias("x1"), lower.alias("y1"))
+
+
 def error_pages(pages: DataFrame) -> DataFrame:
     """Nodes of pages that failed (doc_id, page_no, error): one paragraph each."""
     text = F.concat(F.lit("[OCR error: "), "error", F.lit("]"))

@@ -89,6 +89,21 @@ def reading_order(spark: SparkSession, d: str) -> DataFrame:
     return layout.reading_order(regions_of(spark, d), "region_id").select("doc_id", "page_no", "region_id", "reading_order")
 
 
+@query("block_provenance", f"""{REGIONS}, c AS (SELECT *, y + h * 0.5 AS cy, x + w * 0.5 AS cx FROM regions), l AS (SELECT *, lag(cy) OVER (PARTITION BY doc_id, page_no ORDER BY cy, region_id) AS c0 FROM c),
+b AS (SELECT *, sum(CASE WHEN cy - c0 > 20 THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id, page_no ORDER BY cy, region_id) AS band FROM l)
+SELECT doc_id, page_no, CAST(row_number() OVER (PARTITION BY doc_id, page_no ORDER BY band, cx, region_id) - 1 AS INTEGER) AS block, region_id,
+       CASE type WHEN 'Title' THEN 'Heading' WHEN 'Table' THEN 'Table' WHEN 'Figure' THEN 'Figure' WHEN 'List' THEN 'List' ELSE 'Paragraph' END AS kind, 'BornOCR' AS tag, x AS x0, y AS y0, x + w AS x1, y + h AS y1,
+       CASE WHEN type IN ('Header', 'Footer', 'Equation', 'Reference', 'Caption') THEN '{{page-' || lower(type) || '}}|' ELSE '' END || 'scan' || doc_id || '.pdf' AS source_file FROM b""")
+def block_provenance(spark: SparkSession, d: str) -> DataFrame:
+    return documents.block_provenance(regions_of(spark, d), F.concat(F.lit("scan"), F.col("doc_id").cast("string"), F.lit(".pdf")))
+
+
+@query("cell_boxes", f"""{WORDS} SELECT doc_id, page_no, CAST(floor(y / 40) AS INTEGER) AS row_no, min(x) AS x0, min(y) AS y0, max(x + w) AS x1, max(y + h) AS y1 FROM words GROUP BY 1, 2, 3""")
+def cell_boxes(spark: SparkSession, d: str) -> DataFrame:
+    """The box around the words of every band of a page."""
+    return documents.part_boxes(words_of(spark, d).withColumn("row_no", F.floor(F.col("y") / 40).cast("int")), ["doc_id", "page_no", "row_no"])
+
+
 @query("overlap_candidates", f"""{REGIONS}, o AS (SELECT a.doc_id, a.page_no, a.region_id AS a, b.region_id AS b, greatest(0, least(a.x + a.w, b.x + b.w) - greatest(a.x, b.x)) * greatest(0, least(a.y + a.h, b.y + b.h) - greatest(a.y, b.y)) AS i,
 a.w * a.h + b.w * b.h AS s FROM regions a JOIN regions b ON a.doc_id = b.doc_id AND a.page_no = b.page_no AND a.region_id < b.region_id) SELECT doc_id, page_no, a, b, i / (s - i) AS iou FROM o WHERE i > 0""")
 def overlap_candidates(spark: SparkSession, d: str) -> DataFrame:

@@ -73,3 +73,13 @@ def test_preview_of_a_tree(spark):
         documents.PREVIEW_BLOCKS["Table"][0], f"<tr><th style='{head}'><b>h</b></th></tr><tr><td style='{cell}'></td><td style='{cell}'><i>c</i></td></tr></table>loose",
     ]
     assert got[1] == documents.PREVIEW_OPEN + "".join(want) + "</body></html>"
+
+
+def test_pages_that_failed_are_paragraphs(spark):
+    from foliant.operators import documents, forms
+
+    pages = spark.createDataFrame([(1, 0, ""), (1, 1, "no engine"), (2, 0, None)], "doc_id int, page_no int, error string")
+    nodes = documents.error_pages(pages).collect()
+    assert [(r.doc_id, r.page_no, r.block, r.kind, r.text) for r in nodes] == [(1, 1, 0, "Paragraph", "[OCR error: no engine]")]
+    names = spark.createDataFrame([(["Fields", "XFA"],), (["Fields"],), ([],)], "names array<string>")
+    assert [r[0] for r in names.select(forms.has_xfa("names")).collect()] == [True, False, False]
