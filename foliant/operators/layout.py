@@ -1,8 +1,8 @@
 """Recognised words and layout regions: spatial joins, voting, bands, reading order, document trees.
 
-Greedy one-to-one matching depends on the order of rows, so ``rover_merge`` works page by
-page in Arrow batches, each page a bounded group; nearly all else is native. Reading order compares by bands that chain neighbours no more than the tolerance
-apart, a total order with the id as the last key.
+Greedy one-to-one matching depends on the order of rows; ``rover_merge`` has it by rounds of proposals, so that no
+page is one task's work. Bands by first fit and connected pixels run in Arrow batches, a page at a time; all else is native. Reading order
+compares by bands that chain neighbours no more than the tolerance apart, a total order with the id as the last key.
 """
 
 from __future__ import annotations
@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from foliant.functions import geometry
 from foliant.operators import scan
+from foliant.operators.trees import cut
 
 #: Fixed values, in order: ties of a vote go to the earlier one.
 REGION_TYPES = ["Title", "Paragraph", "Table", "Figure", "List", "Header", "Footer", "Equation", "Reference", "Caption", "Other"]
@@ -106,45 +107,51 @@ def best_candidates(primary: DataFrame, secondary: DataFrame) -> DataFrame:
     return c.withColumn("_r", rank).filter("_r = 1").drop("_r")
 
 
-def _ious(a: np.ndarray, boxes: np.ndarray) -> np.ndarray:
-    """Overlaps of one box (x, y, w, h) with many."""
-    size = np.minimum(a[:2] + a[2:], boxes[:, :2] + boxes[:, 2:]) - np.maximum(a[:2], boxes[:, :2])
-    shared = np.where((size > 0).all(axis=1), size.prod(axis=1), 0.0)
-    return np.where(shared > 0, shared / np.maximum(a[2] * a[3] + boxes[:, 2] * boxes[:, 3] - shared, 1e-300), 0.0)
+def partners(first: DataFrame, second: DataFrame, least: float = 0.5) -> DataFrame:
+    """(doc_id, page_no, p, s): each word of the first, in order of p, takes the free word of the second that it overlaps most.
 
-
-def merge_words(first: pd.DataFrame, second: pd.DataFrame, names: tuple[str, str], least: float = 0.5) -> pd.DataFrame:
-    """Words of two engines: each of the first takes its best free partner; the surer reading stays."""
-    box = ["x", "y", "w", "h"]
-    mine, others = first[box].to_numpy(float), second[box].to_numpy(float)
-    free = np.ones(len(second), dtype=bool)
-    partner = np.full(len(first), -1)
-    for i, b in enumerate(mine):
-        if len(others):
-            scores = np.where(free, _ious(b, others), 0.0)
-            best = int(scores.argmax())
-            if scores[best] > 0 and scores[best] >= least:
-                free[best], partner[i] = False, best
-    paired = partner >= 0
-    out = first.assign(source_engine=np.where(paired, "ROVER", names[0])).reset_index(drop=True)
-    better = paired.copy()
-    better[paired] = second.confidence.to_numpy()[partner[paired]] > first.confidence.to_numpy()[paired]
-    for c in ("text", *box, "confidence"):
-        if len(second):
-            out[c] = np.where(better, second[c].to_numpy()[partner], out[c].to_numpy())
-    return pd.concat([out, second[free].assign(source_engine=names[1])], ignore_index=True)
+    Words are numbered by ``p`` and ``s`` within a page; equal overlaps go to the lower s. All words propose at once
+    to the best that has not refused them; a word of the second keeps its lowest proposer and refuses those after it. What
+    is left when none is refused is what going through the words one by one gives. Rounds see only candidates that have a rival.
+    """
+    c = overlapping(first, second, "p", "s").filter(F.col("iou") >= least)
+    of_p, of_s = Window.partitionBy(*PAGE, "p"), Window.partitionBy(*PAGE, "s")
+    c = cut(c.withColumn("_rivals", (F.count("*").over(of_p) > 1) | (F.count("*").over(of_s) > 1)))
+    best = F.row_number().over(of_p.orderBy(F.col("iou").desc(), "s")) == 1
+    alone, open_ = c.filter("NOT _rivals"), c.filter("_rivals").drop("_rivals").withColumn("_best", best)
+    left = open_.count()
+    while left:
+        lowest = F.min(F.when(F.col("_best"), F.col("p"))).over(of_s)
+        kept = open_.withColumn("_lowest", lowest).filter("_lowest IS NULL OR p <= _lowest").drop("_lowest")
+        open_ = cut(kept.withColumn("_best", best))
+        before, left = left, open_.count()
+        if left == before:
+            break
+    return alone.select(*PAGE, "p", "s").unionByName(open_.filter("_best").select(*PAGE, "p", "s"))
 
 
 def rover_merge(words: DataFrame, first: str, second: str, least: float = 0.5) -> DataFrame:
-    """words: (doc_id, page_no, engine, seq, text, x, y, w, h, confidence) of both engines, merged page by page."""
+    """words: (doc_id, page_no, engine, seq, text, x, y, w, h, confidence) of both engines, merged page by page.
 
-    def page(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("seq")
-        out = merge_words(pdf[pdf.engine == first], pdf[pdf.engine == second], (first, second), least)
-        out = out.assign(doc_id=pdf.doc_id.iloc[0], page_no=pdf.page_no.iloc[0], seq=range(len(out)))
-        return out[[c.split()[0] for c in _WORD.split(", ")]].astype({"x": float, "y": float, "w": float, "h": float, "confidence": int})
-
-    return words.groupBy(*PAGE).applyInPandas(page, _WORD)
+    Each word of the first takes its best free partner and the surer reading stays, the first's on ties or without a
+    confidence; words of the second without a partner follow. Equal seqs go by place and text; a word without a place has no partner.
+    """
+    box = ["x", "y", "w", "h"]
+    nth = F.row_number().over(Window.partitionBy(*PAGE, "engine").orderBy("seq", *box, "text", "confidence"))
+    rows = cut(words.filter(F.col("engine").isin(first, second)).select(*PAGE, "engine", "text", *box, "confidence", nth.alias("_n")))
+    mine, others = rows.filter(F.col("engine") == first).drop("engine"), rows.filter(F.col("engine") == second).drop("engine")
+    pairs = partners(mine.withColumnRenamed("_n", "p"), others.withColumnRenamed("_n", "s"), least)
+    taken = others.withColumnRenamed("_n", "s").join(pairs, [*PAGE, "s"], "left")
+    reading = F.struct("text", *box, "confidence").alias("_o")
+    paired = mine.join(taken.filter("p IS NOT NULL").select(*PAGE, F.col("p").alias("_n"), reading), [*PAGE, "_n"], "left")
+    surer = F.coalesce(F.col("_o.confidence") > F.col("confidence"), F.lit(False))
+    chosen = [F.when(surer, F.col(f"_o.{c}")).otherwise(F.col(c)).alias(c) for c in ("text", *box, "confidence")]
+    engine = F.when(F.col("_o").isNotNull(), "ROVER").otherwise(first).alias("source_engine")
+    out = paired.select(*PAGE, F.lit(0).alias("_k"), "_n", *chosen, engine)
+    alone = taken.filter("p IS NULL").select(*PAGE, F.lit(1).alias("_k"), F.col("s").alias("_n"), "text", *box, "confidence", F.lit(second).alias("source_engine"))
+    seq = (F.row_number().over(Window.partitionBy(*PAGE).orderBy("_k", "_n")) - 1).alias("seq")
+    kinds = dict(c.split() for c in _WORD.split(", "))
+    return out.unionByName(alone).select("*", seq).select(*[F.col(c).cast(kind) for c, kind in kinds.items()])
 
 
 def ensemble_groups(regions: DataFrame, least: float = 0.5, unpaired: float = 0.3) -> DataFrame:

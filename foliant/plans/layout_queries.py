@@ -171,7 +171,24 @@ def _two_engines(spark: SparkSession, d: str) -> DataFrame:
     return first.unionByName(second)
 
 
-@query("rover_merge")
+# Words without rivals are paired as they are; of the others, one word a page takes its first free partner in each step.
+_MERGED = f"""{WORDS.replace("WITH ", "WITH RECURSIVE ", 1)}, a AS (SELECT *, row_number() OVER (PARTITION BY doc_id, page_no ORDER BY seq) AS p FROM words WHERE seq % 5 <> 4),
+b AS (SELECT doc_id, page_no, seq, upper(replace(text, 'ß', 'SS')) AS text, x + 2 AS x, y, w, h, (confidence + 37) % 101 AS confidence, row_number() OVER (PARTITION BY doc_id, page_no ORDER BY seq) AS s FROM words WHERE seq % 7 <> 3),
+o AS (SELECT a.doc_id, a.page_no, p, s, (least(a.x + a.w, b.x + b.w) - greatest(a.x, b.x)) * 12 AS i, a.w * 12 + b.w * 12 AS t FROM a JOIN b ON a.doc_id = b.doc_id AND a.page_no = b.page_no AND a.y = b.y AND a.x < b.x + b.w AND b.x < a.x + a.w),
+c AS (SELECT *, count(*) OVER (PARTITION BY doc_id, page_no, p) > 1 OR count(*) OVER (PARTITION BY doc_id, page_no, s) > 1 AS rivals FROM (SELECT doc_id, page_no, p, s, i / (t - i) AS iou FROM o) WHERE iou >= 0.5),
+hot AS (SELECT doc_id, page_no, p, list(s ORDER BY iou DESC, s) AS wanted, row_number() OVER (PARTITION BY doc_id, page_no ORDER BY p) AS k FROM c WHERE rivals GROUP BY 1, 2, 3),
+g AS (SELECT doc_id, page_no, 0::BIGINT AS k, 0::BIGINT AS p, NULL::BIGINT AS s, []::BIGINT[] AS gone FROM (SELECT DISTINCT doc_id, page_no FROM hot)
+UNION ALL SELECT doc_id, page_no, k, p, list_extract(free, 1), CASE WHEN len(free) > 0 THEN list_append(gone, free[1]) ELSE gone END
+FROM (SELECT g.doc_id, g.page_no, hot.k, hot.p, g.gone, list_filter(hot.wanted, lambda v: NOT list_contains(g.gone, v)) AS free FROM g JOIN hot ON g.doc_id = hot.doc_id AND g.page_no = hot.page_no AND hot.k = g.k + 1)),
+pairs AS (SELECT doc_id, page_no, p, s FROM c WHERE NOT rivals UNION ALL SELECT doc_id, page_no, p, s FROM g WHERE k > 0 AND s IS NOT NULL),
+m AS (SELECT a.doc_id, a.page_no, 0 AS kind, a.p AS n, CASE WHEN b.confidence > a.confidence THEN b ELSE a END AS r, CASE WHEN b.s IS NULL THEN 'Tesseract' ELSE 'ROVER' END AS source_engine FROM
+(SELECT doc_id, page_no, p, {{'text': text, 'x': x, 'y': y, 'w': w, 'h': h, 'confidence': confidence}} AS a FROM a) a LEFT JOIN pairs USING (doc_id, page_no, p)
+LEFT JOIN (SELECT doc_id, page_no, s, {{'text': text, 'x': x, 'y': y, 'w': w, 'h': h, 'confidence': confidence}} AS b FROM b) b USING (doc_id, page_no, s)
+UNION ALL SELECT doc_id, page_no, 1, s, {{'text': text, 'x': x, 'y': y, 'w': w, 'h': h, 'confidence': confidence}}, 'RapidOCR' FROM b ANTI JOIN pairs USING (doc_id, page_no, s))
+SELECT doc_id, page_no, CAST(row_number() OVER (PARTITION BY doc_id, page_no ORDER BY kind, n) - 1 AS INTEGER) AS seq, r.text, r.x, r.y, r.w, r.h, r.confidence, source_engine FROM m"""
+
+
+@query("rover_merge", _MERGED)
 def rover_merge(spark: SparkSession, d: str) -> DataFrame:
     return layout.rover_merge(_two_engines(spark, d), "Tesseract", "RapidOCR")
 

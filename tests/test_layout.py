@@ -54,6 +54,41 @@ def test_rover(spark):
     assert _rover(spark, two) == [("p", "ROVER"), ("q", "A")]
 
 
+def _merged_one_by_one(rows):
+    """Rows of one page merged in plain Python, word by word."""
+    a, b = ([r for r in rows if r[0] == e] for e in "AB")
+
+    def iou(p, q):
+        w, h = (min(p[k] + p[k + 2], q[k] + q[k + 2]) - max(p[k], q[k]) for k in (3, 4))
+        return w * h / (p[5] * p[6] + q[5] * q[6] - w * h) if w > 0 and h > 0 else 0.0
+
+    free, out = list(range(len(b))), []
+    for p in a:
+        best = max(free, key=lambda j: (iou(p, b[j]), -j), default=None)
+        if best is None or iou(p, b[best]) < 0.5:
+            out.append((p[2], "A"))
+            continue
+        free.remove(best)
+        out.append((b[best][2] if b[best][7] > p[7] else p[2], "ROVER"))
+    return out + [(b[j][2], "B") for j in free]
+
+
+def test_rover_chains_as_one_by_one(spark):
+    import random
+
+    rnd, pages = random.Random(5), {}
+    for page in range(60):
+        # Boxes of one size at few places: chains of words that want what an earlier one takes.
+        pages[page] = [(e, i, f"{e}{i}", float(rnd.randrange(0, 40)), float(rnd.randrange(0, 3)), 50.0, 20.0, rnd.randrange(100)) for e in "AB" for i in range(rnd.randrange(0, 16))]
+    pages[60] = [("A", i, f"A{i}", float(i), 0.0, 50.0, 20.0, 50) for i in range(30)] + [("B", i, f"B{i}", i + 0.5, 0.0, 50.0, 20.0, 60) for i in range(30)]
+    df = spark.createDataFrame([(1, page, *r) for page, rows in pages.items() for r in rows], _W)
+    got = {page: [] for page in pages}
+    for r in layout.rover_merge(df, "A", "B").orderBy("page_no", "seq").collect():
+        got[r.page_no].append((r.text, r.source_engine))
+    assert got == {page: _merged_one_by_one(rows) for page, rows in pages.items()}
+    assert layout.rover_merge(df.limit(0), "A", "B").count() == 0
+
+
 def test_document_tree(spark):
     words = spark.createDataFrame([(1, 0, 0, "Hello", 10.0, 5.0, 40.0, 12.0, 85), (1, 0, 1, "*World*", 60.0, 5.0, 40.0, 12.0, 85)], "doc_id long, page_no int, seq int, text string, x double, y double, w double, h double, confidence int")
     region = lambda kind: spark.createDataFrame([(1, 0, 0, kind, 0.0, 0.0, 200.0, 20.0)], "doc_id long, page_no int, region_id int, type string, x double, y double, w double, h double")
