@@ -1,6 +1,6 @@
 """Comparison of token sequences: shortest edit scripts, moves, residual changes and summaries.
 
-Scripts come from an Arrow-batched function, one pair at a time; everything after it is native.
+Scripts come from an Arrow-batched function, many pairs a round; everything after it is native.
 """
 
 from __future__ import annotations
@@ -15,6 +15,11 @@ from pyspark.sql import functions as F
 _STEP = pa.struct([("op", pa.string()), ("token", pa.string()), ("a", pa.int32()), ("b", pa.int32())])
 #: One round of so many is kept.
 _STRIDE = 128
+#: Pairs compared together, at most so many and, but for a single one, of so many tokens; rounds kept of them in bytes.
+_PAIRS, _TOKENS, _HISTORY = 64, 1 << 18, 1 << 26
+#: Characters of a partition at most, but for a single pair.
+_CHARS = 1 << 22
+_OPS = ["keep", "delete", "insert"]
 
 
 def _round(a: np.ndarray, b: np.ndarray, before: np.ndarray | None, d: int) -> np.ndarray:
@@ -93,28 +98,143 @@ def _walk_back(a: list[str], b: list[str], edits: int, rounds: Callable[[int], l
     return out[::-1]
 
 
+def edits_together(pairs: list[tuple[list[str], list[str]]]) -> list[list[tuple[bool, int, int]] | None]:
+    """For each pair the edits of the script that ``edit_script`` gives, last first: (inserted, place in a, place in b).
+
+    All pairs make a round at once, as rows of one matrix of diagonals. None stands for pairs not ended when the rounds kept are too large.
+    """
+    number: dict[str, int] = {}
+    ids = lambda side, mark: np.array([i for p in pairs for i in (*(number.setdefault(t, len(number)) for t in p[side]), mark)], dtype=np.int32)
+    a, b = ids(0, -1), ids(1, -2)
+    n, m = (np.array([len(p[side]) for p in pairs], dtype=np.int64) for side in (0, 1))
+    a0, b0 = np.cumsum(n + 1) - n - 1, np.cumsum(m + 1) - m - 1
+    live, ends = np.arange(len(pairs)), np.full(len(pairs), -1)
+    rounds: list[tuple[np.ndarray, np.ndarray]] = []
+    x = np.zeros((len(pairs), 0), dtype=np.int32)
+    d = size = 0
+    while len(live) and size <= _HISTORY:
+        now = np.zeros((len(live), d + 1), dtype=np.int32)
+        if d:
+            now[:, 0], now[:, d] = x[:, 0], x[:, -1] + 1
+            now[:, 1:d] = np.where(x[:, :-1] < x[:, 1:], x[:, 1:], x[:, :-1] + 1)
+        x = now
+        px = x.reshape(-1)
+        py = (x - np.arange(-d, d + 1, 2, dtype=np.int32)).reshape(-1)
+        of = live.repeat(d + 1)
+        at = np.arange(len(px))
+        while len(at):
+            i = of[at]
+            at = at[a[a0[i] + np.minimum(px[at], n[i])] == b[b0[i] + np.minimum(py[at], m[i])]]
+            px[at] += 1
+            py[at] += 1
+        rounds.append((live, x))
+        size += x.nbytes
+        # The diagonal of both ends.
+        k = n[live] - m[live]
+        ended = (np.abs(k) <= d) & ((d + k) % 2 == 0)
+        ended &= x[np.arange(len(live)), np.clip((d + k) // 2, 0, d)] >= n[live]
+        ends[live[ended]] = d
+        if ended.any():
+            live, x = live[~ended], x[~ended]
+        d += 1
+    return [_edits(i, int(n[i]), int(m[i]), int(ends[i]), rounds) if ends[i] >= 0 else None for i in range(len(pairs))]
+
+
+def _edits(pair: int, x: int, y: int, edits: int, rounds: list[tuple[np.ndarray, np.ndarray]]) -> list[tuple[bool, int, int]]:
+    out = []
+    for d in range(edits, 0, -1):
+        live, places = rounds[d - 1]
+        before = places[np.searchsorted(live, pair)]
+        k = x - y
+        i = (k + d) // 2
+        inserted = bool(k == -d or (k != d and before[i - 1] < before[i]))
+        x = int(before[i] if inserted else before[i - 1])
+        y = x - (k + 1 if inserted else k - 1)
+        out.append((inserted, x, y))
+    return out
+
+
+def _steps(n: int, m: int, edits: list[tuple[bool, int, int]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(op, place in a, place in b) of all steps, -1 for none. Each step starts further from the origin than the one before."""
+    e = np.array(edits, dtype=np.int64).reshape(-1, 3)
+    come = e[:, 0] == 1
+    kept_a, kept_b = np.delete(np.arange(n), e[~come, 1]), np.delete(np.arange(m), e[come, 2])
+    start = np.concatenate([kept_a + kept_b, e[:, 1] + e[:, 2]])
+    order = np.argsort(start)
+    op = np.concatenate([np.zeros(len(kept_a), dtype=np.int64), np.where(come, 2, 1)])[order]
+    a = np.concatenate([kept_a, np.where(come, -1, e[:, 1])])[order]
+    b = np.concatenate([kept_b, np.where(come, e[:, 2], -1)])[order]
+    return op, a, b
+
+
+def _scripts(pairs: list[tuple[list[str], list[str]]]) -> pa.ListArray:
+    """The scripts of pairs as lists of steps."""
+    ops, tokens, places_a, places_b, sizes = [], [], [], [], [0]
+    base = 0
+    for (a, b), edits in zip(pairs, edits_together(pairs), strict=True):
+        if edits is None:
+            alone = edit_script(a, b) or []
+            edits = [(o == "insert", p, q) for o, p, q in _starts(alone) if o != "keep"]
+        op, x, y = _steps(len(a), len(b), edits)
+        ops.append(op)
+        places_a.append(x)
+        places_b.append(y)
+        tokens.append(base + np.where(op == 2, len(a) + y, x))
+        sizes.append(len(op))
+        base += len(a) + len(b)
+    words = pa.array([t for p in pairs for side in p for t in side], pa.string())
+    x, y = np.concatenate(places_a), np.concatenate(places_b)
+    parts = [pa.array(_OPS).take(pa.array(np.concatenate(ops))), words.take(pa.array(np.concatenate(tokens))), pa.array(x.astype(np.int32), mask=x < 0), pa.array(y.astype(np.int32), mask=y < 0)]
+    return pa.ListArray.from_arrays(pa.array(np.cumsum(sizes), pa.int32()), pa.StructArray.from_arrays(parts, fields=list(_STEP)))
+
+
+def _starts(script: list[tuple[str, str, int | None, int | None]]) -> Iterator[tuple[str, int, int]]:
+    x = y = 0
+    for op, *_ in script:
+        yield op, x, y
+        x, y = x + (op != "insert"), y + (op != "delete")
+
+
+def _groups(pairs: list[tuple[list[str], list[str]]]) -> Iterator[tuple[int, int]]:
+    """Runs of pairs that are compared together."""
+    start = size = 0
+    for i, (a, b) in enumerate(pairs):
+        if i > start and (i - start >= _PAIRS or size + len(a) + len(b) > _TOKENS):
+            yield start, i
+            start, size = i, 0
+        size += len(a) + len(b)
+    if pairs:
+        yield start, len(pairs)
+
+
 def edit_scripts(pairs: DataFrame, keys: list[str], left: str = "text_a", right: str = "text_b", by_line: bool = False) -> DataFrame:
     """(keys, pos, op, token, a, b): the script of every pair, one row a step.
 
-    Pairs with equal texts are not compared. Tokens are words, whatever the size of a pair, or lines with ``by_line``.
+    Pairs with equal texts are not compared; null is the empty text. Tokens are words, whatever the size of a pair, or lines with ``by_line``.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for i in range(batch.num_rows):
-                ta, tb = (batch.column(len(keys) + c)[i].as_py() or "" for c in (0, 1))
-                script = edit_script(ta.split("\n"), tb.split("\n")) if by_line else edit_script(ta.split(), tb.split())
-                rows = [{"op": o, "token": t, "a": p, "b": q} for o, t, p, q in script]
-                yield pa.RecordBatch.from_arrays([*(batch.column(c).slice(i, 1) for c in range(len(keys))), pa.array([rows], pa.list_(_STEP))], [*keys, "script"])
+            sides = ([(t or "").split("\n") if by_line else (t or "").split() for t in batch.column(len(keys) + c).to_pylist()] for c in (0, 1))
+            texts = list(zip(*sides, strict=True))
+            for start, end in _groups(texts):
+                yield pa.RecordBatch.from_arrays([*(batch.column(c).slice(start, end - start) for c in range(len(keys))), _scripts(texts[start:end])], [*keys, "script"])
 
     chosen = pairs.filter(F.coalesce(F.col(left), F.lit("")) != F.coalesce(F.col(right), F.lit(""))).select(*keys, left, right)
-    # A pair costs far more to compare than to move, and long ones the most: dealt evenly whatever the files.
-    chosen = chosen.repartition(4 * pairs.sparkSession.sparkContext.defaultParallelism, *keys)
+    # A pair costs far more to compare than to move, and long ones the most: dealt evenly whatever the files, by as many partitions as the texts need.
+    chars = chosen.agg(F.sum(F.coalesce(F.length(left), F.lit(0)) + F.coalesce(F.length(right), F.lit(0)))).first()[0] or 0
+    chosen = chosen.repartition(max(4 * pairs.sparkSession.sparkContext.defaultParallelism, -(-chars // _CHARS)), *keys)
     kinds = ", ".join(f"{k} {pairs.schema[k].dataType.simpleString()}" for k in keys)
     out = chosen.mapInArrow(run, f"{kinds}, script array<struct<op: string, token: string, a: int, b: int>>")
     return out.select(*keys, F.posexplode("script").alias("pos", "s")).select(*keys, "pos", "s.*")
 
 
+def replayed(script: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, old, new): both sides put together again from the steps, with blanks between tokens."""
+    side = lambda gone, at: F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("op") != gone, F.struct(at, "token")))), lambda s: s["token"]), " ")
+    return script.groupBy(*keys).agg(side("insert", "a").alias("old"), side("delete", "b").alias("new"))
+
+
 def _nth(df: DataFrame, keys: list[str], order: str) -> DataFrame:
     return df.withColumn("nth", F.row_number().over(Window.partitionBy(*keys, "token").orderBy(order)))
 

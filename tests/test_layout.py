@@ -106,6 +106,28 @@ def _replayed(a, b, script):
     return kept_or_new == b and old == a
 
 
+_WORDS = st.lists(st.sampled_from("abc"), max_size=25)
+
+
+def _as_tuples(pairs):
+    return [[tuple(s.values()) for s in script] for script in diff._scripts(pairs).to_pylist()]
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.tuples(_WORDS, _WORDS), min_size=1, max_size=12))
+def test_scripts_together_as_one_by_one(pairs):
+    assert _as_tuples(pairs) == [diff.edit_script(a, b) for a, b in pairs]
+
+
+def test_scripts_beyond_the_rounds_kept(monkeypatch):
+    pairs = [(list("abcabba" * 9), list("cbabac" * 9)), ([], []), (["a"], []), ([], ["b", "c"])]
+    want = [diff.edit_script(a, b) for a, b in pairs]
+    monkeypatch.setattr(diff, "_HISTORY", 50)
+    assert diff.edits_together(pairs)[0] is None and _as_tuples(pairs) == want
+    monkeypatch.setattr(diff, "_TOKENS", 5)
+    assert list(diff._groups(pairs)) == [(0, 1), (1, 4)]
+
+
 @settings(max_examples=200, deadline=None)
 @given(st.lists(st.sampled_from("abc"), max_size=25), st.lists(st.sampled_from("abc"), max_size=25))
 def test_edit_script_replays_and_is_shortest(a, b):
