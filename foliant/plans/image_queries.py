@@ -71,7 +71,16 @@ def blank_pages(spark: SparkSession, d: str) -> DataFrame:
     return images.ink_pages(table(spark, d, "events").withColumn("black_ratio", F.col("event_id") % 90 / 10000), 0.0035).select("event_id")
 
 
-@query("image_filters")
+@query("image_filters", f"""WITH {_PIXELS}, l AS (SELECT doc_id, x, y, (r * 299 + g * 587 + b * 114) // 1000 AS v FROM pixels),
+n AS (SELECT doc_id, v, row_number() OVER (PARTITION BY doc_id ORDER BY y, x, v) - 1 AS i, count(*) OVER (PARTITION BY doc_id) // 8 AS height FROM l),
+c AS (SELECT doc_id, height, i, i // 8 AS y, i % 8 AS x, v FROM n WHERE i < height * 8),
+w AS (SELECT a.doc_id, a.i, a.v, a.y > 0 AND a.y < a.height - 1 AND a.x > 0 AND a.x < 7 AS inside, list_sort(list(b.v) FILTER (abs(a.x - b.x) <= 1 AND abs(a.y - b.y) <= 1)) AS around, sum(b.v)::DOUBLE / count(*) AS mean, sum(b.v * b.v)::DOUBLE / count(*) AS square
+FROM c a JOIN c b ON a.doc_id = b.doc_id AND abs(a.x - b.x) <= 7 AND abs(a.y - b.y) <= 7 GROUP BY a.doc_id, a.i, a.v, a.x, a.y, a.height),
+f AS (SELECT doc_id, i, CASE WHEN inside THEN around[5] ELSE v END AS median,
+CASE WHEN v > mean * (1::DOUBLE + 0.2::DOUBLE * (sqrt(greatest(square - mean * mean, 0)) / 128::DOUBLE - 1)) THEN 255 ELSE 0 END AS adaptive FROM w),
+p AS (SELECT doc_id, 'median' AS filter, i, median AS v FROM f UNION ALL SELECT doc_id, 'adaptive', i, adaptive FROM f),
+g AS (SELECT doc_id, filter, unhex(string_agg(printf('%02X', CAST(v AS INTEGER)), '' ORDER BY i)) AS gray FROM p GROUP BY 1, 2)
+SELECT doc_id, filter, sha256(coalesce(gray, ''::BLOB)) AS sha256 FROM (SELECT DISTINCT doc_id FROM pixels) CROSS JOIN (VALUES ('median'), ('adaptive')) v(filter) LEFT JOIN g USING (doc_id, filter)""")
 def image_filters(spark: SparkSession, d: str) -> DataFrame:
     """Median and adaptive threshold of images made of pixel rows, as digests."""
     p = _pixels(spark, d).withColumn("v", geometry.luminance(F.col("r"), F.col("g"), F.col("b")))
@@ -83,7 +92,12 @@ def image_filters(spark: SparkSession, d: str) -> DataFrame:
     return out[0].unionByName(out[1])
 
 
-@query("ink_components")
+@query("ink_components", f"""WITH RECURSIVE {_PIXELS}, ink AS (SELECT DISTINCT doc_id, page_no, x, y, y * 8 + x AS place FROM pixels WHERE r < 128),
+near AS (SELECT a.doc_id, a.page_no, a.place, b.place AS next FROM ink a JOIN ink b ON a.doc_id = b.doc_id AND a.page_no = b.page_no AND abs(a.x - b.x) + abs(a.y - b.y) = 1),
+reach AS (SELECT doc_id, page_no, place AS root, place FROM ink UNION SELECT r.doc_id, r.page_no, r.root, n.next FROM reach r JOIN near n ON r.doc_id = n.doc_id AND r.page_no = n.page_no AND r.place = n.place WHERE n.next > r.root),
+labels AS (SELECT doc_id, page_no, place, min(root) AS root FROM reach GROUP BY 1, 2, 3)
+SELECT doc_id, page_no, CAST(row_number() OVER (PARTITION BY doc_id, page_no ORDER BY root) - 1 AS INTEGER) AS component, CAST(count(*) AS INTEGER) AS area, min(x) AS x, min(y) AS y, max(x) - min(x) + 1 AS w, max(y) - min(y) + 1 AS h
+FROM ink JOIN labels USING (doc_id, page_no, place) GROUP BY doc_id, page_no, root""")
 def ink_components(spark: SparkSession, d: str) -> DataFrame:
     from foliant.operators import layout
 
