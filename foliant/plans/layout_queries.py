@@ -209,6 +209,19 @@ def ocr_document_tree(spark: SparkSession, d: str) -> DataFrame:
     return documents.to_djot(nodes).select("doc_id", F.length("djot").alias("n_chars"), F.sha2("djot", 256).alias("djot_sha256"))
 
 
+@query("layout_nodes", f"""{REGIONS}, c AS (SELECT *, y + h * 0.5 AS cy, x + w * 0.5 AS cx FROM regions), l AS (SELECT *, lag(cy) OVER (PARTITION BY doc_id, page_no ORDER BY cy, region_id) AS c0 FROM c),
+b AS (SELECT *, sum(CASE WHEN cy - c0 > 20 THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id, page_no ORDER BY cy, region_id) AS band FROM l),
+o AS (SELECT *, row_number() OVER (PARTITION BY doc_id, page_no ORDER BY band, cx, region_id) - 1 AS block, CASE type WHEN 'Title' THEN 'Heading' WHEN 'Table' THEN 'Table' WHEN 'Figure' THEN 'Figure' WHEN 'List' THEN 'List' ELSE 'Paragraph' END AS kind FROM b),
+inside AS (SELECT o.doc_id, o.page_no, o.block, o.kind, w.seq, w.text, w.x, w.y, w.w FROM words w JOIN o ON w.doc_id = o.doc_id AND w.page_no = o.page_no AND w.x + w.w / 2 BETWEEN o.x AND o.x + o.w AND w.y + w.h / 2 BETWEEN o.y AND o.y + o.h),
+r AS (SELECT *, dense_rank() OVER (PARTITION BY doc_id, page_no, block ORDER BY y) - 1 AS nth, lag(x + w) OVER (PARTITION BY doc_id, page_no, block, y ORDER BY x, seq) AS r0, avg(w) OVER (PARTITION BY doc_id, page_no, block, y) AS mean FROM inside),
+k AS (SELECT *, sum(CASE WHEN x - r0 > mean * 0.8 THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id, page_no, block, y ORDER BY x, seq) AS cell FROM r)
+SELECT doc_id, page_no, CAST(block AS INTEGER) AS block, CAST(CASE WHEN kind IN ('List', 'Table') THEN nth ELSE 0 END AS INTEGER) AS row_no, CAST(CASE kind WHEN 'Table' THEN cell ELSE 0 END AS INTEGER) AS cell_no, kind, string_agg(text, ' ' ORDER BY y, x, seq) AS text FROM k GROUP BY 1, 2, 3, 4, 5, 6
+UNION ALL SELECT doc_id, page_no, CAST(block AS INTEGER), 0, 0, kind, '' FROM o ANTI JOIN inside USING (doc_id, page_no, block)""")
+def layout_nodes(spark: SparkSession, d: str) -> DataFrame:
+    """The nodes of the document tree: blocks, items of lists, cells of tables, and blocks without words."""
+    return documents.from_layout(words_of(spark, d), regions_of(spark, d))
+
+
 @query("class_types", f"""SELECT type, count(*) AS n FROM (SELECT coalesce([{", ".join(repr(t) for t in layout.CLASS_TYPES)}][event_id % {len(layout.CLASS_TYPES) + 5}], 'Other') AS type FROM events) GROUP BY type""")
 def class_types(spark: SparkSession, d: str) -> DataFrame:
     """Regions by type, from class numbers of which some are below or beyond all classes."""
