@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from foliant.functions import geometry
 from foliant.operators.review import _cut as cut
-from foliant.sources.objects import path_is
+from foliant.sources.objects import gathered, path_is
 from foliant.sources.records import text_elements
 
 #: Kinds of annotations by their subtype, all others are comments; a page without a size has this one.
@@ -107,10 +107,8 @@ def page_elements(contents: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for r in range(b.num_rows):
-                rows = text_elements(b.column(2)[r].as_py())
-                columns = [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)] if rows else [pa.array([], t) for t in kinds]
-                yield pa.RecordBatch.from_arrays([pa.repeat(b.column(0)[r], len(rows)), pa.repeat(b.column(1)[r], len(rows)), pa.array(range(len(rows)), pa.int32()), *columns], ["file", "page_no", "seq", *names])
+            found = ([(i, *e) for i, e in enumerate(text_elements(b.column(2)[r].as_py()))] for r in range(b.num_rows))
+            yield from gathered(b.columns[:2], found, ["file", "page_no", "seq", *names], [pa.int32(), *kinds])
 
     kind = contents.schema["file"].dataType.simpleString()
     return contents.select("file", "page_no", "content").mapInArrow(run, f"file {kind}, page_no int, seq int, text string, x double, y double, w double, font_size double, font string")
@@ -158,12 +156,8 @@ def drawings(contents: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for r in range(b.num_rows):
-                rows = drawn(b.column(2)[r].as_py())
-                yield pa.RecordBatch.from_arrays(
-                    [pa.repeat(b.column(0)[r], len(rows)), pa.repeat(b.column(1)[r], len(rows)), pa.array(range(len(rows)), pa.int32()), pa.array([x[0] for x in rows], pa.string()), pa.array([list(x[1:]) for x in rows], pa.list_(pa.float64()))],
-                    ["file", "page_no", "seq", "name", "m"],
-                )
+            found = ([(i, x[0], list(x[1:])) for i, x in enumerate(drawn(b.column(2)[r].as_py()))] for r in range(b.num_rows))
+            yield from gathered(b.columns[:2], found, ["file", "page_no", "seq", "name", "m"], [pa.int32(), pa.string(), pa.list_(pa.float64())])
 
     kind = contents.schema["file"].dataType.simpleString()
     return contents.select("file", "page_no", "content").mapInArrow(run, f"file {kind}, page_no int, seq int, name string, m array<double>")

@@ -35,7 +35,7 @@ def _document_files(spark: SparkSession, d: str) -> DataFrame:
     lines = F.transform(F.split(F.coalesce("text", F.lit("")), "\n", -1), lambda x: F.hex(F.encode(x, "UTF-8")))
     n = F.ceil(F.size("l") / 20).cast("int")
     page = F.transform(F.sequence(F.lit(0), F.col("n") - 1), lambda i: F.slice("l", i * 20 + 1, 20))
-    docs = table(spark, d, "documents").filter("text IS NOT NULL").select(F.col("doc_id").alias("file"), lines.alias("l")).withColumn("n", n).withColumn("p", page)
+    docs = objects.spread(table(spark, d, "documents").filter("text IS NOT NULL").select("doc_id", "text"), "doc_id").select(F.col("doc_id").alias("file"), lines.alias("l")).withColumn("n", n).withColumn("p", page)
     half = F.floor((F.col("n") + 1) / 2).cast("int")
     number = lambda i: i * 3 + 10
 
@@ -62,7 +62,8 @@ _COUNTED = f"{LINES}, n AS (SELECT doc_id, max(page_no) + 1 AS n FROM lines GROU
 CASE WHEN page_no < (n + 1) // 2 THEN 400.0 ELSE 792.0 END::DOUBLE AS height, 90 AS rotate FROM lines l JOIN n USING (doc_id)""")
 def page_tree(spark: SparkSession, d: str) -> DataFrame:
     """Pages in the order of the tree, with the size and the turn they inherit."""
-    pages = graph.page_tree(objects.object_rows(_document_files(spark, d)))
+    # Parsed once, and without the bytes of streams.
+    pages = graph.page_tree(review._cut(objects.object_rows(_document_files(spark, d)).drop("data")))
     return pages.select("file", "page_no", F.get("box", F.lit(2)).alias("width"), F.get("box", F.lit(3)).alias("height"), "rotate")
 
 
@@ -87,12 +88,12 @@ SELECT k AS file, sha256('{"version":2,"objects":{"obj:1 0 R":{"value":{"/Pages"
   '"trailer":{"value":{"/Root":"1 0 R"}}}}') AS json_sha256, k % 5 + 2 AS n_objects FROM o""")
 def structure_json(spark: SparkSession, d: str) -> DataFrame:
     """Files of up to four pages, a file an order, as JSON; and how many objects each has."""
-    o = table(spark, d, "orders").select(F.col("o_orderkey").alias("file"), F.col("o_custkey").alias("c"), F.col("o_orderstatus").alias("s"), (F.col("o_orderkey") % 5).cast("int").alias("n"))
+    o = objects.spread(table(spark, d, "orders").select("o_orderkey", "o_custkey", "o_orderstatus"), "o_orderkey").select(F.col("o_orderkey").alias("file"), F.col("o_custkey").alias("c"), F.col("o_orderstatus").alias("s"), (F.col("o_orderkey") % 5).cast("int").alias("n"))
     numbers = F.when(F.col("n") > 0, F.sequence(F.lit(0), F.col("n") - 1)).otherwise(F.array().cast("array<int>"))
     page = lambda i: _object(i + 3, F.concat(F.lit("<< /Open true /Type /Page /Note ("), F.col("s"), F.lit("\\("), (F.col("c") * i).cast("string"), F.lit("\\)) >>")))
     root = _object(F.lit(2), F.concat(F.lit("<< /Type /Pages /Kids ["), _REFS(F.transform(numbers, lambda i: i + 3)), F.lit("] /Count "), F.col("n").cast("string"), F.lit(" >>")))
     files = o.select("file", _file(F.lit("1 0 obj\n<< /Type /Catalog /Pages 2 0 R >>\nendobj\n"), root, F.array_join(F.transform(numbers, page), "")).alias("content"))
-    rows = objects.object_rows(files)
+    rows = review._cut(objects.object_rows(files).drop("data"))
     status = objects.load_status(rows)
     return graph.structure_json(rows).join(status, "file").select("file", F.sha2("json", 256).alias("json_sha256"), "n_objects")
 
@@ -114,7 +115,7 @@ def image_inventory(spark: SparkSession, d: str) -> DataFrame:
         "8 0 obj\n<< /Subtype /Form /Length 0 >>\nstream\n\nendstream\nendobj\n"
     )
     image = _object(F.lit(6), F.concat(F.lit("<< /Subtype /Image /Height 3 /Width "), (k % 100).cast("string"), F.lit(" /Length 0 >>\nstream\n\nendstream")))
-    files = table(spark, d, "part").select(k.alias("file"), _file(body, image, _object(F.lit(5), _stream(text))).alias("content"))
+    files = objects.spread(table(spark, d, "part").select("p_partkey", "p_size"), "p_partkey").select(k.alias("file"), _file(body, image, _object(F.lit(5), _stream(text))).alias("content"))
     rows = review._cut(objects.object_rows(files))
     pages = graph.page_tree(rows)
     found = graph.image_inventory(rows, pages, graph.page_contents(rows, pages))
@@ -158,7 +159,7 @@ def repaired_files(spark: SparkSession, d: str) -> DataFrame:
     rows_of = F.concat(F.lit("xref\n0 "), F.when(e % 5 == 3, "2").otherwise("3"), F.lit("\n0000000000 65535 f \n"), entry(F.lit(9) + off), F.when(e % 5 == 3, "").otherwise(entry(second + off)))
     tail = F.concat(F.lit("trailer\n<< /Root 1 0 R >>\nstartxref\n"), F.length(body).cast("string"), F.lit("\n%%EOF\n"))
     whole = F.when(e % 5 == 0, F.lit("%PDF-1.5\nnothing")).when(e % 5 == 4, F.concat(body, tail)).otherwise(F.concat(body, rows_of, tail))
-    files = table(spark, d, "events").select(e.alias("file"), F.encode(whole, "ISO-8859-1").alias("content"))
+    files = objects.spread(table(spark, d, "events").select("event_id"), "event_id").select(e.alias("file"), F.encode(whole, "ISO-8859-1").alias("content"))
     return objects.load_status(objects.object_rows(files)).select("file", "status", "n_objects")
 
 
@@ -175,7 +176,7 @@ def redact_forms(spark: SparkSession, d: str) -> DataFrame:
     )
     first, second = F.lit("BT /F 10 Tf 1 0 0 1 5 5 Tm (plain) Tj ET q 2 0 0 2 100 100 cm /A Do Q"), F.lit("q 1 0 0 1 50 50 cm /A Do Q")
     form = F.lit("<< /Subtype /Form /BBox [0 0 200 200] /Length 42 >>\nstream\nBT /F 10 Tf 1 0 0 1 10 10 Tm (outer) Tj ET\nendstream")
-    customers = table(spark, d, "customer")
+    customers = objects.spread(table(spark, d, "customer").select("c_custkey"), "c_custkey")
     files = customers.select(k.alias("file"), _file(body, _object(F.lit(5), _stream(first)), _object(F.lit(6), _stream(second)), _object(F.lit(10), form)).alias("content"))
     rows = review._cut(objects.object_rows(files))
     pages = graph.page_tree(rows)

@@ -14,7 +14,7 @@ from __future__ import annotations
 
 import re
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -172,16 +172,45 @@ def _table(data: bytes) -> Iterator[tuple]:
                 yield number + i, int(entry[1]), [], "xref", None, None, None
 
 
+#: Rows of a batch that a worker gives back, and bytes of data in them; a batch for each small file would cost more than the file.
+BATCH_ROWS, BATCH_BYTES = 8192, 1 << 24
+
+
+def gathered(keys: list[pa.Array], found: Iterable[Iterable[tuple]], names: list[str], kinds: list[pa.DataType]) -> Iterator[pa.RecordBatch]:
+    """Batches of the rows found for each row of keys, with its keys in front: many keys share a batch, and one with many rows has several."""
+    owners: list[int] = []
+    rows: list[tuple] = []
+    size = 0
+
+    def batch() -> pa.RecordBatch:
+        columns = [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)]
+        return pa.RecordBatch.from_arrays([*(k.take(pa.array(owners, pa.int64())) for k in keys), *columns], names)
+
+    for r, some in enumerate(found):
+        for row in some:
+            owners.append(r)
+            rows.append(row)
+            size += len(row[-1]) if isinstance(row[-1], bytes) else 0
+            if len(rows) >= BATCH_ROWS or size >= BATCH_BYTES:
+                yield batch()
+                owners, rows, size = [], [], 0
+    if rows:
+        yield batch()
+
+
+def spread(rows: DataFrame, key: str) -> DataFrame:
+    """rows dealt by their key to some tasks a core: a small table is one split, however many files are made from it."""
+    return rows.repartition(4 * rows.sparkSession.sparkContext.defaultParallelism, key)
+
+
 def object_rows(files: DataFrame, key: str = "file", content: str = "content") -> DataFrame:
     """key and the rows of all objects of each file; a null content is a file without objects."""
     names = [key, *(f.split()[0] for f in FIELDS.split(", "))]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for r in range(b.num_rows):
-                rows = list(rows_of(b.column(1)[r].as_py() or b""))
-                columns = [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), _TYPES, strict=True)] if rows else [pa.array([], t) for t in _TYPES]
-                yield pa.RecordBatch.from_arrays([pa.repeat(b.column(0)[r], len(rows)), *columns], names)
+            found = (rows_of(b.column(1)[r].as_py() or b"") for r in range(b.num_rows))
+            yield from gathered(b.columns[:1], found, names, _TYPES)
 
     return files.select(key, content).mapInArrow(run, f"`{key}` {files.schema[key].dataType.simpleString()}, {FIELDS}")
 
@@ -194,18 +223,20 @@ def read_objects(spark: SparkSession, path: str, pattern: str = "*.{pdf,PDF}") -
 
 def load_status(objects: DataFrame, key: str = "file") -> DataFrame:
     """key, status, n_objects: ok where the file's table has each object where it is, repaired where not, error without objects."""
-    roots = objects.filter((F.size("path") == 0) & (F.col("object") > 0) & ~F.col("kind").isin("xref", "error")).select(key, "object", "at")
-    table = objects.filter("kind = 'xref'").select(key, "object", F.col("at").alias("said"))
+    said = F.when(F.col("kind") == "xref", F.col("at"))
+    root = F.when((F.size("path") == 0) & (F.col("object") > 0) & ~F.col("kind").isin("xref", "error"), F.col("at"))
+    # Dealt by file once: the three groupings below need no other shuffle, and none gathers a file.
+    rows = spread(objects.filter(F.size("path") == 0).select(key, "object", root.alias("root"), said.alias("said")), key)
+    each = rows.groupBy(key, "object").agg(F.max("root").alias("at"), F.min("said").alias("low"), F.max("said").alias("high"))
+    there = F.col("at").isNotNull()
     # Objects in a stream of objects share its place and have no entry of their own.
-    placed = roots.groupBy(key, "at").agg(F.min("object").alias("object"), F.count("*").alias("n"), F.collect_set("object").alias("all"))
-    right = placed.join(table, [key, "object"], "left").groupBy(key).agg(F.sum("n").alias("n_objects"), F.bool_and(F.coalesce(F.col("said") == F.col("at"), F.col("n") > 1)).alias("right"))
-    right = right.withColumn("right", F.coalesce("right", F.lit(False)))
-    listed = table.groupBy(key).agg(F.count("*").alias("listed"))
-    lost = table.join(roots, [key, "object"], "left_anti").select(key).distinct().withColumn("lost", F.lit(True))
-    files = objects.select(key).distinct()
-    out = files.join(right, key, "left").join(listed, key, "left").join(lost, key, "left")
-    status = F.when(F.col("n_objects").isNull(), "error").when(F.col("right") & F.col("listed").isNotNull() & F.col("lost").isNull(), "ok").otherwise("repaired")
-    return out.select(key, status.alias("status"), F.coalesce("n_objects", F.lit(0)).cast("bigint").alias("n_objects"))
+    places = each.groupBy(key, "at").agg(F.min_by(F.struct("low", "high"), "object").alias("said"), F.count_if(there).alias("n"), F.count("low").alias("listed"))
+    right = F.coalesce((F.col("said.low") == F.col("at")) & (F.col("said.high") == F.col("at")), F.col("n") > 1)
+    out = places.groupBy(key).agg(
+        F.sum("n").alias("n_objects"), F.bool_and(F.when(there, right)).alias("right"), F.sum("listed").alias("listed"), F.coalesce(F.bool_or(~there & (F.col("listed") > 0)), F.lit(False)).alias("lost")
+    )
+    status = F.when(F.col("n_objects") == 0, "error").when(F.col("right") & (F.col("listed") > 0) & ~F.col("lost"), "ok").otherwise("repaired")
+    return out.select(key, status.alias("status"), F.col("n_objects").cast("bigint").alias("n_objects"))
 
 
 def object_marks(blocks: DataFrame, key: str = "file") -> DataFrame:

@@ -3,6 +3,7 @@
 import json
 import zlib
 
+import pyarrow as pa
 import pytest
 
 from foliant.operators import graph, review
@@ -128,3 +129,22 @@ def test_annotations_and_their_answers(spark):
     assert (got["n13"].parent_id, got["n13"].w, got["n13"].author) == (None, 0.0, "who13")
     shown = review.threads(graph.annotation_scan(o, graph.page_tree(o)).drop("replies"))
     assert {r.id: r.shown_parent for r in shown.collect()} == {"n10": "n11", "n11": None, "n12": "n11", "n13": None}
+
+
+def test_small_files_share_a_batch_and_large_ones_have_several():
+    keys = [pa.array(range(5000), pa.int64())]
+    one = list(O.gathered(keys, ([(i, b"x")] for i in range(5000)), ["file", "i", "data"], [pa.int32(), pa.binary()]))
+    assert [b.num_rows for b in one] == [5000] and one[0].column(0).to_pylist() == one[0].column(1).to_pylist()
+    many = list(O.gathered([pa.array([7])], [[(i, None) for i in range(20_000)]], ["file", "i", "data"], [pa.int32(), pa.binary()]))
+    assert len(many) == 3 and sum(b.num_rows for b in many) == 20_000
+    assert list(O.gathered(keys, ([] for _ in range(5000)), ["file", "i", "data"], [pa.int32(), pa.binary()])) == []
+
+
+def test_status_parses_files_once(spark):
+    files = spark.createDataFrame([("a", b"%PDF-1.5\n1 0 obj\n[1]\nendobj\n")], "file string, content binary")
+    plan = O.load_status(O.object_rows(files))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("MapInArrow") == 1
+    # A table that names an object twice does not count it twice.
+    rows = [("b", 1, 9, [], "dict", None, None, None), ("b", 1, 9, [], "xref", None, None, None), ("b", 1, 9, [], "xref", None, None, None)]
+    twice = spark.createDataFrame(rows, f"file string, {O.FIELDS}")
+    assert O.load_status(twice).collect()[0][:] == ("b", "ok", 1)
