@@ -20,6 +20,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from foliant.operators.review import _cut as cut
+from foliant.sources.objects import gathered
 
 PAGE = ["doc_id", "page_no"]
 #: Shares of the page's pixels and sides that tell specks and edge artefacts.
@@ -81,29 +82,25 @@ _EDGE = pa.list_(pa.struct([("first", pa.int32()), ("last", pa.int32())]))
 def strip_labels(strips: DataFrame, eight: bool = True) -> DataFrame:
     """Labels of each strip: pixels, box (rows from the strip's first) and runs in its first and last row. A strip without ink has one row without a label."""
 
+    def found(ink: np.ndarray) -> list[tuple]:
+        y, first, last = runs_of(ink)
+        if not len(y):
+            return [(None, len(ink), *[None] * 5, [], [])]
+        labels, back = np.unique(labelled(y, first, last, eight), return_inverse=True)
+        n = len(labels)
+        at = lambda reduce, v, start: _reduced(reduce, back, v, n, start).tolist()
+        ends = [[[] for _ in range(n)], [[] for _ in range(n)]]
+        for side, row in ((0, 0), (1, len(ink) - 1)):
+            for i in np.flatnonzero(y == row):
+                ends[side][back[i]].append({"first": int(first[i]), "last": int(last[i])})
+        sizes = at(np.add, last - first + 1, 0), at(np.minimum, first, 1 << 30), at(np.maximum, last, -1), at(np.minimum, y, 1 << 30), at(np.maximum, y, -1)
+        return list(zip(range(n), [len(ink)] * n, *sizes, *ends, strict=True))
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = [*PAGE, "strip", "label", "rows", "area", "left", "right", "top", "bottom", "upper", "lower"]
+        kinds = [pa.int32(), pa.int32(), pa.int64(), *[pa.int32()] * 4, _EDGE, _EDGE]
         for b in batches:
-            for r in range(b.num_rows):
-                ink = _ink(b, r, 3, 4)
-                y, first, last = runs_of(ink)
-                root = labelled(y, first, last, eight)
-                found, back = np.unique(root, return_inverse=True)
-                n = max(len(found), 1)
-                at = lambda reduce, v, start: _reduced(reduce, back, v, len(found), start)
-                ends = [[[] for _ in range(n)], [[] for _ in range(n)]]
-                for side, row in ((0, 0), (1, len(ink) - 1)):
-                    for i in np.flatnonzero(y == row):
-                        ends[side][back[i]].append({"first": int(first[i]), "last": int(last[i])})
-                pad = lambda v, t: pa.array(v.tolist() if len(found) else [None], t)
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array([b.column(0)[r].as_py()] * n, pa.int64()), pa.array([b.column(1)[r].as_py()] * n, pa.int32()), pa.array([b.column(2)[r].as_py()] * n, pa.int32()),
-                        pad(np.arange(len(found)), pa.int32()), pa.array([len(ink)] * n, pa.int32()), pad(at(np.add, last - first + 1, 0), pa.int64()), pad(at(np.minimum, first, 1 << 30), pa.int32()),
-                        pad(at(np.maximum, last, -1), pa.int32()), pad(at(np.minimum, y, 1 << 30), pa.int32()), pad(at(np.maximum, y, -1), pa.int32()), pa.array(ends[0], _EDGE), pa.array(ends[1], _EDGE),
-                    ],
-                    names,
-                )
+            keys = [k.cast(t) for k, t in zip(b.columns[:3], (pa.int64(), pa.int32(), pa.int32()), strict=True)]
+            yield from gathered(keys, (found(_ink(b, r, 3, 4)) for r in range(b.num_rows)), [*PAGE, "strip", "label", "rows", "area", "left", "right", "top", "bottom", "upper", "lower"], kinds)
 
     return strips.select(*PAGE, "strip", "width", "data").mapInArrow(run, _LABEL)
 
@@ -192,9 +189,9 @@ def erased(strips: DataFrame, gone: DataFrame, eight: bool = True) -> DataFrame:
     return wide.mapInArrow(run, "doc_id bigint, page_no int, strip int, width int, data binary")
 
 
-def cleaned(strips: DataFrame) -> DataFrame:
-    """Strips of ink without specks and without what lies along an edge."""
-    found, members = components(cut(strip_labels(strips)))
+def cleaned(strips: DataFrame, parts: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
+    """Strips of ink without specks and without what lies along an edge; parts are the strips' components, where they are known."""
+    found, members = parts or components(cut(strip_labels(strips)))
     w, h = F.col("page_w"), F.col("page_h")
     sized = found.join(page_sizes(strips), PAGE)
     gone = sized.filter(is_speck(w.cast("bigint") * h) | is_edge_artefact(w, h)).select(*PAGE, "component")
