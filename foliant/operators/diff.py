@@ -230,9 +230,12 @@ def edit_scripts(pairs: DataFrame, keys: list[str], left: str = "text_a", right:
 
 
 def replayed(script: DataFrame, keys: list[str]) -> DataFrame:
-    """(keys, old, new): both sides put together again from the steps, with blanks between tokens."""
+    """(keys, old, new, growth): both sides put together again from the steps, with blanks between tokens, and how many tokens more the new one has.
+
+    A move takes one from the added and one from the removed, so growth is also what the summary's two differ by.
+    """
     side = lambda gone, at: F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("op") != gone, F.struct(at, "token")))), lambda s: s["token"]), " ")
-    return script.groupBy(*keys).agg(side("insert", "a").alias("old"), side("delete", "b").alias("new"))
+    return script.groupBy(*keys).agg(side("insert", "a").alias("old"), side("delete", "b").alias("new"), (F.count_if(F.col("op") == "insert") - F.count_if(F.col("op") == "delete")).alias("growth"))
 
 
 def _nth(df: DataFrame, keys: list[str], order: str) -> DataFrame:

@@ -162,3 +162,11 @@ def test_long_scripts_are_of_words_too(spark):
     rows = sorted(diff.edit_scripts(pairs, ["pair"]).collect(), key=lambda r: r.pos)
     assert [r.token for r in rows if r.op != "insert"] == a and [r.token for r in rows if r.op != "delete"] == b
     assert diff.summary(diff.edit_scripts(pairs, ["pair"]), ["pair"]).first().added == 225
+
+
+def test_replay_gives_the_summary_s_growth_without_writing_steps_down(spark):
+    pairs = spark.createDataFrame([(1, "a b c d e f", "d e f a b c x x"), (2, "p q", "q"), (3, None, "n e w")], "pair long, text_a string, text_b string")
+    script = diff.edit_scripts(pairs, ["pair"])
+    rows = {r.pair: (r.old, r.new, r.growth) for r in diff.replayed(script, ["pair"]).collect()}
+    assert rows == {1: ("a b c d e f", "d e f a b c x x", 2), 2: ("p q", "q", -1), 3: ("", "n e w", 3)}
+    assert {r.pair: r.added - r.removed for r in diff.summary(script, ["pair"]).collect()} == {p: g for p, (_, _, g) in rows.items()}
