@@ -7,10 +7,15 @@ There is one section a page, so headings stand at the second level.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from foliant.functions import strings
+from foliant.functions import geometry, strings
 from foliant.operators import layout
 
 PAGE = ["doc_id", "page_no"]
@@ -20,29 +25,98 @@ LINE_SHARE = 0.8
 EMU = 12700
 
 
-def _joined(words: DataFrame, keys: list[str], order: str) -> DataFrame:
-    rows = words.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(order, "text"))).alias("_w"))
-    return rows.select(*keys, F.array_join(F.transform("_w", lambda w: w["text"]), " ").alias("text"))
+_FLAT = ["seq", "x", "y", "w", "h", "text"]
+
+
+def _block_nodes(rows: pa.Table) -> pa.RecordBatch:
+    """Nodes of whole blocks: (PAGE, block, kind, _nth, seq, x, y, w, h, text), words of a block by y, x and seq, a block without words as one row without text."""
+    seq, x, y, w, h = (rows.column(c).fill_null(0).to_numpy() for c in _FLAT[:-1])
+    fresh = rows.column("_nth").to_numpy() == 1
+    block = np.cumsum(fresh) - 1
+    kinds = rows.column("kind").filter(pa.array(fresh)).to_pylist()
+    table = np.array([k == "Table" for k in kinds], dtype=bool)[block]
+    banded = np.array([k in ("List", "Table") for k in kinds], dtype=bool)[block]
+
+    # Lines chain by half the height of the word before; within a line words go from the left.
+    step = fresh.copy()
+    step[1:] |= y[1:] - y[:-1] > np.maximum(h[1:], h[:-1]) * 0.5
+    order = np.lexsort((seq, x, np.cumsum(step)))
+
+    # A word joins the first band that is near; words as high and at the same height as one before join its band, so each such run is looked up once.
+    band = np.zeros(len(order), dtype=np.int64)
+    at = order[banded[order]]
+    if len(at):
+        begins = np.ones(len(at), dtype=bool)
+        begins[1:] = (block[at][1:] != block[at][:-1]) | (y[at][1:] != y[at][:-1]) | (h[at][1:] != h[at][:-1])
+        heads = at[begins]
+        found = np.empty(len(heads), dtype=np.int64)
+        edges = np.flatnonzero(np.concatenate([[True], block[heads][1:] != block[heads][:-1], [True]]))
+        for lo, hi in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
+            found[lo:hi] = layout.first_band(y[heads[lo:hi]].tolist(), h[heads[lo:hi]].tolist())
+        band[at] = found[np.cumsum(begins) - 1]
+
+    # Cells of a band of a table: a new one after a gap wider than eight tenths of the mean width. Other bands keep the order of their words.
+    nth = np.empty(len(order), dtype=np.int64)
+    nth[order] = np.arange(len(order))
+    by_row = np.lexsort((np.where(table, 0, nth), np.where(table, seq, 0), np.where(table, x, 0.0), band, block))
+    new_row = np.ones(len(by_row), dtype=bool)
+    new_row[1:] = (block[by_row][1:] != block[by_row][:-1]) | (band[by_row][1:] != band[by_row][:-1])
+    starts = np.flatnonzero(new_row)
+    sizes = np.diff(np.append(starts, len(by_row)))
+    wide = np.repeat(np.add.reduceat(w[by_row], starts) / sizes * 0.8, sizes)
+    xs, right = x[by_row], (x + w)[by_row]
+    new_cell = new_row.copy()
+    new_cell[1:] |= table[by_row][1:] & (xs[1:] - right[:-1] > wide[1:])
+    node = np.flatnonzero(new_cell)
+    passed = np.cumsum(new_cell)
+    cell = passed[node] - passed[starts][np.cumsum(new_row)[node] - 1]
+
+    text = rows.column("text").combine_chunks().take(pa.array(by_row))
+    known = np.append(0, np.cumsum(text.is_valid().to_numpy(zero_copy_only=False)))
+    offsets = known[np.append(node, len(by_row))]
+    joined = pc.binary_join(pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), text.drop_null()), " ")
+    first = pa.array(by_row[node])
+    keys = [rows.column(c).combine_chunks().take(first) for c in (*PAGE, "block")]
+    made = [pa.array(band[by_row[node]], pa.int32()), pa.array(cell, pa.int32())]
+    return pa.RecordBatch.from_arrays([*keys, *made, rows.column("kind").combine_chunks().take(first), joined], NODE)
+
+
+def _nodes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches may end inside a block: its rows wait for the rest."""
+    held: list[pa.RecordBatch] = []
+    for b in batches:
+        starts = np.flatnonzero(b.column("_nth").to_numpy() == 1)
+        if len(starts) and (held or starts[-1]):
+            yield _block_nodes(pa.Table.from_batches([*held, b.slice(0, starts[-1])]))
+            held = []
+        if b.num_rows:
+            held.append(b.slice(starts[-1]) if len(starts) else b)
+    if held:
+        yield _block_nodes(pa.Table.from_batches(held))
 
 
 def from_layout(words: DataFrame, regions: DataFrame) -> DataFrame:
-    """Nodes of pages with regions: each region is a block, with the words whose centres it holds."""
-    ordered = layout.reading_order(regions, "region_id").select(*PAGE, "region_id", "type", F.col("reading_order").alias("block"))
-    ordered = ordered.withColumn("kind", layout.block_kind(F.col("type"))["block"]).drop("type")
-    inside = layout.words_in_regions(words, regions).join(ordered, [*PAGE, "region_id"])
-    keys = [*PAGE, "block", "kind"]
-    placed = layout.word_order(inside.select(*keys, "seq", "text", "x", "y", "w", "h"), keys)
-
-    flat = _joined(placed.filter("kind NOT IN ('List', 'Table')"), keys, "word_order").withColumns({"row_no": F.lit(0), "cell_no": F.lit(0)})
-    banded = layout.line_bands(placed.filter("kind IN ('List', 'Table')").select(*keys, "seq", "text", "x", "y", "w", "h", "word_order"), keys)
-    banded = banded.withColumnRenamed("band_no", "row_no")
-    items = _joined(banded.filter("kind = 'List'"), [*keys, "row_no"], "word_order").withColumn("cell_no", F.lit(0))
-    cells = layout.cell_splits(banded.filter("kind = 'Table'"), [*keys, "row_no"])
-    cells = cells.withColumn("_at", F.struct("x", "seq"))
-    rows = cells.groupBy(*keys, "row_no", "cell_no").agg(F.array_sort(F.collect_list(F.struct("x", "seq", "text"))).alias("_w"))
-    tables = rows.select(*keys, "row_no", F.col("cell_no").cast("int").alias("cell_no"), F.array_join(F.transform("_w", lambda w: w["text"]), " ").alias("text"))
-    empty = ordered.join(placed.select(*PAGE, "block").distinct(), [*PAGE, "block"], "left_anti").select(*keys, F.lit(0).alias("row_no"), F.lit(0).alias("cell_no"), F.lit("").alias("text"))
-    return flat.select(*NODE).unionByName(items.select(*NODE)).unionByName(tables.select(*NODE)).unionByName(empty.select(*NODE))
+    """Nodes of pages with regions: each region is a block, with the words whose centres it holds.
+
+    Words are read once, those outside the bounds of all regions go before they are moved, and the rest meet their regions by page. The rows of a page then
+    lie together in order, and blocks are made of them as they come, whatever their number.
+    """
+    ordered = layout.reading_order(regions, "region_id").select(*PAGE, F.col("reading_order").alias("block"), layout.block_kind(F.col("type"))["block"].alias("kind"), *[F.col(c).alias(f"_{c}") for c in ("x", "y", "w", "h")])
+    edges = regions.agg(F.min("x").alias("_x0"), F.max(F.col("x") + F.col("w")).alias("_x1"), F.min("y").alias("_y0"), F.max(F.col("y") + F.col("h")).alias("_y1"))
+    cx, cy = F.col("x") + F.col("w") / 2, F.col("y") + F.col("h") / 2
+    near = words.select(*PAGE, *_FLAT).join(F.broadcast(edges), cx.between(F.col("_x0"), F.col("_x1")) & cy.between(F.col("_y0"), F.col("_y1"))).select(*PAGE, *_FLAT)
+    box = geometry.box(*[F.col(f"r._{c}") for c in ("x", "y", "w", "h")])
+    same = (F.col("r.doc_id") == F.col("e.doc_id")) & (F.col("r.page_no") == F.col("e.page_no"))
+    inside = geometry.center_in(geometry.box(*[F.col(f"e.{c}") for c in ("x", "y", "w", "h")]), box)
+    # Few regions a page, so they are looked up and the words need no sorting for it.
+    placed = ordered.hint("shuffle_hash").alias("r").join(near.alias("e"), same & inside, "left")
+    # The window brings the rows of a page into one task and in order, and its first rows mark where blocks begin.
+    nth = F.row_number().over(Window.partitionBy(*PAGE, "block").orderBy("y", "x", "seq", "text"))
+    number = [F.col(c).cast("double") for c in ("x", "y", "w", "h")]
+    rows = placed.select(*[F.col(f"r.{c}") for c in (*PAGE, "block", "kind")], *[F.col(f"e.{c}") for c in _FLAT])
+    rows = rows.withColumn("_nth", nth).select(*PAGE, "block", "kind", "_nth", F.col("seq").cast("bigint"), *number, "text")
+    keys = ", ".join(f"{k} {rows.schema[k].dataType.simpleString()}" for k in (*PAGE, "block"))
+    return rows.mapInArrow(_nodes, f"{keys}, row_no int, cell_no int, kind string, text string")
 
 
 #: Fixed value: the origin that blocks of read pages name.
@@ -77,7 +151,8 @@ def error_pages(pages: DataFrame) -> DataFrame:
 def to_djot(nodes: DataFrame, level: int = 2) -> DataFrame:
     """(doc_id, djot): headings, paragraphs, lists, pipe tables, code and figures in order."""
     t = strings.djot_escape(F.col("text"))
-    cells = nodes.withColumn("_t", t).groupBy(*PAGE, "block", "kind", "row_no").agg(F.array_sort(F.collect_list(F.struct("cell_no", "_t"))).alias("_c"))
+    # A document's nodes meet once; all groupings below are of parts of documents.
+    cells = nodes.repartition("doc_id").withColumn("_t", t).groupBy(*PAGE, "block", "kind", "row_no").agg(F.array_sort(F.collect_list(F.struct("cell_no", "_t"))).alias("_c"))
     only = F.array_join(F.transform("_c", lambda c: c["_t"]), " ")
     ruler = F.when(F.col("row_no") == F.col("_first"), F.concat(F.lit("|"), F.repeat(F.lit("---|"), F.size("_c")), F.lit("\n"))).otherwise("")
     row = F.concat(F.lit("|"), F.array_join(F.transform("_c", lambda c: F.concat(F.lit(" "), c["_t"], F.lit(" |"))), ""), F.lit("\n"), ruler)
