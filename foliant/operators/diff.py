@@ -1,6 +1,6 @@
 """Comparison of token sequences: shortest edit scripts, moves, residual changes and summaries.
 
-Scripts come from an Arrow-batched function, many pairs a round; everything after it is native.
+Scripts come from an Arrow-batched function, by bit rows of a table of common subsequences; everything after it is native.
 """
 
 from __future__ import annotations
@@ -17,6 +17,8 @@ _STEP = pa.struct([("op", pa.string()), ("token", pa.string()), ("a", pa.int32()
 _STRIDE = 128
 #: Pairs compared together, at most so many and, but for a single one, of so many tokens; rounds kept of them in bytes.
 _PAIRS, _TOKENS, _HISTORY = 64, 1 << 18, 1 << 26
+#: Places of a token are held as bits if they are one in so many of all, or the other text is no longer than the second; else the bits are made each time.
+_RARE, _SHORT = 1 << 10, 1 << 14
 #: Characters of a partition at most, but for a single pair.
 _CHARS = 1 << 22
 _OPS = ["keep", "delete", "insert"]
@@ -98,6 +100,83 @@ def _walk_back(a: list[str], b: list[str], edits: int, rounds: Callable[[int], l
     return out[::-1]
 
 
+class _Places:
+    """The places of each token of a text, as bits."""
+
+    def __init__(self, tokens: list[int], wanted: set[int]) -> None:
+        self.n = len(tokens)
+        self.at: dict[int, list[int]] = {}
+        for i, t in enumerate(tokens):
+            if t in wanted:
+                self.at.setdefault(t, []).append(i)
+        self.held = {t: self._bits(p) for t, p in self.at.items() if self.n <= _SHORT or len(p) * _RARE > self.n}
+
+    def _bits(self, places: list[int]) -> int:
+        out = bytearray((self.n >> 3) + 1)
+        for i in places:
+            out[i >> 3] |= 1 << (i & 7)
+        return int.from_bytes(out, "little")
+
+    def __getitem__(self, token: int) -> int:
+        return self.held[token] if token in self.held else self._bits(self.at.get(token, []))
+
+
+def _shared(n: int, b: list[int], rise: int, where: _Places) -> Iterator[tuple[int, int]]:
+    """For each token of b: where the longest common subsequence grows by it, and where along a it grows, as bits by places in a, which has n tokens.
+
+    Bit x of the first tells whether the token adds one to what the first x tokens of a share with b so far; bit x of the second is clear if token x of a does. ``rise`` is
+    the second before the first of b.
+    """
+    full = (1 << n) - 1
+    for t in b:
+        meets = rise & where[t]
+        total = rise + meets
+        grown = total ^ rise ^ meets
+        rise = (total | (rise - meets)) & full
+        yield grown, rise
+
+
+def edits_by_bits(a: list[str], b: list[str]) -> list[tuple[bool, int, int]]:
+    """The edits of the script that ``edit_script`` gives, last first: (inserted, place in a, place in b).
+
+    Reaching furthest, a deletion on ties, means on the way back: an insertion where one is on a shortest way, else a deletion, else the token is kept. Both are
+    told by single bits of the table of common subsequences, made a row at a time for each token of b. Of long tables one row in so many is kept, and the rows between are made again.
+    """
+    number: dict[str, int] = {}
+    x, y = ([number.setdefault(t, len(number)) for t in side] for side in (a, b))
+    same = next((i for i, (s, t) in enumerate(zip(x, y, strict=False)) if s != t), min(len(x), len(y)))
+    x, y = x[same:], y[same:]
+    n, m = len(x), len(y)
+    where = _Places(x, set(y))
+    # Rows at every stride-th token, and those of one stride: least in sum where the stride is the root.
+    stride = m + 1 if n * m <= 4 * _HISTORY else int(m**0.5) + 1
+    first, starts = (1 << n) - 1, []
+    rows: list[tuple[int, int]] = []
+    for at in range(0, m, stride):
+        starts.append(first)
+        for row in _shared(n, y[at : at + stride], first, where):
+            first = row[1]
+            if stride > m:
+                rows.append(row)
+    out: list[tuple[bool, int, int]] = []
+    i, k, low = n, m, 0 if stride > m else m
+    while i and k:
+        if k <= low or not rows:
+            low = (k - 1) // stride * stride
+            rows = list(_shared(n, y[low : low + stride], starts[low // stride], where))
+        grown, rise = rows[k - 1 - low]
+        if not grown >> i & 1:
+            k -= 1
+            out.append((True, same + i, same + k))
+        elif rise >> (i - 1) & 1:
+            i -= 1
+            out.append((False, same + i, same + k))
+        else:
+            i, k = i - 1, k - 1
+    out += [(True, same + i, same + j) for j in range(k - 1, -1, -1)]
+    return out + [(False, same + j, same + k) for j in range(i - 1, -1, -1)]
+
+
 def edits_together(pairs: list[tuple[list[str], list[str]]]) -> list[list[tuple[bool, int, int]] | None]:
     """For each pair the edits of the script that ``edit_script`` gives, last first: (inserted, place in a, place in b).
 
@@ -171,10 +250,10 @@ def _scripts(pairs: list[tuple[list[str], list[str]]]) -> pa.ListArray:
     """The scripts of pairs as lists of steps."""
     ops, tokens, places_a, places_b, sizes = [], [], [], [], [0]
     base = 0
-    for (a, b), edits in zip(pairs, edits_together(pairs), strict=True):
-        if edits is None:
-            alone = edit_script(a, b) or []
-            edits = [(o == "insert", p, q) for o, p, q in _starts(alone) if o != "keep"]
+    for a, b in pairs:
+        # Long texts that hardly differ are done sooner by rounds of edits than by their table.
+        few = edit_script(a, b, _STRIDE) if len(a) * len(b) > 4 * _HISTORY else None
+        edits = edits_by_bits(a, b) if few is None else [(o == "insert", p, q) for o, p, q in _starts(few) if o != "keep"]
         op, x, y = _steps(len(a), len(b), edits)
         ops.append(op)
         places_a.append(x)
@@ -259,10 +338,20 @@ def residual(script: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def summary(script: DataFrame, keys: list[str]) -> DataFrame:
-    """(keys, added, removed, moved) of every pair with edits."""
-    rest = residual(script, keys).groupBy(*keys).agg(F.count_if(F.col("op") == "insert").alias("added"), F.count_if(F.col("op") == "delete").alias("removed"))
-    moved = moves(script, keys).groupBy(*keys).agg(F.count("*").alias("moved"))
-    return script.select(*keys).distinct().join(rest, keys, "left").join(moved, keys, "left").fillna(0, ["added", "removed", "moved"])
+    """(keys, added, removed, moved) of every pair with edits.
+
+    The script is read once: the n-th deletion and insertion of a token are those of ``moves``, and what is left of a token's edits is ``residual``.
+    """
+    # Kept steps of a pair fold into one row before anything is moved; they only tell that it has a script.
+    edited = F.col("op").isin("delete", "insert")
+    steps = script.select(*keys, edited.alias("_edit"), F.when(edited, F.col("token")).alias("token"), F.when(F.col("op") == "delete", F.col("a")).alias("a"), F.when(F.col("op") == "insert", F.col("b")).alias("b"))
+    gone, come = F.sort_array(F.collect_list("a")), F.sort_array(F.collect_list("b"))
+    tokens = steps.groupBy(*keys, "_edit", "token").agg(gone.alias("_gone"), come.alias("_come"))
+    far = F.zip_with("_gone", "_come", lambda a, b: F.coalesce(a != b, F.lit(False)))
+    moved = F.when(F.col("token").isNotNull(), F.size(F.filter(far, lambda v: v))).otherwise(0)
+    counts = tokens.select(*keys, F.size("_come").alias("_in"), F.size("_gone").alias("_out"), moved.alias("_moved"))
+    total = lambda c: F.sum(c).cast("bigint")
+    return counts.groupBy(*keys).agg(total(F.col("_in") - F.col("_moved")).alias("added"), total(F.col("_out") - F.col("_moved")).alias("removed"), total("_moved").alias("moved"))
 
 
 def cumulative(summaries: DataFrame, keys: list[str], order: str) -> DataFrame:

@@ -5,7 +5,7 @@ import random
 
 import pytest
 
-from foliant.operators import documents, layout
+from foliant.operators import diff, documents, layout
 
 
 def _plan(df):
@@ -77,3 +77,30 @@ def test_words_of_a_layout_are_read_once(spark, tmp_path):
     # All groupings of a document's nodes under one exchange.
     nodes = spark.createDataFrame([(1, 0, 0, 0, 0, "List", "a")], "doc_id long, page_no int, block int, row_no int, cell_no int, kind string, text string")
     assert _plan(documents.to_djot(nodes)).count("Exchange") == 1
+
+
+def test_scripts_by_bits_are_those_by_rounds(monkeypatch):
+    rng = random.Random(3)
+    for turn in range(900):
+        # Whole tables, tables in strides, and places of rare tokens made each time.
+        monkeypatch.setattr(diff, "_HISTORY", 0 if turn % 3 == 1 else 1 << 26)
+        monkeypatch.setattr(diff, "_SHORT", 0 if turn % 3 == 2 else 1 << 14)
+        monkeypatch.setattr(diff, "_RARE", 1)
+        a, b = ([str(rng.randrange(1 + turn % 5)) for _ in range(rng.randrange(13))] for _ in range(2))
+        want = [(op == "insert", x, y) for op, x, y in diff._starts(diff.edit_script(a, b)) if op != "keep"]
+        assert diff.edits_by_bits(a, b) == want[::-1]
+
+
+def test_summary_reads_the_script_once_and_counts_what_moves_leave(spark):
+    rng = random.Random(4)
+    rows = []
+    for pair in range(6):
+        for i in range(60):
+            op = rng.choice(["keep", "insert", "delete"]) if pair else "keep"
+            rows.append((pair or None, i, op, rng.choice(["a", "b", "c", None]), None if op == "insert" else i, None if op == "delete" else i + rng.randrange(2)))
+    script = spark.createDataFrame(rows, "pair int, pos int, op string, token string, a int, b int")
+    got = diff.summary(script, ["pair"])
+    assert _plan(got).count("LocalTableScan") + _plan(got).count("Scan ExistingRDD") == 1
+    rest, moved = diff.residual(script, ["pair"]).collect(), diff.moves(script, ["pair"]).collect()
+    n = lambda kind, pair: sum(r.pair == pair and (kind == "moved" or r.op == kind) for r in (moved if kind == "moved" else rest))
+    assert {r.pair: (r.added, r.removed, r.moved) for r in got.collect()} == {p: (n("insert", p), n("delete", p), n("moved", p)) for p in (None, 1, 2, 3, 4, 5)}
