@@ -1,11 +1,12 @@
 """Plans that read their input once, and their results against the plain rules."""
 
+import math
 import os
 import random
 
 import pytest
 
-from foliant.operators import diff, documents, layout
+from foliant.operators import diff, documents, layout, review
 
 
 def _plan(df):
@@ -104,3 +105,23 @@ def test_summary_reads_the_script_once_and_counts_what_moves_leave(spark):
     rest, moved = diff.residual(script, ["pair"]).collect(), diff.moves(script, ["pair"]).collect()
     n = lambda kind, pair: sum(r.pair == pair and (kind == "moved" or r.op == kind) for r in (moved if kind == "moved" else rest))
     assert {r.pair: (r.added, r.removed, r.moved) for r in got.collect()} == {p: (n("insert", p), n("delete", p), n("moved", p)) for p in (None, 1, 2, 3, 4, 5)}
+
+
+def test_hit_test_tests_each_place_once(spark):
+    rng = random.Random(6)
+    sizes = [0.0, 1.0, 3.0, 40.0, 1000.0]
+    notes = [(1, i, rng.randrange(40) * 1.0, rng.randrange(40) * 1.0, rng.choice(sizes), rng.choice([*sizes, -2.0]), rng.choice([None, [], [(rng.randrange(60) * 1.0, rng.randrange(60) * 1.0)] * 2])) for i in range(60)]
+    spots = [(1, i, rng.randrange(-5, 70) * 1.0, rng.randrange(-5, 70) * 1.0) for i in range(80)]
+    a = spark.createDataFrame(notes, "page int, idx int, x double, y double, w double, h double, vertices array<struct<x: double, y: double>>")
+    p = spark.createDataFrame(spots, "page int, point_id int, px double, py double")
+    want = {}
+    for _, point, px, py in spots:
+        hits = [i for _, i, x, y, w, h, vs in notes if (x <= px <= x + w and y <= py <= y + h) or any(math.hypot(vx - px, vy - py) < 10 for vx, vy in vs or [])]
+        if hits:
+            want[point] = max(hits)
+    assert {r.point_id: r.idx for r in review.hit_test(a, p, ["page"]).collect()} == want
+    # A thousand notes in one place for a thousand points in another: one pair, not a million.
+    n = spark.range(1000).selectExpr("1 AS page", "id AS idx", "0D AS x", "0D AS y", "9D AS w", "9D AS h", "array(struct(0D AS x, 0D AS y)) AS vertices")
+    out = review.hit_test(n, spark.range(1000).selectExpr("1 AS page", "id AS point_id", "5D AS px", "5D AS py"), ["page"])
+    assert out.count() == 1000 and out.agg({"idx": "min"}).first()[0] == 999
+    assert "_gx" in _plan(review.hit_test(a, p, ["page"]))
