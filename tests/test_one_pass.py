@@ -6,7 +6,7 @@ import random
 
 import pytest
 
-from foliant.operators import diff, documents, layout, review
+from foliant.operators import diff, documents, layout, redaction, review
 
 
 def _plan(df):
@@ -125,3 +125,22 @@ def test_hit_test_tests_each_place_once(spark):
     out = review.hit_test(n, spark.range(1000).selectExpr("1 AS page", "id AS point_id", "5D AS px", "5D AS py"), ["page"])
     assert out.count() == 1000 and out.agg({"idx": "min"}).first()[0] == 999
     assert "_gx" in _plan(review.hit_test(a, p, ["page"]))
+
+
+def test_words_are_not_sorted_for_the_rectangles_of_their_page(spark):
+    e = spark.createDataFrame([(1, 0, 5.0, 5.0, 2.0, 2.0), (1, 1, 50.0, 5.0, 2.0, 2.0)], "doc_id long, page_no int, x double, y double, w double, h double")
+    r = spark.createDataFrame([(1, 0, 0.0, 0.0, 9.0, 9.0)], e.schema)
+    kept = redaction.untouched(e, r, redaction.baseline_inside("e", "r"))
+    assert "ShuffledHashJoin" in _plan(kept) and "Sort" not in _plan(kept)
+    assert [row.page_no for row in kept.collect()] == [1]
+
+
+def test_merge_is_the_same_over_more_partitions(spark, monkeypatch):
+    rng = random.Random(8)
+    rows = [(1, p, e, i, f"{e}{i}", rng.randrange(12) * 20.0, rng.randrange(2) * 20.0, 30.0, 12.0, rng.randrange(100)) for p in range(2) for e in ("A", "B") for i in range(12)]
+    words = spark.createDataFrame(rows, "doc_id long, page_no int, engine string, seq int, text string, x double, y double, w double, h double, confidence int")
+    want = sorted(tuple(r) for r in layout.rover_merge(words, "A", "B").collect())
+    monkeypatch.setattr(layout, "TASK_ROWS", 5)
+    merged = layout.rover_merge(words, "A", "B")
+    assert layout.parts_for(words) == 10 and "REPARTITION_BY_NUM" in _plan(merged)
+    assert sorted(tuple(r) for r in merged.collect()) == want
