@@ -1,3 +1,5 @@
+import random
+
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -170,3 +172,32 @@ def test_replay_gives_the_summary_s_growth_without_writing_steps_down(spark):
     rows = {r.pair: (r.old, r.new, r.growth) for r in diff.replayed(script, ["pair"]).collect()}
     assert rows == {1: ("a b c d e f", "d e f a b c x x", 2), 2: ("p q", "q", -1), 3: ("", "n e w", 3)}
     assert {r.pair: r.added - r.removed for r in diff.summary(script, ["pair"]).collect()} == {p: g for p, (_, _, g) in rows.items()}
+
+
+def test_candidates_of_words_inside_a_cell_are_settled_there(spark):
+    """Boxes on and off the borders of cells against all pairs; one window lies where the pairs are made, and the second words are shuffled once."""
+    rnd = random.Random(3)
+    word = lambda seq: (1, 0, seq, float(rnd.randrange(0, 900)), float(rnd.randrange(0, 500)), float(rnd.choice([0, 30, 50, 200, 430])), float(rnd.choice([12, 100, 300])))
+    first, second = [word(i) for i in range(60)] + [(1, 0, 60, 0.0, 0.0, 200.0, 12.0)], [word(i) for i in range(60)] + [(1, 0, 60, 200.0, 0.0, 10.0, 12.0)]
+    kinds = "doc_id long, page_no int, seq long, x double, y double, w double, h double"
+
+    def iou(a, b):
+        w, h = (min(a[i] + a[i + 2], b[i] + b[i + 2]) - max(a[i], b[i]) for i in (3, 4))
+        return w * h / (a[5] * a[6] + b[5] * b[6] - w * h) if w > 0 and h > 0 else 0.0
+
+    want = {}
+    for a in first:
+        best = max(second, key=lambda b: (iou(a, b), -b[2]))
+        if iou(a, best) > 0:
+            want[a[2]] = best[2]
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        out = layout.best_candidates(spark.createDataFrame(first, kinds), spark.createDataFrame(second, kinds))
+        assert {r.p_seq: r.s_seq for r in out.collect()} == want and len(want) > 30
+        plan = out._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    final = plan.split("Initial Plan")[0]
+    assert "ReusedExchange" in final
+    assert sum("Exchange hashpartitioning" in line and "_gx" not in line for line in final.split("\n")) == 1
