@@ -14,6 +14,7 @@ the paths, all as joins; no links or labels reach the driver.
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -22,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from foliant.llm import text as X
-from foliant.llm.scratch import Scratch
+from foliant.llm.scratch import Scratch, tidy
 
 Verify = Callable[[DataFrame], DataFrame]
 
@@ -51,6 +52,7 @@ def join_counted(rows: DataFrame, counted: DataFrame, key: str) -> DataFrame:
     return near.unionByName(rows.join(few.select(key), key, "left_anti").join(counted.filter(~hot), key))
 
 
+@tidy
 def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows sorted by their first column: those that have it in common with a neighbour, and the two ends."""
     held, wanted = None, True
@@ -198,8 +200,9 @@ def link_groups(
     wide = left.join(right, (left["key"] == right["key"]) & (left["block"] == right["block"]) & meet)
     pairs = wide.select(F.col("l.id").alias("a"), F.col("r.id").alias("b"))
     pairs = pairs if few_keys else pairs.distinct()
-    for t in tested:
-        pairs = pairs.join(t.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti")
+    if tested:
+        done = functools.reduce(DataFrame.unionByName, tested)
+        pairs = pairs.join(done.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti")
     pairs = scratch.save(pairs, "pairs")
     mapping = _compose(mapping, scratch.save(verify(pairs), "links"), scratch)
     scratch.drop(mixed, pairs, *tested)
@@ -235,6 +238,7 @@ def id_filter(ids: DataFrame) -> IdFilter:
     """The filter of a one-column frame of longs. Each task fills one of fixed size; they are joined slot by slot."""
     chunk = 1 << 14
 
+    @tidy
     def fill(batches):
         words = np.zeros(1 << (FILTER_BITS - 6), dtype=np.uint64)
         for b in batches:

@@ -35,7 +35,7 @@ from foliant.llm import edits
 from foliant.llm import text as X
 from foliant.llm.columns import Apart
 from foliant.llm.components import id_filter, join_counted, link_groups, shared_keys
-from foliant.llm.scratch import Scratch
+from foliant.llm.scratch import Scratch, tidy
 from foliant.operators.diff import edit_script
 
 MIN_WORDS = 5
@@ -154,6 +154,7 @@ def min_keys(least: np.ndarray) -> list[np.ndarray]:
     return [((keys[2 * i] << np.uint64(32)) | keys[2 * i + 1]).view(np.int64) for i in range(len(_KEYS))]
 
 
+@tidy
 def _occurrences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Lines long enough to be removed: id, hash of the text, line number, hash, place, length in characters and keys of the line."""
     for b in batches:
@@ -187,6 +188,7 @@ _NORMAL = bytes((b + 32 if 65 <= b <= 90 else b) if X.ALNUM[b] else 32 for b in
 def _normalised(wanted):
     """(lh, norm) of the lines whose key the filter lets pass; other lines are not even cut into words."""
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sieve = wanted.value
         for b in batches:
@@ -295,6 +297,7 @@ def near(a: list[str], b: list[str], similarity: int) -> np.ndarray:
 
 
 def _verified(similarity: int):
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             ok = near(b.column(2).to_pylist(), b.column(3).to_pylist(), similarity)
@@ -330,7 +333,7 @@ def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
     lines = scratch.save(occ.groupBy("lh").agg(*[F.max(c).alias(c) for c in ("at", "chars", *_KEYS)], F.count("*").alias("_n")), "lines")
     posted = lines.select(F.explode(_keys()).alias("key"), F.col("lh").alias("id"), "chars")
-    postings = scratch.save(shared_keys(posted), "postings")
+    postings = scratch.save(shared_keys(posted), "postings", narrow=True)
 
     asked = postings.select(F.col("id").alias("lh")).distinct()
     wanted = spark.sparkContext.broadcast(id_filter(lines.join(asked, "lh", "left_semi").select("at")))

@@ -3,13 +3,14 @@
 import random
 from collections import defaultdict
 from itertools import combinations
+from types import SimpleNamespace
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from foliant.llm import components, edits, line_dedup, ngram_join, nn_descent, quality_rules
+from foliant.llm import components, edits, line_dedup, ngram_join, nn_descent, quality_rules, scratch
 from foliant.llm.scratch import Scratch
 from tests.llm.helpers import DOCS, ODD, SF, Sets, distance, docs, low, shingles
 
@@ -315,6 +316,54 @@ def test_hot_keys_and_shared_keys(spark):
     assert components.shared_keys(rows.limit(0)).count() == 0
 
 
+def test_tested_pairs_are_left_out_by_one_join(spark, monkeypatch):
+    """Rows of one key that link to no leader meet each other once, and the pairs of all rounds are left out at once."""
+    plans = []
+    save = Scratch.save
+
+    def saved(self, df, name, **more):
+        if name == "pairs":
+            plans.append(df._jdf.queryExecution().analyzed().toString().count("LeftAnti"))
+        return save(self, df, name, **more)
+
+    monkeypatch.setattr(Scratch, "save", saved)
+    monkeypatch.setattr(components, "OPEN_PAIRS", 0)
+    monkeypatch.setattr(components, "FRUITFUL", 1 << 30)
+    rows = spark.range(30).select(F.lit(1).cast("long").alias("key"), F.col("id").alias("id"), F.lit(1).alias("chars"))
+    link = lambda pairs: pairs.filter("a % 3 = b % 3 AND abs(a - b) <= 3")
+    roots = components.link_groups(rows, ["chars"], lambda left, right: F.lit(True), link, Scratch(spark, "test"), star_rounds=3, few_keys=True)
+    assert {r.id: r.root for r in roots.collect()} == {i: i % 3 for i in range(30)}
+    assert len(plans) > 2 and plans[-1] == 1
+
+
+def test_narrow_rows_are_not_weighed(spark):
+    """Batches of numbers are bounded by rows while they are written; the bound by bytes holds again after it."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    seen = []
+
+    scratch = Scratch(spark, "test")
+    before = spark.conf.get(name)
+    frame = spark.range(3)
+    parquet = type(frame.write).parquet
+    try:
+        type(frame.write).parquet = lambda w, path, **k: (seen.append(spark.conf.get(name)), parquet(w, path, **k))[1]
+        assert scratch.save(frame, "numbers", narrow=True).count() == 3 and scratch.save(frame, "texts").count() == 3
+    finally:
+        type(frame.write).parquet = parquet
+    assert seen == [str(2**31 - 1), before] and spark.conf.get(name) == before
+
+
+def test_workers_hand_memory_back(monkeypatch):
+    """All batches pass, and free memory goes back once, also when a task ends early."""
+    trims = []
+    monkeypatch.setattr(scratch.ctypes, "CDLL", lambda _: SimpleNamespace(malloc_trim=trims.append))
+    assert list(scratch.tidy(lambda batches: (b + 1 for b in batches))(iter([1, 2]))) == [2, 3] and trims == [0]
+    early = scratch.tidy(lambda batches: batches)(iter([1, 2]))
+    assert next(early) == 1
+    early.close()
+    assert trims == [0, 0] and line_dedup._occurrences.__name__ == "_occurrences"
+
+
 def test_vectors_of_unlike_lengths_are_refused(spark):
     df = spark.createDataFrame([(0, [1.0, 0.0, 2.0]), (1, [1.0, 0.0, 2.0, 1.0, 1.0])], "vec_id long, embedding array<float>")
     with pytest.raises(ValueError):
