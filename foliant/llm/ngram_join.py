@@ -40,7 +40,7 @@ from pyspark.sql import functions as F
 from foliant.llm import text as X
 from foliant.llm.columns import Apart
 from foliant.llm.components import id_filter, link_groups
-from foliant.llm.scratch import Scratch
+from foliant.llm.scratch import Scratch, tidy
 
 WIDTH = 5
 #: Jaccard threshold in hundredths.
@@ -134,6 +134,7 @@ def document_frequencies(docs: DataFrame, text_col: str, width: int) -> np.ndarr
     """How often shingles of each hash slot occur; one fixed-size table per task is added up."""
     piece = 1 << 14
 
+    @tidy
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(1 << COUNT_BITS, dtype=np.int64)
         for b in batches:
@@ -152,6 +153,7 @@ def document_frequencies(docs: DataFrame, text_col: str, width: int) -> np.ndarr
 
 
 def _sum_parts(parts: DataFrame, piece: int) -> DataFrame:
+    @tidy
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         totals: dict[int, np.ndarray] = {}
         for b in batches:
@@ -175,6 +177,7 @@ def _sets(docs: DataFrame, id_col: str, text_col: str, width: int, threshold: in
     Of equal sets within a task only the first brings its shingles.
     """
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = classes.value
         seen: set[int] = set()
@@ -201,6 +204,7 @@ def _sets(docs: DataFrame, id_col: str, text_col: str, width: int, threshold: in
 def _whole_sets(docs: DataFrame, text_col: str, width: int, wanted) -> DataFrame:
     """(uid, shingles): sorted hashes of the sets that the filter lets pass, each at most once a task."""
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sieve = wanted.value
         seen: set[int] = set()
@@ -224,6 +228,7 @@ def _whole_sets(docs: DataFrame, text_col: str, width: int, wanted) -> DataFrame
 def _search_groups(threshold: int):
     """Rows (a, b, shingles of a, shingles of b): runs of one query are searched in blocks; linked pairs come out."""
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         query, owner, names, block, held = None, None, [], [], 0
         for batch in batches:

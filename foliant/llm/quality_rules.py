@@ -26,7 +26,7 @@ from pyspark.sql import types as T
 
 from foliant.llm import text as X
 from foliant.llm.columns import Apart
-from foliant.llm.scratch import small_batches
+from foliant.llm.scratch import small_batches, tidy
 
 _SYMBOLS = np.array([chr(b) in "#*$%&|<>" for b in range(256)])
 _UPPER = np.array([65 <= b <= 90 for b in range(256)])
@@ -178,6 +178,7 @@ def _counts_table(texts: pa.Array) -> dict[str, np.ndarray]:
     return {k: np.concatenate([p[k] for p in parts]).astype(np.int64) for k in COUNTS + MORE}
 
 
+@tidy
 def _measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         c = _counts_table(b.column(b.num_columns - 1))
@@ -231,6 +232,7 @@ def quality_rules(docs: DataFrame, text_col: str = "text", threshold: float = 0.
     rest = own.df
     at = own.names.index(text_col)
 
+    @tidy
     def widen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for c in X.chunks(b.column(at)):
