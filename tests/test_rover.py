@@ -4,7 +4,7 @@ import random
 
 import pytest
 
-from foliant.operators import layout, rover
+from foliant.operators import layout, ocr, rover
 from tests.test_layout import _W, _merged_one_by_one
 
 
@@ -50,3 +50,11 @@ def test_missing_values_and_equal_seqs(spark):
     ]
     got = layout.rover_merge(spark.createDataFrame(rows, _W), "A", "B").collect()
     assert sorted([(r.doc_id or 0, r.seq, r.text, r.source_engine) for r in got], key=lambda r: r[:2]) == [(0, 0, "n", "A"), (0, 1, "N", "B"), (1, 0, None, "A"), (1, 1, "b", "ROVER"), (1, 2, "ü", "A")]
+
+
+def test_a_weak_page_is_merged_and_a_sure_one_keeps_its_words(spark, monkeypatch):
+    words = spark.createDataFrame([(d, 0, "A", 5, "s", 0.0, 0.0, 5.0, 2.0, c, None) for d, c in ((1, 90), (2, 60), (4, None))], _W + ", error string")
+    second = spark.createDataFrame([(d, 0, "B", 6, "t", 0.0, 0.0, 5.0, 2.0, 95, None) for d in (1, 2, 3, 4)], _W + ", error string")
+    monkeypatch.setattr(layout, "cut", None)
+    got = ocr.combined(words, second, "ConfidenceWeighted", ("A", "B"))
+    assert sorted((r.doc_id, r.seq, r.text, r.source_engine) for r in got.collect()) == [(1, 5, "s", "A"), (2, 0, "t", "ROVER"), (4, 5, "s", "A")]
