@@ -181,7 +181,7 @@ def redact_forms(spark: SparkSession, d: str) -> DataFrame:
     rows = review._cut(objects.object_rows(files))
     pages = graph.page_tree(rows)
     sides = F.explode(F.array(F.struct(F.lit(0).alias("page_no"), (k % 200).alias("x"), F.lit(119).alias("y")), F.struct(F.lit(1).alias("page_no"), (k % 90).alias("x"), F.lit(59).alias("y"))))
-    rects = customers.select(k.alias("file"), sides.alias("s")).select("file", "s.*", F.lit(5).alias("w"), F.lit(5).alias("h"))
+    rects = review.unsized(customers.select(k.alias("file"), sides.alias("s")).select("file", "s.*", F.lit(5).alias("w"), F.lit(5).alias("h")))
     out = nested.redact(rows, pages, graph.page_contents(rows, pages), rects)
     removed = out["removed"].groupBy("file", "page_no", "text").agg(F.count("*").alias("n_removed"))
     return removed.join(out["copies"].groupBy("file", "page_no").agg(F.count("*").alias("n_copies")), ["file", "page_no"])

@@ -3,6 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+from foliant.operators import nested
 from foliant.operators.review import _cut, unsized
 from foliant.plans.catalog import QUERIES
 
@@ -21,6 +22,13 @@ def test_rows_that_few_rows_are_made_into_are_not_broadcast_by_a_guess(spark):
         assert joined.count() == 3_000
 
 
-@pytest.mark.parametrize("name", ["structure_json"])
+@pytest.mark.parametrize("name", ["structure_json", "clean_scan", "image_inventory"])
 def test_objects_of_files_are_not_broadcast_by_a_guess(spark, name):
     assert "BroadcastHashJoin" not in planned(QUERIES[name](spark, "/root/testdata/sf0.001"))
+
+
+def test_rectangles_made_from_keys_are_not_broadcast_by_a_guess(spark, monkeypatch):
+    plans = []
+    monkeypatch.setattr(nested, "cut", lambda df: (plans.append(planned(df)), _cut(df))[1])
+    QUERIES["redact_forms"](spark, "/root/testdata/sf0.001")
+    assert len(plans) >= 5 and not any("BroadcastHashJoin" in p for p in plans)
